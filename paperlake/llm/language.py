@@ -134,7 +134,7 @@ def prototypes(training: DataFrame) -> tuple[list[str], np.ndarray]:
     partial = training.select("lang", "text").mapInArrow(run, "lang string, vector array<long>")
     rows = partial.select("lang", F.posexplode("vector").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
     whole = rows.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).getField("x").alias("vector")).orderBy("lang").collect()
-    return [r.lang for r in whole], np.array([r.vector for r in whole], float).reshape(len(whole), -1)
+    return [r.lang for r in whole], np.array([r.vector for r in whole], float)
 
 
 def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
