@@ -39,7 +39,7 @@ for _s, _n, _b in SELECTORS:
 COUNT[0] = 1
 BLOCK_BYTES = 1 << 20
 #: Distinct pieces of text whose ids a Python worker remembers; beyond that it starts anew.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 600_000
 END_ID = 2
 
 
@@ -53,15 +53,16 @@ def encode_words(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
     advance = np.ones(n, np.int64)
     open_ = np.ones(n, bool)
     for s, count, bits in SELECTORS:
-        wide = ids >= np.uint64(1 << bits)
-        if wide.all():
+        narrow = np.flatnonzero(ids < np.uint64(1 << bits))
+        if not len(narrow):
             continue
-        before = np.concatenate(([0], np.cumsum(wide, dtype=np.int32)))
-        where = np.flatnonzero(open_ & ~wide)
-        stop = np.minimum(where + count, ends[where])
-        fits = before[stop] == before[where]
-        where, stop = where[fits], stop[fits]
-        selector[where], advance[where] = s, stop - where
+        #: A word fits where the next ``run`` ids are narrow, which means next to each other in ``narrow``.
+        run = np.minimum(count, ends[narrow] - narrow)
+        last = np.arange(len(narrow)) + run - 1
+        fits = narrow[np.minimum(last, len(narrow) - 1)] == narrow + run - 1
+        fits &= open_[narrow] & (last < len(narrow))
+        where = narrow[fits]
+        selector[where], advance[where] = s, run[fits]
         open_[where] = False
     steps, starts, i = advance.tolist(), [], 0
     while i < n:
@@ -140,10 +141,14 @@ def encode_texts(texts: list[bytes | None], path: str, end_id: int) -> list[byte
         cache.clear()
     cut = [(t or b"").split() for t in texts]
     new = list({w for words in cut for w in words if w not in cache})
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
-        for w, e in zip(part, tokenizer(path).encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
+    for i in range(0, len(new), 1000):
+        part = [w.decode("utf-8") for w in new[i : i + 1000]]
+        coded = tokenizer(path).encode(" ".join(part), add_special_tokens=False)
+        ids = np.array(coded.ids, "<u4").tobytes()
+        first = np.cumsum([0] + [len(w) + 1 for w in part])
+        edges = np.searchsorted([a for a, _ in coded.offsets], first).tolist()
+        for w, a, b in zip(new[i : i + 1000], edges, edges[1:], strict=False):
+            cache[w] = ids[4 * a : 4 * b]
     end = end_id.to_bytes(4, "little")
     return [b"".join([*map(cache.__getitem__, words), end]) for words in cut]
 
