@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from . import collections, graphs, papers, searches, texts
+
+MODULES = (searches, papers, graphs, texts, collections)
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
