@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, documents, keyed_text, raw_texts, slices
 
-WINDOW, STRIDE, MARGIN, SEGMENT = 32, 8, 64, 64
+#: Window lengths in words and their strides: the short ones suit items of few words.
+WINDOWS = ((16, 4), (32, 8))
+MARGIN, SEGMENT = 64, 64
 #: Benchmark text handled at once; a larger benchmark is searched in blocks of this size.
 BLOCK_BYTES = 1 << 20
 RANK, OVERSAMPLING, POWER = 128, 8, 2
@@ -107,10 +109,16 @@ def longest_common(query: list[bytes], words: list[bytes]) -> int:
     return len(query) - row.bit_count()
 
 
-def window_starts(n: int) -> np.ndarray:
-    if n <= WINDOW:
-        return np.zeros(1, np.int64)
-    return np.unique(np.append(np.arange(0, n - WINDOW, STRIDE), n - WINDOW))
+def windows_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the windows of n words; the last of each length ends with the text."""
+    starts, ends = [], []
+    for length, stride in WINDOWS:
+        at = np.append(np.arange(0, n - length, stride), n - length) if n > length else np.zeros(1, np.int64)
+        starts.append(at)
+        ends.append(np.minimum(at + length, n))
+        if n <= length:
+            break
+    return np.concatenate(starts), np.concatenate(ends)
 
 
 def term_frequencies(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
@@ -151,8 +159,7 @@ def passages(docs: DataFrame, terms: Terms, limits: Limits) -> DataFrame:
                 weight = square[index]
                 whole = np.concatenate(([0.0], np.cumsum(weight)))
                 inside = np.concatenate(([0.0], np.cumsum(np.where(index < outside, weight, 0.0))))
-                starts = window_starts(len(words))
-                ends = np.minimum(starts + WINDOW, len(words))
+                starts, ends = windows_of(len(words))
                 norm, own = whole[ends] - whole[starts], inside[ends] - inside[starts]
                 for k in np.flatnonzero((own > 0) & (own >= limits.cosine**2 * norm)):
                     a, b = int(starts[k]), int(ends[k])
