@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 
 from paperlake.functions.text import text_window, trim_all
 
+# Places that the views link to.
+DOI_SITE = "https://doi.org/"
+PREPRINT_SITE = "https://arxiv.org/abs/"
+RECORD_SITE = "https://scixplorer.org/abs/"
+SHOWN_NEIGHBOURS = 25
+
 
 def part(label: str, value: Column | str) -> Column:
     """A bold label and a value, or nothing where the value is null."""
@@ -42,12 +48,12 @@ def or_else(value: Column | str, default: str) -> Column:
 
 def paper_detail() -> Column:
     """A literature record; citations, reads and links of no value are left out."""
-    doi, site = F.lit("https://doi.org/"), F.lit("https://scixplorer.org/abs/")
+    doi, site = F.lit(DOI_SITE), F.lit(RECORD_SITE)
     return F.concat(
         F.lit("# "), or_else(first_of("title"), "Untitled"), F.lit("\n\n"), part("Authors", author_line(F.coalesce("author", F.array().cast("array<string>")))),
         part("Bibcode", F.concat(F.lit("`"), or_else("bibcode", "N/A"), F.lit("`"))), part("Year", or_else("year", "N/A")), part("Publication", or_else("pub", "N/A")),
         part("Citations", shown(F.col("citation_count"))), part("Reads", shown(F.col("read_count"))), part("DOI", F.concat(doi, shown(first_of("doi")))),
-        part("arXiv", F.concat(F.lit("https://arxiv.org/abs/"), shown(F.col("arxiv_id")))), part("SciX", F.concat(site, shown(F.col("bibcode")))),
+        part("arXiv", F.concat(F.lit(PREPRINT_SITE), shown(F.col("arxiv_id")))), part("SciX", F.concat(site, shown(F.col("bibcode")))),
         F.coalesce(F.concat(F.lit("## Abstract\n\n"), shown(F.col("abstract")), F.lit("\n\n")), F.lit("")),
     )
 
@@ -63,7 +69,7 @@ def preprint_head() -> Column:
 def preprint_detail() -> Column:
     """A preprint; the update is shown only where it differs from the publication."""
     updated = F.when((F.col("updated") != "") & (F.col("updated") != F.col("published")), F.substring("updated", 1, 10))
-    doi = F.concat(F.lit("https://doi.org/"), shown(F.col("doi")))
+    doi = F.concat(F.lit(DOI_SITE), shown(F.col("doi")))
     return F.concat(
         preprint_head(), part("Published", F.substring("published", 1, 10)), part("Updated", updated), part("Categories", F.array_join("categories", ", ")), part("DOI", doi), preprint_links(), F.lit("## Abstract\n\n"), "abstract", F.lit("\n\n")
     )
@@ -85,7 +91,7 @@ def read_view(offset: int = 0, max_chars: int = 12_000) -> Column:
     """A read paper: source label, file name, links, and one window of its text."""
     label = F.when(F.col("source") == "tex", "arXiv source archive").when(F.col("source") == "html", "arXiv HTML").when(F.col("source") == "pdf", "arXiv PDF").otherwise("Abstract fallback")
     file = F.concat(F.lit("`"), shown(F.col("source_name")), F.lit("`"))
-    doi = F.concat(F.lit("https://doi.org/"), shown(F.col("doi")))
+    doi = F.concat(F.lit(DOI_SITE), shown(F.col("doi")))
     return F.concat(preprint_head(), part("Source", label), part("Source file", file), preprint_links(), part("DOI", doi), F.lit("## Extracted text\n\n"), text_page("content", offset, max_chars), F.lit("\n"))
 
 
@@ -137,31 +143,77 @@ def docs_list(page: DataFrame, order: list[Column], query: str) -> DataFrame:
 
 
 def graph_list(neighbours: DataFrame, order: list[Column], heading: str) -> DataFrame:
-    """neighbours(id, title, author, year): the first 25 are shown, all are counted."""
+    """neighbours(id, title, author, year[, arxiv_id]): the first 25 are shown, all are counted."""
     year = F.coalesce(F.concat(F.lit(" ("), shown(F.col("year")), F.lit(")")), F.lit(""))
-    item = F.concat("i", F.lit(". **"), or_else("title", "Untitled"), F.lit("**\n   - "), or_else("author", "Unknown"), year, F.lit("\n   - Semantic Scholar: `"), "id", F.lit("`\n\n"))
+    preprint = F.coalesce(F.concat(F.lit("   - arXiv: `"), shown(F.col("arxiv_id")), F.lit("`\n")), F.lit("")) if "arxiv_id" in neighbours.columns else F.lit("")
+    graph_id = F.coalesce(F.concat(F.lit("   - Semantic Scholar: `"), shown(F.col("id")), F.lit("`\n")), F.lit(""))
+    item = F.concat("i", F.lit(". **"), or_else("title", "Untitled"), F.lit("**\n   - "), or_else("author", "Unknown"), year, F.lit("\n"), preprint, graph_id, F.lit("\n"))
     head = F.concat(F.lit(f"## {heading} ("), "n", F.lit(")\n\n"))
-    return folded(neighbours, order, head, item, f"## {heading} (0)\n\nNo papers returned.\n\n", show=25)
+    return folded(neighbours, order, head, item, f"## {heading} (0)\n\nNo papers returned.\n\n", show=SHOWN_NEIGHBOURS)
+
+
+def graph_view(paper_id: str, paper: DataFrame, citing: DataFrame, cited: DataFrame, order: list[Column]) -> DataFrame:
+    """One paper(title, year) with its two lists of neighbours, one hop away."""
+    known = paper.limit(1).agg(F.first("title").alias("title"), F.first("year").alias("year"))
+    head = known.select(F.lit("head").alias("part"), F.concat(part("Title", or_else("title", "Untitled")), part("Year", shown(F.col("year")))).alias("text"), F.lit(0).cast("long").alias("n"))
+    parts = head
+    for name, rows, heading in (("citing", citing, "Citing papers"), ("cited", cited, "Referenced papers")):
+        parts = parts.union(graph_list(rows, order, heading).select(F.lit(name), "text", F.lit(0))).union(rows.agg(F.lit(name), F.lit(""), F.count("*")))
+    of = lambda name, c, how: how(F.when(F.col("part") == name, F.col(c)))
+    longest = lambda c: F.max_by(c, F.length(c))
+    count = lambda label, name: part(label, of(name, "n", F.max))
+    return parts.agg(
+        F.concat(F.lit(f"# Citation Graph for arXiv:{paper_id}\n\n"), of("head", "text", longest), count("Citations returned", "citing"), count("References returned", "cited"), of("citing", "text", longest), of("cited", "text", longest)).alias("text")
+    )
 
 
-def metrics_view(count: Column) -> Column:
-    """Indices, citation statistics and paper statistics of one wide row."""
+def metrics_view(count: Column, indices: bool = True, citations: bool = True, basic: bool = True) -> Column:
+    """Indices, citation statistics and paper statistics of one wide row; a section that was not computed is left out."""
     line = lambda label, value: F.concat(F.lit(f"- **{label}:** "), value, F.lit("\n"))
     whole = lambda c: or_else(c, "0")
-    optional = lambda label, c, digits: F.coalesce(line(label, F.format_number(F.col(c).cast("double"), digits)), F.lit(""))
-    return F.concat(
-        F.lit("# Citation Metrics\n\n*Based on "), count, F.lit(" paper(s)*\n\n## Indices\n\n"), line("h-index", whole("h")), line("g-index", whole("g")), line("i10-index", whole("i10")), optional("m-index", "m", 2), optional("tori", "tori", 2),
-        F.lit("\n## Citation Statistics\n\n"), line("Total citations", whole("total_citations")), line("Refereed citations", whole("refereed_citations")), optional("Average", "mean_citations", 1),
-        F.coalesce(line("Median", F.col("median_citations").cast("string")), F.lit("")), line("Self-citations", whole("self_citations")),
-        F.lit("\n## Paper Statistics\n\n"), line("Total papers", whole("papers")), line("Total reads", whole("reads")), optional("Average reads", "mean_reads", 1), F.lit("\n"),
-    )
+    some = lambda label, c, digits: F.when(F.col(c).isNotNull(), line(label, F.format_string(f"%.{digits}f", F.col(c).cast("double")))).otherwise("")
+    parts = [F.lit("# Citation Metrics\n\n*Based on "), count, F.lit(" paper(s)*\n\n")]
+    if indices:
+        parts += [F.lit("## Indices\n\n"), line("h-index", whole("h")), line("g-index", whole("g")), line("i10-index", whole("i10")), some("m-index", "m", 2), some("tori", "tori", 2), F.lit("\n")]
+    if citations:
+        parts += [F.lit("## Citation Statistics\n\n"), line("Total citations", whole("total_citations")), line("Refereed citations", whole("refereed_citations")), some("Average", "mean_citations", 1)]
+        parts += [F.coalesce(line("Median", plain_number("median_citations")), F.lit("")), line("Self-citations", whole("self_citations")), F.lit("\n")]
+    if basic:
+        parts += [F.lit("## Paper Statistics\n\n"), line("Total papers", whole("papers")), line("Total reads", whole("reads")), some("Average reads", "mean_reads", 1), F.lit("\n")]
+    return F.concat(*parts)
+
+
+def plain_number(c: str) -> Column:
+    """A number without a decimal part that is zero: 2.0 as 2, 2.5 as 2.5."""
+    return F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
 
 
-def library_detail() -> Column:
-    line = lambda label, value: F.concat(F.lit(f"- **{label}:** "), value)
+def library_line(*more: tuple[str, Column]) -> Column:
+    """One line of labels and values, two blanks and a bar between them."""
+    return F.concat(F.lit("- "), F.array_join(F.array(*(F.concat(F.lit(f"**{label}:** "), value) for label, value in more)), "  |  "), F.lit("\n"))
+
+
+def library_facts() -> list[Column]:
     public = F.when(F.col("public"), "Yes").otherwise("No")
-    about = F.coalesce(F.concat(line("Description", shown(F.col("description"))), F.lit("\n")), F.lit(""))
-    return F.concat(F.lit("# "), "name", F.lit("\n\n- **ID:** `"), "id", F.lit("`\n"), about, line("Papers", F.col("num_documents")), F.lit("  |  "), line("Permission", F.col("permission")).substr(3, 9999), F.lit("  |  "), line("Public", public).substr(3, 99), F.lit("\n"), line("Owner", F.col("owner")), F.lit("\n\n"))
+    about = F.coalesce(F.concat(F.lit("- **Description:** "), shown(F.col("description")), F.lit("\n")), F.lit(""))
+    return [F.lit("- **ID:** `"), F.col("id"), F.lit("`\n"), about, library_line(("Papers", F.col("num_documents").cast("string")), ("Permission", F.col("permission")), ("Public", public))]
+
+
+def library_list(page: DataFrame, order: list[Column]) -> DataFrame:
+    """Libraries with their facts, owner and day of the last change."""
+    changed = F.substring(F.col("date_last_modified").cast("string"), 1, 10)
+    item = F.concat(F.lit("## "), "name", F.lit("\n"), *library_facts(), library_line(("Owner", F.col("owner")), ("Modified", changed)), F.lit("\n"))
+    return folded(page, order, F.concat(F.lit("# Libraries ("), "n", F.lit(")\n\n")), item, "No libraries found.")
+
+
+def library_detail(papers: str | None = None) -> Column:
+    """A library with its facts and, where ``papers`` names an array of ids, its numbered papers."""
+    head = F.concat(F.lit("# "), "name", F.lit("\n\n"), *library_facts(), library_line(("Owner", F.col("owner"))), F.lit("\n"))
+    if papers is None:
+        return head
+    size = F.coalesce(F.array_size(papers), F.lit(0))
+    lines = F.transform(papers, lambda p, i: F.concat((i + 1).cast("string"), F.lit(". `"), p, F.lit("`\n")))
+    return F.concat(head, F.when(size > 0, F.concat(F.lit("## Papers ("), size.cast("string"), F.lit(")\n\n"), F.array_join(lines, ""))).otherwise(""))
 
 
 def note_view() -> Column:

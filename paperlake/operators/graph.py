@@ -24,7 +24,7 @@ def ego_graph(edges: DataFrame, citing: DataFrame, cited: DataFrame, paper_id: i
 def nested_ego(flat: DataFrame, paper_id: str) -> DataFrame:
     """One row: paper_id, counts, and the neighbours of each direction as arrays of structs.
 
-    For one paper's neighbourhood only, as the reference returns it.
+    For one paper's neighbourhood only.
     """
     row = F.struct(*(c for c in flat.columns if c != "direction"))
     pick = lambda d: F.sort_array(F.collect_list(F.when(F.col("direction") == d, row)))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import collections, graphs, papers, searches, texts
+from . import collections, graphs, papers, searches, texts, views
 
-MODULES = (searches, papers, graphs, texts, collections)
+MODULES = (searches, papers, graphs, texts, collections, views)
 
 
 def queries() -> dict[str, Callable]:

@@ -151,4 +151,11 @@ SQL = {
         SELECT CASE WHEN count(*) = 0 THEN '## Citing papers (0)' || chr(10) || chr(10) || 'No papers returned.' || chr(10) || chr(10) ELSE '## Citing papers (' || count(*) || ')' || chr(10) || chr(10)
         || string_agg(i || '. **Untitled**' || chr(10) || '   - ' || coalesce(author, 'Unknown') || coalesce(' (' || year || ')', '') || chr(10) || '   - Semantic Scholar: `' || id || '`' || chr(10) || chr(10), '' ORDER BY i) FILTER (i <= 25)
         || CASE WHEN count(*) > 25 THEN '_Showing 25 of ' || count(*) || ' returned papers._' || chr(10) || chr(10) ELSE '' END END AS text FROM near""",
+    "render_metrics": f"""WITH {INDICES}, stats AS (
+        SELECT p_brand AS author, count(citing) AS total, count(*) FILTER (o_orderstatus = 'F') AS refereed, count(citing) / count(DISTINCT p_partkey) AS mean FROM part LEFT JOIN edges ON cited = p_partkey LEFT JOIN orders ON o_orderkey = citing GROUP BY 1),
+        medians AS (SELECT author, median(citations) AS middle FROM counts GROUP BY 1)
+        SELECT author, '# Citation Metrics' || chr(10) || chr(10) || '*Based on ' || papers || ' paper(s)*' || chr(10) || chr(10) || '## Indices' || chr(10) || chr(10) || '- **h-index:** ' || h || chr(10) || '- **g-index:** ' || g || chr(10) || '- **i10-index:** ' || i10 || chr(10) || chr(10)
+        || '## Citation Statistics' || chr(10) || chr(10) || '- **Total citations:** ' || total || chr(10) || '- **Refereed citations:** ' || refereed || chr(10) || '- **Average:** ' || format('{{:.1f}}', round(round(mean, 6), 1)) || chr(10)
+        || '- **Median:** ' || replace(CAST(CAST(middle AS DOUBLE) AS VARCHAR) || '|', '.0|', '|')[:-2] || chr(10) || '- **Self-citations:** 0' || chr(10) || chr(10)
+        || '## Paper Statistics' || chr(10) || chr(10) || '- **Total papers:** ' || papers || chr(10) || '- **Total reads:** 0' || chr(10) || chr(10) AS text FROM indices JOIN stats USING (author) JOIN medians USING (author)""",
 }
