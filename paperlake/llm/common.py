@@ -24,6 +24,11 @@ def keyed_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def columns_of(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``, in its order; names may hold dots or back quotes."""
+    return df.select(*("`" + c.replace("`", "``") + "`" for c in like.columns))
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the column's text form, modulo; null where the column is null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

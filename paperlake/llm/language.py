@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, raw_texts, slices
+from .common import columns_of, crc_mod, documents, raw_texts, slices
 
 DIMENSIONS = 1024
 SEED = 20_240_517
@@ -178,7 +178,7 @@ def keep_known_language(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFr
     Rows without doc_id cannot be judged by id and go only if their text is null.
     """
     known = identify(docs).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("doc_id").distinct()
-    kept = docs.join(known, "doc_id", "left_semi").select(*docs.columns)
+    kept = columns_of(docs.join(known, "doc_id", "left_semi"), docs)
     return kept.union(docs.where("doc_id IS NULL AND text IS NOT NULL"))
 
 

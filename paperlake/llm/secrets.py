@@ -265,15 +265,16 @@ def redacted(raw: bytes, rules: tuple[Rule, ...] = RULES, mask: bytes = b"[SECRE
 
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All rows and columns of ``docs`` with secrets masked in text and n_chars brought up to date."""
+    """All rows and columns of ``docs`` with secrets masked in text and n_chars brought up to date.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            texts = [None if raw is None else redacted(raw, rules).decode("utf-8") for raw in raw_texts(part)]
-            i = part.schema.get_field_index("text")
-            yield part.set_column(i, part.schema.field(i), pa.array(texts, part.schema.field(i).type))
+    Only the text meets Python. Null texts stay null and keep their n_chars.
+    """
+
+    @F.arrow_udf("string")
+    def masked(texts: pa.Array) -> pa.Array:
+        return pa.array([None if raw is None else redacted(raw, rules).decode("utf-8") for raw in texts.cast(pa.binary()).to_pylist()], pa.string())
 
-    done = docs.mapInArrow(run, docs.schema)
+    done = docs.withColumn("text", masked(F.col("text").cast("string")))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return done

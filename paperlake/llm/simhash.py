@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, documents, keyed_text, raw_texts, slices
+from .common import checkpointed, columns_of, connected_components, documents, keyed_text, raw_texts, slices
 
 MAX_BITS = 3
 LANES = 0x5555555555555555
@@ -208,7 +208,7 @@ def drop_near_duplicates(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:
     """
     groups = simhash_groups(docs, most)
     keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = columns_of(docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]), docs)
     return kept.union(docs.where("doc_id IS NULL"))
 
 
