@@ -1,13 +1,17 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items (in segments of at most ``SEGMENT`` words) are the queries, windows of
-document words are the passages. Passages and segments are TF-IDF vectors over the terms
-of the benchmark (damped term frequency, square root); a passage's norm also counts its
-other words, at the largest weight. The latent space is a randomised SVD (Halko,
-Martinsson and Tropp 2011) of passages and segments together: tasks add up their part of
-A'(A Q), a matrix of benchmark terms by rank, and only that sum reaches the driver, which
-orthonormalises it. Passages whose cosine with a segment in that space is large enough are
-candidates; the longest common subsequence of their words and an answer check settle them.
+Benchmark items (in segments of at most ``SEGMENT`` words) are the queries, overlapping
+windows of document words are the passages. Passages and segments are TF-IDF vectors over
+the terms of the benchmark (damped term frequency, square root); a passage's norm also counts
+its other words, at the largest weight. The latent space is a randomised SVD (Halko,
+Martinsson and Tropp 2011) of segments and of all documents in passages that do not overlap,
+so that each word counts once: tasks add up their part of A'(A Q), a matrix of benchmark
+terms by rank, and only that sum reaches the driver, which orthonormalises it. Passages whose
+cosine with a segment in that space is large enough are candidates; the longest common
+subsequence of their words and an answer check settle them.
+
+Words are numbered by benchmark term once, and that is what is checkpointed: words outside the
+benchmark can neither weigh in a vector's entries nor be common to a segment.
 
 A projection never lengthens a vector, so the cosine cannot exceed the share of the
 passage's norm that lies on benchmark terms: windows below the limit are left out before
@@ -24,14 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, keyed_text, raw_texts, slices
+from .common import checkpointed, columns_of, documents, keyed_text, raw_texts, slices
 
 #: Window lengths in words and their strides: the short ones suit items of few words.
 WINDOWS = ((16, 4), (32, 8))
+#: Passages for the SVD, each word once.
+APART = ((32, 32),)
 MARGIN, SEGMENT = 64, 64
 #: Benchmark text handled at once; a larger benchmark is searched in blocks of this size.
 BLOCK_BYTES = 1 << 20
 RANK, OVERSAMPLING, POWER = 128, 8, 2
+TASKS_PER_CORE = 4
 #: Lower-case words without ASCII punctuation.
 PLAIN = bytes(ord(chr(b).lower()) if b < 128 and (chr(b).isalnum() or b in b" ") else 32 if b < 128 else b for b in range(256))
 
@@ -74,45 +81,60 @@ def segments_of(item_id: int, raw: bytes | None) -> list[Segment]:
 
 
 class Terms:
-    """Benchmark terms with their weights, and segments as sparse vectors."""
+    """Benchmark terms by number with their weights; number ``outside`` stands for any other word."""
 
     def __init__(self, segments: list[Segment]) -> None:
         self.segments = segments
         self.number = {w: i for i, w in enumerate(sorted({w for s in segments for w in s.words}))}
-        self.idf = np.ones(len(self.number) + 1)
+        self.outside = len(self.number)
+        self.kind = np.dtype("<u2" if self.outside < 1 << 16 else "<u4")
+        self.idf = np.ones(self.outside + 1)
 
     def weigh(self, frequency: np.ndarray, total: int) -> None:
         """Smoothed idf; the last entry is the weight of words outside the benchmark."""
         self.idf = np.log((total + 1) / (np.append(frequency, 0) + 1)) + 1
 
     def indices(self, words: list[bytes]) -> np.ndarray:
-        get, out = self.number.get, len(self.number)
-        return np.array([get(w, out) for w in words], np.int64)
-
-    def vector(self, indices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        terms, count = np.unique(indices[indices < len(self.number)], return_counts=True)
-        return terms, np.sqrt(count) * self.idf[terms]
-
-
-def longest_common(query: list[bytes], words: list[bytes]) -> int:
-    """Length of the longest common subsequence, by bit-parallel steps (Hyyroe 2004)."""
-    masks: dict[bytes, int] = {}
-    for i, w in enumerate(query):
-        masks[w] = masks.get(w, 0) | 1 << i
-    full = (1 << len(query)) - 1
-    row = full
-    for w in words:
-        match = masks.get(w, 0)
-        if match:
-            u = row & match
-            row = ((row + u) | (row - u)) & full
-    return len(query) - row.bit_count()
-
-
-def windows_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+        get, out = self.number.get, self.outside
+        return np.array([get(w, out) for w in words], self.kind)
+
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Terms and weights of each segment, of unit length."""
+        found = []
+        for s in self.segments:
+            terms, count = np.unique(self.indices(s.words), return_counts=True)
+            weight = np.sqrt(count) * self.idf[terms]
+            found.append((terms, weight / np.linalg.norm(weight)))
+        return found
+
+
+class Common:
+    """Longest common subsequence with one sequence, by bit-parallel steps (Hyyroe 2004)."""
+
+    def __init__(self, query: list) -> None:
+        self.size = len(query)
+        self.masks: dict = {}
+        for i, w in enumerate(query):
+            self.masks[w] = self.masks.get(w, 0) | 1 << i
+
+    def length(self, words: list) -> int:
+        full = (1 << self.size) - 1
+        row = full
+        for match in map(self.masks.get, words):
+            if match:
+                u = row & match
+                row = ((row + u) | (row - u)) & full
+        return self.size - row.bit_count()
+
+
+def longest_common(query: list, words: list) -> int:
+    return Common(query).length(words)
+
+
+def windows_of(n: int, windows: tuple[tuple[int, int], ...] = WINDOWS) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the windows of n words; the last of each length ends with the text."""
     starts, ends = [], []
-    for length, stride in WINDOWS:
+    for length, stride in windows:
         at = np.append(np.arange(0, n - length, stride), n - length) if n > length else np.zeros(1, np.int64)
         starts.append(at)
         ends.append(np.minimum(at + length, n))
@@ -121,113 +143,150 @@ def windows_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(starts), np.concatenate(ends)
 
 
-def term_frequencies(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
-    """Documents that hold each benchmark term, and their number."""
-    size = len(terms.number)
+INDEXED = "doc_id long, terms binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(size + 1, np.int64)
-        for part in slices(batches):
-            for raw in raw_texts(part):
-                count[np.unique(terms.indices(words_of(raw)))] += 1
-        used = np.flatnonzero(count[:size])
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(count[used])], ["term", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = np.zeros(size, np.int64)
-    for r in rows:
-        found[r.term] = r.n
-    return found, docs.count()
 
+def indexed(docs: DataFrame, terms: Terms) -> DataFrame:
+    """Whole texts as term numbers; documents without a benchmark term have nothing to find."""
 
-PASSAGES = "doc_id long, start int, terms array<int>, weights array<float>, norm float, words binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            found = [terms.indices(words_of(raw)) for raw in raw_texts(part)]
+            some = np.array([len(x) > 0 and int(x.min()) < terms.outside for x in found])
+            data = pa.array([x.tobytes() if k else None for x, k in zip(found, some, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), data], ["doc_id", "terms"]).filter(pa.array(some))
 
+    return docs.mapInArrow(run, INDEXED)
 
-def passages(docs: DataFrame, terms: Terms, limits: Limits) -> DataFrame:
-    """Windows that may reach the least cosine, with the words around them."""
-    square = terms.idf**2
-    outside = len(terms.number)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            rows = []
-            for doc_id, raw in zip(part.column("doc_id").to_pylist(), raw_texts(part), strict=True):
-                words = words_of(raw)
-                if not words:
-                    continue
-                index = terms.indices(words)
-                weight = square[index]
-                whole = np.concatenate(([0.0], np.cumsum(weight)))
-                inside = np.concatenate(([0.0], np.cumsum(np.where(index < outside, weight, 0.0))))
-                starts, ends = windows_of(len(words))
-                norm, own = whole[ends] - whole[starts], inside[ends] - inside[starts]
-                for k in np.flatnonzero((own > 0) & (own >= limits.cosine**2 * norm)):
-                    a, b = int(starts[k]), int(ends[k])
-                    t, w = terms.vector(index[a:b])
-                    near = words[max(0, a - MARGIN) : b + MARGIN]
-                    rows.append((doc_id, a, t.astype(np.int32), w.astype(np.float32), float(np.sqrt(norm[k])), b" ".join(near)))
-            if rows:
-                types = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.float32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "start", "terms", "weights", "norm", "words"])
-
-    return docs.mapInArrow(run, PASSAGES)
-
-
-def sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, term and weight (rows scaled to unit norm) of every entry."""
-    lengths = np.diff(batch.column("terms").offsets.to_numpy())
-    row = np.repeat(np.arange(batch.num_rows), lengths)
-    weight = batch.column("weights").flatten().to_numpy() / batch.column("norm").to_numpy()[row]
-    return row, batch.column("terms").flatten().to_numpy(), weight
-
-
-def projected(row: np.ndarray, term: np.ndarray, weight: np.ndarray, count: int, basis: np.ndarray) -> np.ndarray:
-    """Rows times basis; every row has at least one entry, in order."""
-    first = np.searchsorted(row, np.arange(count))
-    return np.add.reduceat(basis[term] * weight[:, None], first, axis=0)
-
-
-def times_gram(found: DataFrame, basis: np.ndarray) -> np.ndarray:
-    """A'(A basis) over all passages: each task sends one sum per term it has met."""
+def term_frequencies(found: DataFrame, terms: Terms) -> np.ndarray:
+    """Documents that hold each benchmark term: one sum a term reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(basis.shape)
+        count = np.zeros(terms.outside + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                row, term, weight = sparse(part)
-                np.add.at(total, term, projected(row, term, weight, part.num_rows, basis)[row] * weight[:, None])
-        used = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(list(total[used]), pa.list_(pa.float64()))], ["term", "sums"])
-
-    parts = found.select("terms", "weights", "norm").mapInArrow(run, "term int, sums array<double>")
-    rows = parts.select("term", F.posexplode("sums").alias("k", "x")).groupBy("term", "k").agg(F.sum("x").alias("x"))
-    out = np.zeros(basis.shape)
-    for r in rows.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).getField("x").alias("x")).collect():
-        out[r.term] = r.x
+            for raw in batch.column("terms").to_pylist():
+                count[np.unique(np.frombuffer(raw, terms.kind))] += 1
+        used = np.flatnonzero(count[: terms.outside])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(count[used])], ["term", "n"])
+
+    out = np.zeros(terms.outside, np.int64)
+    for r in found.select("terms").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        out[r.term] = r.n
     return out
 
 
-def latent_basis(found: DataFrame, terms: Terms, total: int, rank: int = RANK) -> np.ndarray:
-    """Terms by rank: leading right singular vectors of passages and segments.
+@dataclass
+class Passages:
+    """Windows of a slice of documents that may reach the least cosine."""
+
+    index: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    document: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    norm: np.ndarray
+
+    def vectors(self, terms: Terms, at_once: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(windows, terms, weights), one row a window: the k-th occurrence of a term adds sqrt(k) - sqrt(k - 1)."""
+        length = self.end - self.start
+        for low, high in zip((0, *(n for n, _ in WINDOWS)), (n for n, _ in WINDOWS)):
+            mine = np.flatnonzero((length > low) & (length <= high))
+            place = np.arange(high)
+            for i in range(0, len(mine), at_once):
+                rows = mine[i : i + at_once]
+                at = self.start[rows, None] + place
+                term = np.where(place < length[rows, None], self.index[np.minimum(at, len(self.index) - 1)], terms.outside)
+                term.sort(axis=1)
+                nth = np.zeros(term.shape, np.int64)
+                for k in range(1, high):
+                    nth[:, k] = np.where(term[:, k] == term[:, k - 1], nth[:, k - 1] + 1, 0)
+                weight = ROOTS[nth] * np.where(term < terms.outside, terms.idf[term], 0) / self.norm[rows, None]
+                yield rows, term, weight.astype(np.float32)
+
+
+ROOTS = np.sqrt(np.arange(1, 1 + max(n for n, _ in WINDOWS))) - np.sqrt(np.arange(max(n for n, _ in WINDOWS)))
+
+
+def passages(batches: Iterator[pa.RecordBatch], terms: Terms, limits: Limits, windows: tuple[tuple[int, int], ...] = WINDOWS) -> Iterator[tuple[Passages, pa.RecordBatch]]:
+    """Passages of each slice of indexed documents."""
+    square = terms.idf**2
+    for part in slices(batches, column="terms"):
+        texts = [np.frombuffer(raw, terms.kind) for raw in part.column("terms").to_pylist()]
+        if not texts:
+            continue
+        size = np.array([len(t) for t in texts])
+        last = np.cumsum(size)
+        index = np.concatenate(texts)
+        edges = [windows_of(n, windows) for n in size.tolist()]
+        document = np.repeat(np.arange(len(texts)), [len(a) for a, _ in edges])
+        offset = (last - size)[document]
+        start, end = (np.concatenate([e[k] for e in edges]) + offset for k in (0, 1))
+        weight = square[index]
+        whole = np.concatenate(([0.0], np.cumsum(weight)))
+        inside = np.concatenate(([0.0], np.cumsum(np.where(index < terms.outside, weight, 0.0))))
+        norm, own = whole[end] - whole[start], inside[end] - inside[start]
+        k = np.flatnonzero((own > 1e-9 * norm) & (own >= limits.cosine**2 * norm))
+        yield Passages(index, last - size, last, document[k], start[k], end[k], np.sqrt(norm[k])), part
+
+
+def projected(term: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Rows of terms and weights times a basis whose last row (other words) is zero."""
+    return (weight[:, None, :] @ basis[term])[:, 0, :]
+
+
+def times_gram(found: DataFrame, terms: Terms, limits: Limits, basis: np.ndarray) -> tuple[np.ndarray, int]:
+    """A'(A basis) over all passages without overlap, and their number.
+
+    Each task sends one row of sums a term it has met, so neighbouring partitions are read by
+    one task where there are many more of them than cores: the sums follow the cluster's size
+    and not the corpus.
+    """
+    width = basis.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((terms.outside + 1, width))
+        count = 0
+        for part, _ in passages(batches, terms, limits, APART):
+            for rows, term, weight in part.vectors(terms):
+                used, place = np.unique(term, return_inverse=True)
+                cell = np.arange(len(rows))[:, None] * len(used) + place.reshape(term.shape)
+                dense = np.bincount(cell.ravel(), weight.ravel(), len(rows) * len(used)).reshape(len(rows), -1).astype(np.float32)
+                own = used < terms.outside
+                used, dense = used[own], dense[:, own]
+                total[used] += dense.T @ (dense @ basis[used].astype(np.float32))
+                count += len(rows)
+        used = np.flatnonzero(total[: terms.outside].any(axis=1))
+        sums = np.vstack([total[used], np.full(width, float(count))]).astype(np.float32)
+        lists = pa.ListArray.from_arrays(np.arange(0, sums.size + 1, width, dtype=np.int32), sums.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array([*used, terms.outside], pa.int32()), lists], ["term", "sums"])
+
+    tasks = TASKS_PER_CORE * found.sparkSession.sparkContext.defaultParallelism
+    rows = found.select("terms").coalesce(tasks).mapInArrow(run, "term int, sums array<float>")
+    out = np.zeros((terms.outside + 1, width))
+    for term, *sums in rows.groupBy("term").agg(*(F.sum(F.col("sums")[k]) for k in range(width))).collect():
+        out[term] = sums
+    return out[: terms.outside], round(out[terms.outside, 0])
+
+
+def latent_basis(found: DataFrame, terms: Terms, limits: Limits, rank: int = RANK) -> np.ndarray:
+    """Terms by rank: leading right singular vectors of passages and segments; the last row (other words) is zero.
 
     Segments weigh as much in total as passages do, so that their directions are kept.
     """
-    size = len(terms.number)
-    width = min(size, rank + OVERSAMPLING)
-    own = []
-    for s in terms.segments:
-        t, w = terms.vector(terms.indices(s.words))
-        own.append((t, w / np.linalg.norm(w)))
-    share = max(1.0, total / len(own))
-    basis = np.linalg.qr(np.random.default_rng(17).standard_normal((size, width)))[0]
+    size = terms.outside
+    own = terms.vectors()
+    basis = np.linalg.qr(np.random.default_rng(17).standard_normal((size, min(size, rank + OVERSAMPLING))))[0]
     for step in range(POWER + 1):
-        image = times_gram(found, basis)
+        image, total = times_gram(found, terms, limits, basis)
+        share = max(1.0, total / len(own))
         for t, w in own:
             image[t] += share * np.outer(w, w @ basis[t])
         if step == POWER:
             values, vectors = np.linalg.eigh(basis.T @ image)
-            return (basis @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
+            best = basis @ vectors[:, np.argsort(-values)[:rank]]
+            return np.vstack([best, np.zeros(best.shape[1])]).astype(np.float32)
         basis = np.linalg.qr(image)[0]
     raise AssertionError
 
@@ -237,31 +296,30 @@ FOUND = "doc_id long, item_id long, start int, cosine double, common_share doubl
 
 def matches(found: DataFrame, terms: Terms, basis: np.ndarray, limits: Limits) -> DataFrame:
     """Candidates by cosine in the latent space, verified on their words."""
-    queries = []
-    for s in terms.segments:
-        t, w = terms.vector(terms.indices(s.words))
-        queries.append(w @ basis[t])
-    queries = np.array(queries, np.float32)
+    queries = np.array([w @ basis[t] for t, w in terms.vectors()], np.float32)
     queries /= np.maximum(1e-9, np.linalg.norm(queries, axis=1, keepdims=True))
+    sought = [(s.item_id, Common(terms.indices(s.words).tolist()), Common(terms.indices(s.answer).tolist())) for s in terms.segments]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                latent = projected(*sparse(part), part.num_rows, basis)
-                cosine = latent @ queries.T
+        for p, part in passages(batches, terms, limits):
+            out = []
+            ids = part.column("doc_id").to_pylist()
+            for rows, term, weight in p.vectors(terms):
+                cosine = projected(term, weight, basis) @ queries.T
                 for i, k in zip(*np.nonzero(cosine >= limits.cosine), strict=True):
-                    segment, words = terms.segments[k], part.column("words")[i].as_py().split()
-                    common = longest_common(segment.words, words) / len(segment.words)
+                    row = rows[i]
+                    d = p.document[row]
+                    item_id, whole, answer = sought[k]
+                    near = p.index[max(p.first[d], p.start[row] - MARGIN) : min(p.last[d], p.end[row] + MARGIN)].tolist()
+                    common = whole.length(near) / whole.size
                     if common < limits.common:
                         continue
-                    answer = longest_common(segment.answer, words) / len(segment.answer)
-                    if common >= limits.certain or answer >= limits.answer:
-                        rows.append((part.column("doc_id")[i].as_py(), segment.item_id, part.column("start")[i].as_py(), float(cosine[i, k]), common, answer))
-            if rows:
+                    answered = answer.length(near) / answer.size
+                    if common >= limits.certain or answered >= limits.answer:
+                        out.append((ids[d], item_id, int(p.start[row] - p.first[d]), float(cosine[i, k]), common, answered))
+            if out:
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
 
     return found.mapInArrow(run, FOUND)
 
@@ -279,17 +337,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = max(1, -(-size // block_bytes))
+    total = docs.count()
     out = docs.sparkSession.createDataFrame([], FOUND)
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         terms = Terms([s for r in part for s in segments_of(r.item_id, r.text.encode())])
         if not terms.segments:
             continue
-        terms.weigh(*term_frequencies(docs, terms))
-        found = checkpointed(passages(docs, terms, limits))
-        total = found.count()
-        if total:
-            out = out.union(matches(found, terms, latent_basis(found, terms, total), limits))
+        found = checkpointed(indexed(docs, terms))
+        terms.weigh(term_frequencies(found, terms), total)
+        out = out.union(matches(found, terms, latent_basis(found, terms, limits), limits))
     best = F.max_by("start", F.struct("common_share", "cosine", -F.col("start"))).alias("start_word")
     return out.groupBy("doc_id", "item_id").agg(best, *(F.max(c).alias(c) for c in ("cosine", "common_share", "answer_share")))
 
@@ -297,7 +354,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All columns of the documents that hold no benchmark item (a null doc_id always stays)."""
     leaks = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return columns_of(docs.join(leaks, "doc_id", "left_anti"), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,29 +53,51 @@ def test_recall_of_the_latent_search(spark, docs):
     rows, items, _ = corpus(4)
     limits = dc.Limits()
     terms = dc.Terms([s for i, t in items for s in dc.segments_of(i, t.encode())])
-    df = docs(rows)
-    terms.weigh(*dc.term_frequencies(df, terms))
-    found = dc.passages(df, terms, limits)
-    basis = dc.latent_basis(found, terms, found.count(), 128)
+    found = dc.indexed(docs(rows), terms)
+    terms.weigh(dc.term_frequencies(found, terms), len(rows))
+    basis = dc.latent_basis(found, terms, limits, 128)
     hits = total = 0
-    queries = []
-    for s in terms.segments:
-        t, w = terms.vector(terms.indices(s.words))
-        full = np.zeros(len(terms.number))
-        full[t] = w
-        queries.append(full / np.linalg.norm(full))
-    queries = np.array(queries)
-    latent = queries @ basis
+    queries = np.zeros((len(terms.segments), len(terms.number)))
+    for q, (t, w) in zip(queries, terms.vectors()):
+        q[t] = w
+    latent = queries @ basis[:-1]
     latent /= np.linalg.norm(latent, axis=1, keepdims=True)
-    for r in found.collect():
-        x = np.zeros(len(terms.number))
-        x[r.terms] = np.array(r.weights) / r.norm
-        plain = queries @ x >= 0.5
-        total += plain.sum()
-        hits += (plain & (latent @ (x @ basis) >= limits.cosine)).sum()
+    for _, text in rows:
+        words = dc.words_of(text.encode())
+        for a, b in zip(*dc.windows_of(len(words))):
+            tf = np.bincount(terms.indices(words[a:b]).astype(int), minlength=len(terms.idf))
+            x = (np.sqrt(tf) * terms.idf / np.sqrt(np.sum(tf * terms.idf**2)))[:-1]
+            plain = queries @ x >= 0.5
+            total += plain.sum()
+            hits += (plain & (latent @ (x @ basis[:-1]) >= limits.cosine)).sum()
     assert total > 50 and hits >= 0.9 * total
 
 
+def test_window_vectors_equal_plain_ones(docs):
+    rows, items, _ = corpus(5)
+    limits = dc.Limits()
+    terms = dc.Terms([s for i, t in items for s in dc.segments_of(i, t.encode())])
+    rows += [(300, " ".join(["the", "of"] * 9)), (301, items[0][1].split()[0]), (302, "zz " * 50)]
+    texts = {i: dc.words_of(t.encode()) for i, t in rows}
+    table = dc.indexed(docs(rows), terms).toArrow()
+    seen = 0
+    for p, part in dc.passages(iter(table.combine_chunks().to_batches()), terms, limits):
+        ids = part.column("doc_id").to_pylist()
+        vectors = {}
+        for found, term, weight in p.vectors(terms):
+            for r, t, w in zip(found, term, weight):
+                vectors[ids[p.document[r]], int(p.start[r] - p.first[p.document[r]]), int(p.end[r] - p.start[r])] = np.bincount(t, w, len(terms.idf))[:-1]
+        seen += len(vectors)
+        for i in ids:
+            for a, b in zip(*dc.windows_of(len(texts[i]))):
+                tf = np.bincount(terms.indices(texts[i][a:b]).astype(int), minlength=len(terms.idf))
+                norm = np.sum(tf * terms.idf**2)
+                share = np.sum((tf * terms.idf**2)[:-1]) / norm
+                if share > limits.cosine**2 + 1e-9:
+                    assert np.allclose(vectors[i, a, b - a], (np.sqrt(tf) * terms.idf / np.sqrt(norm))[:-1], atol=1e-6)
+    assert seen > 100
+
+
 def test_empty_and_clashing(spark, docs):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
     assert dc.contaminated(docs([]), bench).count() == 0
