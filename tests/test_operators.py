@@ -177,3 +177,42 @@ def test_params():
         with pytest.raises(ValueError):
             bad()
     assert P.CitationParams("10.1088/0004-637X/1234/5678").rows == 20
+
+
+def test_graph_and_library_views(spark):
+    near = spark.createDataFrame([("p1", "One", "A", 2020, "2001.1"), ("p2", None, None, None, None)], "id string, title string, author string, year int, arxiv_id string")
+    paper = spark.createDataFrame([("T", 2019)], "title string, year int")
+    text = render.graph_view("x", paper, near, near.limit(0), [F.asc("id")]).first().text
+    assert text.startswith("# Citation Graph for arXiv:x\n\n**Title:** T\n\n**Year:** 2019\n\n**Citations returned:** 2\n\n**References returned:** 0\n\n## Citing papers (2)\n\n1. **One**\n   - A (2020)\n   - arXiv: `2001.1`\n")
+    assert "2. **Untitled**\n   - Unknown\n   - Semantic Scholar: `p2`\n\n" in text and text.endswith("## Referenced papers (0)\n\nNo papers returned.\n\n")
+    assert "**Title:** Untitled" in render.graph_view("x", paper.limit(0), near, near, [F.asc("id")]).first().text
+    many = spark.range(30).select(F.lpad(F.col("id").cast("string"), 2, "0").alias("id"), F.lit("t").alias("title"), F.lit("a").alias("author"), F.lit(1).alias("year"))
+    text = render.graph_list(many, [F.asc("id")], "Citing papers").first().text
+    assert "25. **t**" in text and "26. **t**" not in text and "_Showing 25 of 30 returned papers._" in text
+
+    columns = "id string, name string, description string, num_documents int, permission string, public boolean, owner string, date_last_modified string, papers array<string>"
+    libraries = spark.createDataFrame([("L1", "Mine", "about", 2, "owner", True, "me", "2024-05-06T07:08", ["b1", "b2"]), ("L2", "Other", None, 0, "read", False, "you", "2024-01-02", None)], columns)
+    one, two = (r.t for r in libraries.orderBy("id").select(render.library_detail("papers").alias("t")).collect())
+    assert one == "# Mine\n\n- **ID:** `L1`\n- **Description:** about\n- **Papers:** 2  |  **Permission:** owner  |  **Public:** Yes\n- **Owner:** me\n\n## Papers (2)\n\n1. `b1`\n2. `b2`\n"
+    assert "Description" not in two and two.endswith("- **Owner:** you\n\n")
+    text = render.library_list(libraries, [F.asc("id")]).first().text
+    assert text.startswith("# Libraries (2)\n\n## Mine\n") and "- **Owner:** me  |  **Modified:** 2024-05-06\n\n" in text
+    assert render.library_list(libraries.limit(0), [F.asc("id")]).first().text == "No libraries found."
+
+
+def test_metrics_view_sections(spark):
+    row = spark.createDataFrame([(5, 6, 2, 1.5, None, 30, 20, 2.25, 3.0, None, 4, None, None)], "h int, g int, i10 int, m double, tori double, total_citations int, refereed_citations int, mean_citations double, median_citations double, self_citations int, papers int, reads int, mean_reads double")
+    text = row.select(render.metrics_view(F.lit("4")).alias("t")).first().t
+    assert "- **m-index:** 1.50\n\n## Citation Statistics" in text and "tori" not in text and "- **Median:** 3\n- **Self-citations:** 0\n" in text and text.endswith("- **Total reads:** 0\n\n")
+    assert row.select(render.metrics_view(F.lit("4"), citations=False, basic=False).alias("t")).first().t.endswith("- **m-index:** 1.50\n\n")
+
+
+def test_documentation_index(spark, tmp_path):
+    import json
+
+    from paperlake.sources.tables import doc_index
+
+    rows = [{"id": "a", "title": "Alpha", "content": "beta gamma", "source_file": "a.md", "char_count": 3, "unknown": 1}, {"id": "b", "title": "404", "content": "x"}, {"id": "whats-new", "title": "N", "content": "x"}]
+    (tmp_path / "docs.json").write_text(json.dumps(rows))
+    found = search.search(search.clean_chunks(doc_index(spark, str(tmp_path / "docs.json"))), "gamma", 5).collect()
+    assert [(r.id, r.score, r.char_count) for r in found] == [("a", 7, 10)]
