@@ -101,16 +101,17 @@ def full_text_view(offset: int = 0, max_chars: int = 12_000) -> Column:
     return F.concat(preprint_head(), part("Published", F.substring("published", 1, 10)), preprint_links(), F.lit("## Abstract\n\n"), "abstract", F.lit("\n\n## Full text\n\n"), text, F.lit("\n\n"))
 
 
-def folded(rows: DataFrame, order: list[Column], head: Column, item: Column, empty: str, show: int | None = None) -> DataFrame:
+def folded(rows: DataFrame, order: list[Column], head: Column, item: Column, empty: str, show: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """One row with column ``text``: a heading, then the numbered items of a page in order.
 
     ``head`` and ``empty`` may use ``n``, the number of rows; ``item`` may use ``i``, from 1.
+    With ``by``, one such row for each of its values, in place of one in all.
     """
-    numbered = rows.withColumn("i", F.row_number().over(Window.orderBy(*order)))
+    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     line = F.when(F.col("i") <= show, item) if show else item
-    body = numbered.select("i", line.alias("line")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "").alias("body"))
+    body = numbered.select(*by, "i", line.alias("line")).groupBy(*by).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "").alias("body"))
     more = F.when(F.col("n") > show, F.concat(F.lit(f"_Showing {show} of "), "n", F.lit(" returned papers._\n\n"))).otherwise("") if show else F.lit("")
-    return body.select(F.when(F.col("n") == 0, F.lit(empty)).otherwise(F.concat(head, "body", more)).alias("text"))
+    return body.select(*by, F.when(F.col("n") == 0, F.lit(empty)).otherwise(F.concat(head, "body", more)).alias("text"))
 
 
 def paper_list(page: DataFrame, order: list[Column], total: Column, heading: str = "Search Results") -> DataFrame:
@@ -199,11 +200,11 @@ def library_facts() -> list[Column]:
     return [F.lit("- **ID:** `"), F.col("id"), F.lit("`\n"), about, library_line(("Papers", F.col("num_documents").cast("string")), ("Permission", F.col("permission")), ("Public", public))]
 
 
-def library_list(page: DataFrame, order: list[Column]) -> DataFrame:
-    """Libraries with their facts, owner and day of the last change."""
+def library_list(page: DataFrame, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """Libraries (of each user, say) with their facts, owner and day of the last change."""
     changed = F.substring(F.col("date_last_modified").cast("string"), 1, 10)
     item = F.concat(F.lit("## "), "name", F.lit("\n"), *library_facts(), library_line(("Owner", F.col("owner")), ("Modified", changed)), F.lit("\n"))
-    return folded(page, order, F.concat(F.lit("# Libraries ("), "n", F.lit(")\n\n")), item, "No libraries found.")
+    return folded(page, order, F.concat(F.lit("# Libraries ("), "n", F.lit(")\n\n")), item, "No libraries found.", by=by)
 
 
 def library_detail(papers: str | None = None) -> Column:

@@ -88,7 +88,7 @@ def tex_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def atom_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feeds of documents, written and parsed again."""
     d = table(spark, sf_dir, "documents")
-    entry = atom.render_entry(F.concat(F.lit("2001."), F.lpad(F.col("doc_id").cast("string"), 5, "0")), F.regexp_extract("text", "^([^\n]*)", 1), F.col("source"), F.substring("text", 1, 200), F.lit("2024-01-15T00:00:00Z"), F.col("lang"))
+    entry = atom.render_entry(F.concat(F.lit("2001."), F.lpad(F.col("doc_id").cast("string"), 5, "0")), F.regexp_extract("text", "^([^\n]*)", 1), F.col("source"), F.col("text"), F.lit("2024-01-15T00:00:00Z"), F.col("lang"))
     feeds = d.select(F.concat(F.lit("<feed><id>http://arxiv.org/api/x</id>"), entry, F.lit("</feed>")).alias("xml"))
     return atom.parse_feeds(feeds).select("id", "title", F.array_join("authors", ";").alias("authors"), "abstract", "published", F.array_join("categories", ";").alias("categories"), "doi", "pdf_url")
 
@@ -124,6 +124,6 @@ SQL = {
         joined AS (SELECT doc_id AS id, text, CASE WHEN {GATE.replace("length(t) >= 3000", "length(t) >= greatest(6 * length(text), 3000)")} THEN t END AS html FROM documents LEFT JOIN whole ON page_id = doc_id)
         SELECT id, CASE WHEN html IS NOT NULL THEN 'html' WHEN id % 3 = 0 THEN 'tex' WHEN id % 14 = 0 THEN 'pdf' ELSE 'abstract' END AS source, CASE WHEN html IS NULL AND id % 3 = 0 THEN 'main.tex' END AS source_name,
         md5(CASE WHEN html IS NOT NULL THEN html WHEN id % 3 = 0 THEN 'tex of ' || id WHEN id % 14 = 0 THEN 'pdf' ELSE text END) AS content_md5 FROM joined""",
-    "atom_roundtrip": r"""SELECT '2001.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS id, trim(regexp_replace(regexp_extract(text, '^([^\n]*)', 1), '\s+', ' ', 'g')) AS title, source AS authors, trim(regexp_replace(substr(text, 1, 200), '\s+', ' ', 'g')) AS abstract,
+    "atom_roundtrip": r"""SELECT '2001.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS id, trim(regexp_replace(regexp_extract(text, '^([^\n]*)', 1), '\s+', ' ', 'g')) AS title, source AS authors, trim(regexp_replace(text, '\s+', ' ', 'g')) AS abstract,
         '2024-01-15T00:00:00Z' AS published, lang AS categories, CAST(NULL AS VARCHAR) AS doi, 'https://arxiv.org/pdf/2001.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS pdf_url FROM documents""",
 }

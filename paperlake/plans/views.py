@@ -67,7 +67,8 @@ def libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def render_library_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.library_list(libraries(spark, sf_dir).where("permission = 'owner'").orderBy("library_id").limit(50), [F.asc("library_id")])
+    """One list for each user who owns libraries."""
+    return render.library_list(libraries(spark, sf_dir).where("permission = 'owner'"), [F.asc("library_id")], by=("owner",))
 
 
 def render_library_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +90,9 @@ def render_graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entities_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document heads, each character of one fixed word as a numeric reference."""
-    escaped = F.concat(F.lit("&#72;&#x69;&#8212;&#x1F600; &copy; &amp;lt; "), F.replace(F.substring("text", 1, 80), F.lit("e"), F.lit("&#101;")))
-    return table(spark, sf_dir, "documents").select("doc_id", T.decode_entities(escaped).alias("text"))
+    """Whole documents behind a fixed head, line breaks as numeric references."""
+    escaped = F.concat(F.lit("&#72;&#x69;&#8212;&#x1F600; &copy; &amp;lt; "), F.replace("text", F.lit("\n"), F.lit("&#10;")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.decode_entities(escaped).cast("binary")).alias("text_md5"))
 
 
 QUERIES = {
@@ -148,8 +149,8 @@ SQL = {
         SELECT id, md5({HEAD} || '**Published:** ' || published || {PARA} || {LINKS} || {ABSTRACT} || '## Full text' || {PARA} || CASE WHEN t <> '' THEN {window_sql('t')} ELSE '_No text could be extracted from the PDF._' END || {PARA}) AS text_md5 FROM preprints JOIN d USING (key)""",
     "render_docs_list": f"""WITH best AS ({top_sql(SEARCH)}), numbered AS (SELECT best.*, lang, row_number() OVER (ORDER BY score DESC, char_count DESC, doc_id) AS i FROM best JOIN documents ON doc_id = CAST(id AS BIGINT))
         SELECT '# SciX Docs Search Results' || {PARA} || 'Found **' || count(*) || '** result(s) for **{SEARCH.query}**' || {PARA} || string_agg({DOC_ITEM}, '' ORDER BY i) AS text FROM numbered""",
-    "render_library_list": f"""WITH {LIBRARIES}, page AS (SELECT * FROM libraries WHERE permission = 'owner' ORDER BY library_id LIMIT 50)
-        SELECT '# Libraries (' || count(*) || ')' || {PARA} || string_agg('## Library ' || library_id || {NL} || {FACTS} || '  |  **Modified:** ' || strftime(date_last_modified, '%Y-%m-%d') || {PARA}, '' ORDER BY library_id) AS text FROM page""",
+    "render_library_list": f"""WITH {LIBRARIES}, page AS (SELECT * FROM libraries WHERE permission = 'owner')
+        SELECT 'user' || library_id % 7 AS owner, '# Libraries (' || count(*) || ')' || {PARA} || string_agg('## Library ' || library_id || {NL} || {FACTS} || '  |  **Modified:** ' || strftime(date_last_modified, '%Y-%m-%d') || {PARA}, '' ORDER BY library_id) AS text FROM page GROUP BY 1""",
     "render_library_detail": f"WITH {LIBRARIES} SELECT library_id, md5('# Library ' || library_id || {PARA} || {FACTS} || {PARA} || papers) AS text_md5 FROM libraries",
     "render_note": f"""WITH notes AS (SELECT library_id, doc_id, content, ts FROM (SELECT *, row_number() OVER (PARTITION BY library_id, doc_id ORDER BY ts DESC, event_id DESC) AS r
         FROM (SELECT user_id AS library_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS doc_id, event_type, round(value, 6) AS content, ts, event_id FROM events) WHERE (event_type = 'purchase' AND content IS NOT NULL) OR event_type = 'signup') WHERE r = 1 AND event_type = 'purchase')
@@ -157,5 +158,5 @@ SQL = {
     "render_graph_view": f"""WITH {EGO}, numbered AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY id) AS i FROM ego)
         SELECT '# Citation Graph for arXiv:{SEED_PART}' || {PARA} || '**Title:** ' || coalesce((SELECT p_name FROM part WHERE p_partkey = {SEED_PART}), 'Untitled') || {PARA} || '**Citations returned:** ' || (SELECT count(*) FROM ego WHERE direction = 'citation') || {PARA}
         || '**References returned:** ' || (SELECT count(*) FROM ego WHERE direction = 'reference') || {PARA} || {neighbours_sql('citation', 'Citing papers')} || {neighbours_sql('reference', 'Referenced papers')} AS text""",
-    "entities_decode": "SELECT doc_id, 'Hi' || chr(8212) || chr(128512) || ' &copy; &lt; ' || substr(text, 1, 80) AS text FROM documents",
+    "entities_decode": "SELECT doc_id, md5('Hi' || chr(8212) || chr(128512) || ' &copy; &lt; ' || text) AS text_md5 FROM documents",
 }
