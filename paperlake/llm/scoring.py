@@ -11,25 +11,31 @@ log10 P(w | a); where there is none, the failure arc of ``a`` leads to the root
 log10 K / (c(a) + K), and the root's arc for ``w`` has weight log10 P(w). A text is read
 once from left to right; the state carried is the last word's (the root, if unseen).
 
-Neither the counts nor the automaton fit into one task, so documents are dealt into blocks
-by hash. A block asks for its distinct n-grams only: sorted 64-bit hashes, cut into ranges
-(buckets) and stored as differences. Each bucket adds up the training counts over all
-blocks and answers every block in the order in which it asked. With the answers a block
-holds exactly the part of the automaton that its texts can reach. The hashes are 64 bits
+Neither the counts nor the automaton fit into one task, so documents are gathered into blocks
+of bounded size where they are read, packed and checkpointed; nothing is dealt by a key. A
+block asks for its distinct n-grams only: sorted 64-bit hashes, cut into ranges (buckets) and
+stored as differences. There are as many buckets as blocks, so a bucket's part stays of one
+size as the corpus grows; a block that has fewer n-grams than there are buckets asks one row
+an n-gram at most, which is what a plain join on n-grams would shuffle. Each bucket adds up
+the training counts over all blocks and answers every block in the order in which it asked.
+With the answers a block holds exactly the part of the automaton that its texts can reach. The hashes are 64 bits
 wide: among a billion distinct n-grams, one chance in 37 of a single collision.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, crc_mod, documents, keyed_text, raw_texts
+from .common import checkpointed, crc_mod, documents, keyed_text, raw_texts, slices
 
 PRIOR = 1000.0
 BLOCK_BYTES = 8 << 20
@@ -94,34 +100,63 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
-def bucket_edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each range of hash values begins among sorted hashes."""
-    limits = [((k << 64) + buckets - 1) // buckets for k in range(1, buckets)]
-    return np.array([0, *np.searchsorted(hashes, np.array(limits, np.uint64)), len(hashes)])
+PACKED = "block long, documents binary"
 
 
-ASKED = "block int, bucket int, kind int, hashes binary, counts binary"
+def pack(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Whole documents gathered into blocks of about ``block_bytes`` of text, compressed; one longer text is a block of its own."""
+    partition, count, held, size = TaskContext.get().partitionId(), 0, [], 0
 
+    def packed_block() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for part in held:
+                out.write_batch(part)
+        row = [pa.array([partition << 33 | count], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(row, ["block", "documents"])
 
-def ask(table: pa.Table, buckets: int) -> pa.Table:
-    batch = table.combine_chunks().to_batches()[0]
-    block = Block(raw_texts(batch))
-    one, two, starts = block.counts(batch.column("training").to_numpy(zero_copy_only=False))
-    number = batch.column("block")[0].as_py()
-    rows = []
-    for kind, hashes, counts in ((1, block.words, one), (2, block.pairs, two)):
-        edges = bucket_edges(hashes, buckets)
-        for b in range(buckets):
-            part = slice(edges[b], edges[b + 1])
-            if edges[b] < edges[b + 1]:
-                gaps = np.diff(hashes[part], prepend=np.uint64(0))
-                rows.append((number, b, kind, packed(gaps), packed(counts[part])))
-    rows.append((number, 0, 0, b"", packed(np.array([starts]))))
-    return pa.table({n: pa.array(x, t) for (n, t), x in zip((("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())), zip(*rows, strict=True), strict=True)})
+    for part in slices(batches, block_bytes):
+        n = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+        if held and size + n > block_bytes:
+            yield packed_block()
+            count, held, size = count + 1, [], 0
+        held.append(part)
+        size += n
+    if held:
+        yield packed_block()
+
+
+def unpack(documents: bytes) -> pa.RecordBatch:
+    """All rows of a block: doc_id, text, training."""
+    return pa.ipc.open_stream(documents).read_all().combine_chunks().to_batches()[0]
+
+
+def bucket_runs(hashes: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
+    """Sorted hashes by range of value: the ranges (of ``buckets`` equal ones) that hold any, in order."""
+    number = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    found, first = np.unique(number, return_index=True)
+    edges = [*first.tolist(), len(hashes)]
+    return [(b, slice(*x)) for b, *x in zip(found.tolist(), edges, edges[1:])]
+
+
+ASKED = "block long, bucket int, kind int, hashes binary, counts binary"
+
+
+def ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    for row in (r for b in batches for r in b.to_pylist()):
+        batch = unpack(row["documents"])
+        block = Block(raw_texts(batch))
+        one, two, starts = block.counts(batch.column("training").to_numpy(zero_copy_only=False))
+        rows = [(row["block"], 0, 0, b"", packed(np.array([starts])))]
+        for kind, hashes, counts in ((1, block.words, one), (2, block.pairs, two)):
+            for b, part in bucket_runs(hashes, buckets):
+                rows.append((row["block"], b, kind, packed(np.diff(hashes[part], prepend=np.uint64(0))), packed(counts[part])))
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["block", "bucket", "kind", "hashes", "counts"])
 
 
 #: block -1: totals of a bucket, as (training tokens, distinct words, training texts).
-ANSWERED = "block int, bucket int, kind int, counts binary"
+ANSWERED = "block long, bucket int, kind int, counts binary"
 
 
 def answer(table: pa.Table) -> pa.Table:
@@ -146,7 +181,7 @@ def answer(table: pa.Table) -> pa.Table:
             rows.append((columns["block"][i], bucket, kind, packed(total[place[at : at + len(h)]])))
             at += len(h)
     rows.append((-1, bucket, 0, packed(np.array(totals))))
-    return pa.table({n: pa.array(x, t) for (n, t), x in zip((("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("counts", pa.binary())), zip(*rows, strict=True), strict=True)})
+    return pa.table({n: pa.array(x, t) for (n, t), x in zip((("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("counts", pa.binary())), zip(*rows, strict=True), strict=True)})
 
 
 class Automaton:
@@ -189,21 +224,19 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OU
     """
     remainder = F.coalesce(crc_mod("doc_id", folds), F.lit(-1))
     narrow = keyed_text(docs).withColumn("training", remainder != held_out)
-    total = narrow.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    blocks = max(1, -(-total // block_bytes))
-    buckets = blocks
-    dealt = narrow.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    asked = dealt.groupBy("block").applyInArrow(lambda table: ask(table, buckets), ASKED)
+    packs = checkpointed(narrow.mapInArrow(lambda batches: pack(batches, block_bytes), PACKED))
+    buckets = max(1, packs.count())
+    asked = packs.mapInArrow(lambda batches: ask(batches, buckets), ASKED)
     answers = checkpointed(asked.groupBy("bucket").applyInArrow(answer, ANSWERED))
     #: One short row a bucket; only their sums reach the driver.
-    unpack = F.udf(lambda x: unpacked(x).tolist(), "array<long>")
-    stats = answers.where("block = -1").select(unpack("counts").alias("c"))
+    whole = F.udf(lambda x: unpacked(x).tolist(), "array<long>")
+    stats = answers.where("block = -1").select(whole("counts").alias("c"))
     tokens, distinct, starts = stats.agg(*(F.coalesce(F.sum(F.col("c")[k]), F.lit(0)) for k in range(3))).first()
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, **{c: pa.array([], pa.float64()) for c in ("base_score", "score")}})
-        batch = left.combine_chunks().to_batches()[0]
+        batch = unpack(left.column("documents")[0].as_py())
         block = Block(raw_texts(batch))
         parts = sorted(zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), right.column("counts").to_pylist(), strict=True))
         one, two = (np.concatenate([unpacked(c) for k, _, c in parts if k == kind]).astype(np.int64) for kind in (1, 2))
@@ -212,7 +245,7 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OU
         training = batch.column("training").to_numpy(zero_copy_only=False)
         return pa.table({"doc_id": batch.column("doc_id"), "held_out": pa.array(~training), "n_tokens": pa.array(block.lengths), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(known), tokens)), "base_score": pa.array(base), "score": pa.array(scores)})
 
-    return dealt.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(score, SCORED)
+    return packs.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(score, SCORED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
