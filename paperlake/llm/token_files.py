@@ -43,27 +43,39 @@ CACHE_ENTRIES = 600_000
 END_ID = 2
 
 
+def choose_selectors(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For a word that begins at each id: its selector and how many ids it holds, the most that fit.
+
+    A word fits where the next ``run`` ids are narrow enough, which means that they are next
+    to each other among the positions of narrow ids.
+    """
+    n = len(ids)
+    narrowest = np.full(n, len(SELECTORS), np.uint8)
+    for k in range(len(SELECTORS) - 1, -1, -1):
+        below = ids < np.uint64(1 << SELECTORS[k][2])
+        if not below.any():
+            break
+        narrowest[below] = k
+    left = (np.repeat(np.cumsum(lengths), lengths) - np.arange(n)).astype(np.int32)
+    selector, advance, open_ = np.zeros(n, np.int8), np.ones(n, np.int32), np.ones(n, bool)
+    for k, (s, count, _) in enumerate(SELECTORS):
+        narrow = np.flatnonzero(narrowest <= k).astype(np.int32)
+        run = np.minimum(count, left[narrow])
+        padded = np.append(narrow, np.full(count, -1, np.int32))
+        fits = padded[np.arange(len(narrow), dtype=np.int32) + run - 1] - narrow == run - 1
+        fits &= open_[narrow]
+        where = narrow[fits]
+        selector[where], advance[where], open_[where] = s, run[fits], False
+        if len(narrow) == n:
+            break
+    return selector, advance
+
+
 def encode_words(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of the documents whose ids are concatenated in ``ids``, and each one's first word."""
     n = len(ids)
     ids = ids.astype(np.uint64)
-    ends = np.repeat(np.cumsum(lengths), lengths)
-    position = np.arange(n)
-    selector = np.zeros(n, np.int8)
-    advance = np.ones(n, np.int64)
-    open_ = np.ones(n, bool)
-    for s, count, bits in SELECTORS:
-        narrow = np.flatnonzero(ids < np.uint64(1 << bits))
-        if not len(narrow):
-            continue
-        #: A word fits where the next ``run`` ids are narrow, which means next to each other in ``narrow``.
-        run = np.minimum(count, ends[narrow] - narrow)
-        last = np.arange(len(narrow)) + run - 1
-        fits = narrow[np.minimum(last, len(narrow) - 1)] == narrow + run - 1
-        fits &= open_[narrow] & (last < len(narrow))
-        where = narrow[fits]
-        selector[where], advance[where] = s, run[fits]
-        open_[where] = False
+    selector, advance = choose_selectors(ids, lengths)
     steps, starts, i = advance.tolist(), [], 0
     while i < n:
         starts.append(i)
