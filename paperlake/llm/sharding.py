@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, keyed_text
+from .common import checkpointed, documents, keyed_text
 
 ATOM_BITS = 16
 OVERHEAD = 16
@@ -34,16 +34,20 @@ def atom_cuts(sizes: str, shards: int) -> str:
 
 
 def with_cuts(one: DataFrame, shards: int) -> DataFrame:
-    """Adds ``capacity`` and ``cuts`` to one row with ``sizes`` (array<bigint>, atoms in order)."""
-    one = one.withColumn("total", F.expr("aggregate(sizes, 0L, (a, x) -> a + x)"))
-    one = one.withColumn("capacity", F.expr(atom_cuts("sizes", shards)))
+    """Adds ``capacity`` and ``cuts`` to one row with ``sizes`` (array<bigint>, atoms in order).
+
+    Each step is checkpointed (one short row): the optimizer would else put its expression
+    into the next step's function and work it out anew for every atom.
+    """
+    one = checkpointed(one.withColumn("total", F.expr("aggregate(sizes, 0L, (a, x) -> a + x)")))
+    one = checkpointed(one.withColumn("capacity", F.expr(atom_cuts("sizes", shards))))
     #: From the right: latest[k] is the first atom of the longest tail that fits into k + 1 shards.
     tail = """aggregate(sequence(size(sizes) - 1, 0, -1), named_struct('fill', 0L, 'first', array()),
         (a, i) -> if(a.fill > 0L and a.fill + sizes[i] > capacity,
             named_struct('fill', sizes[i], 'first', array_append(a.first, i + 1)),
             named_struct('fill', a.fill + sizes[i], 'first', a.first)),
         a -> array_append(a.first, 0))"""
-    one = one.withColumn("latest", F.expr(tail.replace("array()", "cast(array() as array<int>)")))
+    one = checkpointed(one.withColumn("latest", F.expr(tail.replace("array()", "cast(array() as array<int>)"))))
     last = shards - 1
     cuts = f"""aggregate(sequence(0, size(sizes) - 1), named_struct('k', 0, 'fill', 0L, 'rest', total, 'cuts', cast(array() as array<int>)),
         (a, i) -> if(a.fill > 0L and a.k < {last} and (a.fill + sizes[i] > capacity
@@ -52,7 +56,7 @@ def with_cuts(one: DataFrame, shards: int) -> DataFrame:
             named_struct('k', a.k + 1, 'fill', sizes[i], 'rest', a.rest - a.fill, 'cuts', array_append(a.cuts, i)),
             named_struct('k', a.k, 'fill', a.fill + sizes[i], 'rest', a.rest, 'cuts', a.cuts)),
         a -> a.cuts)"""
-    return one.withColumn("cuts", F.expr(cuts))
+    return checkpointed(one.withColumn("cuts", F.expr(cuts)))
 
 
 def keyed_documents(docs: DataFrame) -> DataFrame:
@@ -76,7 +80,7 @@ def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
     atoms = keyed.groupBy("atom").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     listed = F.sort_array(F.collect_list(F.struct("atom", "bytes", "rows")))
     #: Bounded by 2 ** ATOM_BITS entries, as is every table below it up to ``layout``.
-    one = atoms.agg(listed.alias("atoms")).where("size(atoms) > 0").withColumn("sizes", F.col("atoms.bytes"))
+    one = checkpointed(atoms.agg(listed.alias("atoms")).where("size(atoms) > 0").withColumn("sizes", F.col("atoms.bytes")))
     placed = with_cuts(one, shards).select(
         F.explode(F.expr("transform(atoms, (x, i) -> named_struct('atom', x.atom, 'rows', x.rows, 'shard', size(filter(cuts, c -> c <= i))))")).alias("p")
     ).select("p.*")

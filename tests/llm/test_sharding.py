@@ -72,3 +72,9 @@ def test_empty_and_clashing_columns(spark, docs):
 def test_no_python_in_the_plan(docs, capsys):
     sharding.shard_documents(docs([(1, "a")]).where(F.lit(True)), 4).explain()
     assert "Python" not in capsys.readouterr().out
+
+
+def test_many_atoms_in_near_equal_shards(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.md5(F.col("id").cast("string").cast("binary")), 3).alias("text"))
+    sizes = [r.b for r in sharding.shard_documents(df, 40).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 40 and max(sizes) < 1.05 * sum(sizes) / 40
