@@ -13,6 +13,12 @@ subsequence of their words and an answer check settle them.
 Words are numbered by benchmark term once, and that is what is checkpointed: words outside the
 benchmark can neither weigh in a vector's entries nor be common to a segment.
 
+The space holds about as many directions as its rank, so with many more segments than that
+it cannot hold each of them. What it misses is found by words: a passage that holds the least
+share of a segment in order must hold some of the segment's rarer words close together, and
+those are counted for every segment in every stretch of text (``Counted``). No such passage
+is left out, whatever the number of segments, the rank and the other words of the passage.
+
 A projection never lengthens a vector, so the cosine cannot exceed the share of the
 passage's norm that lies on benchmark terms: windows below the limit are left out before
 anything is projected, without losing a candidate.
@@ -39,6 +45,8 @@ MARGIN, SEGMENT = 64, 64
 BLOCK_BYTES = 1 << 20
 RANK, OVERSAMPLING, POWER = 128, 8, 2
 TASKS_PER_CORE = 4
+#: Words to a block in which a segment's words are counted, and counts held at once.
+BLOCK, CELLS = 32, 1 << 19
 #: Lower-case words without ASCII punctuation.
 PLAIN = bytes(ord(chr(b).lower()) if b < 128 and (chr(b).isalnum() or b in b" ") else 32 if b < 128 else b for b in range(256))
 
@@ -291,18 +299,80 @@ def latent_basis(found: DataFrame, terms: Terms, limits: Limits, rank: int = RAN
     raise AssertionError
 
 
+class Counted:
+    """Stretches of text that hold enough of a segment's rarer words to hold its least share in order.
+
+    Of a segment's words the commonest quarter (half of ``1 - common``) is not counted. A stretch
+    with the share ``common`` of all the words must hold at least ``need`` of the others. Stretches
+    are whole blocks, enough of them that any passage half as long again as its segment lies in one.
+    """
+
+    def __init__(self, terms: Terms, limits: Limits) -> None:
+        self.outside, self.common = terms.outside, limits.common
+        self.need, self.blocks = (np.zeros(len(terms.segments), np.int64) for _ in range(2))
+        pairs = []
+        for k, s in enumerate(terms.segments):
+            own, count = np.unique(terms.indices(s.words), return_counts=True)
+            order = np.argsort(-terms.idf[own], kind="stable")
+            n, held = len(s.words), np.cumsum(count[order])
+            least = int(np.ceil(limits.common * n))
+            last = int(np.searchsorted(held, n - least // 2))
+            self.need[k] = least - (n - held[last])
+            self.blocks[k] = -(-(n + max(8, n // 2)) // BLOCK) + 1
+            pairs.append(np.stack([own[order[: last + 1]].astype(np.int64), np.full(last + 1, k)]))
+        term, segment = np.concatenate(pairs, axis=1)
+        self.segment = segment[np.argsort(term, kind="stable")]
+        self.edge = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=self.outside + 1))))
+
+    def stretches(self, p: Passages) -> Iterator[tuple[int, int, int, int]]:
+        """(document, segment, start, end) in a slice of documents."""
+        size = p.last - p.first
+        count = -(-size // BLOCK)
+        offset = np.cumsum(count) - count
+        document = np.repeat(np.arange(len(size)), count)
+        block = (np.arange(len(p.index)) - np.repeat(p.first, size)) // BLOCK + np.repeat(offset, size)
+        rows, kinds, reach = len(document), len(self.need), int(self.blocks.max())
+        step = max(reach, CELLS // kinds)
+        for low in range(0, rows, step):
+            a, b = np.searchsorted(block, (low, low + step + reach))
+            term = p.index[a:b].astype(np.int64)
+            many = self.edge[term + 1] - self.edge[term]
+            place = np.arange(many.sum()) + np.repeat(self.edge[term] - (np.cumsum(many) - many), many)
+            cell = np.repeat(block[a:b] - low, many) * kinds + self.segment[place]
+            sums = np.zeros((step + reach + 1, kinds), np.int64)
+            np.cumsum(np.bincount(cell, minlength=(step + reach) * kinds).reshape(-1, kinds), axis=0, out=sums[1:])
+            here = min(step, rows - low)
+            for m in np.unique(self.blocks):
+                own = np.flatnonzero(self.blocks == m)
+                for i, k in zip(*np.nonzero(sums[m : m + here, own] - sums[:here, own] >= self.need[own]), strict=True):
+                    d = document[low + i]
+                    start = p.first[d] + (low + i - offset[d]) * BLOCK
+                    yield d, own[k], start, min(p.last[d], start + m * BLOCK)
+
+
+def share_of_weight(terms: Terms, segment: Segment, words: np.ndarray) -> tuple[float, float]:
+    """Share of a segment's squared weight on words that a stretch holds as well, and their plain cosine."""
+    term, count = np.unique(terms.indices(segment.words), return_counts=True)
+    held = np.bincount(words, minlength=terms.outside + 1)
+    square = terms.idf[term] ** 2
+    whole = count @ square
+    cosine = (np.sqrt(count * held[term]) @ square) / np.sqrt(whole * (held @ terms.idf**2))
+    return float(np.minimum(held[term], count) @ square / whole), float(cosine)
+
+
 FOUND = "doc_id long, item_id long, start int, cosine double, common_share double, answer_share double"
 
 
 def matches(found: DataFrame, terms: Terms, basis: np.ndarray, limits: Limits) -> DataFrame:
-    """Candidates by cosine in the latent space, verified on their words."""
+    """Candidates by cosine in the latent space and by counted words, verified on their words."""
+    counted = Counted(terms, limits)
     queries = np.array([w @ basis[t] for t, w in terms.vectors()], np.float32)
     queries /= np.maximum(1e-9, np.linalg.norm(queries, axis=1, keepdims=True))
     sought = [(s.item_id, Common(terms.indices(s.words).tolist()), Common(terms.indices(s.answer).tolist())) for s in terms.segments]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, part in passages(batches, terms, limits):
-            out = []
+            out, settled = [], set()
             ids = part.column("doc_id").to_pylist()
             for rows, term, weight in p.vectors(terms):
                 cosine = projected(term, weight, basis) @ queries.T
@@ -317,6 +387,20 @@ def matches(found: DataFrame, terms: Terms, basis: np.ndarray, limits: Limits) -
                     answered = answer.length(near) / answer.size
                     if common >= limits.certain or answered >= limits.answer:
                         out.append((ids[d], item_id, int(p.start[row] - p.first[d]), float(cosine[i, k]), common, answered))
+                        settled.add((d, k))
+            for d, k, start, end in counted.stretches(p):
+                if (d, k) in settled:
+                    continue
+                item_id, whole, answer = sought[k]
+                near = p.index[start:end].tolist()
+                common = whole.length(near) / whole.size
+                if common < limits.common:
+                    continue
+                answered = answer.length(near) / answer.size
+                if common >= limits.certain or answered >= limits.answer:
+                    share, cosine = share_of_weight(terms, terms.segments[k], p.index[start:end])
+                    if share >= limits.common:
+                        out.append((ids[d], item_id, int(start - p.first[d]), cosine, common, answered))
             if out:
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
@@ -327,7 +411,8 @@ def matches(found: DataFrame, terms: Terms, basis: np.ndarray, limits: Limits) -
 def contaminated(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document and benchmark item that it holds.
 
-    Columns: doc_id, item_id, start_word (of the best window), cosine, common_share and
+    Columns: doc_id, item_id, start_word (of the best window), cosine (in the latent space, or
+    plain where the passage was found by its words), common_share and
     answer_share (largest over windows). Null and empty texts hold nothing, on either side;
     an empty benchmark or table gives no rows. Repeated rows give one row. The benchmark is
     read in blocks of at most ``block_bytes`` of text (an item is never cut), each of which

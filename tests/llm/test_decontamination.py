@@ -106,3 +106,28 @@ def test_empty_and_clashing(spark, docs):
     assert [(r.doc_id, r.item_id) for r in dc.contaminated(df, bench).collect()] == [(1, 1)]
     kept = dc.drop_contaminated(df, bench)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "None"]
+
+def planted(n_items, copies, change=0.0, seed=31):
+    """Benchmark items in prose of many words, each put into a host of its own, and the hosts."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(6000)]
+    weights = [1 / (i + 3) for i in range(len(vocabulary))]
+    text = lambda n: rng.choices(vocabulary, weights, k=n)
+    items = {i: text(rng.randint(18, 60)) for i in range(n_items)}
+    rows = []
+    for i in range(copies):
+        passage = list(items[i])
+        for k in rng.sample(range(len(passage)), round(len(passage) * change)):
+            passage[k] = f"zz{rng.randrange(10**9)}"
+        host = text(rng.randint(20, 200))
+        at = rng.randint(0, len(host))
+        rows.append((i, " ".join(host[:at] + passage + host[at:])))
+    rows += [(10**6 + i, " ".join(text(150))) for i in range(copies)]
+    return rows, [(i, " ".join(w)) for i, w in items.items()]
+
+
+def test_every_exact_copy_of_many_more_items_than_the_rank(spark, docs):
+    rows, items = planted(2000, 300)
+    assert len(items) > 10 * dc.RANK
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i in range(300)}
