@@ -45,6 +45,8 @@ MARGIN, SEGMENT = 64, 64
 BLOCK_BYTES = 1 << 20
 RANK, OVERSAMPLING, POWER = 128, 8, 2
 TASKS_PER_CORE = 4
+#: A word in fewer than one of so many documents weighs as one in so many.
+RAREST = 10_000
 #: Words to a block in which a segment's words are counted, and counts held at once.
 BLOCK, CELLS = 32, 1 << 19
 #: Lower-case words without ASCII punctuation.
@@ -99,8 +101,12 @@ class Terms:
         self.idf = np.ones(self.outside + 1)
 
     def weigh(self, frequency: np.ndarray, total: int) -> None:
-        """Smoothed idf; the last entry is the weight of words outside the benchmark."""
-        self.idf = np.log((total + 1) / (np.append(frequency, 0) + 1)) + 1
+        """Smoothed idf; the last entry is the weight of words outside the benchmark.
+
+        No word weighs more than one in ``RAREST`` documents: an unseen word's weight would
+        grow with the corpus while that of a term of steady share does not.
+        """
+        self.idf = np.minimum(np.log((total + 1) / (np.append(frequency, 0) + 1)), np.log(RAREST)) + 1
 
     def indices(self, words: list[bytes]) -> np.ndarray:
         get, out = self.number.get, self.outside

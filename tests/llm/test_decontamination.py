@@ -131,3 +131,19 @@ def test_every_exact_copy_of_many_more_items_than_the_rank(spark, docs):
     assert len(items) > 10 * dc.RANK
     got = {(r.doc_id, r.item_id) for r in dc.contaminated(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(i, i) for i in range(300)}
+
+
+def test_weights_and_edited_copies_do_not_depend_on_the_size_of_the_corpus(spark, docs, monkeypatch):
+    terms = dc.Terms(dc.segments_of(1, b"alpha beta gamma delta"))
+    share = np.array([1, 20, 500, 9000])
+    terms.weigh(share * 10, 100_000)
+    small = terms.idf
+    terms.weigh(share * 3000, 30_000_000)
+    assert np.allclose(small, terms.idf, atol=0.1) and terms.idf[-1] == small[-1] == terms.idf.max()
+    rows, items = planted(200, 200, 0.2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    weigh = dc.Terms.weigh
+    for times in (1, 3000):
+        monkeypatch.setattr(dc.Terms, "weigh", lambda self, frequency, total, times=times: weigh(self, frequency * times, total * times))
+        got = {(r.doc_id, r.item_id) for r in dc.contaminated(docs(rows), bench).collect()}
+        assert got <= {(i, i) for i in range(200)} and len(got) >= 198
