@@ -4,7 +4,9 @@ The trigger of every rule (the shortest text that a valid match must contain) go
 nondeterministic automaton; subset construction and partition refinement turn it into a
 minimal transition array over bytes. Each line of a text is read once, byte by byte, for
 all rules together. Where a rule's trigger is reached, its exact expression is run on that
-line to settle the spans: no rule's match can hold a newline, so lines are independent.
+line to settle the spans: no rule's exact match can hold a newline, so lines are independent.
+A rule with a closing carries its match on over line breaks, to the closing of the same label
+or to the end of the text; what it opens again in between belongs to the same span.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from .common import documents, keyed_text, raw_texts, slices
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: exact expression, least length of a group, and its trigger."""
+    """A kind of secret: exact expression, least length of a group, its trigger, and what closes it (``{}``: group 1)."""
 
     kind: str
     exact: str
@@ -34,6 +36,7 @@ class Rule:
     group: int = 0
     least: int = 0
     any_case: bool = False
+    closing: str = ""
 
 
 _KEYWORD = "(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?"
@@ -42,7 +45,7 @@ RULES = (
     Rule("assign", _KEYWORD + "([A-Za-z0-9+/_.=-]+)", _KEYWORD + "[A-Za-z0-9+/_.=-]", 2, 8, True),
     Rule("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]", 0, 16),
     Rule("hex", "[0-9a-f]+", "[0-9a-f]{32}", 0, 32),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", "-----BEGIN ([A-Z ]*PRIVATE KEY)-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----", closing="-----END {}-----"),
     Rule("forge", "gh[pousr]_[A-Za-z0-9]+", "gh[pousr]_[A-Za-z0-9]", 0, 40),
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-[A-Za-z0-9-]", 0, 15),
     Rule("cloud", "AIza[A-Za-z0-9_-]+", "AIza[A-Za-z0-9_-]", 0, 39),
@@ -209,9 +212,19 @@ def exact(rule: Rule) -> re.Pattern[bytes]:
 def byte_spans(raw: bytes, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int]]:
     """(start, rule index, end) in bytes of every valid match, by start, then rule."""
     found = []
+    done = dict.fromkeys(range(len(rules)), 0)
     for offset, line, bits in automaton(rules).lines_with_triggers(raw):
         for i, rule in enumerate(rules):
-            if bits >> i & 1:
+            if not bits >> i & 1:
+                continue
+            if rule.closing:
+                for m in exact(rule).finditer(line):
+                    if offset + m.start() >= done[i]:
+                        mark = rule.closing.encode().replace(b"{}", m[1])
+                        at = raw.find(mark, offset + m.end())
+                        done[i] = len(raw) if at < 0 else at + len(mark)
+                        found.append((offset + m.start(), i, done[i]))
+            else:
                 found += [(offset + m.start(), i, offset + m.end()) for m in exact(rule).finditer(line) if len(m[rule.group]) >= rule.least]
     return sorted(found)
 

@@ -52,3 +52,19 @@ def test_redaction_keeps_the_rest(spark):
 def test_automaton_is_minimal_and_small():
     machine = secrets.automaton(secrets.RULES)
     assert len(machine.step) == 256 * len(machine.fired) < 256 * 6000
+
+
+def test_a_private_key_is_one_span_over_its_lines(docs):
+    body = "\n".join("MIIEowIBAAKCAQEA" + c * 48 for c in "xyz")
+    key = lambda label: f"-----BEGIN {label}PRIVATE KEY-----\n{body}\n-----END {label}PRIVATE KEY-----"
+    open_end = f"é -----BEGIN PRIVATE KEY-----\n{body}\nrest"
+    text = f"é {key('RSA ')}\nbetween\n{key('')} after"
+    assert secrets.redacted(text.encode()).decode() == "é [SECRET]\nbetween\n[SECRET] after"
+    assert secrets.redacted(open_end.encode()).decode() == "é [SECRET]"
+    assert secrets.redacted(b"a -----BEGIN EC PRIVATE KEY-----\nM\n-----END PRIVATE KEY-----\nM") == b"a [SECRET]"
+    inline = key("").replace("\n", "\\n")
+    assert secrets.redacted(f"k='{inline}' b".encode()) == b"k='[SECRET]' b"
+    rows = {r.doc_id: r.spans for r in secrets.secret_spans(docs([(1, text), (2, open_end)])).collect()}
+    first, second = text.index(key("RSA ")), text.index(key(""))
+    assert rows[1] == f"pem:{first}:{first + len(key('RSA '))},pem:{second}:{second + len(key(''))}"
+    assert rows[2] == f"pem:2:{len(open_end)}"
