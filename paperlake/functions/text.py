@@ -171,3 +171,9 @@ def text_window(c: str | Column, offset: int = 0, max_chars: int = 12_000) -> Co
 def strip_version(c: str | Column) -> Column:
     """Identifier without blanks around it and without its version."""
     return F.regexp_replace(trim_all(c), r"v\d+$", "")
+
+
+def padded(c: str | Column, width: int) -> Column:
+    """A number with zeros before it up to ``width`` digits; a longer one stays whole."""
+    digits = column(c).cast("string")
+    return F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), "0")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlake.functions import export, render
-from paperlake.functions.text import strip_version
+from paperlake.functions.text import padded, strip_version
 from paperlake.operators.boolean import Field, any_category, compile_query, month_range
 from paperlake.operators.graph import citation_counts
 from paperlake.operators.paging import page
@@ -58,7 +58,7 @@ def paper_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def id_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit(" cs.LG/"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0"), F.lit("v"), F.col("o_orderkey") % 13, F.lit("\n"))
+    raw = F.concat(F.lit(" cs.LG/"), padded("o_orderkey", 7), F.lit("v"), F.col("o_orderkey") % 13, F.lit("\n"))
     return table(spark, sf_dir, "orders").select("o_orderkey", strip_version(raw).alias("clean_id"))
 
 

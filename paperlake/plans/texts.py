@@ -88,7 +88,7 @@ def tex_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def atom_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feeds of documents, written and parsed again."""
     d = table(spark, sf_dir, "documents")
-    entry = atom.render_entry(F.concat(F.lit("2001."), F.lpad(F.col("doc_id").cast("string"), 5, "0")), F.regexp_extract("text", "^([^\n]*)", 1), F.col("source"), F.col("text"), F.lit("2024-01-15T00:00:00Z"), F.col("lang"))
+    entry = atom.render_entry(F.concat(F.lit("2001."), T.padded("doc_id", 5)), F.regexp_extract("text", "^([^\n]*)", 1), F.col("source"), F.col("text"), F.lit("2024-01-15T00:00:00Z"), F.col("lang"))
     feeds = d.select(F.concat(F.lit("<feed><id>http://arxiv.org/api/x</id>"), entry, F.lit("</feed>")).alias("xml"))
     return atom.parse_feeds(feeds).select("id", "title", F.array_join("authors", ";").alias("authors"), "abstract", "published", F.array_join("categories", ";").alias("categories"), "doi", "pdf_url")
 

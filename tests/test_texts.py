@@ -128,3 +128,14 @@ def test_cascade(spark):
 def test_occurrences(spark, needle):
     texts = ["aaaa", "abab", "", "b"]
     assert apply(spark, lambda c: T.occurrences(c, needle), *texts) == [t.count(needle) if needle else 0 for t in texts]
+
+
+def test_ids_longer_than_their_padding_stay_whole(spark, docs, saved):
+    from paperlake.plans.catalog import queries
+
+    orders = spark.createDataFrame([(7, 1), (12345678, 1), (12345679, 2)], "o_orderkey long, o_custkey long")
+    folder = saved(documents=docs([(i, t, "en", "s") for i, t in ((7, "a"), (100000, "b"), (100001, "c"))]), orders=orders)
+    found = {r.abstract: (r.id, r.pdf_url) for r in queries()["atom_roundtrip"](spark, folder).collect()}
+    assert found == {t: (f"2001.{i}", f"https://arxiv.org/pdf/2001.{i}") for t, i in (("a", "00007"), ("b", "100000"), ("c", "100001"))}
+    found = {r.o_orderkey: r.clean_id for r in queries()["id_normalize"](spark, folder).collect()}
+    assert found == {7: "cs.LG/0000007", 12345678: "cs.LG/12345678", 12345679: "cs.LG/12345679"}
