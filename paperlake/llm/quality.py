@@ -2,9 +2,11 @@
 
 Each document becomes two histograms: character classes, and common words (fixed lists of
 function words, each word a bin, all other words one more bin). A language's reference is
-the mean of its documents' histograms over the whole table. A document is rejected where
-its distance to every language's reference is above the limit; histograms of texts below
-the minimum lengths are not judged.
+the mean of its documents' histograms over the whole table. The limit of a language follows
+the distances of its own documents to the reference: their median and a multiple of the way
+from there to the upper quartile, which the far quarter cannot move. A document is rejected
+where its distance to its own language's reference (without a known language: to every
+reference) is above that limit; histograms of texts below the minimum lengths are not judged.
 """
 
 from __future__ import annotations
@@ -36,10 +38,13 @@ UNIT = 1_000_000
 
 @dataclass(frozen=True)
 class Limits:
-    """Longest distances kept, and the lengths from which a histogram is judged."""
+    """Longest distances kept in any language, multiples of a language's spread, its least value, and the lengths from which a histogram is judged."""
 
     class_distance: float = 0.25
     word_distance: float = 0.45
+    class_spreads: float = 8.0
+    word_spreads: float = 3.0
+    least_spread: float = 0.01
     min_chars: int = 200
     min_words: int = 100
 
@@ -130,8 +135,8 @@ def features(docs: DataFrame) -> DataFrame:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def references(feats: DataFrame, limits: Limits) -> dict[str, np.ndarray]:
-    """Mean histograms by language: (languages, bins) for each kind. One short row a language."""
+def references(feats: DataFrame, limits: Limits) -> dict[str, tuple[list[str], np.ndarray]]:
+    """Languages and their mean histograms, (languages, bins), for each kind. One short row a language."""
     found = {}
     for name, judged in (("classes", F.col("word_chars") >= limits.min_chars), ("common", F.col("n_words") >= limits.min_words)):
         bins = feats.where(judged & F.col("lang").isNotNull()).select("lang", F.posexplode(name).alias("bin", "share"))
@@ -140,10 +145,52 @@ def references(feats: DataFrame, limits: Limits) -> dict[str, np.ndarray]:
         for r in rows:
             by.setdefault(r.lang, []).append(r.share)
         sums = np.array(list(by.values()), float)
-        found[name] = sums / np.maximum(1, sums.sum(axis=1, keepdims=True)) if by else sums
+        found[name] = list(by), sums / np.maximum(1, sums.sum(axis=1, keepdims=True)) if by else sums
     return found
 
 
+#: Distances are counted in steps of one part of so many.
+STEPS = 10_000
+
+
+def limits_by_language(feats: DataFrame, known: dict[str, tuple[list[str], np.ndarray]], limits: Limits) -> dict[str, np.ndarray]:
+    """Longest distance kept in each language for each kind, from exact quartiles over the whole table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for name, (languages, reference) in known.items():
+                least, length = (limits.min_chars, "word_chars") if name == "classes" else (limits.min_words, "n_words")
+                shares = matrix_of(part, name)
+                own = places(part, languages)
+                rows = np.flatnonzero((own >= 0) & (part.column(length).to_numpy() >= least))
+                if len(rows):
+                    step = np.rint(distances(shares[rows], reference)[np.arange(len(rows)), own[rows]] * STEPS).astype(np.int64)
+                    cell, n = np.unique(own[rows] * (STEPS + 1) + step, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(cell)), pa.array(cell), pa.array(n)], ["kind", "cell", "n"])
+
+    rows = feats.mapInArrow(run, "kind string, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).collect()
+    found = {}
+    for name, most, spreads in (("classes", limits.class_distance, limits.class_spreads), ("common", limits.word_distance, limits.word_spreads)):
+        count = np.zeros(len(known[name][0]) * (STEPS + 1), np.int64)
+        for r in rows:
+            if r.kind == name:
+                count[r.cell] = r.n
+        held = count.reshape(-1, STEPS + 1).cumsum(axis=1)
+        half, upper = ((held >= q * held[:, -1:]).argmax(axis=1) / STEPS for q in (0.5, 0.75))
+        found[name] = np.minimum(most, half + spreads * np.maximum(limits.least_spread, upper - half))
+    return found
+
+
+def matrix_of(part: pa.RecordBatch, name: str) -> np.ndarray:
+    return part.column(name).flatten().to_numpy().reshape(part.num_rows, -1)
+
+
+def places(part: pa.RecordBatch, languages: list[str]) -> np.ndarray:
+    """Place of each row's language, -1 where it has no reference."""
+    at = {x: i for i, x in enumerate(languages)}
+    return np.array([at.get(x, -1) for x in part.column("lang").to_pylist()], np.int64)
+
+
 def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance (base 2, 0 to 1) of every row of p to every row of q."""
 
@@ -154,33 +201,41 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, entropy(middle) - (entropy(p)[:, None] + entropy(q)[None, :]) / 2))
 
 
-def nearest(shares: np.ndarray, reference: np.ndarray) -> np.ndarray:
+def distances(shares: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    return jensen_shannon(shares / np.maximum(1, shares.sum(axis=1, keepdims=True)), reference)
+
+
+def judged_by(shares: np.ndarray, reference: np.ndarray, most: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance of each row to its own language, or without one to the nearest, and whether it is too far."""
     if not len(reference) or not len(shares):
-        return np.zeros(len(shares))
-    return jensen_shannon(shares / np.maximum(1, shares.sum(axis=1, keepdims=True)), reference).min(axis=1)
+        return np.zeros(len(shares)), np.zeros(len(shares), bool)
+    found = distances(shares, reference)
+    rows, at = np.arange(len(found)), np.maximum(own, 0)
+    return np.where(own >= 0, found[rows, at], found.min(axis=1)), np.where(own >= 0, found[rows, at] > most[at], (found > most).all(axis=1))
 
 
 def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row per document: base counts, base_failed, kept, class_distance, word_distance.
 
     Null and empty texts have no words and fail the base rule. Distances are null where the
-    text is below the minimum length. Without any language there is no reference and the
+    text is below the minimum length; they are to the document's own language, or to the nearest
+    where that is not known. Without any language there is no reference and the
     base rule alone decides. Repeated rows are judged alike.
     """
     feats = checkpointed(features(docs))
     known = references(feats, limits)
+    most = limits_by_language(feats, known, limits)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             if not part.num_rows:
                 continue
             column = lambda c: part.column(c).to_numpy(zero_copy_only=False)
-            matrix = lambda c: part.column(c).flatten().to_numpy().reshape(part.num_rows, -1)
             words = column("n_words")
             failed = (words < 50) | (100 * column("n_repeat_words") > 50 * words)
-            by_class, by_word = nearest(matrix("classes"), known["classes"]), nearest(matrix("common"), known["common"])
+            (by_class, far_class), (by_word, far_word) = (judged_by(matrix_of(part, c), known[c][1], most[c], places(part, known[c][0])) for c in ("classes", "common"))
             judged = column("word_chars") >= limits.min_chars, words >= limits.min_words
-            far = judged[0] & (by_class > limits.class_distance) | judged[1] & (by_word > limits.word_distance)
+            far = judged[0] & far_class | judged[1] & far_word
             arrays = [part.column(c) for c in ("doc_id", *COUNTS)] + [pa.array(failed), pa.array(~failed & ~far), pa.array(by_class, mask=~judged[0]), pa.array(by_word, mask=~judged[1])]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *COUNTS, "base_failed", "kept", "class_distance", "word_distance"])
 

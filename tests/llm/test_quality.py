@@ -47,3 +47,19 @@ def test_no_language_column(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = quality.quality_rules(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, kept string")).collect()
     assert rows[0].kept is True
+
+
+def test_labelled_junk_goes_and_good_documents_stay(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    rows = quality.query(spark, folder).join(labels, "doc_id").where("NOT base_failed").collect()
+    good, junk = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    assert len(good) > 100 and sum(good) >= 0.97 * len(good)
+    assert len(junk) > 10 and sum(junk) <= 0.3 * len(junk)
+
+
+def test_distance_is_to_the_own_language(docs):
+    rows = [(i, " ".join(f"{w} w{i}{k}" for k, w in enumerate(quality.COMMON_WORDS[g].split() * 5)), g) for g, a in (("en", 0), ("de", 100)) for i in range(a, a + 30)]
+    rows.append((999, rows[40][1], "en"))
+    got = {r.doc_id: r.kept for r in quality.quality_rules(docs(rows)).collect()}
+    assert not got.pop(999) and all(got.values())
