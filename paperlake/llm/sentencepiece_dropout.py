@@ -3,9 +3,14 @@
 A SentencePiece model of merge type never joins pieces over a space that follows another
 character, nor over characters that no longer piece holds (a line break here), so a text is
 cut there into units. In each unit an agenda holds the candidate merges by piece score and
-place; a candidate is skipped where a keyed hash of (seed, variant, unit, place, piece) falls
-below the dropout rate. The outcome depends on these alone: the same seed gives the same
-ids on any cluster, another seed other segmentations. With rate 0 the ids equal the library's.
+place; a candidate is skipped where a keyed hash of (seed, doc_id, number of the unit in the
+text, place, piece) falls below the dropout rate, so each occurrence of a word draws its own.
+The outcome depends on these alone: the same seed gives the same ids on any cluster, another
+seed other segmentations. With rate 0 the ids equal the library's.
+
+Workers remember for each unit the candidates met so far as a tree, branching by kept and
+skipped, with ids at its ends: an occurrence walks it by its own hashes, and merges are only
+worked out where the tree has no branch yet. What is remembered never changes the outcome.
 
 A literal U+2581, which the library would read as a space, is written as bytes, and all
 characters outside the vocabulary fall back to bytes, so that decoding gives the very text.
@@ -30,9 +35,7 @@ from .common import documents, keyed_text, raw_texts, slices
 SPACE = "▁"
 RATE = 0.1
 SEED = 7
-#: Documents are dealt over so many differing segmentations under one seed.
-VARIANTS = 2
-#: Distinct units whose ids a Python worker remembers; beyond that it starts anew.
+#: Candidates in the trees that a Python worker remembers; beyond that it starts anew.
 CACHE_ENTRIES = 500_000
 #: Characters up to which a unit's agenda is a plain list, and the places in it as the hash takes them.
 SHORT = 48
@@ -66,13 +69,18 @@ class Pieces:
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
             raise ValueError("this vocabulary joins pieces over spaces or line breaks")
 
-    def segment(self, unit: str, key: int, threshold: int) -> list[int]:
-        """Ids of one unit; a candidate whose 64-bit hash is below ``threshold`` is skipped."""
+    def segment(self, unit: str, base: int, threshold: int, seen: list[tuple[bytes, bool]] | None = None) -> list[int]:
+        """Ids of one unit; a candidate whose 64-bit hash under ``base`` is below ``threshold`` is skipped.
+
+        ``seen`` takes the candidates of a short unit in order, each with whether it was skipped.
+        """
         if unit == SPACE:
             return [self.byte[b] for b in SPACE.encode()]
         parts = list(unit.replace(" ", SPACE))
-        base = xxhash.xxh64_intdigest(unit.encode(), key) if threshold else 0
-        (self.merge_short if len(parts) <= SHORT else self.merge_long)(parts, base, threshold)
+        if len(parts) <= SHORT:
+            self.merge_short(parts, base, threshold, seen)
+        else:
+            self.merge_long(parts, base, threshold)
         out: list[int] = []
         for p in parts:
             if p:
@@ -80,7 +88,7 @@ class Pieces:
                 out += [i] if i is not None else [self.byte[b] for b in p.encode()]
         return out
 
-    def merge_short(self, parts: list[str], base: int, threshold: int) -> None:
+    def merge_short(self, parts: list[str], base: int, threshold: int, seen: list[tuple[bytes, bool]] | None = None) -> None:
         """The agenda as a list of the costs of neighbouring pairs, searched for its least."""
         cost = self.cost.get
         costs = [cost(a + b, NEVER) for a, b in zip(parts, parts[1:])]
@@ -88,9 +96,14 @@ class Pieces:
         while costs and (least := min(costs)) < NEVER:
             i = costs.index(least)
             joined = parts[i] + parts[i + 1]
-            if threshold and xxhash.xxh64_intdigest(PLACES[place[i]] + joined.encode(), base) < threshold:
-                costs[i] = NEVER
-                continue
+            if threshold:
+                candidate = PLACES[place[i]] + joined.encode()
+                skipped = xxhash.xxh64_intdigest(candidate, base) < threshold
+                if seen is not None:
+                    seen.append((candidate, skipped))
+                if skipped:
+                    costs[i] = NEVER
+                    continue
             parts[i] = joined
             del parts[i + 1], place[i + 1], costs[i]
             if i < len(costs):
@@ -135,9 +148,38 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+class Remembered:
+    """Trees of candidates by unit: a node is [candidate, where kept, where skipped], an end the packed ids."""
+
+    def __init__(self) -> None:
+        self.roots: dict[str, list | bytes] = {}
+        self.size = 0
+
+    def add(self, unit: str, seen: list[tuple[bytes, bool]], ids: bytes) -> None:
+        self.size += 1 + len(seen)
+        if not seen:
+            self.roots[unit] = ids
+            return
+        node = self.roots.setdefault(unit, [seen[0][0], None, None])
+        for (_, skipped), (candidate, _) in zip(seen, seen[1:]):
+            branch = 2 if skipped else 1
+            if node[branch] is None:
+                node[branch] = [candidate, None, None]
+            node = node[branch]
+        node[2 if seen[-1][1] else 1] = ids
+
+
 @lru_cache(maxsize=16)
-def unit_cache(path: str, key: int, threshold: int) -> dict[str, bytes]:
-    return {}
+def remembered(path: str, threshold: int) -> Remembered:
+    return Remembered()
+
+
+def bases(key: int, n: int) -> list[int]:
+    """Hash keys of the units of a text by their number (the finaliser of splitmix64)."""
+    x = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(key % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(31))).tolist()
 
 
 def encode(text: str, path: str, key: int, rate: float) -> bytes:
@@ -145,19 +187,25 @@ def encode(text: str, path: str, key: int, rate: float) -> bytes:
     if not text:
         return b""
     threshold = int(rate * 2**64)
-    cache = unit_cache(path, key, threshold)
-    if len(cache) > CACHE_ENTRIES // VARIANTS:
-        cache.clear()
+    known = remembered(path, threshold)
+    if known.size > CACHE_ENTRIES:
+        known.roots.clear()
+        known.size = 0
     units = UNITS.findall(f" {text}")
-    try:
-        return b"".join(map(cache.__getitem__, units))
-    except KeyError:
-        segment = pieces(path).segment
-        for u in units:
-            if u not in cache:
-                ids = segment(u, key, threshold)
-                cache[u] = pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(cache.__getitem__, units))
+    root, digest, segment = known.roots.get, xxhash.xxh64_intdigest, pieces(path).segment
+    out = []
+    for unit, base in zip(units, bases(key, len(units))):
+        node = root(unit)
+        while node.__class__ is list:
+            node = node[2 if digest(node[0], base) < threshold else 1]
+        if node is None:
+            seen: list[tuple[bytes, bool]] = []
+            ids = segment(unit, base, threshold, seen)
+            node = pack(f"<{len(ids)}I", *ids)
+            if len(unit) <= SHORT:
+                known.add(unit, seen, node)
+        out.append(node)
+    return b"".join(out)
 
 
 def decode(ids: np.ndarray, path: str) -> bytes:
@@ -165,8 +213,8 @@ def decode(ids: np.ndarray, path: str) -> bytes:
     return b"".join(map(pieces(path).text.__getitem__, ids.tolist()))[1:]
 
 
-def variant_key(seed: int, doc_id: int | None) -> int:
-    return seed * VARIANTS + (0 if doc_id is None else xxhash.xxh64_intdigest(str(doc_id).encode(), seed) % VARIANTS)
+def document_key(seed: int, doc_id: int | None) -> int:
+    return xxhash.xxh64_intdigest(str(doc_id).encode(), seed)
 
 
 def _coded(docs: DataFrame, path: str, seed: int, rate: float, with_ids: bool) -> DataFrame:
@@ -177,7 +225,7 @@ def _coded(docs: DataFrame, path: str, seed: int, rate: float, with_ids: bool) -
             ids, lossless, texts, back = [], [], [], []
             for doc_id, raw in zip(part.column("doc_id").to_pylist(), raw_texts(part), strict=True):
                 raw = raw or b""
-                ids.append(np.frombuffer(encode(raw.decode("utf-8"), path, variant_key(seed, doc_id), rate), "<u4"))
+                ids.append(np.frombuffer(encode(raw.decode("utf-8"), path, document_key(seed, doc_id), rate), "<u4"))
                 again = decode(ids[-1], path)
                 lossless.append(again == raw)
                 if not with_ids:
@@ -197,8 +245,8 @@ def _coded(docs: DataFrame, path: str, seed: int, rate: float, with_ids: bool) -
 def dropout_ids(docs: DataFrame, path: str, seed: int = SEED, rate: float = RATE) -> DataFrame:
     """One row per document: doc_id, n_tokens, lossless (decoding gives the text), ids.
 
-    Null and empty texts have no ids. A null doc_id takes the first variant; repeated rows
-    get equal ids. Every text is encoded and decoded whole.
+    Null and empty texts have no ids. Null doc_ids share one key; repeated rows get equal
+    ids. Every text is encoded and decoded whole.
     """
     return _coded(docs, path, seed, rate, True)
 

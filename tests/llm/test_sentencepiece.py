@@ -60,3 +60,26 @@ def test_list_and_heap_agendas_agree(unit, base, threshold):
     machine.merge_short(parts, base, threshold)
     machine.merge_long(again, base, threshold)
     assert parts == [p for p in again if p]
+
+
+def test_each_occurrence_draws_its_own_dropout(docs):
+    rows = [(i, "international " * 200) for i in range(6)]
+    got = {r.doc_id: r.ids for r in sd.dropout_ids(docs(rows), PATH).collect()}
+    assert len({tuple(x) for x in got.values()}) == 6
+    whole = [sd.pieces(PATH).ids[p] for p in (" international".replace(" ", sd.SPACE),)]
+    kept = [x.count(whole[0]) for x in got.values()]
+    assert all(20 < k < 198 for k in kept)
+    machine = sd.pieces(PATH)
+    cuts = {tuple(machine.segment(" international", b, int(0.1 * 2**64))) for b in sd.bases(sd.document_key(sd.SEED, 0), 200)}
+    assert len(cuts) > 2
+
+
+def test_what_is_remembered_does_not_change_ids():
+    text = "tokenization of international correspondence and international law " * 50
+    sd.remembered.cache_clear()
+    fresh = {k: (sd.remembered.cache_clear(), ids(text, k, 0.3))[1] for k in range(5)}
+    assert fresh == {k: ids(text, k, 0.3) for k in range(5)}
+    threshold = int(0.3 * 2**64)
+    units = sd.UNITS.findall(f" {text}")
+    plain = [i for u, b in zip(units, sd.bases(3, len(units))) for i in sd.pieces(PATH).segment(u, b, threshold)]
+    assert fresh[3] == plain
