@@ -16,8 +16,8 @@ benchmark can neither weigh in a vector's entries nor be common to a segment.
 The space holds about as many directions as its rank, so with many more segments than that
 it cannot hold each of them. What it misses is found by words: a passage that holds the least
 share of a segment in order must hold some of the segment's rarer words close together, and
-those are counted for every segment in every stretch of text (``Counted``). No such passage
-is left out, whatever the number of segments, the rank and the other words of the passage.
+those are counted for every segment in every stretch of text (``Counted``), whatever the number
+of segments and the rank. Of these, stretches with under half of a segment's weight are left out.
 
 A projection never lengthens a vector, so the cosine cannot exceed the share of the
 passage's norm that lies on benchmark terms: windows below the limit are left out before
