@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -53,6 +54,21 @@ def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+WHITE = re.compile(rb"[\t-\r ]")
+
+
+def stretches(raw: bytes, size: int) -> Iterator[bytes]:
+    """Pieces of about ``size`` bytes of one long text, each but the last cut before white space."""
+    start = 0
+    while len(raw) - start > size:
+        found = WHITE.search(raw, start + size)
+        if not found:
+            break
+        yield raw[start : found.start()]
+        start = found.start()
+    yield raw[start:]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder that the cluster shares (spark.checkpoint.dir).
 

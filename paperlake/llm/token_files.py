@@ -17,6 +17,8 @@ than 60 bits. The last word of a document may be filled only in part.
 
 from __future__ import annotations
 
+import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,11 +26,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, keyed_text, raw_texts, shared_folder, slices
+from .common import documents, keyed_text, shared_folder, slices, stretches
 
 #: Fixed values of the format: (selector, values in a word, bits of each).
 SELECTORS = ((1, 120, 0), (2, 60, 1), (3, 30, 2), (4, 20, 3), (5, 15, 4), (6, 12, 5), (7, 10, 6), (8, 8, 7), (9, 7, 8), (10, 6, 10), (11, 5, 12), (12, 4, 15), (13, 3, 20), (14, 2, 30), (15, 1, 60))
@@ -37,8 +40,8 @@ BITS = np.zeros(16, np.int64)
 for _s, _n, _b in SELECTORS:
     COUNT[_s], BITS[_s] = _n, _b
 COUNT[0] = 1
-BLOCK_BYTES = 1 << 20
-#: Distinct pieces of text whose ids a Python worker remembers; beyond that it starts anew.
+BLOCK_BYTES = 4 << 20
+#: Distinct words whose ids a Python worker remembers; beyond that it starts anew.
 CACHE_ENTRIES = 600_000
 END_ID = 2
 
@@ -50,12 +53,12 @@ def choose_selectors(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
     to each other among the positions of narrow ids.
     """
     n = len(ids)
-    narrowest = np.full(n, len(SELECTORS), np.uint8)
-    for k in range(len(SELECTORS) - 1, -1, -1):
-        below = ids < np.uint64(1 << SELECTORS[k][2])
-        if not below.any():
-            break
-        narrowest[below] = k
+    limits = np.array([1 << bits for _, _, bits in SELECTORS], np.uint64)
+    short = np.searchsorted(limits, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
+    if n and ids.max() < 1 << 16:
+        narrowest = short[ids.astype(np.uint16)]
+    else:
+        narrowest = np.searchsorted(limits, ids, side="right").astype(np.uint8)
     left = (np.repeat(np.cumsum(lengths), lengths) - np.arange(n)).astype(np.int32)
     selector, advance, open_ = np.zeros(n, np.int8), np.ones(n, np.int32), np.ones(n, bool)
     for k, (s, count, _) in enumerate(SELECTORS):
@@ -71,16 +74,32 @@ def choose_selectors(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
     return selector, advance
 
 
+def reached(following: np.ndarray) -> np.ndarray:
+    """Places met from 0 on by following each to the next, up to the last one, which follows itself.
+
+    Every sixteenth is found one after the other, those between them all at once.
+    """
+    end = len(following) - 1
+    far = following
+    for _ in range(4):
+        far = far[far]
+    anchors, i = [], 0
+    while i < end:
+        anchors.append(i)
+        i = far.item(i)
+    steps = [np.array(anchors, np.int64)]
+    for _ in range(15):
+        steps.append(following[steps[-1]])
+    found = np.stack(steps, axis=1).ravel()
+    return found[found < end]
+
+
 def encode_words(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of the documents whose ids are concatenated in ``ids``, and each one's first word."""
     n = len(ids)
     ids = ids.astype(np.uint64)
     selector, advance = choose_selectors(ids, lengths)
-    steps, starts, i = advance.tolist(), [], 0
-    while i < n:
-        starts.append(i)
-        i += steps[i]
-    starts = np.array(starts, np.int64)
+    starts = reached(np.append(np.arange(n, dtype=np.int64) + advance, n))
     chosen = selector[starts]
     width = np.where(chosen == 0, 2, 1)
     at = np.cumsum(width) - width
@@ -138,31 +157,101 @@ def tokenizer(path: str):
 
 
 @lru_cache(maxsize=2)
-def piece_cache(path: str) -> dict[bytes, bytes]:
+def word_cache(path: str) -> dict[str, bytes]:
     return {}
 
 
-def encode_texts(texts: list[bytes | None], path: str, end_id: int) -> list[bytes]:
-    """Ids of each whole text as little-endian 32-bit bytes, end id included.
+#: Words that normalising only lower-cases and pre-tokenizing cuts into letters and one tail at most.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 
-    The tokenizer drops white space and never joins across it, so texts are cut at ASCII
-    white space and each distinct piece is tokenized once for as long as it is remembered.
+
+@lru_cache(maxsize=2)
+def byte_letters(path: str) -> dict[int, str]:
+    """How the pre-tokenizer writes the bytes of letters beyond ASCII."""
+    letters = [chr(i) for i in range(0xDF, 0x100) if chr(i).isalpha()]
+    return {ord(c): tokenizer(path).pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
+
+
+def encode_new(words: list[str], path: str, cache: dict[str, bytes]) -> None:
+    """Put the ids of words that are not yet in ``cache`` there.
+
+    Plain words go straight to the tokenizer's model, all others through the whole tokenizer,
+    joined by spaces, 1,000 to a call.
     """
-    cache = piece_cache(path)
-    if len(cache) > CACHE_ENTRIES:
-        cache.clear()
-    cut = [(t or b"").split() for t in texts]
-    new = list({w for words in cut for w in words if w not in cache})
-    for i in range(0, len(new), 1000):
-        part = [w.decode("utf-8") for w in new[i : i + 1000]]
+    model, letters, plain, pack, hard = tokenizer(path).model.tokenize, byte_letters(path), SIMPLE.fullmatch, struct.pack, []
+    known = cache.get
+    cache[""] = b""
+    for w in words:
+        if m := plain(w):
+            coded = b""
+            for part in m.groups():
+                part = part.lower()
+                ids = known(part)
+                if ids is None:
+                    found = [t.id for t in model(part if part.isascii() else part.translate(letters))]
+                    ids = cache[part] = pack(f"<{len(found)}I", *found)
+                coded += ids
+            cache[w] = coded
+        else:
+            hard.append(w)
+    for i in range(0, len(hard), 1000):
+        part = hard[i : i + 1000]
         coded = tokenizer(path).encode(" ".join(part), add_special_tokens=False)
         ids = np.array(coded.ids, "<u4").tobytes()
         first = np.cumsum([0] + [len(w) + 1 for w in part])
         edges = np.searchsorted([a for a, _ in coded.offsets], first).tolist()
-        for w, a, b in zip(new[i : i + 1000], edges, edges[1:], strict=False):
+        for w, a, b in zip(part, edges, edges[1:], strict=False):
             cache[w] = ids[4 * a : 4 * b]
-    end = end_id.to_bytes(4, "little")
-    return [b"".join([*map(cache.__getitem__, words), end]) for words in cut]
+
+
+def listed(words: pa.Array) -> list[str]:
+    """Words without spaces as a list, by one join and one split."""
+    if not len(words):
+        return []
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(whole, " ")[0].as_py().split(" ")
+
+
+def encode_slice(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, concatenated, and the number of ids of each; null texts have none.
+
+    The tokenizer drops white space and never joins across it, so texts are cut at ASCII
+    white space and each distinct word is tokenized once for as long as it is remembered.
+    """
+    lists = pc.ascii_split_whitespace(texts.fill_null(""))
+    coded = lists.flatten().dictionary_encode()
+    distinct = listed(coded.dictionary)
+    cache = word_cache(path)
+    if len(cache) > CACHE_ENTRIES:
+        cache.clear()
+    encode_new([w for w in distinct if w not in cache], path, cache)
+    parts = list(map(cache.__getitem__, distinct))
+    table = np.frombuffer(b"".join(parts), "<u4")
+    count = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    first = np.cumsum(count) - count
+    word = coded.indices.to_numpy()
+    many = count[word]
+    ends = np.concatenate(([0], np.cumsum(many)))
+    ids = table[np.arange(ends[-1]) + np.repeat(first[word] - ends[:-1], many)]
+    words = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
+    return ids, np.diff(ends[words])
+
+
+def encode_texts(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all whole texts with ``end_id`` after each, concatenated, and how many each has.
+
+    A text longer than a block is encoded in stretches that end at white space.
+    """
+    if len(texts) == 1 and texts[0].is_valid and texts[0].as_buffer().size > BLOCK_BYTES:
+        each = [encode_slice(pa.array([x], pa.string()), path)[0] for x in stretches(texts[0].as_buffer().to_pybytes(), BLOCK_BYTES)]
+        ids, lengths = np.concatenate(each), np.array([sum(map(len, each))])
+    else:
+        ids, lengths = encode_slice(texts, path)
+    with_ends = np.full(len(ids) + len(lengths), end_id, np.uint32)
+    own = np.ones(len(with_ends), bool)
+    own[np.cumsum(lengths + 1) - 1] = False
+    with_ends[own] = ids
+    return with_ends, lengths + 1
 
 
 BLOCK_SCHEMA = "shard int, block int, doc_ids array<long>, lengths array<long>, offsets array<long>, words binary"
@@ -181,9 +270,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         for block, part in enumerate(slices(batches, BLOCK_BYTES)):
-            coded = encode_texts(raw_texts(part), tokenizer_path, end_id)
-            lengths = np.array([len(c) // 4 for c in coded], np.int64)
-            words, offsets = encode_words(np.frombuffer(b"".join(coded), "<u4"), lengths)
+            ids, lengths = encode_texts(part.column("text"), tokenizer_path, end_id)
+            words, offsets = encode_words(ids, lengths)
             row = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), *(pa.array([x], pa.list_(pa.int64())) for x in (part.column("doc_id").to_pylist(), lengths, offsets)), pa.array([words.astype("<u8").tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(row, ["shard", "block", "doc_ids", "lengths", "offsets", "words"])
 
