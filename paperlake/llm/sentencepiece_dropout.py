@@ -8,9 +8,10 @@ text, place, piece) falls below the dropout rate, so each occurrence of a word d
 The outcome depends on these alone: the same seed gives the same ids on any cluster, another
 seed other segmentations. With rate 0 the ids equal the library's.
 
-Workers remember for each unit the candidates met so far as a tree, branching by kept and
-skipped, with ids at its ends: an occurrence walks it by its own hashes, and merges are only
-worked out where the tree has no branch yet. What is remembered never changes the outcome.
+All units of a slice work off their agendas at once: units of like length are the columns of
+an array, and one step takes each column's best candidate, draws, and merges or skips it.
+Nothing is remembered from one slice to the next, so memory does not grow with the corpus.
+Units too long for such an array have an agenda of their own, as a heap.
 
 A literal U+2581, which the library would read as a space, is written as bytes, and all
 characters outside the vocabulary fall back to bytes, so that decoding gives the very text.
@@ -23,7 +24,6 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -35,112 +35,220 @@ from .common import documents, keyed_text, raw_texts, slices
 SPACE = "▁"
 RATE = 0.1
 SEED = 7
-#: Candidates in the trees that a Python worker remembers; beyond that it starts anew.
-CACHE_ENTRIES = 500_000
-#: Characters up to which a unit's agenda is a plain list, and the places in it as the hash takes them.
-SHORT = 48
-PLACES = [b"%d " % i for i in range(SHORT)]
-NEVER = float("inf")
-UNITS = re.compile(f"[\n{SPACE}]| *[^ \n{SPACE}]+| +")
+#: Widths of the arrays that hold units; longer units are merged by a heap.
+WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 20, 24, 32, 48, 64)
+#: Characters of one text that are encoded at once.
+STRETCH = 1 << 20
+NONE = np.int32(2**31 - 1)
+SYMBOL_BITS = 21
+GOLDEN, PLACE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Where a text may be cut: before a line break, or a space that begins a unit.
+CUT = re.compile(f"\n|(?<=[^ \n{SPACE}]) ")
+
+
+def finalised(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+class Pairs:
+    """Which piece two neighbouring symbols make: a table by hash, and a second one for what collides there."""
+
+    FACTOR = np.uint64(GOLDEN)
+
+    def __init__(self, found: dict[int, int]) -> None:
+        keys, ranks = (np.array(list(x), np.int64) for x in (found, found.values()))
+        self.levels = []
+        for bits in (20, 18, 16):
+            slot = self.slot(keys, bits)
+            taken, first = np.unique(slot, return_index=True)
+            at, value = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int32)
+            at[taken], value[taken] = keys[first], ranks[first]
+            self.levels.append((bits, at, value))
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, ranks = keys[rest], ranks[rest]
+        order = np.argsort(keys)
+        self.keys, self.ranks = np.append(keys[order], -1), np.append(ranks[order], NONE).astype(np.int32)
+
+    def slot(self, keys: np.ndarray, bits: int) -> np.ndarray:
+        return ((keys.view(np.uint64) * self.FACTOR) >> np.uint64(64 - bits)).view(np.int64)
+
+    def made_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece of each pair, NONE where there is none; a negative symbol pairs with nothing."""
+        keys = (left.astype(np.int64) << SYMBOL_BITS) | right
+        bits, at, value = self.levels[0]
+        slot = self.slot(keys, bits)
+        met = at[slot]
+        out = np.where(met == keys, value[slot], NONE)
+        open_ = np.flatnonzero((met != keys) & (met >= 0) & (keys >= 0))
+        for bits, at, value in self.levels[1:]:
+            key = keys[open_]
+            slot = self.slot(key, bits)
+            met = at[slot]
+            out[open_] = np.where(met == key, value[slot], NONE)
+            open_ = open_[(met != key) & (met >= 0)]
+        if len(open_) and len(self.keys) > 1:
+            key = keys[open_]
+            place = np.minimum(np.searchsorted(self.keys[:-1], key), len(self.keys) - 2)
+            out[open_] = np.where(self.keys[place] == key, self.ranks[place], NONE)
+        return out
 
 
 class Pieces:
-    """Vocabulary of a model file: pieces with scores, and the bytes that each id stands for."""
+    """Vocabulary of a model file: its pieces as symbols, and the bytes that each id stands for.
+
+    Symbols are the pieces by falling score, then (from ``count`` on) single characters by code.
+    """
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.ids: dict[str, int] = {}
-        self.cost: dict[str, float] = {}  # falling score
-        self.byte = [0] * 256
+        byte = [0] * 256
+        own: list[tuple[float, str, int]] = []
         self.text: list[bytes] = []
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
-                self.byte[int(piece[3:-1], 16)] = i
+                byte[int(piece[3:-1], 16)] = i
                 self.text.append(bytes([int(piece[3:-1], 16)]))
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 self.text.append(b"")
             else:
-                self.ids[piece] = i
-                self.cost[piece] = -model.get_score(i)
+                own.append((-model.get_score(i), piece, i))
                 self.text.append(piece.replace(SPACE, " ").encode())
-        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
+        own.sort()
+        if any(SPACE in p.lstrip(SPACE) or "\n" in p for _, p, _ in own):
             raise ValueError("this vocabulary joins pieces over spaces or line breaks")
-
-    def segment(self, unit: str, base: int, threshold: int, seen: list[tuple[bytes, bool]] | None = None) -> list[int]:
-        """Ids of one unit; a candidate whose 64-bit hash under ``base`` is below ``threshold`` is skipped.
-
-        ``seen`` takes the candidates of a short unit in order, each with whether it was skipped.
+        self.byte = np.array(byte)
+        self.count = len(own)
+        self.ids = np.array([i for _, _, i in own])
+        self.symbol = {p: k for k, (_, p, _) in enumerate(own)}
+        #: Place of each piece's score among all scores, and the piece of a score (-1 where several share it).
+        self.order = np.unique([cost for cost, _, _ in own], return_inverse=True)[1].astype(np.int32)
+        self.holder = np.where(np.bincount(self.order) > 1, -1, np.unique(self.order, return_index=True)[1]).astype(np.int32)
+        self.draws = np.array([xxhash.xxh64_intdigest(p.encode()) for _, p, _ in own], np.uint64)
+        self.of_code = np.arange(0x110000, dtype=np.int32) + self.count
+        for p, k in self.symbol.items():
+            if len(p) == 1:
+                self.of_code[ord(p)] = k
+        self.of_code[ord(" ")] = self.of_code[ord(SPACE)]
+        self.found: dict[int, int] = {}
+        for k, (_, p, _) in enumerate(own):
+            for i in range(1, len(p)):
+                a, b = self.part(p[:i]), self.part(p[i:])
+                if a >= 0 and b >= 0:
+                    self.found[a << SYMBOL_BITS | b] = k
+        self.of_code[ord(SPACE)] = self.count + ord(SPACE)
+        self.pairs = Pairs(self.found)
+
+    def part(self, p: str) -> int:
+        return int(self.of_code[ord(p)]) if len(p) == 1 else self.symbol.get(p, -1)
+
+    def skipped(self, base: np.ndarray, place: np.ndarray, piece: np.ndarray, threshold: int) -> np.ndarray:
+        """Whether the candidates at these places, under the keys of their units, are left out."""
+        return finalised(base ^ (self.draws[piece] + place.astype(np.uint64) * np.uint64(PLACE))) < np.uint64(threshold)
+
+    def merge_all(self, symbols: np.ndarray, base: np.ndarray, threshold: int) -> np.ndarray:
+        """Agendas of all columns of ``symbols`` (places by units), one candidate of each at a step; merged places are -1.
+
+        Row ``width`` is where the links of the first and last symbols end.
         """
-        if unit == SPACE:
-            return [self.byte[b] for b in SPACE.encode()]
-        parts = list(unit.replace(" ", SPACE))
-        if len(parts) <= SHORT:
-            self.merge_short(parts, base, threshold, seen)
-        else:
-            self.merge_long(parts, base, threshold)
-        out: list[int] = []
-        for p in parts:
-            if p:
-                i = self.ids.get(p)
-                out += [i] if i is not None else [self.byte[b] for b in p.encode()]
-        return out
-
-    def merge_short(self, parts: list[str], base: int, threshold: int, seen: list[tuple[bytes, bool]] | None = None) -> None:
-        """The agenda as a list of the costs of neighbouring pairs, searched for its least."""
-        cost = self.cost.get
-        costs = [cost(a + b, NEVER) for a, b in zip(parts, parts[1:])]
-        place = list(range(len(parts)))
-        while costs and (least := min(costs)) < NEVER:
-            i = costs.index(least)
-            joined = parts[i] + parts[i + 1]
+        width, n = symbols.shape
+        done = symbols
+        column = np.arange(n)
+        symbols = np.vstack([symbols, np.full((1, n), -1, np.int32)])
+        right = np.repeat(np.arange(1, width + 2, dtype=np.int16)[:, None], n, axis=1)
+        left = np.repeat(np.arange(-1, width, dtype=np.int16)[:, None], n, axis=1)
+        right[width], left[0] = width, width
+        #: Order of the score and place of each pair in one number, so that the least is the best and leftmost.
+        agenda = np.full((width + 1, n), NONE, np.int32)
+        for k in range(width - 1):
+            agenda[k] = self.packed(self.pairs.made_of(symbols[k], symbols[k + 1]), k)
+        while n:
+            best = agenda.min(axis=0)
+            live = np.flatnonzero(best != NONE)
+            if 2 * len(live) < n:
+                done[:, column] = symbols[:width]
+                column, symbols, right, left, agenda, base, best = (np.take(x, live, axis=-1) for x in (column, symbols, right, left, agenda, base, best))
+                n, live = len(live), np.arange(len(live))
+                if not n:
+                    break
+            place, piece = best[live] & 63, self.holder[best[live] >> 6]
+            at = place.astype(np.int64) * n + live
+            symbol_, right_, left_, agenda_ = (x.reshape(-1) for x in (symbols, right, left, agenda))
+            other = right_[at].astype(np.int64) * n + live
+            tied = piece < 0
+            if tied.any():
+                piece[tied] = self.pairs.made_of(symbol_[at[tied]], symbol_[other[tied]])
             if threshold:
-                candidate = PLACES[place[i]] + joined.encode()
-                skipped = xxhash.xxh64_intdigest(candidate, base) < threshold
-                if seen is not None:
-                    seen.append((candidate, skipped))
-                if skipped:
-                    costs[i] = NEVER
-                    continue
-            parts[i] = joined
-            del parts[i + 1], place[i + 1], costs[i]
-            if i < len(costs):
-                costs[i] = cost(joined + parts[i + 1], NEVER)
-            if i:
-                costs[i - 1] = cost(parts[i - 1] + joined, NEVER)
-
-    def merge_long(self, parts: list[str], base: int, threshold: int) -> None:
-        """The agenda as a heap; merged parts stay as empty strings."""
-        n = len(parts)
-        cost = self.cost
-        right = list(range(1, n + 1))
-        left = list(range(-1, n - 1))
-        agenda: list[tuple[float, int, str]] = []
+                out = self.skipped(base[live], place, piece, threshold)
+                agenda_[at[out]] = NONE
+                live, place, piece, at, other = (x[~out] for x in (live, place, piece, at, other))
+            after = right_[other]
+            symbol_[at], symbol_[other], agenda_[other], right_[at] = piece, -1, NONE, after
+            after = after.astype(np.int64) * n + live
+            left_[after] = place
+            agenda_[at] = self.packed(self.pairs.made_of(piece, symbol_[after]), place)
+            before = left_[at]
+            agenda_[before.astype(np.int64) * n + live] = self.packed(self.pairs.made_of(symbol_[before.astype(np.int64) * n + live], piece), before)
+        done[:, column] = symbols[:width]
+        return done
+
+    def packed(self, piece: np.ndarray, place) -> np.ndarray:
+        none = piece == NONE
+        return np.where(none, NONE, (self.order[np.where(none, 0, piece)] << 6) | place).astype(np.int32)
+
+    def merge_long(self, symbols: list[int], base: int, threshold: int) -> list[int]:
+        """The agenda of one unit as a heap; merged places are -1."""
+        n, found = len(symbols), self.found.get
+        key, one = np.array([base], np.uint64), lambda x: np.array([x])
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        agenda: list[tuple[int, int, int, int, int]] = []
+
+        def propose(i: int, j: int) -> None:
+            piece = found(symbols[i] << SYMBOL_BITS | symbols[j])
+            if piece is not None:
+                heappush(agenda, (int(self.order[piece]), i, piece, symbols[i], symbols[j]))
+
         for i in range(n - 1):
-            joined = parts[i] + parts[i + 1]
-            if joined in cost:
-                heappush(agenda, (cost[joined], i, joined))
+            propose(i, i + 1)
         while agenda:
-            _, i, joined = heappop(agenda)
+            _, i, piece, a, b = heappop(agenda)
             j = right[i]
-            if j >= n or not parts[i] or parts[i] + parts[j] != joined:
+            if j >= n or symbols[i] != a or symbols[j] != b:
                 continue
-            if threshold and xxhash.xxh64_intdigest(f"{i} {joined}".encode(), base) < threshold:
+            if threshold and self.skipped(key, one(i), one(piece), threshold)[0]:
                 continue
-            parts[i], parts[j] = joined, ""
+            symbols[i], symbols[j] = piece, -1
             k = right[i] = right[j]
             if k < n:
                 left[k] = i
-                after = joined + parts[k]
-                if after in cost:
-                    heappush(agenda, (cost[after], i, after))
-            h = left[i]
-            if h >= 0:
-                before = parts[h] + joined
-                if before in cost:
-                    heappush(agenda, (cost[before], h, before))
+                propose(i, k)
+            if left[i] >= 0:
+                propose(left[i], i)
+        return symbols
+
+    def ids_of(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the symbols in order, and the number of ids of each: one, or its bytes outside the vocabulary."""
+        size = np.ones(len(symbols), np.int64)
+        hard = np.flatnonzero(symbols >= self.count)
+        if not len(hard):
+            return self.ids[symbols].astype(np.uint32), size
+        codes, which = np.unique(symbols[hard] - self.count, return_inverse=True)
+        coded = [self.byte[list(chr(c).encode())] for c in codes.tolist()]
+        many = np.array([len(x) for x in coded])
+        size[hard] = many[which]
+        out = np.repeat(self.ids[np.minimum(symbols, self.count - 1)], size).astype(np.uint32)
+        first = (np.cumsum(size) - size)[hard]
+        table, start = np.concatenate(coded), np.cumsum(many) - many
+        for k in range(int(many.max())):
+            some = many[which] > k
+            out[first[some] + k] = table[start[which[some]] + k]
+        return out, size
 
 
 @lru_cache(maxsize=2)
@@ -148,64 +256,72 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-class Remembered:
-    """Trees of candidates by unit: a node is [candidate, where kept, where skipped], an end the packed ids."""
-
-    def __init__(self) -> None:
-        self.roots: dict[str, list | bytes] = {}
-        self.size = 0
-
-    def add(self, unit: str, seen: list[tuple[bytes, bool]], ids: bytes) -> None:
-        self.size += 1 + len(seen)
-        if not seen:
-            self.roots[unit] = ids
-            return
-        node = self.roots.setdefault(unit, [seen[0][0], None, None])
-        for (_, skipped), (candidate, _) in zip(seen, seen[1:]):
-            branch = 2 if skipped else 1
-            if node[branch] is None:
-                node[branch] = [candidate, None, None]
-            node = node[branch]
-        node[2 if seen[-1][1] else 1] = ids
-
-
-@lru_cache(maxsize=16)
-def remembered(path: str, threshold: int) -> Remembered:
-    return Remembered()
-
-
-def bases(key: int, n: int) -> list[int]:
-    """Hash keys of the units of a text by their number (the finaliser of splitmix64)."""
-    x = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(key % 2**64)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return (x ^ (x >> np.uint64(31))).tolist()
-
-
-def encode(text: str, path: str, key: int, rate: float) -> bytes:
-    """Ids of a whole text as little-endian 32-bit bytes; an empty text has none."""
-    if not text:
-        return b""
-    threshold = int(rate * 2**64)
-    known = remembered(path, threshold)
-    if known.size > CACHE_ENTRIES:
-        known.roots.clear()
-        known.size = 0
-    units = UNITS.findall(f" {text}")
-    root, digest, segment = known.roots.get, xxhash.xxh64_intdigest, pieces(path).segment
-    out = []
-    for unit, base in zip(units, bases(key, len(units))):
-        node = root(unit)
-        while node.__class__ is list:
-            node = node[2 if digest(node[0], base) < threshold else 1]
-        if node is None:
-            seen: list[tuple[bytes, bool]] = []
-            ids = segment(unit, base, threshold, seen)
-            node = pack(f"<{len(ids)}I", *ids)
-            if len(unit) <= SHORT:
-                known.add(unit, seen, node)
-        out.append(node)
-    return b"".join(out)
+def units_of(codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """First characters of the units; every text begins one."""
+    barrier = (codes == ord("\n")) | (codes == ord(SPACE))
+    space = codes == ord(" ")
+    first = barrier.copy()
+    first[1:] |= barrier[:-1] | (space[1:] & ~space[:-1])
+    first[edges] = True
+    return np.flatnonzero(first)
+
+
+def encode_many(texts: list[str], keys: list[int], path: str, rate: float, numbers: list[int] | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Ids of each text, and how many units it has. ``numbers``: units that went before, where a text is continued."""
+    machine, threshold = pieces(path), min(int(rate * 2**64), 2**64 - 1)
+    #: At rate 1 nothing may merge, whatever the draw.
+    whole = rate >= 1
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    chars = np.array([len(t) for t in texts], np.int64)
+    edges = np.cumsum(chars) - chars
+    if not len(codes):
+        return [np.zeros(0, np.uint32) for _ in texts], np.zeros(len(texts), np.int64)
+    start = units_of(codes, edges[chars > 0])
+    size = np.diff(np.append(start, len(codes)))
+    text = np.searchsorted(edges + chars, start, side="right")
+    units = np.bincount(text, minlength=len(texts))
+    number = np.arange(len(start)) - (np.cumsum(units) - units)[text] + np.array(numbers or [0] * len(texts))[text]
+    base = finalised((number + 1).astype(np.uint64) * np.uint64(GOLDEN) + np.array(keys, np.uint64)[text])
+    symbols = machine.of_code[codes]
+    done = symbols.copy()
+    low = 1
+    for width in WIDTHS[1:] if not whole else ():
+        mine = np.flatnonzero((size > low) & (size <= width))
+        low = width
+        if len(mine):
+            place = np.arange(width)[:, None]
+            inside = place < size[mine]
+            at = start[mine] + np.minimum(place, size[mine] - 1)
+            merged = machine.merge_all(np.where(inside, symbols[at], -1).astype(np.int32), base[mine], threshold)
+            done[at[inside]] = merged[inside]
+    for k in np.flatnonzero(size > WIDTHS[-1]).tolist() if not whole else ():
+        part = slice(start[k], start[k] + size[k])
+        done[part] = machine.merge_long(symbols[part].tolist(), int(base[k]), threshold)
+    kept = done >= 0
+    ids, many = machine.ids_of(done[kept])
+    total = np.concatenate(([0], np.cumsum(many)))
+    held = total[np.concatenate(([0], np.cumsum(kept)))[np.append(edges, len(codes))]]
+    return [ids[a:b] for a, b in zip(held, held[1:])], units
+
+
+def encode(text: str, path: str, key: int, rate: float) -> np.ndarray:
+    """Ids of a whole text; an empty text has none. A very long one is encoded in stretches of whole units."""
+    found, number, at = [], 0, 0
+    text = f" {text}" if text else ""
+    while at < len(text):
+        cut = CUT.search(text, at + STRETCH)
+        end = cut.start() if cut else len(text)
+        (ids,), (units,) = encode_many([text[at:end]], [key], path, rate, [number])
+        found.append(ids)
+        number, at = number + int(units), end
+    return np.concatenate(found) if found else np.zeros(0, np.uint32)
+
+
+def encode_slice(texts: list[str], keys: list[int], path: str, rate: float) -> list[np.ndarray]:
+    """Ids of each text of a slice; a slice of several texts is short."""
+    if len(texts) == 1:
+        return [encode(texts[0], path, keys[0], rate)]
+    return encode_many([f" {t}" if t else "" for t in texts], keys, path, rate)[0]
 
 
 def decode(ids: np.ndarray, path: str) -> bytes:
@@ -222,22 +338,22 @@ def _coded(docs: DataFrame, path: str, seed: int, rate: float, with_ids: bool) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            ids, lossless, texts, back = [], [], [], []
-            for doc_id, raw in zip(part.column("doc_id").to_pylist(), raw_texts(part), strict=True):
-                raw = raw or b""
-                ids.append(np.frombuffer(encode(raw.decode("utf-8"), path, document_key(seed, doc_id), rate), "<u4"))
-                again = decode(ids[-1], path)
-                lossless.append(again == raw)
-                if not with_ids:
-                    texts.append(zlib.crc32(raw))
-                    back.append(zlib.crc32(again))
+            texts = [raw or b"" for raw in raw_texts(part)]
+            keys = [document_key(seed, i) for i in part.column("doc_id").to_pylist()]
+            ids = encode_slice([raw.decode("utf-8") for raw in texts], keys, path, rate)
+            back = [decode(x, path) for x in ids]
+            lossless = pa.array([a == b for a, b in zip(back, texts, strict=True)], pa.bool_())
             lengths = pa.array([len(x) for x in ids], pa.int64())
             if with_ids:
-                more = [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                flat = np.concatenate([np.zeros(0, np.uint32), *ids]).view(np.int32)
+                more = [pa.ListArray.from_arrays(offsets, flat)]
             else:
-                more = [pa.array(x, pa.int64()) for x in ([zlib.crc32(i.tobytes()) for i in ids], texts, back)]
+                crcs = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids], map(zlib.crc32, texts), map(zlib.crc32, back)
+                more = [pa.array(x, pa.int64()) for x in crcs]
             names = [x.split()[0] for x in extra.split(", ")]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lengths, pa.array(lossless, pa.bool_()), *more], ["doc_id", "n_tokens", "lossless", *names])
+            columns = [part.column("doc_id"), lengths, lossless, *more]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "lossless", *names])
 
     return keyed_text(docs).mapInArrow(run, f"doc_id long, n_tokens long, lossless boolean, {extra}")
 
