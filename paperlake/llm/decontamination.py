@@ -14,10 +14,9 @@ Words are numbered by benchmark term once, and that is what is checkpointed: wor
 benchmark can neither weigh in a vector's entries nor be common to a segment.
 
 The space holds about as many directions as its rank, so with many more segments than that
-it cannot hold each of them. What it misses is found by words: a passage that holds the least
-share of a segment in order must hold some of the segment's rarer words close together, and
-those are counted for every segment in every stretch of text (``Counted``), whatever the number
-of segments and the rank. Of these, stretches with under half of a segment's weight are left out.
+it cannot hold each of them. What it misses is found by words: the weights of a segment's
+rarer words are added up for every segment in every stretch of text (``Counted``), whatever the
+number of segments and the rank; stretches with at least half of a segment's weight are candidates.
 
 A projection never lengthens a vector, so the cosine cannot exceed the share of the
 passage's norm that lies on benchmark terms: windows below the limit are left out before
@@ -47,8 +46,8 @@ RANK, OVERSAMPLING, POWER = 128, 8, 2
 TASKS_PER_CORE = 4
 #: A word in fewer than one of so many documents weighs as one in so many.
 RAREST = 10_000
-#: Words to a block in which a segment's words are counted, and counts held at once.
-BLOCK, CELLS = 32, 1 << 19
+#: Words to a block in which the weights of a segment's words are added up.
+BLOCK = 32
 #: Lower-case words without ASCII punctuation.
 PLAIN = bytes(ord(chr(b).lower()) if b < 128 and (chr(b).isalnum() or b in b" ") else 32 if b < 128 else b for b in range(256))
 
@@ -306,54 +305,65 @@ def latent_basis(found: DataFrame, terms: Terms, limits: Limits, rank: int = RAN
 
 
 class Counted:
-    """Stretches of text that hold enough of a segment's rarer words to hold its least share in order.
+    """Stretches of text whose words may carry the least share of a segment's squared weight.
 
-    Of a segment's words the commonest quarter (half of ``1 - common``) is not counted. A stretch
-    with the share ``common`` of all the words must hold at least ``need`` of the others. Stretches
+    A segment's commonest words, with half of that share between them, are not counted: a stretch
+    is taken if the others in it, repeats included, weigh at least the share less those. Stretches
     are whole blocks, enough of them that any passage half as long again as its segment lies in one.
     """
 
     def __init__(self, terms: Terms, limits: Limits) -> None:
-        self.outside, self.common = terms.outside, limits.common
-        self.need, self.blocks = (np.zeros(len(terms.segments), np.int64) for _ in range(2))
+        self.outside = terms.outside
+        self.square = terms.idf**2
+        self.need, self.blocks = np.zeros(len(terms.segments)), np.zeros(len(terms.segments), np.int64)
         pairs = []
         for k, s in enumerate(terms.segments):
             own, count = np.unique(terms.indices(s.words), return_counts=True)
-            order = np.argsort(-terms.idf[own], kind="stable")
-            n, held = len(s.words), np.cumsum(count[order])
-            least = int(np.ceil(limits.common * n))
-            last = int(np.searchsorted(held, n - least // 2))
-            self.need[k] = least - (n - held[last])
+            order = np.argsort(terms.idf[own], kind="stable")
+            weight = np.cumsum((count * self.square[own])[order])
+            left_out = int(np.searchsorted(weight, limits.common / 2 * weight[-1], side="right"))
+            without = weight[left_out - 1] if left_out else 0.0
+            self.need[k] = (limits.common * weight[-1] - without) * (1 - 1e-6)
+            n = len(s.words)
             self.blocks[k] = -(-(n + max(8, n // 2)) // BLOCK) + 1
-            pairs.append(np.stack([own[order[: last + 1]].astype(np.int64), np.full(last + 1, k)]))
+            kept = own[order[left_out:]].astype(np.int64)
+            pairs.append(np.stack([kept, np.full(len(kept), k)]))
         term, segment = np.concatenate(pairs, axis=1)
         self.segment = segment[np.argsort(term, kind="stable")]
         self.edge = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=self.outside + 1))))
 
     def stretches(self, p: Passages) -> Iterator[tuple[int, int, int, int]]:
-        """(document, segment, start, end) in a slice of documents."""
+        """(document, segment, start, end) in a slice of documents, wherever enough weight lies in a segment's blocks.
+
+        Only blocks in which a segment has weight are held; a stretch is named by the first of them
+        in it, and begins there or up to as many blocks before as it still holds enough.
+        """
         size = p.last - p.first
         count = -(-size // BLOCK)
         offset = np.cumsum(count) - count
         document = np.repeat(np.arange(len(size)), count)
-        block = (np.arange(len(p.index)) - np.repeat(p.first, size)) // BLOCK + np.repeat(offset, size)
-        rows, kinds, reach = len(document), len(self.need), int(self.blocks.max())
-        step = max(reach, CELLS // kinds)
-        for low in range(0, rows, step):
-            a, b = np.searchsorted(block, (low, low + step + reach))
-            term = p.index[a:b].astype(np.int64)
-            many = self.edge[term + 1] - self.edge[term]
-            place = np.arange(many.sum()) + np.repeat(self.edge[term] - (np.cumsum(many) - many), many)
-            cell = np.repeat(block[a:b] - low, many) * kinds + self.segment[place]
-            sums = np.zeros((step + reach + 1, kinds), np.int64)
-            np.cumsum(np.bincount(cell, minlength=(step + reach) * kinds).reshape(-1, kinds), axis=0, out=sums[1:])
-            here = min(step, rows - low)
-            for m in np.unique(self.blocks):
-                own = np.flatnonzero(self.blocks == m)
-                for i, k in zip(*np.nonzero(sums[m : m + here, own] - sums[:here, own] >= self.need[own]), strict=True):
-                    d = document[low + i]
-                    start = p.first[d] + (low + i - offset[d]) * BLOCK
-                    yield d, own[k], start, min(p.last[d], start + m * BLOCK)
+        term = p.index.astype(np.int64)
+        weighing = np.flatnonzero(self.edge[term + 1] > self.edge[term])
+        own = np.searchsorted(p.last, weighing, side="right")
+        block = (weighing - p.first[own]) // BLOCK + offset[own]
+        term = term[weighing]
+        many = self.edge[term + 1] - self.edge[term]
+        place = np.arange(many.sum()) + np.repeat(self.edge[term] - (np.cumsum(many) - many), many)
+        rows = len(document) + int(self.blocks.max())
+        key, at = np.unique(self.segment[place] * rows + np.repeat(block, many), return_inverse=True)
+        total = np.concatenate(([0.0], np.cumsum(np.bincount(at, np.repeat(self.square[term], many), minlength=len(key)))))
+        segment, block = key // rows, key % rows
+        before = np.where(np.diff(segment, prepend=-1) == 0, np.roll(block, 1), -1)
+        long, need = self.blocks[segment], self.need[segment]
+        hits = np.flatnonzero(total[np.searchsorted(key, key + long)] - total[:-1] >= need)
+        for shift in range(int(long[hits].max()) if len(hits) else 0):
+            start = block[hits] - shift
+            fits = (shift < long[hits]) & (start > before[hits]) & (start >= offset[document[block[hits]]])
+            held = total[np.searchsorted(key, key[hits] - shift + long[hits])] - total[hits]
+            for h in hits[fits & (held >= need[hits])].tolist():
+                d = int(document[block[h]])
+                first = p.first[d] + (block[h] - shift - offset[d]) * BLOCK
+                yield d, int(segment[h]), int(first), int(min(p.last[d], first + long[h] * BLOCK))
 
 
 def share_of_weight(terms: Terms, segment: Segment, words: np.ndarray) -> tuple[float, float]:
@@ -370,7 +380,7 @@ FOUND = "doc_id long, item_id long, start int, cosine double, common_share doubl
 
 
 def matches(found: DataFrame, terms: Terms, basis: np.ndarray, limits: Limits) -> DataFrame:
-    """Candidates by cosine in the latent space and by counted words, verified on their words."""
+    """Candidates by cosine in the latent space and by weight of words, verified on them."""
     counted = Counted(terms, limits)
     queries = np.array([w @ basis[t] for t, w in terms.vectors()], np.float32)
     queries /= np.maximum(1e-9, np.linalg.norm(queries, axis=1, keepdims=True))
