@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that a helper handles at once; one longer text is a slice of its own.
@@ -20,9 +19,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def keyed_text(docs: DataFrame) -> DataFrame:
-    """Only doc_id as long and text as string; all other columns are pruned from the scan."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def keyed_text(docs: DataFrame, *more: str) -> DataFrame:
+    """Only doc_id as long, text as string and the columns named; all others are pruned from the scan."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
 def columns_of(df: DataFrame, like: DataFrame) -> DataFrame:
@@ -69,21 +68,58 @@ def stretches(raw: bytes, size: int) -> Iterator[bytes]:
     yield raw[start:]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster shares (spark.checkpoint.dir).
+def shared_folder(spark: SparkSession) -> str:
+    """Where tables go that every executor must read: spark.checkpoint.dir.
 
-    A folder of our own is set only where the session names none, as in local tests.
+    A folder of our own is set only where the session names none and runs in one process, as in tests.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the folder that the cluster shares."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where written tables go that every executor must read: spark.checkpoint.dir."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return found or os.path.join(tempfile.gettempdir(), "checkpoints")
+def row_key(docs: DataFrame) -> list[Column]:
+    """128 bits from a row's text and doc_id, either of which may be null: rows agree where both do."""
+    parts = F.struct(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return [F.xxhash64(F.lit(salt), parts, F.isnull("doc_id"), F.isnull("text")) for salt in (1, 2)]
+
+
+def free_names(docs: DataFrame, count: int) -> list[str]:
+    """Names that no column of ``docs`` has, in either case."""
+    taken = {c.lower() for c in docs.columns}
+    return [n for n in (f"key_{i}" for i in range(count + len(taken))) if n not in taken][:count]
+
+
+def in_slices(texts: pa.Array) -> Iterator[list[bytes | None]]:
+    """The texts of an array, a slice at a time."""
+    for part in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
+        yield raw_texts(part)
+
+
+#: A key with more than one in so many rows is hot: there are fewer than so many hot keys, whatever the table.
+HOT_PART = 1000
+
+
+def joined_by_hot_key(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with groups(key, count, ...), one row a key, where ``count`` is how many rows have that key.
+
+    Rows of hot keys meet their group by a broadcast of fewer than ``HOT_PART`` groups, so no
+    task gets all rows of one key; the rest are joined by key.
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT_PART > F.lit(total)
+    few, rest = (F.broadcast(groups.where(hot).drop(count)), groups.where(~hot).drop(count))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(rest, key))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

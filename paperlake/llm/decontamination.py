@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, columns_of, documents, keyed_text, raw_texts, slices
+from .common import checkpointed, columns_of, documents, free_names, keyed_text, raw_texts, row_key, slices
 
 #: Window lengths in words and their strides: the short ones suit items of few words.
 WINDOWS = ((16, 4), (32, 8))
@@ -453,9 +453,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All columns of the documents that hold no benchmark item (a null doc_id always stays)."""
-    leaks = contaminated(docs, benchmark).select("doc_id").distinct()
-    return columns_of(docs.join(leaks, "doc_id", "left_anti"), docs)
+    """All columns of the documents that hold no benchmark item.
+
+    Rows are judged by their text and doc_id together (64 bits of both stand for a row), so
+    a null doc_id is judged like any other, and so is each text under a repeated doc_id.
+    """
+    (name,) = free_names(docs, 1)
+    keyed = docs.withColumn(name, row_key(docs)[0])
+    leaks = contaminated(keyed.select(F.col(name).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return columns_of(keyed.join(leaks, name, "left_anti"), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, columns_of, connected_components, documents, keyed_text, raw_texts, slices
+from .common import (
+    checkpointed,
+    columns_of,
+    connected_components,
+    documents,
+    free_names,
+    joined_by_hot_key,
+    keyed_text,
+    raw_texts,
+    row_key,
+    slices,
+    stretches,
+)
 
 MAX_BITS = 3
 LANES = 0x5555555555555555
@@ -35,36 +47,44 @@ LANES = 0x5555555555555555
 AXES = (6, 6, 5, 5, 5, 5)
 TILE = 4096
 SHINGLES_AT_ONCE = 1 << 16
+#: Bytes of one text that are read at once.
+STRETCH = 1 << 20
 
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """64-bit SimHash of whole text: bit set where over half the shingle hashes have it."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends[:-1]]
+    """64-bit SimHash of whole text: bit set where over half the shingle hashes have it.
+
+    A very long text is read in stretches, each of which begins with the last words before it.
+    """
+    votes, count, words = np.zeros(64, np.int64), 0, []
     digest = xxhash.xxh64_intdigest
-    if len(words) < width:
-        return digest(joined, 42)
-    hashes = np.array([digest(joined[a : b - 1], 42) for a, b in zip(starts, ends[width - 1 :])], np.uint64)
-    votes = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), SHINGLES_AT_ONCE):
-        part = hashes[i : i + SHINGLES_AT_ONCE].view(np.uint8).reshape(-1, 8)
-        votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    for part in stretches(text or b"", STRETCH):
+        words = words[-(width - 1) :] + part.lower().split()
+        if len(words) < width:
+            continue
+        joined = b" ".join(words)
+        ends = list(accumulate(len(w) + 1 for w in words))
+        hashes = np.array([digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[width - 1 :])], np.uint64)
+        count += len(hashes)
+        for i in range(0, len(hashes), SHINGLES_AT_ONCE):
+            bits = hashes[i : i + SHINGLES_AT_ONCE].view(np.uint8).reshape(-1, 8)
+            votes += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    if not count:
+        return digest(b" ".join(words), 42) if words else 0
+    return int(np.packbits(votes * 2 > count, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the columns of whole numbers named in ``more``, and fp (the 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             found = np.array([fingerprint(t) for t in raw_texts(part)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+            kept = ["doc_id", *more]
+            yield pa.RecordBatch.from_arrays([*map(part.column, kept), pa.array(found)], [*kept, "fp"])
 
-    return keyed_text(docs).mapInArrow(run, "doc_id long, fp long")
+    columns = "".join(f"{c} long, " for c in ("doc_id", *more))
+    return keyed_text(docs, *more).mapInArrow(run, f"{columns}fp long")
 
 
 def axis_masks() -> list[int]:
@@ -181,35 +201,47 @@ def fingerprint_links(fps: DataFrame, most: int = MAX_BITS, tile: int = TILE) ->
     return found.union(hot.groupBy("axes", "cell", "i", "j").applyInPandas(compare_tiles, "a long, b long"))
 
 
+def components_of(fps: DataFrame, most: int) -> DataFrame:
+    """fp, n (rows that have it), first (the least of them by id, then key), root: one row a distinct fingerprint of ``fps``."""
+    place = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", *(c for c in fps.columns if c not in ("doc_id", "fp"))))
+    distinct = checkpointed(fps.groupBy("fp").agg(F.count("*").alias("n"), place.alias("first")))
+    roots = connected_components(fingerprint_links(distinct.select("fp"), most))
+    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return placed.withColumn("root", F.coalesce("root", "fp"))
+
+
 def simhash_groups(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     Null, empty and blank texts have fingerprint zero and are linked like any other; texts
     of fewer than three words hash their whole word sequence. component_id is the smallest
     non-null doc_id reachable over links of at most ``most`` differing bits (null only if
-    a component has no doc_id at all). Repeated rows stay repeated.
+    a component has no doc_id at all). Repeated rows, and different texts under one doc_id,
+    are rows of their own, each with its own fingerprint.
     """
     fp = checkpointed(fingerprints(docs))
-    distinct = fp.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = connected_components(fingerprint_links(distinct.select("fp"), most))
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    low = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    groups = placed.join(low, "root").select("fp", "component_id")
-    return fp.join(groups, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    placed = components_of(fp, most)
+    low = placed.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
+    groups = placed.join(low, "root").select("fp", "n", "component_id")
+    found = joined_by_hot_key(fp, groups, "fp", "n")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:
-    """All columns of ``docs``, keeping one document (the smallest doc_id) of each component.
+    """All columns of ``docs``, keeping one document of each component: of smallest doc_id, nulls last.
 
-    Repeated rows of a kept doc_id collapse to one; rows without doc_id cannot be told
-    apart by id and are kept.
+    Rows are told apart by text and doc_id together, so a null doc_id is judged like any
+    other, and different texts under one doc_id stay unless they are near-duplicates. Where the
+    smallest doc_id of a component has several texts, one of them stays. Rows that repeat
+    both text and doc_id collapse to one.
     """
-    groups = simhash_groups(docs, most)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = columns_of(docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]), docs)
-    return kept.union(docs.where("doc_id IS NULL"))
+    first, second = free_names(docs, 2)
+    one, two = row_key(docs)
+    keyed = docs.withColumns({first: one, second: two})
+    fp = checkpointed(fingerprints(keyed, first, second))
+    keep = components_of(fp, most).groupBy("root").agg(F.min("first").alias("kept")).select(f"kept.{first}", f"kept.{second}")
+    kept = keyed.join(keep, [first, second], "left_semi").dropDuplicates([first, second])
+    return columns_of(kept, docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
