@@ -1,19 +1,21 @@
 """Secret scans by one combined deterministic automaton.
 
-The trigger of every rule (the shortest text that a valid match must contain) goes into one
-nondeterministic automaton; subset construction and partition refinement turn it into a
-minimal transition array over bytes. Each line of a text is read once, byte by byte, for
-all rules together. Where a rule's trigger is reached, its exact expression is run on that
-line to settle the spans: no rule's exact match can hold a newline, so lines are independent.
-A rule with a closing carries its match on over line breaks, to the closing of the same label
-or to the end of the text; what it opens again in between belongs to the same span.
+The expressions of all rules go into one nondeterministic automaton over bytes, read from
+right to left; subset construction and partition refinement turn it into a minimal
+transition array. One pass over a text's bytes, backwards, marks for every rule the places at
+which a match of its whole expression begins. From the leftmost of these that lies beyond
+the last match, the rule's own minimal automaton is followed forwards to the longest end.
+Matches of a rule do not overlap, so both passes are linear in the text, whatever it holds.
+
+A rule is a head and a tail; a match counts only if its tail is long enough, and one that is too
+short still takes up its place. A rule with a closing carries its match on over line breaks, to
+the closing of the same label or to the end of the text; what it opens again in between belongs
+to the same span.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-import re._parser as regex_parser
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,115 +25,142 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keyed_text, raw_texts, slices
+from .common import documents, in_slices, keyed_text, raw_texts, slices
+
+#: Expressions: ("set", bytes), ("seq", parts), ("or", parts), ("many", part, least, most or None).
+Expression = tuple
+
+
+def one_of(ranges: str) -> Expression:
+    """One byte out of ranges such as ``A-Z`` and single characters, a dash last."""
+    found, i = set(), 0
+    while i < len(ranges):
+        if ranges[i + 1 : i + 2] == "-" and i + 2 < len(ranges):
+            found.update(range(ord(ranges[i]), ord(ranges[i + 2]) + 1))
+            i += 3
+        else:
+            found.add(ord(ranges[i]))
+            i += 1
+    return "set", frozenset(found)
+
+
+def seq(*parts: Expression | str) -> Expression:
+    """Parts one after another; strings stand for themselves."""
+    return "seq", tuple(x if isinstance(p, tuple) else ("set", frozenset((x,))) for p in parts for x in ((p,) if isinstance(p, tuple) else p.encode()))
+
+
+def either(*parts: Expression | str) -> Expression:
+    return "or", tuple(map(seq, parts))
+
+
+def many(part: Expression, least: int = 1, most: int | None = None) -> Expression:
+    return "many", part, least, most
+
+
+def maybe(part: Expression) -> Expression:
+    return many(part, 0, 1)
+
+
+def any_case(e: Expression) -> Expression:
+    """Letters of the expression in either case."""
+    if e[0] == "set":
+        return "set", frozenset(ord(x) for b in e[1] for x in {chr(b), chr(b).lower(), chr(b).upper()} if x.isascii())
+    if e[0] == "many":
+        return many(any_case(e[1]), *e[2:])
+    return e[0], tuple(map(any_case, e[1]))
+
+
+def holds(e: Expression, byte: int) -> bool:
+    return byte in e[1] if e[0] == "set" else any(holds(x, byte) for x in (e[1:2] if e[0] == "many" else e[1]))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: exact expression, least length of a group, its trigger, and what closes it (``{}``: group 1)."""
+    """A kind of secret: head and tail, least length of the tail, and what closes it (``{}``: the match without its dashes and BEGIN)."""
 
     kind: str
-    exact: str
-    trigger: str
-    group: int = 0
+    head: Expression
+    tail: Expression
     least: int = 0
-    any_case: bool = False
     closing: str = ""
 
 
-_KEYWORD = "(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?"
+QUOTE, WORD, URL_WORD = one_of("\"'"), one_of("A-Za-z0-9"), one_of("A-Za-z0-9_-")
+_KEYWORD = either("password", "passwd", "secret", "token", seq("api", maybe(one_of("_")), "key"))
+_ASSIGNED = seq(_KEYWORD, maybe(QUOTE), many(one_of(" "), 0), one_of(":="), many(one_of(" "), 0), maybe(QUOTE))
+_JWT_PART = many(URL_WORD)
 #: The first three are the base rules; the others are what this operator adds.
 RULES = (
-    Rule("assign", _KEYWORD + "([A-Za-z0-9+/_.=-]+)", _KEYWORD + "[A-Za-z0-9+/_.=-]", 2, 8, True),
-    Rule("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]", 0, 16),
-    Rule("hex", "[0-9a-f]+", "[0-9a-f]{32}", 0, 32),
-    Rule("pem", "-----BEGIN ([A-Z ]*PRIVATE KEY)-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----", closing="-----END {}-----"),
-    Rule("forge", "gh[pousr]_[A-Za-z0-9]+", "gh[pousr]_[A-Za-z0-9]", 0, 40),
-    Rule("chat", "xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-[A-Za-z0-9-]", 0, 15),
-    Rule("cloud", "AIza[A-Za-z0-9_-]+", "AIza[A-Za-z0-9_-]", 0, 39),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]"),
+    Rule("assign", any_case(_ASSIGNED), many(one_of("A-Za-z0-9+/_.=-")), 8),
+    Rule("access", seq("AKIA"), many(one_of("A-Z0-9")), 12),
+    Rule("hex", seq(), many(one_of("0-9a-f"), 32)),
+    Rule("pem", seq("-----BEGIN "), seq(many(one_of("A-Z "), 0), "PRIVATE KEY-----"), closing="-----END {}-----"),
+    Rule("forge", seq("gh", one_of("pousr"), "_"), many(WORD), 36),
+    Rule("chat", seq("xox", one_of("abprs"), "-"), many(one_of("A-Za-z0-9-")), 10),
+    Rule("cloud", seq("AIza"), many(URL_WORD), 35),
+    Rule("jwt", seq("eyJ"), seq(_JWT_PART, ".eyJ", _JWT_PART, ".", _JWT_PART)),
 )
 BASE = ("assign", "access", "hex")
 
 
 class Automaton:
-    """Minimal transition array of all triggers, searched at every position.
+    """Minimal transition array of some expressions: ``step[state + byte]`` is the next state.
 
-    ``step[state + byte]`` is the next state; states are multiples of 256 and those of
-    ``accept`` on up have reached the triggers in ``fired[state >> 8]`` (bits by rule).
+    States are multiples of 256; those from ``accept`` on end a match of the expressions whose bits
+    are in ``fired[state >> 8]``; ``dead`` leads nowhere. A searching automaton may begin anywhere,
+    others at the first byte only; a backward one takes the bytes from right to left.
     """
 
-    def __init__(self, rules: tuple[Rule, ...]) -> None:
+    def __init__(self, expressions: list[Expression], searching: bool = False, backward: bool = False) -> None:
         self.empty: list[list[int]] = []
-        self.moves: list[list[tuple[frozenset[int], int]]] = []
+        self.moves: list[tuple[frozenset[int], int] | None] = []
+        self.backward = backward
         start, ends = self.node(), {}
-        for i, rule in enumerate(rules):
-            first, last = self.build(regex_parser.parse(rule.trigger), rule.any_case)
+        for i, e in enumerate(expressions):
+            first, last = self.build(e)
             self.empty[start].append(first)
             ends[last] = 1 << i
-        table, fired = self.determine(start, ends)
+        table, fired = self.determine(start, ends, searching)
         self.minimise(table, fired)
         del self.empty, self.moves
 
     def node(self) -> int:
         self.empty.append([])
-        self.moves.append([])
+        self.moves.append(None)
         return len(self.empty) - 1
 
-    def build(self, parsed, any_case: bool) -> tuple[int, int]:
-        """Thompson's construction from Python's parse of the expression."""
+    def build(self, e: Expression) -> tuple[int, int]:
+        """First and last node of an expression (Thompson's construction)."""
         first = last = self.node()
-        for op, value in parsed:
-            name = str(op)
-            if name in ("LITERAL", "IN"):
-                a, b = self.node(), self.node()
-                self.moves[a].append((self.bytes_of(name, value, any_case), b))
-            elif name == "SUBPATTERN":
-                a, b = self.build(value[3], any_case)
-            elif name == "BRANCH":
-                a, b = self.node(), self.node()
-                for choice in value[1]:
-                    x, y = self.build(choice, any_case)
-                    self.empty[a].append(x)
-                    self.empty[y].append(b)
-            elif name == "MAX_REPEAT":
-                low, high, inner = value
-                a = b = self.node()
-                for _ in range(low):
-                    x, y = self.build(inner, any_case)
-                    self.empty[b].append(x)
-                    b = y
-                if high == regex_parser.MAXREPEAT:
-                    x, y = self.build(inner, any_case)
-                    z = self.node()
-                    self.empty[b] += [x, z]
-                    self.empty[y] += [x, z]
-                    b = z
-                else:
-                    for _ in range(high - low):
-                        x, y = self.build(inner, any_case)
-                        self.empty[b] += [x, y]
-                        b = y
-            else:
-                raise ValueError(f"not supported in a rule: {name}")
-            self.empty[last].append(a)
-            last = b
+        if e[0] == "set":
+            last = self.node()
+            self.moves[first] = (e[1], last)
+        elif e[0] == "seq":
+            for part in reversed(e[1]) if self.backward else e[1]:
+                a, b = self.build(part)
+                self.empty[last].append(a)
+                last = b
+        elif e[0] == "or":
+            last = self.node()
+            for part in e[1]:
+                a, b = self.build(part)
+                self.empty[first].append(a)
+                self.empty[b].append(last)
+        else:
+            _, part, least, most = e
+            for k in range(most if most is not None else least + 1):
+                a, b = self.build(part)
+                self.empty[last].append(a)
+                if k >= least:
+                    self.empty[b if most is None else last].append(a if most is None else b)
+                if most is None and k == least:
+                    end = self.node()
+                    self.empty[last].append(end)
+                    self.empty[b].append(end)
+                    b = end
+                last = b
         return first, last
 
-    @staticmethod
-    def bytes_of(name: str, value, any_case: bool) -> frozenset[int]:
-        found: set[int] = set()
-        for op, x in [("LITERAL", value)] if name == "LITERAL" else [(str(o), v) for o, v in value]:
-            if op == "LITERAL":
-                found.add(x)
-            elif op == "RANGE":
-                found.update(range(x[0], x[1] + 1))
-            else:
-                raise ValueError(f"not supported in a set: {op}")
-        if any_case:
-            found |= {ord(c) for b in tuple(found) if chr(b).isalpha() for c in (chr(b).lower(), chr(b).upper())}
-        return frozenset(found)
-
     def closure(self, nodes: set[int]) -> frozenset[int]:
         found, todo = set(nodes), list(nodes)
         while todo:
@@ -141,28 +170,28 @@ class Automaton:
                     todo.append(x)
         return frozenset(x for x in found if self.moves[x] or not self.empty[x])
 
-    def determine(self, start: int, ends: dict[int, int]) -> tuple[list[list[int]], list[int]]:
+    def determine(self, start: int, ends: dict[int, int], searching: bool) -> tuple[list[list[int]], list[int]]:
+        """Subset construction; a searching automaton keeps the start among the nodes of every state."""
         root = self.closure({start})
+        always = root if searching else frozenset()
         number, todo, table, fired = {root: 0}, [root], [], []
-        while todo:
-            state = todo.pop(0)
+        for state in todo:
             by_byte: list[set[int]] = [set() for _ in range(256)]
             for x in state:
-                for symbols, to in self.moves[x]:
-                    for b in symbols:
-                        by_byte[b].add(to)
+                if self.moves[x]:
+                    for b in self.moves[x][0]:
+                        by_byte[b].add(self.moves[x][1])
             row, known = [], {}
-            for targets in by_byte:
-                key = frozenset(targets)
-                if key not in known:
-                    following = self.closure(targets) | root
+            for targets in map(frozenset, by_byte):
+                if targets not in known:
+                    following = self.closure(targets) | always
                     if following not in number:
                         number[following] = len(number)
                         todo.append(following)
-                    known[key] = number[following]
-                row.append(known[key])
+                    known[targets] = number[following]
+                row.append(known[targets])
             table.append(row)
-            fired.append(sum({bit for end, bit in ends.items() if end in state}))
+            fired.append(sum(bit for end, bit in ends.items() if end in state))
         return table, fired
 
     def minimise(self, table: list[list[int]], fired: list[int]) -> None:
@@ -183,49 +212,78 @@ class Automaton:
         self.accept = sum(not fired[sample[p]] for p in order) << 8
         self.fired = [fired[sample[p]] for p in order]
         self.step = [at[part[x]] << 8 for p in order for x in table[sample[p]]]
+        barren = [k for k in range(len(order)) if not self.fired[k] and set(self.step[k << 8 : (k + 1) << 8]) == {k << 8}]
+        self.dead = barren[0] << 8 if barren else -1
+
+    def beginnings(self, raw: bytes) -> list[tuple[int, int]]:
+        """(place, bits of the expressions that match from there on), from right to left, in one pass.
 
-    def lines_with_triggers(self, raw: bytes) -> Iterator[tuple[int, bytes, int]]:
-        """(byte offset, line, bits of the rules whose trigger it holds), in one pass."""
+        No expression of a line break matches across one, so every line begins anew; only lines
+        that hold a match are followed once more, for its places.
+        """
         step, accept, bits, start = self.step, self.accept, self.fired, self.start
-        offset = 0
-        for line in raw.split(b"\n"):
-            state, found = start, 0
+        found, end = [], len(raw)
+        for line in raw[::-1].split(b"\n"):
+            state = start
             for byte in line:
                 state = step[state + byte]
                 if state >= accept:
-                    found |= bits[state >> 8]
-            if found:
-                yield offset, line, found
-            offset += len(line) + 1
+                    break
+            else:
+                end -= len(line) + 1
+                continue
+            state = start
+            for i, byte in enumerate(line, 1):
+                state = step[state + byte]
+                if state >= accept:
+                    found.append((end - i, bits[state >> 8]))
+            end -= len(line) + 1
+        return found
+
+    def longest(self, raw: bytes, start: int) -> int:
+        """End of the longest match that begins at ``start``, or -1."""
+        step, accept, dead = self.step, self.accept, self.dead
+        state = self.start
+        end = start if state >= accept else -1
+        for i in range(start, len(raw)):
+            state = step[state + raw[i]]
+            if state >= accept:
+                end = i + 1
+            elif state == dead:
+                break
+        return end
 
 
 @lru_cache(maxsize=4)
 def automaton(rules: tuple[Rule, ...]) -> Automaton:
-    return Automaton(rules)
+    """The combined automaton that marks where matches of any rule begin; none may hold a line break."""
+    if any(holds(e, 10) for r in rules for e in (r.head, r.tail)):
+        raise ValueError("a rule's expression may not hold a line break")
+    return Automaton([seq(r.head, r.tail) for r in rules], searching=True, backward=True)
 
 
 @lru_cache(maxsize=64)
-def exact(rule: Rule) -> re.Pattern[bytes]:
-    return re.compile(rule.exact.encode(), re.IGNORECASE if rule.any_case else 0)
+def parts(rule: Rule) -> tuple[Automaton, Automaton]:
+    return Automaton([rule.head]), Automaton([rule.tail])
 
 
 def byte_spans(raw: bytes, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int]]:
     """(start, rule index, end) in bytes of every valid match, by start, then rule."""
-    found = []
-    done = dict.fromkeys(range(len(rules)), 0)
-    for offset, line, bits in automaton(rules).lines_with_triggers(raw):
+    found, done = [], [0] * len(rules)
+    for start, bits in reversed(automaton(rules).beginnings(raw)):
         for i, rule in enumerate(rules):
-            if not bits >> i & 1:
+            if not bits >> i & 1 or start < done[i]:
+                continue
+            head, tail = parts(rule)
+            middle = head.longest(raw, start)
+            done[i] = end = tail.longest(raw, middle)
+            if end - middle < rule.least:
                 continue
             if rule.closing:
-                for m in exact(rule).finditer(line):
-                    if offset + m.start() >= done[i]:
-                        mark = rule.closing.encode().replace(b"{}", m[1])
-                        at = raw.find(mark, offset + m.end())
-                        done[i] = len(raw) if at < 0 else at + len(mark)
-                        found.append((offset + m.start(), i, done[i]))
-            else:
-                found += [(offset + m.start(), i, offset + m.end()) for m in exact(rule).finditer(line) if len(m[rule.group]) >= rule.least]
+                mark = rule.closing.encode().replace(b"{}", raw[middle : end - 5])
+                at = raw.find(mark, end)
+                done[i] = end = len(raw) if at < 0 else at + len(mark)
+            found.append((start, i, end))
     return sorted(found)
 
 
@@ -258,22 +316,22 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 base = ",".join(s for k, s in named if k in BASE)
                 columns["base_sha256"].append(hashlib.sha256(base.encode()).hexdigest())
                 columns["spans"].append(",".join(s for _, s in named))
-            arrays = [part.column("doc_id"), *(pa.array(columns[f"n_{k}"], pa.int64()) for k in BASE), pa.array(columns["base_sha256"], pa.string()), pa.array(columns["spans"], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+            counts = [pa.array(columns[f"n_{k}"], pa.int64()) for k in BASE]
+            digests = [pa.array(columns[c], pa.string()) for c in ("base_sha256", "spans")]
+            names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, *digests], names)
 
-    return keyed_text(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+    return keyed_text(docs).mapInArrow(run, schema)
 
 
 def redacted(raw: bytes, rules: tuple[Rule, ...] = RULES, mask: bytes = b"[SECRET]") -> bytes:
     """Text with every span, overlapping ones as one, replaced by the mask."""
-    out, done = [], 0
-    spans = byte_spans(raw, rules)
-    while spans:
-        start, _, end = spans.pop(0)
-        while spans and spans[0][0] < end:
-            end = max(end, spans.pop(0)[2])
-        out += [raw[done:start], mask]
-        done = end
+    out, done, free = [], 0, 0
+    for start, _, end in byte_spans(raw, rules):
+        if start >= free:
+            out += [raw[done:start], mask]
+        done = free = max(free, end)
     return b"".join([*out, raw[done:]])
 
 
@@ -285,7 +343,8 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 
     @F.arrow_udf("string")
     def masked(texts: pa.Array) -> pa.Array:
-        return pa.array([None if raw is None else redacted(raw, rules).decode("utf-8") for raw in texts.cast(pa.binary()).to_pylist()], pa.string())
+        done = [None if raw is None else redacted(raw, rules).decode("utf-8") for part in in_slices(texts) for raw in part]
+        return pa.array(done, pa.string())
 
     done = docs.withColumn("text", masked(F.col("text").cast("string")))
     if "n_chars" in docs.columns:
