@@ -53,6 +53,14 @@ def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+def listed(words: pa.Array) -> list[str]:
+    """Words without spaces as a list, by one join and one split."""
+    if not len(words):
+        return []
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(whole, " ")[0].as_py().split(" ")
+
+
 WHITE = re.compile(rb"[\t-\r ]")
 
 

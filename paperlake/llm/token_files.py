@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, keyed_text, shared_folder, slices, stretches
+from .common import documents, keyed_text, listed, shared_folder, slices, stretches
 
 #: Fixed values of the format: (selector, values in a word, bits of each).
 SELECTORS = ((1, 120, 0), (2, 60, 1), (3, 30, 2), (4, 20, 3), (5, 15, 4), (6, 12, 5), (7, 10, 6), (8, 8, 7), (9, 7, 8), (10, 6, 10), (11, 5, 12), (12, 4, 15), (13, 3, 20), (14, 2, 30), (15, 1, 60))
@@ -204,14 +204,6 @@ def encode_new(words: list[str], path: str, cache: dict[str, bytes]) -> None:
             cache[w] = ids[4 * a : 4 * b]
 
 
-def listed(words: pa.Array) -> list[str]:
-    """Words without spaces as a list, by one join and one split."""
-    if not len(words):
-        return []
-    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
-    return pc.binary_join(whole, " ")[0].as_py().split(" ")
-
-
 def encode_slice(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, concatenated, and the number of ids of each; null texts have none.
 

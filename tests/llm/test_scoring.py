@@ -5,36 +5,60 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from paperlake.llm import scoring
 
 
-def plain(rows, prior):
+def plain(rows, priors):
+    """Counts, then every text walked token by token over states and failure arcs kept as plain tables."""
+
     def tokens(t):
         low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
-        return [0, *re.findall(r"[^\x20\x09-\x0D]+", low), None]
+        return ["<start>", *re.findall(r"[^\x20\x09-\x0D]+", low), None]
 
     held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
-    one, two, ctx = Counter(), Counter(), Counter()
+    count, context = Counter(), Counter()
     for (_, t), h in zip(rows, held):
         if not h:
             w = tokens(t)
-            one.update(w[1:])
-            two.update(zip(w, w[1:]))
-            ctx.update(w[:-1])
-    n, v = sum(one.values()), len(one)
+            for k in (1, 2, 3):
+                for i in range(1 if k == 1 else 0, len(w) - k + 1):
+                    count[tuple(w[i : i + k])] += 1
+            context.update((x,) for x in w[:-1])
+    ones = {g[0]: c for g, c in count.items() if len(g) == 1}
+    n, v = sum(ones.values()), len(ones)
+    context.update({g: c for g, c in count.items() if len(g) == 2})
+
+    def probability(gram):
+        lower = (ones.get(gram[0], 0) + 0.5) / (n + 0.5 * (v + 1)) if len(gram) == 1 else probability(gram[1:])
+        if len(gram) == 1:
+            return lower
+        prior = priors[len(gram) - 2]
+        return (count[gram] + prior * lower) / (context[gram[:-1]] + prior)
+
     out = []
     for (i, t), h in zip(rows, held):
         w = tokens(t)
-        p = {x: (one[x] + 0.5) / (n + 0.5 * (v + 1)) for x in w[1:]}
-        base = sum(math.log10(p[x]) for x in w[1:])
-        score = sum(math.log10((two[a, b] + prior * p[b]) / (ctx[a] + prior)) for a, b in zip(w, w[1:]))
-        out.append((i, h, len(w) - 1, sum(one[x] > 0 for x in w[1:]), n, round(base, 7), round(score, 7)))
+        base = sum(math.log10(probability((x,))) for x in w[1:])
+        state, score = ("<start>",), 0.0
+        for x in w[1:]:
+            while state and count[(*state, x)] == 0:
+                prior = priors[len(state) - 1]
+                score += math.log10(prior / (context[state] + prior))
+                state = state[1:]
+            score += math.log10(probability((*state, x)))
+            state = (*state, x)[-2:]
+            while state and not context[state]:
+                state = state[1:]
+        direct = sum(math.log10(probability(tuple(w[max(0, k - 2) : k + 1]))) for k in range(1, len(w)))
+        assert abs(direct - score) < 1e-6 * max(1, abs(direct))
+        out.append((i, h, len(w) - 1, sum(x in ones for x in w[1:]), n, round(base, 6), round(score, 6)))
     return sorted(out, key=str)
 
 
 def rows_of(df):
-    return sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 7), round(r.score, 7)) for r in df.collect()), key=str)
+    return sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in df.collect()), key=str)
 
 
 def test_matches_brute_force(docs):
@@ -43,19 +67,41 @@ def test_matches_brute_force(docs):
     rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 40))) + rng.choice(["", "\n", " \t"])) for i in range(120)]
     rows += [(500, None), (501, ""), (502, " "), (503, "long " * 5000), (None, "the cat"), (7, rows[7][1]), (7, "other text")]
     for size in (1 << 20, 600):
-        assert rows_of(scoring.score_documents(docs(rows), block_bytes=size)) == plain(rows, scoring.PRIOR)
+        assert rows_of(scoring.score_documents(docs(rows), block_bytes=size)) == plain(rows, (scoring.PAIR_PRIOR, scoring.TRIPLE_PRIOR))
 
 
 def test_probabilities_sum_to_one():
-    texts = [b"a b a c", b"b b a"]
-    block = scoring.Block([*texts, b"a a", b"a b", b"a c", b"a zzz", b"a"])
-    training = np.array([True, True] + [False] * 5)
-    one, two, starts = block.counts(training)
-    machine = scoring.Automaton(block, one, two, starts, int(one.sum()), int((one > 0).sum()), 3.0)
-    step = np.where(machine.has_arc, machine.arc, machine.failure[block.before] + machine.root[block.after])
-    a = block.token[0]
-    known = {int(w): step[i] for i, (b, w) in enumerate(zip(block.before, block.after)) if b == a}
-    assert len(known) == 5 and abs(sum(10**x for x in known.values()) - 1) < 1e-9
+    """From the state of a pair, over all words, an unseen one and the end."""
+    ends = ["a", "b", "c", "zzz", ""]
+    texts = pa.array(["a b a c", "b b a", *(f"b a {x}" for x in ends)])
+    block = scoring.Block(texts)
+    counts = block.counts(np.array([True, True] + [False] * len(ends)))
+    machine = scoring.Automaton(block, counts, 2, int(counts[1].sum()), int((counts[1] > 0).sum()), (3.0, 2.0))
+    last = block.first[2:] + block.lengths[2:] - 1
+    third = [log_probability_of_third(machine, block, int(i)) for i in last]
+    assert abs(sum(10**x for x in third) - 1) < 1e-9
+
+
+def log_probability_of_third(machine, block, end):
+    """Log10 probability of the third token of a text ``b a x``, from its weights along the failure arcs."""
+    i = end if block.lengths[np.searchsorted(block.first, end, side="right") - 1] == 3 else end - 1
+    later = np.flatnonzero(block.later)
+    t = machine.triple[block.of[3][np.searchsorted(later, i)]]
+    if t <= 0:
+        return t
+    total = machine.pair_failure[block.of[2][i - 1]]
+    p = machine.pair[block.of[2][i]]
+    if p <= 0:
+        return total + p
+    return total + machine.word_failure[block.of[1][i - 1]] + machine.root[block.of[1][i]]
+
+
+def test_packing_round_trip():
+    rng = np.random.default_rng(2)
+    for high in (0, 1, 255, 256, 2**40, 2**64 - 1):
+        x = rng.integers(0, high, 1000, np.uint64, endpoint=True)
+        assert (scoring.unpacked(scoring.packed(x)) == x).all()
+    assert len(scoring.unpacked(scoring.packed(np.zeros(0, np.int64)))) == 0
 
 
 def test_better_than_the_base_on_held_out(docs):
