@@ -104,12 +104,17 @@ def full_text_view(offset: int = 0, max_chars: int = 12_000) -> Column:
 def folded(rows: DataFrame, order: list[Column], head: Column, item: Column, empty: str, show: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """One row with column ``text``: a heading, then the numbered items of a page in order.
 
-    ``head`` and ``empty`` may use ``n``, the number of rows; ``item`` may use ``i``, from 1.
+    ``head`` and ``empty`` may use ``n``, the number of rows; ``item`` may use ``i``, from 1. With
+    ``show``, only so many rows are taken, by a top-k, and all are counted.
     With ``by``, one such row for each of its values, in place of one in all.
     """
-    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    line = F.when(F.col("i") <= show, item) if show else item
-    body = numbered.select(*by, "i", line.alias("line")).groupBy(*by).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "").alias("body"))
+    page = rows.orderBy(*order).limit(show) if show else rows
+    numbered = page.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    lines = F.array_sort(F.collect_list(F.struct("i", "line")))
+    text = F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("body")
+    body = numbered.select(*by, "i", item.alias("line")).groupBy(*by).agg(F.count("*").alias("n"), text)
+    if show:  # all rows are counted apart: one row each, proven by the global aggregates
+        body = body.drop("n").crossJoin(rows.agg(F.count("*").alias("n")))
     more = F.when(F.col("n") > show, F.concat(F.lit(f"_Showing {show} of "), "n", F.lit(" returned papers._\n\n"))).otherwise("") if show else F.lit("")
     return body.select(*by, F.when(F.col("n") == 0, F.lit(empty)).otherwise(F.concat(head, "body", more)).alias("text"))
 

@@ -13,6 +13,14 @@ def neighbours(edges: DataFrame, papers: DataFrame, paper_id: int, relationship:
     return papers.join(ids, "id").orderBy(*order).limit(limit)
 
 
+def references(edges: DataFrame, papers: DataFrame, paper_id: int, limit: int) -> DataFrame:
+    """Papers that ``paper_id`` cites, by their citations, then id: only these papers' citations are counted."""
+    ids = edges.where(F.col("citing") == paper_id).select(F.col("cited").alias("id"))
+    counted = citation_counts(edges.join(ids.withColumnRenamed("id", "cited"), "cited", "left_semi"))
+    found = papers.join(ids, "id").join(counted, "id").withColumnRenamed("citation_count", "citations")
+    return found.orderBy(F.desc("citations"), F.asc("id")).limit(limit)
+
+
 def ego_graph(edges: DataFrame, citing: DataFrame, cited: DataFrame, paper_id: int) -> DataFrame:
     """Both directions of one hop; neighbours without a record keep their id and null fields."""
     into = edges.where(F.col("cited") == paper_id).select(F.lit("citation").alias("direction"), F.col("citing").alias("id")).join(citing, "id", "left")
@@ -21,16 +29,25 @@ def ego_graph(edges: DataFrame, citing: DataFrame, cited: DataFrame, paper_id: i
     return into.unionByName(out).select("direction", "id", *fields)
 
 
-def nested_ego(flat: DataFrame, paper_id: str) -> DataFrame:
-    """One row: paper_id, counts, and the neighbours of each direction as arrays of structs.
+def nested_ego(flat: DataFrame, paper_id: str, most: int = 1000) -> DataFrame:
+    """One row: paper_id, counts, and the first ``most`` neighbours of each direction by id as arrays of structs.
 
-    For one paper's neighbourhood only.
+    Counts are of all neighbours, which ``flat`` itself has as rows. Each direction is a top-k of its
+    own, so no task gets the whole neighbourhood of a much cited paper.
     """
     row = F.struct(*(c for c in flat.columns if c != "direction"))
-    pick = lambda d: F.sort_array(F.collect_list(F.when(F.col("direction") == d, row)))
-    count = lambda d: F.count_if(F.col("direction") == d)
-    return flat.agg(
-        F.lit(paper_id).alias("paper_id"), count("citation").alias("citation_count"), count("reference").alias("reference_count"), pick("citation").alias("citations"), pick("reference").alias("references")
+    first = lambda d: flat.where(F.col("direction") == d).orderBy(*(c for c in flat.columns if c != "direction")).limit(most)
+    pick = lambda d: first(d).agg(F.sort_array(F.collect_list(row)).alias(f"{d}s"))
+    count = lambda d: F.count_if(F.col("direction") == d).alias(f"{d}_count")
+    counts = flat.agg(F.lit(paper_id).alias("paper_id"), count("citation"), count("reference"))
+    #: One row each, proven by the global aggregates.
+    return counts.crossJoin(pick("citation")).crossJoin(pick("reference"))
+
+
+def node_fields(nodes: DataFrame) -> DataFrame:
+    """Graph nodes (``tables.GRAPH_NODE``) to id, title, year, author names and preprint id: nested fields only."""
+    return nodes.select(
+        F.col("paperId").alias("id"), "title", "year", F.array_join(author_names("authors"), ", ").alias("authors"), F.col("externalIds")["ArXiv"].alias("arxiv_id")
     )
 
 

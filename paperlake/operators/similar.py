@@ -18,16 +18,22 @@ def by_vector(vectors: DataFrame, seed_id: int, limit: int = 10) -> DataFrame:
     return scored.orderBy(F.desc("score"), "id").limit(limit)
 
 
+#: Distinct terms of a seed up to which they are sent to every task.
+SENT_TERMS = 100_000
+
+
 def by_terms(docs: DataFrame, seed_id: int, limit: int = 10) -> DataFrame:
     """docs(id, text): sum over shared terms of (1 + ln tf) idf^2, idf = ln(N / df) over all documents.
 
-    Documents meet the seed on its terms, an equi-join; a document's terms are counted
-    before anything is shuffled.
+    All documents meet the seed's distinct terms before anything is shuffled, so that only shared
+    terms are counted and moved. The terms of one document are broadcast where they are few enough
+    (counted first), else joined by term.
     """
-    terms = docs.select("id", F.explode(tokens("text")).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    seed = terms.where(F.col("id") == seed_id).select("term")
-    shared = terms.join(seed, "term")
+    own = docs.where(F.col("id") == seed_id).select(F.explode(F.array_distinct(tokens("text"))).alias("term")).distinct()
+    seed = F.broadcast(own) if own.count() <= SENT_TERMS else own
+    shared = docs.select("id", F.explode(tokens("text")).alias("term")).join(seed, "term").groupBy("id", "term").agg(F.count("*").alias("tf"))
     total = docs.agg(F.count("*").alias("n"))
     weights = shared.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("term", F.log(F.col("n") / F.col("df")).alias("idf"))
-    scored = shared.where(F.col("id") != seed_id).join(weights, "term").groupBy("id").agg(F.round(F.sum((1 + F.log("tf")) * F.col("idf") * F.col("idf")), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "id").limit(limit)
+    scored = shared.where(F.col("id") != seed_id).join(weights, "term")
+    scores = scored.groupBy("id").agg(F.round(F.sum((1 + F.log("tf")) * F.col("idf") * F.col("idf")), 6).alias("score"))
+    return scores.orderBy(F.desc("score"), "id").limit(limit)

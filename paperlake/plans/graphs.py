@@ -26,8 +26,7 @@ def citations_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def references_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    papers = counts(spark, sf_dir)
-    return graph.neighbours(edges(spark, sf_dir), papers, SEED_ORDER, "references", [F.desc("citations"), F.asc("id")], 20)
+    return graph.references(edges(spark, sf_dir), cited_papers(spark, sf_dir).select("id", "author"), SEED_ORDER, 20)
 
 
 def ego(spark: SparkSession, sf_dir: str) -> DataFrame:

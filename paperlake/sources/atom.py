@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.functions.text import collapse, strip_version, trim_all
+from paperlake.functions.text import collapse, strip_version, trim_all, worked_out
 
 SITE = "https://arxiv.org"
 FIELDS = ("id", "title", "authors", "abstract", "published", "updated", "categories", "doi", "pdf_url", "html_url", "abs_url")
@@ -16,20 +16,41 @@ def read_feeds(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "xml")
 
 
+# The elements that a paper is read from.
+ENTRY = r"<entry>([\s\S]*?)</entry>"
+SUMMARY = r"<summary[^>]*>|</summary>"
+IDENTIFIER = r"<id>https?://arxiv\.org/abs/([^<]+)</id>"
+TITLE = r"<title[^>]*>([\s\S]*?)</title>"
+NAME, CATEGORY = r"<name>(.*?)</name>", r'<category[^>]+term="([^"]+)"'
+PUBLISHED, UPDATED = r"<published>(.*?)</published>", r"<updated>(.*?)</updated>"
+DOI_LINK = r'<link[^>]+title="doi"[^>]+href="https?://dx\.doi\.org/([^"]+)"'
+
+
 def parse_feeds(feeds: DataFrame, xml: str = "xml") -> DataFrame:
-    """One row per entry that has an identifier, in the columns of ``FIELDS``."""
-    e = F.col("entry")
-    first = lambda pattern: F.regexp_extract(e, pattern, 1)
-    every = lambda pattern: F.regexp_extract_all(e, F.lit(pattern), F.lit(1))
-    doi = first(r'<link[^>]+title="doi"[^>]+href="https?://dx\.doi\.org/([^"]+)"')
-    paper_id = strip_version(first(r"<id>https?://arxiv\.org/abs/([^<]+)</id>"))
-    rows = feeds.select(F.explode(F.regexp_extract_all(xml, F.lit(r"<entry>([\s\S]*?)</entry>"), F.lit(1))).alias("entry")).select(
-        paper_id.alias("id"), collapse(first(r"<title[^>]*>([\s\S]*?)</title>")).alias("title"), F.transform(every("<name>(.*?)</name>"), trim_all).alias("authors"),
-        collapse(first(r"<summary[^>]*>([\s\S]*?)</summary>")).alias("abstract"), trim_all(first("<published>(.*?)</published>")).alias("published"), trim_all(first("<updated>(.*?)</updated>")).alias("updated"),
-        every('<category[^>]+term="([^"]+)"').alias("categories"), F.when(doi != "", doi).alias("doi"),
+    """One row per entry that has an identifier, in the columns of ``FIELDS``.
+
+    The summary, by far the longest element, is cut out once; all others are sought in the rest.
+    """
+    entries = feeds.select(F.explode(F.regexp_extract_all(xml, F.lit(ENTRY), F.lit(1))).alias("entry"))
+    cut = worked_out(entries.select(F.split("entry", SUMMARY, 3).alias("cut")))
+    rest = F.concat_ws("", F.get("cut", F.lit(0)), F.get("cut", F.lit(2)))
+    parts = worked_out(cut.select(rest.alias("rest"), F.coalesce(F.get("cut", F.lit(1)), F.lit("")).alias("summary")))
+    first = lambda pattern: F.regexp_extract("rest", pattern, 1)
+    every = lambda pattern: F.regexp_extract_all("rest", F.lit(pattern), F.lit(1))
+    doi = first(DOI_LINK)
+    rows = worked_out(parts.select(strip_version(first(IDENTIFIER)).alias("id"), "rest", "summary")).where("id <> ''")
+    found = rows.select(
+        "id",
+        collapse(first(TITLE)).alias("title"),
+        F.transform(every(NAME), trim_all).alias("authors"),
+        collapse("summary").alias("abstract"),
+        trim_all(first(PUBLISHED)).alias("published"),
+        trim_all(first(UPDATED)).alias("updated"),
+        every(CATEGORY).alias("categories"),
+        F.when(doi != "", doi).alias("doi"),
     )
     link = lambda kind: F.concat(F.lit(f"{SITE}/{kind}/"), "id")
-    return rows.where("id <> ''").withColumns({"pdf_url": link("pdf"), "html_url": link("html"), "abs_url": link("abs")})
+    return found.withColumns({"pdf_url": link("pdf"), "html_url": link("html"), "abs_url": link("abs")})
 
 
 def lookup(papers: DataFrame, paper_id: str) -> DataFrame:
@@ -37,9 +58,12 @@ def lookup(papers: DataFrame, paper_id: str) -> DataFrame:
     return papers.where(F.col("id") == strip_version(F.lit(paper_id))).limit(1)
 
 
-def render_entry(paper_id: Column, title: Column, author: Column, abstract: Column, date: Column, category: Column) -> Column:
-    """An Atom entry of a paper, version 1 (for fixtures and round trips)."""
+def render_entry(paper_id: Column, title: Column, authors: Column, abstract: Column, date: Column, category: Column, doi: Column) -> Column:
+    """An Atom entry of a paper, version 1, with an array of authors and a DOI link where ``doi`` is not null (for fixtures and round trips)."""
+    names = F.array_join(F.transform(authors, lambda a: F.concat(F.lit("<author><name> "), a, F.lit(" </name></author>\n"))), "")
+    link = F.concat(F.lit('<link title="doi" rel="related" href="http://dx.doi.org/'), doi, F.lit('"/>\n'))
     return F.concat(
-        F.lit("<entry>\n<id>http://arxiv.org/abs/"), paper_id, F.lit("v1</id>\n<title>"), title, F.lit("</title>\n<summary>"), abstract, F.lit("</summary>\n<published>"), date, F.lit("</published><updated>"), date,
-        F.lit("</updated>\n<author><name> "), author, F.lit(' </name></author>\n<category scheme="s" term="'), category, F.lit('"/></entry>'),
+        F.lit("<entry>\n<id>http://arxiv.org/abs/"), paper_id, F.lit("v1</id>\n<title>"), title, F.lit("</title>\n<summary>"), abstract,
+        F.lit("</summary>\n<published>"), date, F.lit("</published><updated>"), date, F.lit("</updated>\n"), names, F.coalesce(link, F.lit("")),
+        F.lit('<category scheme="s" term="'), category, F.lit('"/></entry>'),
     )
