@@ -1,19 +1,20 @@
-"""Fielded Boolean queries as filter expressions.
+"""Fielded conditions as filter expressions.
 
-Terms, ``field:term``, quoted phrases, a trailing ``*``, ``field:a-b`` for numbers, AND, OR,
-NOT, ANDNOT and parentheses; terms side by side are joined by AND, which binds tighter
-than OR. Anything else is refused. The result is a Column, so Catalyst plans the filter.
+Every condition is a Column; they are combined with ``&``, ``|`` and ``~``, so a Boolean query is
+an ordinary DataFrame filter that Catalyst plans. A null value never matches, and its negation
+always does.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = re.compile(r'\s*(\(|\)|(?:(\w+):)?(?:"([^"]*)"|([^\s()":]+)))')
 EDGE = r"[^\p{L}\p{N}]"
 
 
@@ -25,92 +26,50 @@ class Field:
     kind: str = "text"
 
 
-class Query:
-    def __init__(self, query: str, fields: dict[str, Field], default: tuple[str, ...]) -> None:
+class Fields:
+    """Named fields of a table, some of which are searched where no field is named."""
+
+    def __init__(self, fields: dict[str, Field], default: tuple[str, ...]) -> None:
         self.fields, self.default = fields, default
-        self.words: list[tuple[str, str | None, str | None, str | None]] = []
-        at = 0
-        query = query.strip()
-        while at < len(query):
-            m = WORD.match(query, at)
-            if not m:
-                raise ValueError(f"cannot read the query at: {query[at:]!r}")
-            self.words.append(m.groups())
-            at = m.end()
-        self.at = 0
-
-    def compile(self) -> Column:
-        if not self.words:
-            raise ValueError("the query is empty")
-        found = self.any_of()
-        if self.at < len(self.words):
-            raise ValueError(f"unexpected {self.words[self.at][0]!r}")
-        return found
-
-    def next(self) -> str | None:
-        return self.words[self.at][0] if self.at < len(self.words) else None
-
-    def any_of(self) -> Column:
-        found = self.all_of()
-        while self.next() == "OR":
-            self.at += 1
-            found = found | self.all_of()
-        return found
-
-    def all_of(self) -> Column:
-        found = self.one()
-        while (word := self.next()) not in (None, "OR", ")"):
-            if word in ("AND", "ANDNOT"):
-                self.at += 1
-            found = found & (~self.one() if word == "ANDNOT" else self.one())
-        return found
-
-    def one(self) -> Column:
-        word = self.next()
-        if word is None or word in (")", "AND", "OR", "ANDNOT"):
-            raise ValueError("a term is missing")
-        self.at += 1
-        if word == "NOT":
-            return ~self.one()
-        if word == "(":
-            found = self.any_of()
-            if self.next() != ")":
-                raise ValueError("a parenthesis is not closed")
-            self.at += 1
-            return found
-        _, field, phrase, term = self.words[self.at - 1]
-        if field is None:
-            found = [self.match(self.fields[f], phrase, term) for f in self.default]
-            out = found[0]
-            for f in found[1:]:
-                out = out | f
-            return out
-        if field not in self.fields:
-            raise ValueError(f"no field named {field!r}")
-        return self.match(self.fields[field], phrase, term)
-
-    @staticmethod
-    def match(field: Field, phrase: str | None, term: str | None) -> Column:
-        value, c = (phrase if phrase is not None else term or ""), F.col(field.column)
-        if field.kind == "number":
-            if not (m := re.fullmatch(r"(-?\d+)(?:-(\d+))?", value)):
-                raise ValueError(f"not a number or a range: {value!r}")
-            found = c.between(int(m[1]), int(m[2])) if m[2] else c == int(m[1])
-        elif field.kind == "array":
-            found = F.exists(c, lambda x: F.lower(x).startswith(value[:-1].lower())) if value.endswith("*") and phrase is None else F.exists(c, lambda x: F.lower(x) == value.lower())
-        elif field.kind == "exact":
-            found = F.lower(c).startswith(value[:-1].lower()) if value.endswith("*") and phrase is None else F.lower(c) == value.lower()
-        else:
-            prefix = phrase is None and value.endswith("*")
-            body = re.sub(r"\s+", " ", re.sub(r"([^\w\s])", r"\\\1", (value[:-1] if prefix else value).lower()))
-            if not body or (not prefix and "*" in value and phrase is None):
-                raise ValueError(f"not supported: {value!r}")
-            found = F.lower(c).rlike(f"(^|{EDGE}){body}" + ("" if prefix else f"({EDGE}|$)"))
-        return F.coalesce(found, F.lit(False))
-
-
-def compile_query(query: str, fields: dict[str, Field], default: tuple[str, ...]) -> Column:
-    return Query(query, fields, default).compile()
+
+    def named(self, name: str) -> Field:
+        if name not in self.fields:
+            raise ValueError(f"no field named {name!r}")
+        return self.fields[name]
+
+    def has(self, name: str, value: str) -> Column:
+        """The field holds the value: as whole words of a text (several words are a phrase), else equal to it."""
+        return matched(self.named(name), value, False)
+
+    def starts(self, name: str, value: str) -> Column:
+        """As ``has``, where the value is the beginning of the last word, or of the exact value."""
+        return matched(self.named(name), value, True)
+
+    def between(self, name: str, low: int, high: int | None = None) -> Column:
+        """A number from ``low`` to ``high``, or equal to ``low``."""
+        if self.named(name).kind != "number":
+            raise ValueError(f"{name!r} is not a number")
+        return F.coalesce(F.col(self.named(name).column).between(low, low if high is None else high), F.lit(False))
+
+    def anywhere(self, value: str, beginning: bool = False) -> Column:
+        """Any of the default fields holds the value."""
+        return reduce(or_, (matched(self.named(f), value, beginning) for f in self.default))
+
+
+def matched(field: Field, value: str, beginning: bool) -> Column:
+    if not value.strip() or "*" in value:
+        raise ValueError(f"not supported: {value!r}")
+    c, low = F.col(field.column), value.lower()
+    if field.kind == "number":
+        raise ValueError(f"{field.column!r} is a number: ask for a range")
+    if field.kind == "array":
+        found = F.exists(c, lambda x: F.lower(x).startswith(low) if beginning else F.lower(x) == low)
+    elif field.kind == "exact":
+        found = F.lower(c).startswith(low) if beginning else F.lower(c) == low
+    else:
+        body = re.sub(r"\s+", " ", re.sub(r"([^\w\s])", r"\\\1", low))
+        found = F.lower(c).rlike(f"(^|{EDGE}){body}" + ("" if beginning else f"({EDGE}|$)"))
+    return F.coalesce(found, F.lit(False))
 
 
 def month_range(column: str, date_from: str | None = None, date_to: str | None = None) -> Column:

@@ -15,6 +15,36 @@ def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 
 
+EVENT = "library_id long, doc_id long, action string, content double, permission string, ts timestamp_ntz, event_id long"
+
+
+def created(events: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(library_id, ts, event_id, papers array) to the events that create each library with its first papers.
+
+    A library that the log already has is not created again; papers are taken once each, nulls left out.
+    """
+    new = asked.join(events.select("library_id").distinct(), "library_id", "left_anti")
+    papers = F.array_compact(F.array_distinct("papers"))
+    event = lambda action, paper: F.struct(F.lit(action).alias("action"), paper.cast("long").alias("doc_id"))
+    both = F.concat(F.array(event("create", F.lit(None))), F.transform(papers, lambda p: event("add", p)))
+    rows = new.select("library_id", F.explode(both).alias("e"), "ts", "event_id")
+    return rows.select("library_id", "e.doc_id", "e.action", F.lit(None).cast("double").alias("content"), F.lit("owner").alias("permission"), "ts", "event_id")
+
+
+def edit_counts(events: DataFrame, edits: DataFrame) -> DataFrame:
+    """edits(library_id, doc_id, action add|remove) against the members that stand: library_id, action, number_added, number_removed, n_asked, n_changed.
+
+    Adding a member and removing a stranger change nothing; a paper named twice counts once.
+    """
+    asked = edits.where("action IN ('add', 'remove') AND doc_id IS NOT NULL").select("library_id", "doc_id", "action").distinct()
+    held = members(events).withColumn("held", F.lit(True))
+    judged = asked.join(held, ["library_id", "doc_id"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    added = F.count_if((F.col("action") == "add") & ~F.col("held"))
+    removed = F.count_if((F.col("action") == "remove") & F.col("held"))
+    counts = judged.groupBy("library_id", "action").agg(F.when(F.col("action") == "add", added).alias("number_added"), F.when(F.col("action") == "remove", removed).alias("number_removed"), F.count("*").alias("n_asked"))
+    return counts.withColumn("n_changed", change_count(F.col("number_added"), F.col("number_removed"), F.col("n_asked")))
+
+
 def latest(events: DataFrame, keys: list[str], *values: str) -> DataFrame:
     """The values of the last event (ts, then event_id) of each key."""
     last = F.max_by(F.struct(*values), F.struct("ts", "event_id")).alias("last")

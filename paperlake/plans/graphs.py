@@ -30,12 +30,24 @@ def references_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ego(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order and part of the seed number share it; half of the records are missing."""
-    citing = citing_papers(spark, sf_dir).where("id % 2 = 0").select("id", F.col("author").cast("string").alias("author"), "year")
-    cited = cited_papers(spark, sf_dir).where("id % 2 = 0").select("id", "author", F.lit(None).cast("long").alias("year"))
+    """Order and part of the seed number share it; the whole record tables are joined."""
+    citing = citing_papers(spark, sf_dir).select("id", F.col("author").cast("string").alias("author"), "year")
+    cited = cited_papers(spark, sf_dir).select("id", "author", F.lit(None).cast("long").alias("year"))
     return graph.ego_graph(edges(spark, sf_dir), citing, cited, SEED_PART)
 
 
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as nested graph nodes; every customer gives the order's number of lines as authors, some of them without a name."""
+    key = F.col("id")
+    name = lambda i: F.when(i % 3 == 0, F.lit(None).cast("string")).when(i % 3 == 1, F.concat(F.lit("C"), F.col("author"), F.lit("-"), i)).otherwise("")
+    authors = F.transform(F.sequence(F.lit(1), (key % 7 + 1).cast("int")), lambda i: F.struct(name(i).alias("name")))
+    ids = F.when(key % 4 == 0, F.create_map(F.lit("ArXiv"), F.concat(F.lit("o"), key))).otherwise(F.create_map(F.lit("DOI"), F.lit("10.1/x")))
+    nodes = citing_papers(spark, sf_dir).select(
+        key.cast("string").alias("paperId"), F.concat(F.lit("Order "), key).alias("title"), F.col("year").cast("int").alias("year"), authors.alias("authors"), ids.alias("externalIds")
+    )
+    return graph.node_fields(nodes)
+
+
 def citation_graph_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = graph.nested_ego(ego(spark, sf_dir), str(SEED_PART))
     ids = lambda c: F.array_join(F.transform(c, lambda x: x["id"].cast("string")), ",")
@@ -112,7 +124,7 @@ def render_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "citations_of": citations_of, "references_of": references_of, "citation_graph_ego": ego, "citation_graph_nested": citation_graph_nested, "citation_counts": citation_counts, "metrics_h_g_i10": metrics_h_g_i10,
+    "citations_of": citations_of, "references_of": references_of, "citation_graph_ego": ego, "citation_graph_nested": citation_graph_nested, "graph_nodes": graph_nodes, "citation_counts": citation_counts, "metrics_h_g_i10": metrics_h_g_i10,
     "metrics_m_index": metrics_m_index, "metrics_tori": metrics_tori, "metrics_citation_stats": metrics_citation_stats, "metrics_basic": metrics_basic, "metrics_self_citations": metrics_self_citations,
     "similar_vectors": similar_vectors, "similar_terms": similar_terms, "render_graph": render_graph, "render_metrics": render_metrics,
 }
@@ -123,10 +135,12 @@ RANKED = f"{COUNTS}, ranked AS (SELECT *, row_number() OVER w AS r, sum(citation
 STATS = f"""{EDGES}, n AS (SELECT p_partkey, p_brand AS author, count(citing) AS citations, count(*) FILTER (o_orderstatus = 'F') AS refereed FROM part LEFT JOIN edges ON cited = p_partkey LEFT JOIN orders ON o_orderkey = citing GROUP BY ALL),
   stats AS (SELECT author, CAST(sum(citations) AS BIGINT) AS total_citations, CAST(sum(refereed) AS BIGINT) AS refereed_citations, round(avg(citations), 6) AS mean_citations, CAST(median(citations) AS DOUBLE) AS median_citations FROM n GROUP BY author)"""
 EGO = f"""{EDGES}, ego AS (
-  SELECT 'citation' AS direction, citing AS id, CAST(o_custkey AS VARCHAR) AS author, year(o_orderdate) AS year FROM edges LEFT JOIN orders ON o_orderkey = citing AND o_orderkey % 2 = 0 WHERE cited = {SEED_PART}
-  UNION ALL SELECT 'reference', cited, p_brand, NULL FROM edges LEFT JOIN part ON p_partkey = cited AND p_partkey % 2 = 0 WHERE citing = {SEED_PART})"""
+  SELECT 'citation' AS direction, citing AS id, CAST(o_custkey AS VARCHAR) AS author, year(o_orderdate) AS year FROM edges LEFT JOIN orders ON o_orderkey = citing WHERE cited = {SEED_PART}
+  UNION ALL SELECT 'reference', cited, p_brand, NULL FROM edges LEFT JOIN part ON p_partkey = cited WHERE citing = {SEED_PART})"""
 INDICES = f"""{RANKED}, indices AS (SELECT author, count(*) AS papers, count(*) FILTER (citations >= r) AS h, coalesce(max(r) FILTER (s >= r * r), 0) AS g, count(*) FILTER (citations >= 10) AS i10 FROM ranked GROUP BY author)"""
 SQL = {
+    "graph_nodes": """SELECT CAST(o_orderkey AS VARCHAR) AS id, 'Order ' || o_orderkey AS title, year(o_orderdate) AS year, 'o' || CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey END AS arxiv_id,
+        array_to_string(list_transform(list_filter(range(1, CAST(o_orderkey % 7 + 2 AS BIGINT)), lambda i: i % 3 = 1), lambda i: 'C' || o_custkey || '-' || i), ', ') AS authors FROM orders""",
     "citations_of": f"WITH {EDGES} SELECT o_orderkey AS id, o_custkey AS author, o_totalprice AS score FROM edges JOIN orders ON o_orderkey = citing WHERE cited = {SEED_PART} ORDER BY score DESC, id LIMIT 20",
     "references_of": f"WITH {COUNTS} SELECT id, author, citations FROM edges JOIN counts ON id = cited WHERE citing = {SEED_ORDER} ORDER BY citations DESC, id LIMIT 20",
     "citation_graph_ego": f"WITH {EGO} SELECT * FROM ego",

@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlake.functions import export, render
 from paperlake.functions.text import padded, strip_version
-from paperlake.operators.boolean import Field, any_category, compile_query, month_range
+from paperlake.operators.boolean import Field, Fields, any_category, month_range
 from paperlake.operators.graph import citation_counts
 from paperlake.operators.paging import page
-from paperlake.plans.params import PreprintSearchParams, SearchParams
+from paperlake.plans.params import PREPRINT_SORTS, SORTS, PreprintSearchParams, SearchParams
 from paperlake.sources.tables import cited_papers, citing_papers, edges, reads, table
 
-FIELDS = {"title": Field("title"), "author": Field("author", "exact"), "keyword": Field("category"), "size": Field("size", "number")}
-DOCUMENT_FIELDS = {"abs": Field("text"), "lang": Field("lang", "exact"), "id": Field("doc_id", "number")}
-ORDER_FIELDS = {"year": Field("year", "number"), "cat": Field("categories", "array"), "author": Field("author", "number")}
-DEFAULT = ("title", "keyword")
-SEARCH = SearchParams("keyword:PROMO OR keyword:large size:1-30", rows=15, start=5, sort="citation_count desc")
-PREPRINTS = PreprintSearchParams("author:1-700 OR author:900-1200", 25, "submittedDate", "descending", "1996-03-15", "1998-06", ("1-URGENT", "F"))
+FIELDS = Fields({"title": Field("title"), "author": Field("author", "exact"), "keyword": Field("category"), "size": Field("size", "number")}, ("title", "keyword"))
+DOCUMENT_FIELDS = Fields({"abs": Field("text"), "lang": Field("lang", "exact"), "id": Field("doc_id", "number")}, ("abs",))
+ORDER_FIELDS = Fields({"year": Field("year", "number"), "cat": Field("categories", "array"), "author": Field("author", "number")}, ("cat",))
+#: Preprint prefixes over parts: title, author, abstract, category; ``all`` is every one of them.
+PREFIXES = Fields({"ti": Field("title"), "au": Field("author", "exact"), "abs": Field("category"), "cat": Field("categories", "array")}, ("ti", "au", "abs", "cat"))
+SEARCH = SearchParams("promo or large of size 1-30", rows=15, start=5, sort="citation_count desc")
+PREPRINTS = PreprintSearchParams("authors 1-700 or 900-1200", 25, "submittedDate", "descending", "1996-03-15", "1998-06", ("1-URGENT", "F"))
+
 
+def matching(source, condition: Callable[[], Column], *columns: str):
+    """A query over the rows that meet a condition (built with the session at hand)."""
 
-def matching(source, query: str, fields: dict[str, Field], default: tuple[str, ...], *columns: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return source(spark, sf_dir).where(compile_query(query, fields, default)).select(*columns)
+        return source(spark, sf_dir).where(condition()).select(*columns)
 
     return run
 
@@ -38,9 +44,40 @@ def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cited_papers(spark, sf_dir).join(counts, "id", "left").withColumn("citation_count", F.coalesce("citation_count", F.lit(0)))
 
 
+def asked_for() -> Column:
+    return FIELDS.has("keyword", "PROMO") | (FIELDS.has("keyword", "large") & FIELDS.between("size", 1, 30))
+
+
 def paper_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = counted(spark, sf_dir).where(compile_query(SEARCH.query, FIELDS, DEFAULT))
-    return page(found, [F.desc("citation_count"), F.asc("id")], SEARCH.start, SEARCH.rows).select("id", "title", "author", "citation_count", "num_found", "has_more")
+    found = counted(spark, sf_dir).where(asked_for())
+    return page(found, SEARCH.order(), SEARCH.start, SEARCH.rows).select("id", "title", "author", "citation_count", "num_found", "has_more")
+
+
+def prefixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as preprints: the type is the abstract, its words the categories."""
+    return cited_papers(spark, sf_dir).withColumn("categories", F.split("category", " "))
+
+
+def sortable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with every column that a sort name stands for."""
+    cites = citation_counts(edges(spark, sf_dir), "citing")
+    read = reads(spark, sf_dir).groupBy(F.col("paper").alias("id")).agg(F.count("*").alias("read_count"))
+    papers = citing_papers(spark, sf_dir).withColumn("updated", F.date_add("date", (F.col("id") % 40).cast("int")))
+    return papers.join(cites, "id", "left").join(read, "id", "left")
+
+
+def paper_sort_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page under each sort name of the literature search."""
+    papers = sortable(spark, sf_dir)
+    return reduce(DataFrame.union, (papers.orderBy(*SearchParams("all", sort=s).order()).limit(10).select(F.lit(s).alias("sort"), "id") for s in SORTS))
+
+
+def preprint_sort_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page under each sort name and direction of the preprint search."""
+    papers = sortable(spark, sf_dir)
+    asked = [PreprintSearchParams("all", sort_by=s, sort_order=d) for s in PREPRINT_SORTS for d in ("ascending", "descending")]
+    pages = (papers.orderBy(*p.order()).limit(p.max_results).select(F.lit(p.sort_by).alias("sort"), F.lit(p.sort_order).alias("direction"), "id") for p in asked)
+    return reduce(DataFrame.union, pages)
 
 
 def paper_sort_date(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +113,9 @@ def preprint_category_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def preprint_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = PREPRINTS
-    user = compile_query(p.query, ORDER_FIELDS, ("author",))
+    user = ORDER_FIELDS.between("author", 1, 700) | ORDER_FIELDS.between("author", 900, 1200)
     found = citing_papers(spark, sf_dir).where(user & month_range("date", p.date_from, p.date_to) & any_category("categories", list(p.categories)))
-    return found.orderBy(F.desc("date"), F.asc("id")).limit(p.max_results).select("id", "author", "date")
+    return found.orderBy(*p.order()).limit(p.max_results).select("id", "author", "date")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,11 +148,25 @@ def render_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "paper_field_filter": matching(cited_papers, "author:Brand#23 keyword:large", FIELDS, DEFAULT, "id", "title", "author"),
-    "paper_boolean_query": matching(cited_papers, '(gear OR "Red Widget") size:10-40 NOT author:Brand#1* ANDNOT keyword:small', FIELDS, DEFAULT, "id", "title", "category"),
-    "document_boolean_query": matching(documents, "abs:the abs:of ANDNOT abs:license OR lang:es", DOCUMENT_FIELDS, ("abs",), "doc_id", "lang"),
-    "paper_wildcard": matching(cited_papers, "keyword:econ* author:brand#3*", FIELDS, DEFAULT, "id", "category", "author"),
-    "paper_year_range": matching(citing_papers, "year:1997-1999 cat:5-low", ORDER_FIELDS, ("author",), "id", "year"),
+    "paper_field_filter": matching(cited_papers, lambda: FIELDS.has("author", "Brand#23") & FIELDS.has("keyword", "large"), "id", "title", "author"),
+    "paper_boolean_query": matching(
+        cited_papers,
+        lambda: (FIELDS.anywhere("gear") | FIELDS.anywhere("Red Widget")) & FIELDS.between("size", 10, 40) & ~FIELDS.starts("author", "Brand#1") & ~FIELDS.has("keyword", "small"),
+        "id", "title", "category",
+    ),
+    "document_boolean_query": matching(
+        documents,
+        lambda: DOCUMENT_FIELDS.has("abs", "the") & DOCUMENT_FIELDS.has("abs", "of") & ~DOCUMENT_FIELDS.has("abs", "license") | DOCUMENT_FIELDS.has("lang", "es"),
+        "doc_id", "lang",
+    ),
+    "paper_wildcard": matching(cited_papers, lambda: FIELDS.starts("keyword", "econ") & FIELDS.starts("author", "brand#3"), "id", "category", "author"),
+    "paper_year_range": matching(citing_papers, lambda: ORDER_FIELDS.between("year", 1997, 1999) & ORDER_FIELDS.has("cat", "5-low"), "id", "year"),
+    "preprint_prefixes": matching(
+        prefixed,
+        lambda: (PREFIXES.has("ti", "gear") & PREFIXES.has("cat", "large") | PREFIXES.has("abs", "promo") & ~PREFIXES.has("au", "brand#11")) & (PREFIXES.anywhere("gear") | PREFIXES.anywhere("red")),
+        "id", "title",
+    ),
+    "paper_sort_names": paper_sort_names, "preprint_sort_names": preprint_sort_names,
     "paper_search_page": paper_search_page, "paper_sort_date": paper_sort_date, "paper_sort_reads": paper_sort_reads, "paper_lookup": paper_lookup, "id_normalize": id_normalize,
     "preprint_month_range": preprint_month_range, "preprint_open_range": preprint_open_range, "preprint_category_any": preprint_category_any, "preprint_combined": preprint_combined,
     "export_bibtex": exported(format="bibtex", max_author=2), "export_bibtexabs": exported(format="bibtexabs", key_format="%H:%Y"), "export_ris": exported(format="ris"), "export_endnote": exported(format="endnote"),
@@ -134,6 +185,9 @@ RECORDS = """records AS (
          CAST(p_size + 1970 AS VARCHAR) AS year, p_type AS pub, CAST(p_size AS VARCHAR) AS volume, '10.1/' || p_partkey AS doi, p_partkey % 3 AS citation_count, p_partkey % 2 * 7 AS read_count,
          CASE WHEN p_partkey % 4 = 0 THEN p_type END AS abstract, p_brand FROM part)"""
 COUNTED = "counted AS (SELECT p_partkey AS id, p_name AS title, p_brand AS author, p_type, p_size, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_partkey = p_partkey) AS citation_count FROM part)"
+SORTABLE = """sortable AS (SELECT o_orderkey AS id, o_totalprice AS score, o_orderdate AS date, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INTEGER) AS updated,
+    citation_count, read_count FROM orders LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_partkey) AS citation_count FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+    LEFT JOIN (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS read_count FROM events WHERE event_type = 'view' GROUP BY 1) ON k = o_orderkey)"""
 BIBTEX = """'@ARTICLE{' || %s || ',' || chr(10) || '    author = {' || %s || '},' || chr(10) || '    title = {' || title || '},' || chr(10) || '    journal = {' || pub || '},' || chr(10)
   || '    year = {' || year || '},' || chr(10) || '    volume = {' || volume || '},' || chr(10) || %s || '    doi = {' || doi || '},' || chr(10) || '}' || chr(10)"""
 
@@ -155,7 +209,14 @@ SQL = {
     "paper_sort_date": "SELECT o_orderkey AS id, o_orderdate AS date, (SELECT count(*) FROM orders) AS num_found FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50",
     "paper_sort_reads": "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS paper, count(*) AS read_count FROM events WHERE event_type = 'view' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30",
     "paper_lookup": "SELECT p_partkey AS id, p_name AS title, p_brand AS author FROM part WHERE p_partkey = 17",
-    "id_normalize": "SELECT o_orderkey, 'cs.LG/' || CASE WHEN o_orderkey < 10000000 THEN lpad(CAST(o_orderkey AS VARCHAR), 7, '0') ELSE substr(CAST(o_orderkey AS VARCHAR), 1, 7) END AS clean_id FROM orders",
+    "id_normalize": "SELECT o_orderkey, 'cs.LG/' || lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(7, length(CAST(o_orderkey AS VARCHAR))) AS INTEGER), '0') AS clean_id FROM orders",
+    "preprint_prefixes": f"""SELECT p_partkey AS id, p_name AS title FROM part WHERE (({has('p_name', 'gear')} AND list_contains(string_split(lower(p_type), ' '), 'large'))
+        OR ({has('p_type', 'promo')} AND lower(p_brand) <> 'brand#11'))
+        AND ({" OR ".join(f"{has('p_name', w)} OR lower(p_brand) = '{w}' OR {has('p_type', w)} OR list_contains(string_split(lower(p_type), ' '), '{w}')" for w in ("gear", "red"))})""",
+    "paper_sort_names": f"WITH {SORTABLE} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{s}' AS sort, id FROM sortable ORDER BY {s} NULLS LAST, id LIMIT 10)" for s in SORTS),
+    "preprint_sort_names": f"WITH {SORTABLE} " + " UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{s}' AS sort, '{d}ending' AS direction, id FROM sortable ORDER BY {c} {d} NULLS LAST, id LIMIT 10)" for s, c in PREPRINT_SORTS.items() for d in ("asc", "desc")
+    ),
     "preprint_month_range": "SELECT o_orderkey AS id, o_orderdate AS date FROM orders WHERE strftime(o_orderdate, '%Y%m') BETWEEN '199603' AND '199611'",
     "preprint_open_range": "SELECT o_orderkey AS id, o_orderdate AS date FROM orders WHERE strftime(o_orderdate, '%Y%m') >= '200105'",
     "preprint_category_any": "SELECT o_orderkey AS id, o_orderpriority || ',' || o_orderstatus AS categories FROM orders WHERE o_orderpriority = '1-URGENT' OR o_orderstatus = 'P'",

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def check_text(name: str, value: str, low: int, high: int | None) -> str:
     if not isinstance(value, str) or len(value) < low or (high is not None and len(value) > high):
@@ -31,10 +34,19 @@ def check_date(name: str, value: str | None) -> str | None:
 
 
 SORTS = ("score desc", "citation_count desc", "date desc", "date asc", "read_count desc")
+#: Columns that the sort names of preprints stand for.
+PREPRINT_SORTS = {"relevance": "score", "lastUpdatedDate": "updated", "submittedDate": "date"}
+
+
+def ordered(column: str, descending: bool, tie: str) -> list[Column]:
+    """Order by a column, nulls last, ties by ``tie``."""
+    return [F.desc_nulls_last(column) if descending else F.asc_nulls_last(column), F.asc(tie)]
 
 
 @dataclass(frozen=True)
 class SearchParams:
+    """``query`` names the search; its conditions are Columns (``operators.boolean``)."""
+
     query: str
     rows: int = 10
     start: int = 0
@@ -46,6 +58,10 @@ class SearchParams:
         check_int("start", self.start, 0)
         check_choice("sort", self.sort, SORTS)
 
+    def order(self, tie: str = "id") -> list[Column]:
+        column, direction = self.sort.split()
+        return ordered(column, direction == "desc", tie)
+
 
 @dataclass(frozen=True)
 class DocSearchParams:
@@ -84,11 +100,14 @@ class PreprintSearchParams:
     def __post_init__(self) -> None:
         check_text("query", self.query, 1, 500)
         check_int("max_results", self.max_results, 1, 50)
-        check_choice("sort_by", self.sort_by, ("relevance", "lastUpdatedDate", "submittedDate"))
+        check_choice("sort_by", self.sort_by, tuple(PREPRINT_SORTS))
         check_choice("sort_order", self.sort_order, ("descending", "ascending"))
         check_date("date_from", self.date_from)
         check_date("date_to", self.date_to)
 
+    def order(self, tie: str = "id") -> list[Column]:
+        return ordered(PREPRINT_SORTS[self.sort_by], self.sort_order == "descending", tie)
+
 
 @dataclass(frozen=True)
 class WindowParams:

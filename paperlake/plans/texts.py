@@ -5,7 +5,9 @@ from __future__ import annotations
 import gzip
 import io
 import tarfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +19,6 @@ from paperlake.sources.tables import table
 
 WINDOW = WindowParams(500, 1000)
 
-TEX = (
-    r"\documentclass{article}\title{A Title}\author{Ann}\begin{document}" "\n\n\\section*{ Intro }\nText \\textbf{bold} and \\emph{it}~here \\cite{x} % note\n\n\n50\\% of $ a$ and $x^2 $ and $$ y $$\\\\\n\\begin{itemize}\\item one\\item two\\end{itemize}\\end{document}\n"
-)
-
 
 def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.strip_html("html").cast("binary")).alias("text_md5"))
@@ -53,29 +51,51 @@ def read_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "source", "source_name", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
-def archives(spark: SparkSession) -> DataFrame:
-    """Three small archives: gzipped with two LaTeX files, plain with a nested one, and none."""
+ARCHIVE = "id long, data binary"
+
+
+def packed_files(files: dict[str, bytes]) -> bytes:
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as tar:
+        for name, data in files.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+def pack_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents as source archives, which the test tables do not have.
+
+    By the remainder of the number by four: a gzipped one with a main file beside the whole text, a
+    plain one whose text lies deeper, bytes that are no archive, and none.
+    """
+    for batch in batches:
+        rows = []
+        for doc_id, text, source in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "source")), strict=True):
+            head, whole = f"\\section{{{source}}}\nHead".encode(), (text or "").encode()
+            kinds = (
+                lambda: gzip.compress(packed_files({"sub/other.tex": whole, "ms.tex": head, "fig.png": b"\x89"}), 1, mtime=0),
+                lambda: packed_files({"deep/paper.tex": head, "long.TEX": whole, "readme": b"-"}),
+                lambda: b"not an archive",
+                lambda: None,
+            )
+            rows.append(kinds[doc_id % 4]())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], ["id", "data"])
 
-    def packed(files: dict[str, bytes]) -> bytes:
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as tar:
-            for name, data in files.items():
-                info = tarfile.TarInfo(name)
-                info.size = len(data)
-                tar.addfile(info, io.BytesIO(data))
-        return out.getvalue()
 
-    two = packed({"sub/other.tex": b"x" * 40_000, "ms.tex": TEX.encode(), "fig.png": b"\x89"})
-    rows = [(1, gzip.compress(two, mtime=0)), (2, packed({"deep/paper.tex": b"\\section{Only}", "readme": b"-"})), (3, b"not an archive"), (4, None)]
-    return spark.createDataFrame([(i, None if d is None else bytearray(d)) for i, d in rows], "id long, data binary")
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "source").mapInArrow(pack_archives, ARCHIVE)
 
 
 def tar_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.entries(archives(spark)).select("id", "ordinal", "name", F.length("data").cast("long").alias("size"))
+    return archive.entries(archives(spark, sf_dir)).select("id", "ordinal", "name", F.length("data").cast("long").alias("size"))
 
 
 def tex_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.main_tex(archive.entries(archives(spark)))
+    """The main file of each document's archive, by name, and the head of its text where it is the short one."""
+    chosen = archive.main_tex(archive.entries(archives(spark, sf_dir)))
+    return chosen.select("id", "source_name", F.when(F.col("source_name") != "long.TEX", F.col("text")).alias("text"))
 
 
 def tex_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,11 +106,16 @@ def tex_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def atom_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feeds of documents, written and parsed again."""
+    """Feeds of documents, one to three authors each and every third with a DOI link, written and parsed again."""
     d = table(spark, sf_dir, "documents")
-    entry = atom.render_entry(F.concat(F.lit("2001."), T.padded("doc_id", 5)), F.regexp_extract("text", "^([^\n]*)", 1), F.col("source"), F.col("text"), F.lit("2024-01-15T00:00:00Z"), F.col("lang"))
+    authors = F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 3 + 1).cast("int")), lambda i: F.concat(F.col("source"), F.lit(" "), i))
+    doi = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("10.1/"), "doc_id"))
+    entry = atom.render_entry(
+        F.concat(F.lit("2001."), T.padded("doc_id", 5)), F.regexp_extract("text", "^([^\n]*)", 1), authors, F.col("text"), F.lit("2024-01-15T00:00:00Z"), F.col("lang"), doi
+    )
     feeds = d.select(F.concat(F.lit("<feed><id>http://arxiv.org/api/x</id>"), entry, F.lit("</feed>")).alias("xml"))
-    return atom.parse_feeds(feeds).select("id", "title", F.array_join("authors", ";").alias("authors"), "abstract", "published", F.array_join("categories", ";").alias("categories"), "doi", "pdf_url")
+    joined = {c: F.array_join(c, ";").alias(c) for c in ("authors", "categories")}
+    return atom.parse_feeds(feeds).select("id", "title", joined["authors"], "abstract", "published", joined["categories"], "doi", "pdf_url")
 
 
 QUERIES = {
@@ -115,6 +140,12 @@ for _name, _value in T.NAMED_ENTITIES:
     DECODED = f"replace({DECODED}, '&{_name};', '" + _value.replace("'", "''") + "')"
 TEXT = chain(DECODED, (r"\r\n?", NL), (r"[ \t]+\n", NL), (r"\n{3,}", f"{NL} || {NL}"), (r"^\s+|\s+$", "''"))
 GATE = rf"(length(t) >= 3000 OR len(list_filter(string_split_regex(t, '\n{{2,}}'), lambda p: p <> '')) >= 8 OR regexp_matches(lower(t), '(^|[^a-z0-9_])({'|'.join(T.PAPER_WORDS)})([^a-z0-9_]|$)'))"
+PAPER_ID = "'2001.' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(5, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0')"
+HEAD_SIZE = "length(source) + 15"
+FILES = f"""WITH files AS (
+  SELECT doc_id AS id, source, f.ordinal, f.name, CASE f.name WHEN 'fig.png' THEN 1 WHEN 'readme' THEN 1 WHEN 'ms.tex' THEN {HEAD_SIZE} WHEN 'deep/paper.tex' THEN {HEAD_SIZE} ELSE strlen(text) END AS size, f.score
+  FROM documents JOIN (VALUES (0, 0, 'sub/other.tex', 0), (0, 1, 'ms.tex', 80), (0, 2, 'fig.png', NULL), (1, 0, 'deep/paper.tex', 100), (1, 1, 'long.TEX', 20), (1, 2, 'readme', NULL)) AS f(kind, ordinal, name, score)
+  ON doc_id % 4 = f.kind)"""
 SQL = {
     "html_strip": f"SELECT page_id, md5({STRIPPED}) AS text_md5 FROM pages",
     "html_text": f"SELECT page_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, {TEXT} AS t FROM pages)",
@@ -124,6 +155,10 @@ SQL = {
         joined AS (SELECT doc_id AS id, text, CASE WHEN {GATE.replace("length(t) >= 3000", "length(t) >= greatest(6 * length(text), 3000)")} THEN t END AS html FROM documents LEFT JOIN whole ON page_id = doc_id)
         SELECT id, CASE WHEN html IS NOT NULL THEN 'html' WHEN id % 3 = 0 THEN 'tex' WHEN id % 14 = 0 THEN 'pdf' ELSE 'abstract' END AS source, CASE WHEN html IS NULL AND id % 3 = 0 THEN 'main.tex' END AS source_name,
         md5(CASE WHEN html IS NOT NULL THEN html WHEN id % 3 = 0 THEN 'tex of ' || id WHEN id % 14 = 0 THEN 'pdf' ELSE text END) AS content_md5 FROM joined""",
-    "atom_roundtrip": r"""SELECT '2001.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS id, trim(regexp_replace(regexp_extract(text, '^([^\n]*)', 1), '\s+', ' ', 'g')) AS title, source AS authors, trim(regexp_replace(text, '\s+', ' ', 'g')) AS abstract,
-        '2024-01-15T00:00:00Z' AS published, lang AS categories, CAST(NULL AS VARCHAR) AS doi, 'https://arxiv.org/pdf/2001.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS pdf_url FROM documents""",
+    "atom_roundtrip": rf"""SELECT {PAPER_ID} AS id, trim(regexp_replace(regexp_extract(text, '^([^\n]*)', 1), '\s+', ' ', 'g')) AS title,
+        array_to_string(list_transform(range(1, CAST(doc_id % 3 + 2 AS BIGINT)), lambda i: source || ' ' || i), ';') AS authors, trim(regexp_replace(text, '\s+', ' ', 'g')) AS abstract,
+        '2024-01-15T00:00:00Z' AS published, lang AS categories, CASE WHEN doc_id % 3 = 0 THEN '10.1/' || doc_id END AS doi, 'https://arxiv.org/pdf/' || {PAPER_ID} AS pdf_url FROM documents""",
+    "tar_entries": f"""{FILES} SELECT id, ordinal, name, size FROM files""",
+    "tex_choice": f"""{FILES}, best AS (SELECT id, name, source, row_number() OVER (PARTITION BY id ORDER BY score + least(size / 1000, 30.0) DESC, ordinal) AS r FROM files WHERE score IS NOT NULL)
+        SELECT id, name AS source_name, CASE WHEN name <> 'long.TEX' THEN '# ' || source || {NL} || 'Head' END AS text FROM best WHERE r = 1""",
 }

@@ -6,7 +6,7 @@ import gzip
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -58,6 +58,11 @@ class ArchiveFiles:
             yield i, name, content
 
 
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Archive files of a folder, whatever store it is in, as archives(id, data); the id is the file's path."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("id"), F.col("content").alias("data"))
+
+
 def entries(archives: DataFrame) -> DataFrame:
     """archives(id, data) to one row per file: id, ordinal, name, data."""
     spark = archives.sparkSession

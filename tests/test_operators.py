@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from paperlake.functions import export, render
 from paperlake.operators import collections as C
 from paperlake.operators import graph, metrics, search, similar
-from paperlake.operators.boolean import Field, any_category, compile_query, month_range
+from paperlake.operators.boolean import Field, Fields, any_category, month_range
 from paperlake.operators.paging import page
 from paperlake.plans import params as P
+from paperlake.sources.tables import GRAPH_NODE
 
 CHUNK = "id string, source_file string, source_url string, doc_type string, category string, title string, section string, subsection string, content string, ordinal long"
 
@@ -49,7 +50,8 @@ def test_phrase_across_fields_and_snippets(spark):
     assert got["2"] == "needle at the start" and got["3"].startswith("...") and got["3"].endswith("needle")
 
 
-FIELDS = {"ti": Field("title"), "au": Field("author", "exact"), "year": Field("year", "number"), "cat": Field("cats", "array")}
+FIELDS = Fields({"ti": Field("title"), "au": Field("author", "exact"), "year": Field("year", "number"), "cat": Field("cats", "array")}, ("ti",))
+ANY, HAS, STARTS, YEAR = FIELDS.anywhere, FIELDS.has, FIELDS.starts, lambda a, b=None: FIELDS.between("year", a, b)
 
 
 @pytest.fixture(scope="module")
@@ -59,20 +61,34 @@ def papers(spark):
 
 
 @pytest.mark.parametrize(
-    ("query", "ids"),
+    ("condition", "ids"),
     [
-        ("dark", {1, 2, 3}), ("dark*", {1, 2, 3, 5}), ("dark matter", {1, 3}), ('"dark matter"', {1}), ("ti:dark AND au:smith", {1}), ("au:smith*", {1, 2, 5}), ("dark NOT matter", {2}), ("dark ANDNOT (matter OR energy)", set()), ("year:2020-2021", {1, 2}), ("year:1999", {3}),
-        ("energy OR matter au:jones", {2, 3}), ("(energy OR matter) au:jones", {3}), ("cat:cs.lg", {1, 5}), ("cat:cs* NOT cat:x", {1, 5}), ("NOT dark", {4, 5}), ('ti:"energy"', {2}),
+        (lambda: ANY("dark"), {1, 2, 3}),
+        (lambda: ANY("dark", beginning=True), {1, 2, 3, 5}),
+        (lambda: ANY("dark") & ANY("matter"), {1, 3}),
+        (lambda: ANY("dark matter"), {1}),
+        (lambda: HAS("ti", "dark") & HAS("au", "smith"), {1}),
+        (lambda: STARTS("au", "smith"), {1, 2, 5}),
+        (lambda: ANY("dark") & ~ANY("matter"), {2}),
+        (lambda: ANY("dark") & ~(ANY("matter") | ANY("energy")), set()),
+        (lambda: YEAR(2020, 2021), {1, 2}),
+        (lambda: YEAR(1999), {3}),
+        (lambda: ANY("energy") | ANY("matter") & HAS("au", "jones"), {2, 3}),
+        (lambda: (ANY("energy") | ANY("matter")) & HAS("au", "jones"), {3}),
+        (lambda: HAS("cat", "cs.lg"), {1, 5}),
+        (lambda: STARTS("cat", "cs") & ~HAS("cat", "x"), {1, 5}),
+        (lambda: ~ANY("dark"), {4, 5}),
+        (lambda: HAS("ti", "energy"), {2}),
     ],
 )
-def test_boolean(papers, query, ids):
-    assert {r.id for r in papers.where(compile_query(query, FIELDS, ("ti",))).collect()} == ids
+def test_boolean(papers, condition, ids):
+    assert {r.id for r in papers.where(condition()).collect()} == ids
 
 
-@pytest.mark.parametrize("query", ["", "(dark", "dark)", "AND dark", "no:field", "year:abc", "dark OR", "da*rk", 'ti:"open', "a:b:c"])
-def test_boolean_refuses(query):
+@pytest.mark.parametrize("condition", [lambda: ANY(""), lambda: HAS("no", "field"), lambda: HAS("year", "abc"), lambda: ANY("da*rk"), lambda: FIELDS.between("ti", 1), lambda: STARTS("ti", " ")])
+def test_boolean_refuses(spark, condition):
     with pytest.raises(ValueError):
-        compile_query(query, FIELDS, ("ti",))
+        condition()
 
 
 def test_preprint_filters(spark):
@@ -216,3 +232,37 @@ def test_documentation_index(spark, tmp_path):
     (tmp_path / "docs.json").write_text(json.dumps(rows))
     found = search.search(search.clean_chunks(doc_index(spark, str(tmp_path / "docs.json"))), "gamma", 5).collect()
     assert [(r.id, r.score, r.char_count) for r in found] == [("a", 7, 10)]
+
+
+def test_sort_names_become_orders(spark):
+    rows = [(1, 2.0, 5, "2024-01-01", None), (2, 1.0, 7, "2025-01-01", 3), (3, 2.0, None, None, 4)]
+    df = spark.createDataFrame(rows, "id int, score double, citation_count int, date string, read_count int")
+    ids = lambda order: [r.id for r in df.orderBy(*order).collect()]
+    got = {s: ids(P.SearchParams("q", sort=s).order()) for s in P.SORTS}
+    assert got == {"score desc": [1, 3, 2], "citation_count desc": [2, 1, 3], "date desc": [2, 1, 3], "date asc": [1, 2, 3], "read_count desc": [3, 2, 1]}
+    assert ids(P.PreprintSearchParams("q", sort_by="submittedDate", sort_order="ascending").order()) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        P.SearchParams("q", sort="title desc")
+
+
+def test_library_create_and_edit_counts(spark):
+    t = dt.datetime(2024, 1, 1)
+    log = spark.createDataFrame([(1, 5, "add", None, "owner", t, 1), (1, 6, "add", None, "owner", t, 2), (1, 6, "remove", None, "owner", t, 3)], C.EVENT)
+    asked = spark.createDataFrame([(1, t, 9, [7]), (2, t, 10, [7, 7, None, 8]), (3, t, 11, [])], "library_id long, ts timestamp_ntz, event_id long, papers array<long>")
+    made = C.created(log, asked)
+    whole = {r.library_id: (r.num_documents, r.permission) for r in C.libraries(log.unionByName(made)).collect()}
+    assert whole == {1: (1, "owner"), 2: (2, "owner"), 3: (0, "owner")}
+    edits = spark.createDataFrame([(1, 5, "add"), (1, 6, "add"), (1, 6, "add"), (1, 5, "remove"), (1, 9, "remove"), (1, None, "add")], "library_id long, doc_id long, action string")
+    got = {r.action: (r.number_added, r.number_removed, r.n_asked, r.n_changed) for r in C.edit_counts(log, edits).collect()}
+    assert got == {"add": (1, None, 2, 1), "remove": (None, 1, 2, 1)}
+
+
+def test_nested_nodes(spark):
+    nodes = spark.createDataFrame([("p", "T", 2020, [("A",), (None,), ("",), ("B",)], {"ArXiv": "1"}), ("q", None, None, None, {})], GRAPH_NODE)
+    assert [tuple(r) for r in graph.node_fields(nodes).collect()] == [("p", "T", 2020, "A, B", "1"), ("q", None, None, "", None)]
+
+
+def test_shown_lists_count_all(spark):
+    many = spark.range(60).selectExpr("cast(id as string) AS id", "id AS key", "'t' AS title", "'a' AS author", "2000 AS year")
+    text = render.graph_list(many, [F.asc("key")], "Citing papers").first().text
+    assert text.startswith("## Citing papers (60)") and "_Showing 25 of 60 returned papers._" in text and "25. **t**" in text and "26. " not in text

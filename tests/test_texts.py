@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions import text as T
 from paperlake.operators.fulltext import read_papers
+from paperlake.plans.texts import packed_files
 from paperlake.sources import archive, atom
 
 
@@ -139,3 +140,15 @@ def test_ids_longer_than_their_padding_stay_whole(spark, docs, saved):
     assert found == {t: (f"2001.{i}", f"https://arxiv.org/pdf/2001.{i}") for t, i in (("a", "00007"), ("b", "100000"), ("c", "100001"))}
     found = {r.o_orderkey: r.clean_id for r in queries()["id_normalize"](spark, folder).collect()}
     assert found == {7: "cs.LG/0000007", 12345678: "cs.LG/12345678", 12345679: "cs.LG/12345679"}
+
+
+def test_feeds_and_archives_are_read_from_files(spark, tmp_path):
+    (tmp_path / "feeds").mkdir()
+    (tmp_path / "archives").mkdir()
+    entry = "<entry><id>http://arxiv.org/abs/2001.1v2</id><title>A\n B</title><summary> s <x> </summary><author><name> N </name></author><author><name>M</name></author><link title=\"doi\" href=\"https://dx.doi.org/10.1/z\"/></entry>"
+    (tmp_path / "feeds" / "a.xml").write_text(f"<feed>{entry}<entry><title>no id</title></entry></feed>")
+    row = atom.parse_feeds(atom.read_feeds(spark, f"{tmp_path}/feeds")).collect()
+    assert [(r.id, r.title, r.authors, r.abstract, r.doi) for r in row] == [("2001.1", "A B", ["N", "M"], "s <x>", "10.1/z")]
+    (tmp_path / "archives" / "p.tar").write_bytes(packed_files({"main.tex": b"\\section{X} y", "b.txt": b"1"}))
+    got = archive.main_tex(archive.entries(archive.read_archives(spark, f"{tmp_path}/archives"))).collect()
+    assert [(r.id.rsplit("/", 1)[1], r.source_name, r.text.split()) for r in got] == [("p.tar", "main.tex", ["#", "X", "y"])]
