@@ -43,7 +43,9 @@ from pyspark.sql import functions as F
 from .common import checkpointed, crc_mod, documents, keyed_text, listed, shared_folder, slices
 
 PAIR_PRIOR, TRIPLE_PRIOR = 1000.0, 100.0
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Files' buckets at most, which Spark limits; beyond that a bucket holds several blocks.
+MOST_BUCKETS = 100_000
 SPARE_BITS = 20
 FOLDS, HELD_OUT = 5, 1
 START, END = 0, 1
@@ -123,7 +125,7 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-PACKED = "block long, size long, documents binary"
+PACKED = "block long, documents binary"
 
 
 def pack(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -135,8 +137,8 @@ def pack(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.Rec
         with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             for part in held:
                 out.write_batch(part)
-        row = [pa.array([x], pa.int64()) for x in (partition << 33 | count, size)]
-        return pa.RecordBatch.from_arrays([*row, pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "size", "documents"])
+        row = [pa.array([partition << 33 | count], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(row, ["block", "documents"])
 
     for part in slices(batches, block_bytes):
         n = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
@@ -291,13 +293,12 @@ class Automaton:
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """Written once as a table whose files are bucketed by ``key``, so that grouping by it moves nothing.
 
     The table lies in the shared folder; it is external and only lives as long as its catalog entry.
     """
     spark, name = df.sparkSession, f"blocks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
@@ -311,9 +312,11 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OU
     """
     remainder = F.coalesce(crc_mod("doc_id", folds), F.lit(-1))
     narrow = keyed_text(docs).withColumn("training", remainder != held_out)
-    packs = bucketed(narrow.mapInArrow(lambda batches: pack(batches, block_bytes), PACKED), "block")
-    count, size = packs.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    buckets, bits = max(1, count), min(64, max(32, size.bit_length() + SPARE_BITS))
+    size = narrow.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(64, max(32, size.bit_length() + SPARE_BITS))
+    files = min(MOST_BUCKETS, max(size // block_bytes, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    packs = bucketed(narrow.mapInArrow(lambda batches: pack(batches, block_bytes), PACKED), "block", files)
+    buckets = max(1, packs.count())
 
     def answers(*kinds: int) -> DataFrame:
         asked = packs.select("block", "documents").mapInArrow(lambda batches: ask(batches, buckets, bits, kinds), ASKED)
