@@ -147,3 +147,64 @@ def test_weights_and_edited_copies_do_not_depend_on_the_size_of_the_corpus(spark
         monkeypatch.setattr(dc.Terms, "weigh", lambda self, frequency, total, times=times: weigh(self, frequency * times, total * times))
         got = {(r.doc_id, r.item_id) for r in dc.contaminated(docs(rows), bench).collect()}
         assert got <= {(i, i) for i in range(200)} and len(got) >= 198
+
+
+def test_answers_equal_plain_cosine_and_subsequence(spark, docs):
+    """The whole answer, worked out plainly for a benchmark of fewer terms than the rank: there the latent space holds every vector."""
+    rng = random.Random(21)
+    filler = [f"f{i}" for i in range(40)]
+    own = [f"q{i}" for i in range(70)]
+    items = [(i, " ".join(rng.choice(own) for _ in range(rng.randint(12, 30)))) for i in range(6)] + [(9, "where is q1 q2 ? q3 q4 q5")]
+    rows = []
+    for d in range(60):
+        words = [rng.choice(filler) for _ in range(rng.randint(0, 120))]
+        for _ in range(d % 3):
+            passage = rng.choice(items)[1].split()
+            for k in rng.sample(range(len(passage)), rng.randint(0, len(passage) // 2)):
+                passage[k] = rng.choice(own + filler)
+            at = rng.randint(0, len(words))
+            words[at:at] = passage
+        rows.append((d, " ".join(words)))
+    limits = dc.Limits()
+    segments = [s for i, t in items for s in dc.segments_of(i, t.encode())]
+    terms = {w for s in segments for w in s.words}
+    texts = {d: dc.words_of(t.encode()) for d, t in rows}
+    df = {w: sum(w in t for t in texts.values()) for w in terms}
+    idf = lambda w: 1 + min(np.log(dc.RAREST), np.log((len(rows) + 1) / (df.get(w, 0) + 1)))
+
+    def cosine(window, segment):
+        norm = sum(idf(w) ** 2 for w in window)
+        held, sought = ({w: np.sqrt(x.count(w)) * idf(w) for w in set(x) & terms} for x in (window, segment))
+        length = np.sqrt(sum(v * v for v in held.values()))
+        if length * length < limits.cosine**2 * norm:
+            return 0.0
+        return sum(v * held.get(w, 0) for w, v in sought.items()) / np.sqrt(norm * sum(v * v for v in sought.values()))
+
+    def shares(near, s):
+        return dc.longest_common(s.words, near) / len(s.words), dc.longest_common(s.answer, near) / len(s.answer)
+
+    taken = lambda common, answered: common >= limits.common and (common >= limits.certain or answered >= limits.answer)
+    expected = {}
+    for d, words in texts.items():
+        if not terms & set(words):
+            continue
+        for s in segments:
+            found = []
+            for a, b in zip(*dc.windows_of(len(words))):
+                if cosine(words[a:b], s.words) >= limits.cosine:
+                    found.append(shares(words[max(0, a - dc.MARGIN) : b + dc.MARGIN], s))
+            found = [x for x in found if taken(*x)]
+            if not found:
+                blocks = -(-(len(s.words) + max(8, len(s.words) // 2)) // dc.BLOCK) + 1
+                for a in range(0, len(words), dc.BLOCK):
+                    near = words[a : a + blocks * dc.BLOCK]
+                    weight = sum(min(near.count(w), s.words.count(w)) * idf(w) ** 2 for w in set(s.words))
+                    if weight >= limits.common * sum(idf(w) ** 2 for w in s.words):
+                        found += [x for x in [shares(near, s)] if taken(*x)]
+            for common, answered in found:
+                best = expected.get((d, s.item_id), (0, 0))
+                expected[d, s.item_id] = max(best[0], common), max(best[1], answered)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.common_share, r.answer_share) for r in dc.contaminated(docs(rows), bench).collect()}
+    assert len(expected) > 20 and set(got) == set(expected)
+    assert all(np.allclose(got[k], expected[k]) for k in expected)

@@ -54,3 +54,35 @@ def test_empty_unlabelled_and_clashing(spark, docs):
     df = spark.createDataFrame([(1, "abc abc", "aa", 3), (2, "!!", "aa", 4), (3, "abc", "aa", 5), (4, "abca", "aa", 5)], "doc_id long, text string, lang string, score int")
     kept = lang.keep_known_language(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
+def test_answers_equal_plain_prototypes_and_cosines(docs):
+    """lang_pred and score of every document, from vectors summed n-gram by n-gram."""
+    rng = random.Random(12)
+    rows = [(i, text_of(rng, n, rng.randint(1, 9)), n) for i, n in enumerate(list(LETTERS) * 15)]
+    rows += [(900, None, "aa"), (901, "7 !", "bb"), (902, text_of(rng, "aa", 3) + " ?", None), (None, text_of(rng, "bb", 4), "bb"), (3, "ab AB", "cc")]
+
+    def vector(text):
+        stream = [0]
+        for c in f"{text} ":
+            s = ord(c.lower()[0]) if c.isalpha() else 0
+            if s or stream[-1]:
+                stream.append(s)
+        out = np.zeros(lang.DIMENSIONS)
+        for a, b, c in zip(stream, stream[1:], stream[2:]):
+            out += np.roll(lang.letter_vector(a), 2).astype(int) * np.roll(lang.letter_vector(b), 1) * lang.letter_vector(c)
+        return out
+
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    sums = {n: sum(vector(t) for i, t, g in rows if g == n and t is not None and not held(i)) for n in LETTERS}
+    expected = []
+    for i, t, _ in rows:
+        v = vector(t or "")
+        if any(c.isalpha() for c in t or ""):
+            cosine = {n: float(v @ s / np.linalg.norm(v) / np.linalg.norm(s)) for n, s in sums.items()}
+            best = max(sorted(cosine), key=cosine.get)
+            expected.append((i, held(i), best, round(max(0.0, cosine[best]), 9)))
+        else:
+            expected.append((i, held(i), "und", 0.0))
+    got = [(r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in lang.identify(docs(rows)).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
