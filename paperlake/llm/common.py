@@ -118,7 +118,7 @@ def in_slices(texts: pa.Array) -> Iterator[list[bytes | None]]:
 HOT_PART = 1000
 
 
-def joined_by_hot_key(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+def joined_by_hot_key(rows: DataFrame, groups: DataFrame, key: str | list[str], count: str) -> DataFrame:
     """rows joined with groups(key, count, ...), one row a key, where ``count`` is how many rows have that key.
 
     Rows of hot keys meet their group by a broadcast of fewer than ``HOT_PART`` groups, so no
@@ -127,7 +127,14 @@ def joined_by_hot_key(rows: DataFrame, groups: DataFrame, key: str, count: str)
     total = groups.agg(F.sum(count)).first()[0] or 0
     hot = F.col(count) * HOT_PART > F.lit(total)
     few, rest = (F.broadcast(groups.where(hot).drop(count)), groups.where(~hot).drop(count))
-    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(rest, key))
+    keys = [key] if isinstance(key, str) else key
+    return rows.join(few, keys).unionByName(rows.join(few.select(*keys), keys, "left_anti").join(rest, keys))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours that nothing reads any more, in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -17,7 +17,8 @@ from .common import checkpointed, documents, keyed_text
 
 ATOM_BITS = 16
 OVERHEAD = 16
-#: Rows that one sorted run for slot numbers holds, about; larger atoms are dealt over more runs.
+#: Rows that one sorted run for slot numbers holds, about; larger atoms are dealt over more runs, by
+#: doc_id and by the partition a row was read from, so that rows without an id are dealt as well.
 RUN_ROWS = 10_000
 
 
@@ -65,6 +66,7 @@ def keyed_documents(docs: DataFrame) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.xxhash64("text").alias("key"),
+        F.spark_partition_id().alias("part"),
     ).withColumn("atom", F.shiftrightunsigned("key", 64 - ATOM_BITS).cast("int"))
 
 
@@ -76,7 +78,8 @@ def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
     of atom, run, text hash, doc_id (nulls first); repeated rows get slots of their own.
     With fewer atoms than shards the last shards stay empty.
     """
-    keyed = keyed_documents(docs)
+    #: Read once: what follows meets a few numbers a row in place of its text.
+    keyed = checkpointed(keyed_documents(docs))
     atoms = keyed.groupBy("atom").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     listed = F.sort_array(F.collect_list(F.struct("atom", "bytes", "rows")))
     #: Bounded by 2 ** ATOM_BITS entries, as is every table below it up to ``layout``.
@@ -89,7 +92,7 @@ def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
     layout = placed.select("atom", "shard", F.coalesce(earlier, F.lit(0)).alias("before"), runs.alias("runs"))
 
     #: Proven bound: at most 2 ** ATOM_BITS short rows.
-    rows = keyed.join(F.broadcast(layout), "atom").withColumn("run", F.pmod(F.xxhash64("doc_id"), "runs").cast("int"))
+    rows = keyed.join(F.broadcast(layout), "atom").withColumn("run", F.pmod(F.xxhash64("doc_id", "part"), "runs").cast("int"))
     counts = rows.where("runs > 1").groupBy("atom", "run").agg(F.count("*").alias("n"))
     in_atom = Window.partitionBy("atom").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("atom", "run", F.coalesce(F.sum("n").over(in_atom), F.lit(0)).alias("skip"))

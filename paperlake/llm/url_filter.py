@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed, joined_by_hot_key
+
 SALTS = 16
 
 
@@ -57,21 +59,25 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     n_active counts the entries (list and rule) that match and were active; first_rule is the
     smallest of them and since its start. A null or empty URL has no host and is never
-    blocked; neither is a capture without a time. Repeated rows are judged once each.
+    blocked; neither is a capture without a time. Repeated rows are judged once each. A page with
+    very many captures of one time is joined by a broadcast, so it is no task of its own.
     """
     host, path = host_and_path()
     base = captures.select("page_id", host.alias("host"), path.alias("path"), "fetched_at")
     base = base.withColumn("host", F.when(F.col("host") != "", F.col("host")))
-    #: Equal captures of a host, path and time have equal verdicts: they are judged once.
-    distinct = base.where("host IS NOT NULL AND fetched_at IS NOT NULL").select("host", "path", "fetched_at").distinct()
-    asked = distinct.withColumn("rule", F.explode(candidate_rules())).withColumn("salt", F.pmod(F.xxhash64("path", "fetched_at"), F.lit(SALTS)))
+    #: Equal captures of a host, path and time have equal verdicts: they are judged once, and counted.
+    key = ["host", "path", "fetched_at"]
+    judgeable = F.col("host").isNotNull() & F.col("fetched_at").isNotNull()
+    distinct = checkpointed(base.where(judgeable).groupBy(*key).agg(F.count("*").alias("captures")))
+    asked = distinct.select(*key).withColumn("rule", F.explode(candidate_rules())).withColumn("salt", F.pmod(F.xxhash64("path", "fetched_at"), F.lit(SALTS)))
     spans = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     active = (F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
     hits = asked.join(spans, ["rule", "salt"]).where(active)
     first = F.min(F.struct("rule", "valid_from"))
-    verdicts = hits.groupBy("host", "path", "fetched_at").agg(F.count("*").alias("n_active"), first.alias("first"))
-    judged = base.join(verdicts, ["host", "path", "fetched_at"], "left")
-    return judged.select(
+    found = hits.groupBy(*key).agg(F.count("*").alias("n_active"), first.alias("first"))
+    verdicts = checkpointed(distinct.join(found, key, "left"))
+    judged = joined_by_hot_key(base.where(judgeable), verdicts, key, "captures")
+    return judged.unionByName(base.where(~judgeable), allowMissingColumns=True).select(
         "page_id", "host", "fetched_at", F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), F.col("n_active").isNotNull().alias("blocked"),
         F.col("first.rule").alias("first_rule"), F.col("first.valid_from").alias("since"),
     )
