@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlake.llm.common import documents, shared_folder
+from paperlake.llm.common import documents, remove_folder, shared_folder
 from paperlake.llm.decontamination import drop_contaminated
 from paperlake.llm.language import keep_known_language
 from paperlake.llm.secrets import redact_secrets
@@ -59,12 +59,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again; only the last one's folder stays."""
     folder = f"{shared_folder(spark)}/corpus_pipeline_{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
         docs = spark.read.parquet(f"{folder}/{k}_{name}")
+        if k:
+            remove_folder(spark, f"{folder}/{k - 1}_{STAGES[k - 1][0]}")
     return docs
 
 
