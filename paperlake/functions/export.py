@@ -12,7 +12,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SUPPORTED = ("bibtex", "bibtexabs", "ris", "endnote", "custom")
-UNSUPPORTED = ("aastex", "ads", "agu", "ams", "dcxml", "gsa", "icarus", "ieee", "jatsxml", "medlars", "mnras", "procite", "refabsxml", "refworks", "refxml", "rss", "soph", "votable")
+UNSUPPORTED = (
+    "aastex",
+    "ads",
+    "agu",
+    "ams",
+    "dcxml",
+    "gsa",
+    "icarus",
+    "ieee",
+    "jatsxml",
+    "medlars",
+    "mnras",
+    "procite",
+    "refabsxml",
+    "refworks",
+    "refxml",
+    "rss",
+    "soph",
+    "votable",
+)
 
 
 def authors(max_author: int | None, cutoff: int | None, separator: str, others: str) -> Column:
@@ -21,7 +40,9 @@ def authors(max_author: int | None, cutoff: int | None, separator: str, others:
     joined = F.array_join(a, separator)
     if not max_author:
         return joined
-    return F.when(F.size(a) > (cutoff or max_author), F.concat(F.array_join(F.slice(a, 1, max_author), separator), F.lit(others))).otherwise(joined)
+    return F.when(
+        F.size(a) > (cutoff or max_author), F.concat(F.array_join(F.slice(a, 1, max_author), separator), F.lit(others))
+    ).otherwise(joined)
 
 
 def cite_key(template: str | None) -> Column:
@@ -44,7 +65,13 @@ def fill(template: str, max_author: int | None = None, cutoff: int | None = None
     return F.concat(*parts)
 
 
-def record(format: str, custom_format: str | None = None, max_author: int | None = None, cutoff: int | None = None, key_format: str | None = None) -> Column:
+def record(
+    format: str,
+    custom_format: str | None = None,
+    max_author: int | None = None,
+    cutoff: int | None = None,
+    key_format: str | None = None,
+) -> Column:
     """One record of columns bibcode, title, author, year, pub, volume, doi, abstract."""
     if format == "custom":
         if not custom_format:
@@ -57,11 +84,28 @@ def record(format: str, custom_format: str | None = None, max_author: int | None
     if format.startswith("bibtex"):
         abstract = optional("    abstract = {", F.col("abstract"), "},\n") if format == "bibtexabs" else F.lit("")
         return F.concat(
-            F.lit("@ARTICLE{"), cite_key(key_format), F.lit(",\n"), optional("    author = {", authors(max_author, cutoff, " and ", " and others"), "},\n"), optional("    title = {", title, "},\n"), optional("    journal = {", F.col("pub"), "},\n"),
-            optional("    year = {", F.col("year"), "},\n"), optional("    volume = {", F.col("volume"), "},\n"), abstract, optional("    doi = {", doi, "},\n"), F.lit("}\n"),
+            F.lit("@ARTICLE{"), cite_key(key_format), F.lit(",\n"), optional(
+                "    author = {", authors(max_author, cutoff, " and ", " and others"), "},\n"
+            ), optional("    title = {", title, "},\n"), optional("    journal = {", F.col("pub"), "},\n"),
+            optional("    year = {", F.col("year"), "},\n"), optional(
+                "    volume = {", F.col("volume"), "},\n"
+            ), abstract, optional("    doi = {", doi, "},\n"), F.lit("}\n"),
         )
-    marks = {"ris": ("TY  - JOUR\n", "AU  - ", "TI  - ", "JO  - ", "PY  - ", "VL  - ", "DO  - ", "ID  - ", "ER  - \n"), "endnote": ("%0 Journal Article\n", "%A ", "%T ", "%J ", "%D ", "%V ", "%R ", "%F ", "\n")}[format]
+    marks = {
+        "ris": ("TY  - JOUR\n", "AU  - ", "TI  - ", "JO  - ", "PY  - ", "VL  - ", "DO  - ", "ID  - ", "ER  - \n"),
+        "endnote": ("%0 Journal Article\n", "%A ", "%T ", "%J ", "%D ", "%V ", "%R ", "%F ", "\n"),
+    }[format]
     head, au, ti, jo, py, vl, do, key, end = marks
     names = F.slice("author", 1, max_author) if max_author else F.col("author")
     each = F.coalesce(F.array_join(F.transform(names, lambda n: F.concat(F.lit(au), n, F.lit("\n"))), ""), F.lit(""))
-    return F.concat(F.lit(head), each, optional(ti, title, "\n"), optional(jo, F.col("pub"), "\n"), optional(py, F.col("year"), "\n"), optional(vl, F.col("volume"), "\n"), optional(do, doi, "\n"), optional(key, F.col("bibcode"), "\n"), F.lit(end))
+    return F.concat(
+        F.lit(head),
+        each,
+        optional(ti, title, "\n"),
+        optional(jo, F.col("pub"), "\n"),
+        optional(py, F.col("year"), "\n"),
+        optional(vl, F.col("volume"), "\n"),
+        optional(do, doi, "\n"),
+        optional(key, F.col("bibcode"), "\n"),
+        F.lit(end),
+    )

@@ -50,20 +50,40 @@ def paper_detail() -> Column:
     """A literature record; citations, reads and links of no value are left out."""
     doi, site = F.lit(DOI_SITE), F.lit(RECORD_SITE)
     return F.concat(
-        F.lit("# "), or_else(first_of("title"), "Untitled"), F.lit("\n\n"), part("Authors", author_line(F.coalesce("author", F.array().cast("array<string>")))),
-        part("Bibcode", F.concat(F.lit("`"), or_else("bibcode", "N/A"), F.lit("`"))), part("Year", or_else("year", "N/A")), part("Publication", or_else("pub", "N/A")),
-        part("Citations", shown(F.col("citation_count"))), part("Reads", shown(F.col("read_count"))), part("DOI", F.concat(doi, shown(first_of("doi")))),
+        F.lit("# "), or_else(first_of("title"), "Untitled"), F.lit("\n\n"), part(
+            "Authors", author_line(F.coalesce("author", F.array().cast("array<string>")))
+        ),
+        part(
+            "Bibcode", F.concat(F.lit("`"), or_else("bibcode", "N/A"), F.lit("`"))
+        ), part("Year", or_else("year", "N/A")), part("Publication", or_else("pub", "N/A")),
+        part("Citations", shown(F.col("citation_count"))), part("Reads", shown(F.col("read_count"))), part(
+            "DOI", F.concat(doi, shown(first_of("doi")))
+        ),
         part("arXiv", F.concat(F.lit(PREPRINT_SITE), shown(F.col("arxiv_id")))), part("SciX", F.concat(site, shown(F.col("bibcode")))),
         F.coalesce(F.concat(F.lit("## Abstract\n\n"), shown(F.col("abstract")), F.lit("\n\n")), F.lit("")),
     )
 
 
 def preprint_links() -> Column:
-    return F.concat(F.lit("**Links:** [Abstract]("), "abs_url", F.lit(") | [PDF]("), "pdf_url", F.lit(") | [HTML]("), "html_url", F.lit(")\n\n"))
+    return F.concat(
+        F.lit("**Links:** [Abstract]("),
+        "abs_url",
+        F.lit(") | [PDF]("),
+        "pdf_url",
+        F.lit(") | [HTML]("),
+        "html_url",
+        F.lit(")\n\n"),
+    )
 
 
 def preprint_head() -> Column:
-    return F.concat(F.lit("# "), "title", F.lit("\n\n"), part("Authors", author_line(F.col("authors"))), part("arXiv ID", F.concat(F.lit("`"), "id", F.lit("`"))))
+    return F.concat(
+        F.lit("# "),
+        "title",
+        F.lit("\n\n"),
+        part("Authors", author_line(F.col("authors"))),
+        part("arXiv ID", F.concat(F.lit("`"), "id", F.lit("`"))),
+    )
 
 
 def preprint_detail() -> Column:
@@ -71,13 +91,23 @@ def preprint_detail() -> Column:
     updated = F.when((F.col("updated") != "") & (F.col("updated") != F.col("published")), F.substring("updated", 1, 10))
     doi = F.concat(F.lit(DOI_SITE), shown(F.col("doi")))
     return F.concat(
-        preprint_head(), part("Published", F.substring("published", 1, 10)), part("Updated", updated), part("Categories", F.array_join("categories", ", ")), part("DOI", doi), preprint_links(), F.lit("## Abstract\n\n"), "abstract", F.lit("\n\n")
+        preprint_head(), part("Published", F.substring("published", 1, 10)), part("Updated", updated), part(
+            "Categories", F.array_join("categories", ", ")
+        ), part("DOI", doi), preprint_links(), F.lit("## Abstract\n\n"), "abstract", F.lit("\n\n")
     )
 
 
 def window_note(window: Column) -> Column:
     """Where a window of text stands, and how to go on."""
-    place = F.concat(F.lit("\n\n_Showing characters "), window["offset"], F.lit("-"), window["end"], F.lit(" of "), window["total_chars"], F.lit("._"))
+    place = F.concat(
+        F.lit("\n\n_Showing characters "),
+        window["offset"],
+        F.lit("-"),
+        window["end"],
+        F.lit(" of "),
+        window["total_chars"],
+        F.lit("._"),
+    )
     more = F.concat(F.lit("\n_More text is available. Call this tool again with `offset="), window["end"], F.lit("` to continue._"))
     return F.concat(place, F.when(window["has_more"], more).otherwise(""))
 
@@ -89,19 +119,49 @@ def text_page(content: str, offset: int, max_chars: int) -> Column:
 
 def read_view(offset: int = 0, max_chars: int = 12_000) -> Column:
     """A read paper: source label, file name, links, and one window of its text."""
-    label = F.when(F.col("source") == "tex", "arXiv source archive").when(F.col("source") == "html", "arXiv HTML").when(F.col("source") == "pdf", "arXiv PDF").otherwise("Abstract fallback")
+    label = F.when(
+        F.col("source") == "tex", "arXiv source archive"
+    ).when(F.col("source") == "html", "arXiv HTML").when(F.col("source") == "pdf", "arXiv PDF").otherwise("Abstract fallback")
     file = F.concat(F.lit("`"), shown(F.col("source_name")), F.lit("`"))
     doi = F.concat(F.lit(DOI_SITE), shown(F.col("doi")))
-    return F.concat(preprint_head(), part("Source", label), part("Source file", file), preprint_links(), part("DOI", doi), F.lit("## Extracted text\n\n"), text_page("content", offset, max_chars), F.lit("\n"))
+    return F.concat(
+        preprint_head(),
+        part("Source", label),
+        part("Source file", file),
+        preprint_links(),
+        part("DOI", doi),
+        F.lit("## Extracted text\n\n"),
+        text_page("content", offset, max_chars),
+        F.lit("\n"),
+    )
 
 
 def full_text_view(offset: int = 0, max_chars: int = 12_000) -> Column:
     """A preprint with its abstract and one window of ``full_text``, or a notice that there is none."""
-    text = F.when(trim_all("full_text") != "", text_page("full_text", offset, max_chars)).otherwise("_No text could be extracted from the PDF._")
-    return F.concat(preprint_head(), part("Published", F.substring("published", 1, 10)), preprint_links(), F.lit("## Abstract\n\n"), "abstract", F.lit("\n\n## Full text\n\n"), text, F.lit("\n\n"))
+    text = F.when(trim_all("full_text") != "", text_page("full_text", offset, max_chars)).otherwise(
+        "_No text could be extracted from the PDF._"
+    )
+    return F.concat(
+        preprint_head(),
+        part("Published", F.substring("published", 1, 10)),
+        preprint_links(),
+        F.lit("## Abstract\n\n"),
+        "abstract",
+        F.lit("\n\n## Full text\n\n"),
+        text,
+        F.lit("\n\n"),
+    )
 
 
-def folded(rows: DataFrame, order: list[Column], head: Column, item: Column, empty: str, show: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def folded(
+    rows: DataFrame,
+    order: list[Column],
+    head: Column,
+    item: Column,
+    empty: str,
+    show: int | None = None,
+    by: tuple[str, ...] = (),
+) -> DataFrame:
     """One row with column ``text``: a heading, then the numbered items of a page in order.
 
     ``head`` and ``empty`` may use ``n``, the number of rows; ``item`` may use ``i``, from 1. With
@@ -115,7 +175,9 @@ def folded(rows: DataFrame, order: list[Column], head: Column, item: Column, emp
     body = numbered.select(*by, "i", item.alias("line")).groupBy(*by).agg(F.count("*").alias("n"), text)
     if show:  # all rows are counted apart: one row each, proven by the global aggregates
         body = body.drop("n").crossJoin(rows.agg(F.count("*").alias("n")))
-    more = F.when(F.col("n") > show, F.concat(F.lit(f"_Showing {show} of "), "n", F.lit(" returned papers._\n\n"))).otherwise("") if show else F.lit("")
+    more = F.when(
+        F.col("n") > show, F.concat(F.lit(f"_Showing {show} of "), "n", F.lit(" returned papers._\n\n"))
+    ).otherwise("") if show else F.lit("")
     return body.select(*by, F.when(F.col("n") == 0, F.lit(empty)).otherwise(F.concat(head, "body", more)).alias("text"))
 
 
@@ -134,7 +196,13 @@ def preprint_list(page: DataFrame, order: list[Column]) -> DataFrame:
         "i", F.lit(". **"), "title", F.lit("**\n   - "), or_else(first_of("authors"), "Unknown"), F.lit(" ("), F.substring("published", 1, 10), F.lit(")\n   - ID: `"), "id", F.lit("`\n   - Categories: "),
         F.array_join(F.slice("categories", 1, 3), ", "), F.lit("\n   - [Abstract]("), "abs_url", F.lit(")\n\n"),
     )
-    return folded(page, order, F.concat(F.lit("# arXiv Search Results\n\nFound **"), "n", F.lit("** paper(s)\n\n")), item, "No papers found.")
+    return folded(
+        page,
+        order,
+        F.concat(F.lit("# arXiv Search Results\n\nFound **"), "n", F.lit("** paper(s)\n\n")),
+        item,
+        "No papers found.",
+    )
 
 
 def docs_list(page: DataFrame, order: list[Column], query: str) -> DataFrame:
@@ -151,9 +219,22 @@ def docs_list(page: DataFrame, order: list[Column], query: str) -> DataFrame:
 def graph_list(neighbours: DataFrame, order: list[Column], heading: str) -> DataFrame:
     """neighbours(id, title, author, year[, arxiv_id]): the first 25 are shown, all are counted."""
     year = F.coalesce(F.concat(F.lit(" ("), shown(F.col("year")), F.lit(")")), F.lit(""))
-    preprint = F.coalesce(F.concat(F.lit("   - arXiv: `"), shown(F.col("arxiv_id")), F.lit("`\n")), F.lit("")) if "arxiv_id" in neighbours.columns else F.lit("")
+    preprint = F.coalesce(
+        F.concat(F.lit("   - arXiv: `"), shown(F.col("arxiv_id")), F.lit("`\n")), F.lit("")
+    ) if "arxiv_id" in neighbours.columns else F.lit("")
     graph_id = F.coalesce(F.concat(F.lit("   - Semantic Scholar: `"), shown(F.col("id")), F.lit("`\n")), F.lit(""))
-    item = F.concat("i", F.lit(". **"), or_else("title", "Untitled"), F.lit("**\n   - "), or_else("author", "Unknown"), year, F.lit("\n"), preprint, graph_id, F.lit("\n"))
+    item = F.concat(
+        "i",
+        F.lit(". **"),
+        or_else("title", "Untitled"),
+        F.lit("**\n   - "),
+        or_else("author", "Unknown"),
+        year,
+        F.lit("\n"),
+        preprint,
+        graph_id,
+        F.lit("\n"),
+    )
     head = F.concat(F.lit(f"## {heading} ("), "n", F.lit(")\n\n"))
     return folded(neighbours, order, head, item, f"## {heading} (0)\n\nNo papers returned.\n\n", show=SHOWN_NEIGHBOURS)
 
@@ -161,15 +242,28 @@ def graph_list(neighbours: DataFrame, order: list[Column], heading: str) -> Data
 def graph_view(paper_id: str, paper: DataFrame, citing: DataFrame, cited: DataFrame, order: list[Column]) -> DataFrame:
     """One paper(title, year) with its two lists of neighbours, one hop away."""
     known = paper.limit(1).agg(F.first("title").alias("title"), F.first("year").alias("year"))
-    head = known.select(F.lit("head").alias("part"), F.concat(part("Title", or_else("title", "Untitled")), part("Year", shown(F.col("year")))).alias("text"), F.lit(0).cast("long").alias("n"))
+    head = known.select(
+        F.lit("head").alias("part"),
+        F.concat(part("Title", or_else("title", "Untitled")), part("Year", shown(F.col("year")))).alias("text"),
+        F.lit(0).cast("long").alias("n"),
+    )
     parts = head
     for name, rows, heading in (("citing", citing, "Citing papers"), ("cited", cited, "Referenced papers")):
-        parts = parts.union(graph_list(rows, order, heading).select(F.lit(name), "text", F.lit(0))).union(rows.agg(F.lit(name), F.lit(""), F.count("*")))
+        parts = parts.union(graph_list(rows, order, heading).select(F.lit(name), "text", F.lit(0))).union(
+            rows.agg(F.lit(name), F.lit(""), F.count("*"))
+        )
     of = lambda name, c, how: how(F.when(F.col("part") == name, F.col(c)))
     longest = lambda c: F.max_by(c, F.length(c))
     count = lambda label, name: part(label, of(name, "n", F.max))
     return parts.agg(
-        F.concat(F.lit(f"# Citation Graph for arXiv:{paper_id}\n\n"), of("head", "text", longest), count("Citations returned", "citing"), count("References returned", "cited"), of("citing", "text", longest), of("cited", "text", longest)).alias("text")
+        F.concat(
+            F.lit(f"# Citation Graph for arXiv:{paper_id}\n\n"),
+            of("head", "text", longest),
+            count("Citations returned", "citing"),
+            count("References returned", "cited"),
+            of("citing", "text", longest),
+            of("cited", "text", longest),
+        ).alias("text")
     )
 
 
@@ -180,12 +274,35 @@ def metrics_view(count: Column, indices: bool = True, citations: bool = True, ba
     some = lambda label, c, digits: F.when(F.col(c).isNotNull(), line(label, F.format_string(f"%.{digits}f", F.col(c).cast("double")))).otherwise("")
     parts = [F.lit("# Citation Metrics\n\n*Based on "), count, F.lit(" paper(s)*\n\n")]
     if indices:
-        parts += [F.lit("## Indices\n\n"), line("h-index", whole("h")), line("g-index", whole("g")), line("i10-index", whole("i10")), some("m-index", "m", 2), some("tori", "tori", 2), F.lit("\n")]
+        parts += [
+            F.lit("## Indices\n\n"),
+            line("h-index", whole("h")),
+            line("g-index", whole("g")),
+            line("i10-index", whole("i10")),
+            some("m-index", "m", 2),
+            some("tori", "tori", 2),
+            F.lit("\n"),
+        ]
     if citations:
-        parts += [F.lit("## Citation Statistics\n\n"), line("Total citations", whole("total_citations")), line("Refereed citations", whole("refereed_citations")), some("Average", "mean_citations", 1)]
-        parts += [F.coalesce(line("Median", plain_number("median_citations")), F.lit("")), line("Self-citations", whole("self_citations")), F.lit("\n")]
+        parts += [
+            F.lit("## Citation Statistics\n\n"),
+            line("Total citations", whole("total_citations")),
+            line("Refereed citations", whole("refereed_citations")),
+            some("Average", "mean_citations", 1),
+        ]
+        parts += [
+            F.coalesce(line("Median", plain_number("median_citations")), F.lit("")),
+            line("Self-citations", whole("self_citations")),
+            F.lit("\n"),
+        ]
     if basic:
-        parts += [F.lit("## Paper Statistics\n\n"), line("Total papers", whole("papers")), line("Total reads", whole("reads")), some("Average reads", "mean_reads", 1), F.lit("\n")]
+        parts += [
+            F.lit("## Paper Statistics\n\n"),
+            line("Total papers", whole("papers")),
+            line("Total reads", whole("reads")),
+            some("Average reads", "mean_reads", 1),
+            F.lit("\n"),
+        ]
     return F.concat(*parts)
 
 
@@ -196,19 +313,36 @@ def plain_number(c: str) -> Column:
 
 def library_line(*more: tuple[str, Column]) -> Column:
     """One line of labels and values, two blanks and a bar between them."""
-    return F.concat(F.lit("- "), F.array_join(F.array(*(F.concat(F.lit(f"**{label}:** "), value) for label, value in more)), "  |  "), F.lit("\n"))
+    return F.concat(
+        F.lit("- "),
+        F.array_join(F.array(*(F.concat(F.lit(f"**{label}:** "), value) for label, value in more)), "  |  "),
+        F.lit("\n"),
+    )
 
 
 def library_facts() -> list[Column]:
     public = F.when(F.col("public"), "Yes").otherwise("No")
     about = F.coalesce(F.concat(F.lit("- **Description:** "), shown(F.col("description")), F.lit("\n")), F.lit(""))
-    return [F.lit("- **ID:** `"), F.col("id"), F.lit("`\n"), about, library_line(("Papers", F.col("num_documents").cast("string")), ("Permission", F.col("permission")), ("Public", public))]
+    return [
+        F.lit("- **ID:** `"),
+        F.col("id"),
+        F.lit("`\n"),
+        about,
+        library_line(("Papers", F.col("num_documents").cast("string")), ("Permission", F.col("permission")), ("Public", public)),
+    ]
 
 
 def library_list(page: DataFrame, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
     """Libraries (of each user, say) with their facts, owner and day of the last change."""
     changed = F.substring(F.col("date_last_modified").cast("string"), 1, 10)
-    item = F.concat(F.lit("## "), "name", F.lit("\n"), *library_facts(), library_line(("Owner", F.col("owner")), ("Modified", changed)), F.lit("\n"))
+    item = F.concat(
+        F.lit("## "),
+        "name",
+        F.lit("\n"),
+        *library_facts(),
+        library_line(("Owner", F.col("owner")), ("Modified", changed)),
+        F.lit("\n"),
+    )
     return folded(page, order, F.concat(F.lit("# Libraries ("), "n", F.lit(")\n\n")), item, "No libraries found.", by=by)
 
 
@@ -219,9 +353,15 @@ def library_detail(papers: str | None = None) -> Column:
         return head
     size = F.coalesce(F.array_size(papers), F.lit(0))
     lines = F.transform(papers, lambda p, i: F.concat((i + 1).cast("string"), F.lit(". `"), p, F.lit("`\n")))
-    return F.concat(head, F.when(size > 0, F.concat(F.lit("## Papers ("), size.cast("string"), F.lit(")\n\n"), F.array_join(lines, ""))).otherwise(""))
+    return F.concat(
+        head,
+        F.when(size > 0, F.concat(F.lit("## Papers ("), size.cast("string"), F.lit(")\n\n"), F.array_join(lines, ""))).otherwise(""),
+    )
 
 
 def note_view() -> Column:
-    updated = F.coalesce(F.concat(F.lit("*Last updated: "), F.substring(F.col("date_last_modified").cast("string"), 1, 10), F.lit("*\n")), F.lit(""))
+    updated = F.coalesce(
+        F.concat(F.lit("*Last updated: "), F.substring(F.col("date_last_modified").cast("string"), 1, 10), F.lit("*\n")),
+        F.lit(""),
+    )
     return F.concat(F.lit("# Note for `"), "doc_id", F.lit("`\n\n"), "content", F.lit("\n\n"), updated)

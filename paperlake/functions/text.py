@@ -92,7 +92,9 @@ def snippet(content: Column, terms: list[str], width: int = 260) -> Column:
     start = F.coalesce(F.greatest(F.lit(0), at - width // 2), F.lit(0))
     end = F.least(F.length(content), start + width)
     return F.concat(
-        F.when(start > 0, "...").otherwise(""), F.substr(content, start + 1, F.greatest(end - start, F.lit(0))), F.when(end < F.length(content), "...").otherwise("")
+        F.when(start > 0, "...").otherwise(""), F.substr(
+            content, start + 1, F.greatest(end - start, F.lit(0))
+        ), F.when(end < F.length(content), "...").otherwise("")
     )
 
 
@@ -145,7 +147,9 @@ def latex_text(c: str | Column) -> Column:
     return normalize_lines(
         replace_all(
             c, (r"(?i)\\(?:textbf|textit|emph|underline)\{([^{}]+)\}", "$1"), (r"(?i)\\(?:title|author|date)\{([^{}]+)\}", "$1\n"),
-            (r"(?i)\\(?:cite|citep|citet|autocite|parencite|textcite|ref|label)\{[^{}]*\}", ""), (r"(?i)\\includegraphics(?:\[[^\]]*\])?\{[^{}]*\}", ""),
+            (r"(?i)\\(?:cite|citep|citet|autocite|parencite|textcite|ref|label)\{[^{}]*\}", ""), (
+                r"(?i)\\includegraphics(?:\[[^\]]*\])?\{[^{}]*\}", ""
+            ),
             (r"(?i)\\item(?![A-Za-z0-9_])", "\n- "), (r"\\\\", "\n"),
             # a command keeps one argument; both marks are private characters that become blanks
             (r"\\[a-zA-Z@]+(?:\[[^\]]*\])?(?:\{([^{}]*)\})?", "\ue000$1\ue001"), ("\ue000\ue001", " "), ("[\ue000\ue001]", " "),
@@ -173,7 +177,9 @@ def text_window(c: str | Column, offset: int = 0, max_chars: int = 12_000) -> Co
     offset, total = max(0, offset), F.length(c)
     end = F.least(total, F.lit(offset + max(1, max_chars)))
     return F.struct(
-        F.substr(c, F.lit(offset + 1), F.greatest(end - offset, F.lit(0))).alias("text"), F.lit(offset).alias("offset"), end.alias("end"), total.alias("total_chars"), (end < total).alias("has_more")
+        F.substr(
+            c, F.lit(offset + 1), F.greatest(end - offset, F.lit(0))
+        ).alias("text"), F.lit(offset).alias("offset"), end.alias("end"), total.alias("total_chars"), (end < total).alias("has_more")
     )
 
 

@@ -28,7 +28,15 @@ def created(events: DataFrame, asked: DataFrame) -> DataFrame:
     event = lambda action, paper: F.struct(F.lit(action).alias("action"), paper.cast("long").alias("doc_id"))
     both = F.concat(F.array(event("create", F.lit(None))), F.transform(papers, lambda p: event("add", p)))
     rows = new.select("library_id", F.explode(both).alias("e"), "ts", "event_id")
-    return rows.select("library_id", "e.doc_id", "e.action", F.lit(None).cast("double").alias("content"), F.lit("owner").alias("permission"), "ts", "event_id")
+    return rows.select(
+        "library_id",
+        "e.doc_id",
+        "e.action",
+        F.lit(None).cast("double").alias("content"),
+        F.lit("owner").alias("permission"),
+        "ts",
+        "event_id",
+    )
 
 
 def edit_counts(events: DataFrame, edits: DataFrame) -> DataFrame:
@@ -41,7 +49,11 @@ def edit_counts(events: DataFrame, edits: DataFrame) -> DataFrame:
     judged = asked.join(held, ["library_id", "doc_id"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
     added = F.count_if((F.col("action") == "add") & ~F.col("held"))
     removed = F.count_if((F.col("action") == "remove") & F.col("held"))
-    counts = judged.groupBy("library_id", "action").agg(F.when(F.col("action") == "add", added).alias("number_added"), F.when(F.col("action") == "remove", removed).alias("number_removed"), F.count("*").alias("n_asked"))
+    counts = judged.groupBy("library_id", "action").agg(
+        F.when(F.col("action") == "add", added).alias("number_added"),
+        F.when(F.col("action") == "remove", removed).alias("number_removed"),
+        F.count("*").alias("n_asked"),
+    )
     return counts.withColumn("n_changed", change_count(F.col("number_added"), F.col("number_removed"), F.col("n_asked")))
 
 
@@ -60,7 +72,11 @@ def members(events: DataFrame) -> DataFrame:
 def libraries(events: DataFrame, access: str = "all") -> DataFrame:
     """library_id, num_documents, date_created, date_last_modified, permission; filtered by access type."""
     sizes = members(events).groupBy("library_id").agg(F.count("*").alias("num_documents"))
-    dates = events.groupBy("library_id").agg(F.min("ts").alias("date_created"), F.max("ts").alias("date_last_modified"), F.max_by("permission", F.struct("ts", "event_id")).alias("permission"))
+    dates = events.groupBy("library_id").agg(
+        F.min("ts").alias("date_created"),
+        F.max("ts").alias("date_last_modified"),
+        F.max_by("permission", F.struct("ts", "event_id")).alias("permission"),
+    )
     found = dates.join(sizes, "library_id", "left").withColumn("num_documents", F.coalesce("num_documents", F.lit(0)).cast("long"))
     return found if access == "all" else found.where(F.col("permission") == access)
 
@@ -68,7 +84,9 @@ def libraries(events: DataFrame, access: str = "all") -> DataFrame:
 def notes(events: DataFrame) -> DataFrame:
     """events(library_id, doc_id, action set|delete, content, ts, event_id) to the notes that stand."""
     changes = events.where("(action = 'set' AND content IS NOT NULL) OR action = 'delete'")
-    return latest(changes, ["library_id", "doc_id"], "action", "content", "ts").where("action = 'set'").select("library_id", "doc_id", "content", F.col("ts").alias("date_last_modified"))
+    return latest(changes, ["library_id", "doc_id"], "action", "content", "ts").where("action = 'set'").select(
+        "library_id", "doc_id", "content", F.col("ts").alias("date_last_modified")
+    )
 
 
 def library_papers(events: DataFrame, papers: DataFrame) -> DataFrame:

@@ -18,8 +18,15 @@ def read_papers(papers: DataFrame, html: DataFrame, tex: DataFrame | None = None
     tex = spark.createDataFrame([], "id string, text string, source_name string") if tex is None else tex
     pdf = spark.createDataFrame([], "id string, text string") if pdf is None else pdf
     from_html = html.select("id", html_text("html").alias("html_text"))
-    joined = papers.join(from_html, "id", "left").join(tex.select("id", F.col("text").alias("tex_text"), "source_name"), "id", "left").join(pdf.select("id", F.col("text").alias("pdf_text")), "id", "left")
+    joined = papers.join(from_html, "id", "left").join(tex.select("id", F.col("text").alias("tex_text"), "source_name"), "id", "left").join(
+        pdf.select("id", F.col("text").alias("pdf_text")), "id", "left"
+    )
     whole = F.when(is_full_paper("html_text", "abstract"), F.col("html_text"))
     tex_text, pdf_text = F.when(F.col("tex_text") != "", F.col("tex_text")), F.when(F.col("pdf_text") != "", F.col("pdf_text"))
     source = F.when(whole.isNotNull(), "html").when(tex_text.isNotNull(), "tex").when(pdf_text.isNotNull(), "pdf").otherwise("abstract")
-    return joined.select("id", source.alias("source"), F.when(source == "tex", F.col("source_name")).alias("source_name"), F.coalesce(whole, tex_text, pdf_text, "abstract").alias("content"))
+    return joined.select(
+        "id",
+        source.alias("source"),
+        F.when(source == "tex", F.col("source_name")).alias("source_name"),
+        F.coalesce(whole, tex_text, pdf_text, "abstract").alias("content"),
+    )

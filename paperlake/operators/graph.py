@@ -23,8 +23,12 @@ def references(edges: DataFrame, papers: DataFrame, paper_id: int, limit: int) -
 
 def ego_graph(edges: DataFrame, citing: DataFrame, cited: DataFrame, paper_id: int) -> DataFrame:
     """Both directions of one hop; neighbours without a record keep their id and null fields."""
-    into = edges.where(F.col("cited") == paper_id).select(F.lit("citation").alias("direction"), F.col("citing").alias("id")).join(citing, "id", "left")
-    out = edges.where(F.col("citing") == paper_id).select(F.lit("reference").alias("direction"), F.col("cited").alias("id")).join(cited, "id", "left")
+    into = edges.where(F.col("cited") == paper_id).select(
+        F.lit("citation").alias("direction"), F.col("citing").alias("id")
+    ).join(citing, "id", "left")
+    out = edges.where(F.col("citing") == paper_id).select(
+        F.lit("reference").alias("direction"), F.col("cited").alias("id")
+    ).join(cited, "id", "left")
     fields = [c for c in citing.columns if c != "id"]
     return into.unionByName(out).select("direction", "id", *fields)
 
@@ -57,4 +61,7 @@ def citation_counts(edges: DataFrame, by: str = "cited") -> DataFrame:
 
 def author_names(authors: str) -> Column:
     """Names of an array of author structs, missing and empty ones left out."""
-    return F.coalesce(F.filter(F.transform(authors, lambda a: a["name"]), lambda n: n.isNotNull() & (n != "")), F.array().cast("array<string>"))
+    return F.coalesce(
+        F.filter(F.transform(authors, lambda a: a["name"]), lambda n: n.isNotNull() & (n != "")),
+        F.array().cast("array<string>"),
+    )

@@ -15,7 +15,9 @@ def histogram(papers: DataFrame) -> DataFrame:
     counts = papers.groupBy("author", F.col("citations").alias("c")).agg(F.count("*").alias("k"))
     higher = Window.partitionBy("author").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    return counts.withColumns({"above": F.coalesce(F.sum("k").over(higher), zero), "sum_above": F.coalesce(F.sum(F.col("k") * F.col("c")).over(higher), zero)})
+    return counts.withColumns(
+        {"above": F.coalesce(F.sum("k").over(higher), zero), "sum_above": F.coalesce(F.sum(F.col("k") * F.col("c")).over(higher), zero)}
+    )
 
 
 def indices(papers: DataFrame) -> DataFrame:
@@ -38,12 +40,19 @@ def indices(papers: DataFrame) -> DataFrame:
 def m_index(papers: DataFrame, as_of_year: int) -> DataFrame:
     """author, h, first_year, m: h over the years since the first paper (at least one)."""
     first = papers.groupBy("author").agg(F.min("year").alias("first_year"))
-    return indices(papers).join(first, "author").select("author", "h", "first_year", (F.col("h") / F.greatest(F.lit(1), F.lit(as_of_year) - F.col("first_year"))).alias("m"))
+    return indices(papers).join(first, "author").select(
+        "author",
+        "h",
+        "first_year",
+        (F.col("h") / F.greatest(F.lit(1), F.lit(as_of_year) - F.col("first_year"))).alias("m"),
+    )
 
 
 def tori(citations: DataFrame) -> DataFrame:
     """citations(author, self_citation, cited_authors, citing_references) to author, tori (Pepe and Kurtz 2012)."""
-    return citations.where("NOT self_citation").groupBy("author").agg(F.sum(1 / (F.col("cited_authors") * F.col("citing_references"))).alias("tori"))
+    return citations.where("NOT self_citation").groupBy("author").agg(
+        F.sum(1 / (F.col("cited_authors") * F.col("citing_references"))).alias("tori")
+    )
 
 
 def citation_stats(papers: DataFrame) -> DataFrame:

@@ -31,9 +31,13 @@ def by_terms(docs: DataFrame, seed_id: int, limit: int = 10) -> DataFrame:
     """
     own = docs.where(F.col("id") == seed_id).select(F.explode(F.array_distinct(tokens("text"))).alias("term")).distinct()
     seed = F.broadcast(own) if own.count() <= SENT_TERMS else own
-    shared = docs.select("id", F.explode(tokens("text")).alias("term")).join(seed, "term").groupBy("id", "term").agg(F.count("*").alias("tf"))
+    shared = docs.select(
+        "id", F.explode(tokens("text")).alias("term")
+    ).join(seed, "term").groupBy("id", "term").agg(F.count("*").alias("tf"))
     total = docs.agg(F.count("*").alias("n"))
-    weights = shared.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("term", F.log(F.col("n") / F.col("df")).alias("idf"))
+    weights = shared.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select(
+        "term", F.log(F.col("n") / F.col("df")).alias("idf")
+    )
     scored = shared.where(F.col("id") != seed_id).join(weights, "term")
     scores = scored.groupBy("id").agg(F.round(F.sum((1 + F.log("tf")) * F.col("idf") * F.col("idf")), 6).alias("score"))
     return scores.orderBy(F.desc("score"), "id").limit(limit)

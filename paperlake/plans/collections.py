@@ -28,7 +28,9 @@ def library_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def library_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order asks for a library of its customer's number, with the parts that it has: those not yet in the log are made."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("library_id"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("event_id"))
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("library_id"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("event_id")
+    )
     first = orders.groupBy("library_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.min("ts").alias("ts"))
     lines = table(spark, sf_dir, "lineitem").join(first.select(F.col("event_id").alias("l_orderkey")), "l_orderkey", "left_semi")
     parts = lines.groupBy(F.col("l_orderkey").alias("event_id")).agg(F.collect_list("l_partkey").alias("papers"))
@@ -53,7 +55,15 @@ def library_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.join(kept, "pair", "left").select("pair", "n_union", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
 
 
-QUERIES = {"library_members": library_members, "library_list": library_list, "library_notes": library_notes, "library_papers": library_papers, "library_set_operations": library_set_operations, "library_create": library_create, "library_edit_counts": library_edit_counts}
+QUERIES = {
+    "library_members": library_members,
+    "library_list": library_list,
+    "library_notes": library_notes,
+    "library_papers": library_papers,
+    "library_set_operations": library_set_operations,
+    "library_create": library_create,
+    "library_edit_counts": library_edit_counts,
+}
 
 EVENTS = """e AS (SELECT user_id AS library_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS doc_id, event_type, round(value, 6) AS content, ts, event_id, CASE WHEN user_id % 3 = 0 THEN 'owner' ELSE 'collaborator' END AS permission FROM events)"""
 MEMBERS = f"""{EVENTS}, members AS (SELECT library_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY library_id, doc_id ORDER BY ts DESC, event_id DESC) AS r FROM e WHERE event_type IN ('click', 'error') AND doc_id IS NOT NULL) WHERE r = 1 AND event_type = 'click')"""

@@ -16,7 +16,9 @@ SEED_PART, SEED_ORDER = 7, 7
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part with its number of citations."""
     n = graph.citation_counts(edges(spark, sf_dir))
-    return cited_papers(spark, sf_dir).join(n, "id", "left").select("id", "author", F.coalesce("citation_count", F.lit(0)).cast("long").alias("citations"))
+    return cited_papers(spark, sf_dir).join(n, "id", "left").select(
+        "id", "author", F.coalesce("citation_count", F.lit(0)).cast("long").alias("citations")
+    )
 
 
 def citations_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +43,9 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("id")
     name = lambda i: F.when(i % 3 == 0, F.lit(None).cast("string")).when(i % 3 == 1, F.concat(F.lit("C"), F.col("author"), F.lit("-"), i)).otherwise("")
     authors = F.transform(F.sequence(F.lit(1), (key % 7 + 1).cast("int")), lambda i: F.struct(name(i).alias("name")))
-    ids = F.when(key % 4 == 0, F.create_map(F.lit("ArXiv"), F.concat(F.lit("o"), key))).otherwise(F.create_map(F.lit("DOI"), F.lit("10.1/x")))
+    ids = F.when(key % 4 == 0, F.create_map(F.lit("ArXiv"), F.concat(F.lit("o"), key))).otherwise(
+        F.create_map(F.lit("DOI"), F.lit("10.1/x"))
+    )
     nodes = citing_papers(spark, sf_dir).select(
         key.cast("string").alias("paperId"), F.concat(F.lit("Order "), key).alias("title"), F.col("year").cast("int").alias("year"), authors.alias("authors"), ids.alias("externalIds")
     )
@@ -51,7 +55,13 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citation_graph_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = graph.nested_ego(ego(spark, sf_dir), str(SEED_PART))
     ids = lambda c: F.array_join(F.transform(c, lambda x: x["id"].cast("string")), ",")
-    return row.select("paper_id", "citation_count", "reference_count", ids("citations").alias("citing_ids"), ids("references").alias("cited_ids"))
+    return row.select(
+        "paper_id",
+        "citation_count",
+        "reference_count",
+        ids("citations").alias("citing_ids"),
+        ids("references").alias("cited_ids"),
+    )
 
 
 def citation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,21 +93,33 @@ def metrics_tori(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metrics_citation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = citing_papers(spark, sf_dir).select(F.col("id").alias("citing"), F.col("refereed").cast("long").alias("refereed"))
-    n = edges(spark, sf_dir).join(by, "citing", "left").groupBy(F.col("cited").alias("id")).agg(F.count("*").alias("citations"), F.coalesce(F.sum("refereed"), F.lit(0)).alias("refereed"))
-    papers = cited_papers(spark, sf_dir).join(n, "id", "left").select("author", F.coalesce("citations", F.lit(0)).alias("citations"), F.coalesce("refereed", F.lit(0)).alias("refereed"))
+    n = edges(spark, sf_dir).join(by, "citing", "left").groupBy(F.col("cited").alias("id")).agg(
+        F.count("*").alias("citations"), F.coalesce(F.sum("refereed"), F.lit(0)).alias("refereed")
+    )
+    papers = cited_papers(spark, sf_dir).join(n, "id", "left").select(
+        "author",
+        F.coalesce("citations", F.lit(0)).alias("citations"),
+        F.coalesce("refereed", F.lit(0)).alias("refereed"),
+    )
     return metrics.citation_stats(papers).withColumn("mean_citations", F.round("mean_citations", 6))
 
 
 def metrics_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_paper = reads(spark, sf_dir).where("paper IS NOT NULL").groupBy("author", "paper").agg(F.count("*").alias("n"))
-    return by_paper.groupBy("author").agg(F.count("*").alias("papers"), F.sum("n").alias("reads"), F.round(F.sum("n") / F.count("*"), 6).alias("mean_reads"))
+    return by_paper.groupBy("author").agg(
+        F.count("*").alias("papers"),
+        F.sum("n").alias("reads"),
+        F.round(F.sum("n") / F.count("*"), 6).alias("mean_reads"),
+    )
 
 
 def metrics_self_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in authors: the remainders of a paper's number by 7 and by 11."""
     e = edges(spark, sf_dir)
     own = lambda c: F.array(F.concat(F.lit("a"), F.col(c) % 7), F.concat(F.lit("b"), F.col(c) % 11))
-    papers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).union(table(spark, sf_dir, "part").select("p_partkey")).distinct().select("id", own("id").alias("authors"))
+    papers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).union(
+        table(spark, sf_dir, "part").select("p_partkey")
+    ).distinct().select("id", own("id").alias("authors"))
     return metrics.self_citations(e, papers).groupBy("cited").agg(F.count("*").alias("self_citations"))
 
 
@@ -119,7 +141,9 @@ def render_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 def render_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = metrics.indices(counts(spark, sf_dir)).join(metrics_citation_stats(spark, sf_dir), "author")
     null = F.lit(None).cast("double")
-    wide = wide.withColumns({"m": null, "tori": null, "self_citations": F.lit(None).cast("long"), "reads": F.lit(None).cast("long"), "mean_reads": null})
+    wide = wide.withColumns(
+        {"m": null, "tori": null, "self_citations": F.lit(None).cast("long"), "reads": F.lit(None).cast("long"), "mean_reads": null}
+    )
     return wide.select("author", render.metrics_view(F.col("papers")).alias("text"))
 
 

@@ -16,11 +16,17 @@ from paperlake.operators.paging import page
 from paperlake.plans.params import PREPRINT_SORTS, SORTS, PreprintSearchParams, SearchParams
 from paperlake.sources.tables import cited_papers, citing_papers, edges, reads, table
 
-FIELDS = Fields({"title": Field("title"), "author": Field("author", "exact"), "keyword": Field("category"), "size": Field("size", "number")}, ("title", "keyword"))
+FIELDS = Fields(
+    {"title": Field("title"), "author": Field("author", "exact"), "keyword": Field("category"), "size": Field("size", "number")},
+    ("title", "keyword"),
+)
 DOCUMENT_FIELDS = Fields({"abs": Field("text"), "lang": Field("lang", "exact"), "id": Field("doc_id", "number")}, ("abs",))
 ORDER_FIELDS = Fields({"year": Field("year", "number"), "cat": Field("categories", "array"), "author": Field("author", "number")}, ("cat",))
 #: Preprint prefixes over parts: title, author, abstract, category; ``all`` is every one of them.
-PREFIXES = Fields({"ti": Field("title"), "au": Field("author", "exact"), "abs": Field("category"), "cat": Field("categories", "array")}, ("ti", "au", "abs", "cat"))
+PREFIXES = Fields(
+    {"ti": Field("title"), "au": Field("author", "exact"), "abs": Field("category"), "cat": Field("categories", "array")},
+    ("ti", "au", "abs", "cat"),
+)
 SEARCH = SearchParams("promo or large of size 1-30", rows=15, start=5, sort="citation_count desc")
 PREPRINTS = PreprintSearchParams("authors 1-700 or 900-1200", 25, "submittedDate", "descending", "1996-03-15", "1998-06", ("1-URGENT", "F"))
 
@@ -69,14 +75,21 @@ def sortable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paper_sort_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page under each sort name of the literature search."""
     papers = sortable(spark, sf_dir)
-    return reduce(DataFrame.union, (papers.orderBy(*SearchParams("all", sort=s).order()).limit(10).select(F.lit(s).alias("sort"), "id") for s in SORTS))
+    return reduce(
+        DataFrame.union,
+        (papers.orderBy(*SearchParams("all", sort=s).order()).limit(10).select(F.lit(s).alias("sort"), "id") for s in SORTS),
+    )
 
 
 def preprint_sort_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page under each sort name and direction of the preprint search."""
     papers = sortable(spark, sf_dir)
     asked = [PreprintSearchParams("all", sort_by=s, sort_order=d) for s in PREPRINT_SORTS for d in ("ascending", "descending")]
-    pages = (papers.orderBy(*p.order()).limit(p.max_results).select(F.lit(p.sort_by).alias("sort"), F.lit(p.sort_order).alias("direction"), "id") for p in asked)
+    pages = (
+        papers.orderBy(*p.order()).limit(p.max_results).select(
+            F.lit(p.sort_by).alias("sort"), F.lit(p.sort_order).alias("direction"), "id"
+        ) for p in asked
+    )
     return reduce(DataFrame.union, pages)
 
 
@@ -91,7 +104,9 @@ def paper_sort_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paper_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     identifier = F.array(F.concat(F.lit("part:"), "id"), F.concat(F.lit("alt/"), "id"))
-    return cited_papers(spark, sf_dir).withColumn("identifier", identifier).where(F.array_contains("identifier", "alt/17")).limit(1).select("id", "title", "author")
+    return cited_papers(spark, sf_dir).withColumn("identifier", identifier).where(
+        F.array_contains("identifier", "alt/17")
+    ).limit(1).select("id", "title", "author")
 
 
 def id_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,20 +123,27 @@ def preprint_open_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preprint_category_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citing_papers(spark, sf_dir).where(any_category("categories", ["1-URGENT", "P"])).select("id", F.array_join("categories", ",").alias("categories"))
+    return citing_papers(spark, sf_dir).where(any_category("categories", ["1-URGENT", "P"])).select(
+        "id", F.array_join("categories", ",").alias("categories")
+    )
 
 
 def preprint_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = PREPRINTS
     user = ORDER_FIELDS.between("author", 1, 700) | ORDER_FIELDS.between("author", 900, 1200)
-    found = citing_papers(spark, sf_dir).where(user & month_range("date", p.date_from, p.date_to) & any_category("categories", list(p.categories)))
+    found = citing_papers(spark, sf_dir).where(
+        user & month_range("date", p.date_from, p.date_to) & any_category("categories", list(p.categories))
+    )
     return found.orderBy(*p.order()).limit(p.max_results).select("id", "author", "date")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as literature records, one to five authors each."""
     p = cited_papers(spark, sf_dir)
-    names = F.transform(F.sequence(F.lit(1), (F.col("id") % 5 + 1).cast("int")), lambda i: F.concat(F.col("author"), F.lit(", "), F.chr(i + 64)))
+    names = F.transform(
+        F.sequence(F.lit(1), (F.col("id") % 5 + 1).cast("int")),
+        lambda i: F.concat(F.col("author"), F.lit(", "), F.chr(i + 64)),
+    )
     null = F.lit(None).cast("string")
     return p.select(
         F.concat(F.lit("P"), "id").alias("bibcode"), F.array("title").alias("title"), names.alias("author"), (F.col("size") + 1970).cast("string").alias("year"), F.col("category").alias("pub"), F.col("size").cast("string").alias("volume"),
@@ -148,10 +170,14 @@ def render_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "paper_field_filter": matching(cited_papers, lambda: FIELDS.has("author", "Brand#23") & FIELDS.has("keyword", "large"), "id", "title", "author"),
+    "paper_field_filter": matching(
+        cited_papers, lambda: FIELDS.has("author", "Brand#23") & FIELDS.has("keyword", "large"), "id", "title", "author"
+    ),
     "paper_boolean_query": matching(
         cited_papers,
-        lambda: (FIELDS.anywhere("gear") | FIELDS.anywhere("Red Widget")) & FIELDS.between("size", 10, 40) & ~FIELDS.starts("author", "Brand#1") & ~FIELDS.has("keyword", "small"),
+        lambda: (
+            FIELDS.anywhere("gear") | FIELDS.anywhere("Red Widget")
+        ) & FIELDS.between("size", 10, 40) & ~FIELDS.starts("author", "Brand#1") & ~FIELDS.has("keyword", "small"),
         "id", "title", "category",
     ),
     "document_boolean_query": matching(
@@ -159,18 +185,30 @@ QUERIES = {
         lambda: DOCUMENT_FIELDS.has("abs", "the") & DOCUMENT_FIELDS.has("abs", "of") & ~DOCUMENT_FIELDS.has("abs", "license") | DOCUMENT_FIELDS.has("lang", "es"),
         "doc_id", "lang",
     ),
-    "paper_wildcard": matching(cited_papers, lambda: FIELDS.starts("keyword", "econ") & FIELDS.starts("author", "brand#3"), "id", "category", "author"),
-    "paper_year_range": matching(citing_papers, lambda: ORDER_FIELDS.between("year", 1997, 1999) & ORDER_FIELDS.has("cat", "5-low"), "id", "year"),
+    "paper_wildcard": matching(
+        cited_papers,
+        lambda: FIELDS.starts("keyword", "econ") & FIELDS.starts("author", "brand#3"),
+        "id",
+        "category",
+        "author",
+    ),
+    "paper_year_range": matching(
+        citing_papers, lambda: ORDER_FIELDS.between("year", 1997, 1999) & ORDER_FIELDS.has("cat", "5-low"), "id", "year"
+    ),
     "preprint_prefixes": matching(
         prefixed,
-        lambda: (PREFIXES.has("ti", "gear") & PREFIXES.has("cat", "large") | PREFIXES.has("abs", "promo") & ~PREFIXES.has("au", "brand#11")) & (PREFIXES.anywhere("gear") | PREFIXES.anywhere("red")),
+        lambda: (PREFIXES.has("ti", "gear") & PREFIXES.has("cat", "large") | PREFIXES.has("abs", "promo") & ~PREFIXES.has("au", "brand#11")) & (
+            PREFIXES.anywhere("gear") | PREFIXES.anywhere("red")
+        ),
         "id", "title",
     ),
     "paper_sort_names": paper_sort_names, "preprint_sort_names": preprint_sort_names,
     "paper_search_page": paper_search_page, "paper_sort_date": paper_sort_date, "paper_sort_reads": paper_sort_reads, "paper_lookup": paper_lookup, "id_normalize": id_normalize,
     "preprint_month_range": preprint_month_range, "preprint_open_range": preprint_open_range, "preprint_category_any": preprint_category_any, "preprint_combined": preprint_combined,
     "export_bibtex": exported(format="bibtex", max_author=2), "export_bibtexabs": exported(format="bibtexabs", key_format="%H:%Y"), "export_ris": exported(format="ris"), "export_endnote": exported(format="endnote"),
-    "export_custom": exported(format="custom", custom_format="%A (%Y) %T, %J %V [100%%]\\n", max_author=1, cutoff=3), "render_detail": render_detail, "render_list": render_list,
+    "export_custom": exported(
+        format="custom", custom_format="%A (%Y) %T, %J %V [100%%]\\n", max_author=1, cutoff=3
+    ), "render_detail": render_detail, "render_list": render_list,
 }
 
 WORD = r"'(^|[^\p{L}\p{N}])%s([^\p{L}\p{N}]|$)'"
@@ -213,7 +251,9 @@ SQL = {
     "preprint_prefixes": f"""SELECT p_partkey AS id, p_name AS title FROM part WHERE (({has('p_name', 'gear')} AND list_contains(string_split(lower(p_type), ' '), 'large'))
         OR ({has('p_type', 'promo')} AND lower(p_brand) <> 'brand#11'))
         AND ({" OR ".join(f"{has('p_name', w)} OR lower(p_brand) = '{w}' OR {has('p_type', w)} OR list_contains(string_split(lower(p_type), ' '), '{w}')" for w in ("gear", "red"))})""",
-    "paper_sort_names": f"WITH {SORTABLE} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{s}' AS sort, id FROM sortable ORDER BY {s} NULLS LAST, id LIMIT 10)" for s in SORTS),
+    "paper_sort_names": f"WITH {SORTABLE} " + " UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{s}' AS sort, id FROM sortable ORDER BY {s} NULLS LAST, id LIMIT 10)" for s in SORTS
+    ),
     "preprint_sort_names": f"WITH {SORTABLE} " + " UNION ALL ".join(
         f"SELECT * FROM (SELECT '{s}' AS sort, '{d}ending' AS direction, id FROM sortable ORDER BY {c} {d} NULLS LAST, id LIMIT 10)" for s, c in PREPRINT_SORTS.items() for d in ("asc", "desc")
     ),
@@ -222,10 +262,28 @@ SQL = {
     "preprint_category_any": "SELECT o_orderkey AS id, o_orderpriority || ',' || o_orderstatus AS categories FROM orders WHERE o_orderpriority = '1-URGENT' OR o_orderstatus = 'P'",
     "preprint_combined": """SELECT o_orderkey AS id, o_custkey AS author, o_orderdate AS date FROM orders WHERE (o_custkey BETWEEN 1 AND 700 OR o_custkey BETWEEN 900 AND 1200) AND strftime(o_orderdate, '%Y%m') BETWEEN '199603' AND '199806'
         AND (o_orderpriority IN ('1-URGENT', 'F') OR o_orderstatus IN ('1-URGENT', 'F')) ORDER BY o_orderdate DESC, o_orderkey LIMIT 25""",
-    "export_bibtex": f"WITH {RECORDS} SELECT bibcode, " + BIBTEX % ("bibcode", "array_to_string(author[1:2], ' and ') || CASE WHEN len(author) > 2 THEN ' and others' ELSE '' END", "''") + " AS record FROM records",
-    "export_bibtexabs": f"WITH {RECORDS} SELECT bibcode, " + BIBTEX % ("p_brand || ':' || year", "array_to_string(author, ' and ')", "coalesce('    abstract = {' || abstract || '},' || chr(10), '')") + " AS record FROM records",
-    "export_ris": tagged("TY  - JOUR", {"title": "TI  - ", "pub": "JO  - ", "year": "PY  - ", "volume": "VL  - ", "doi": "DO  - ", "bibcode": "ID  - "}, "AU  - ", "'ER  - ' || chr(10)"),
-    "export_endnote": tagged("%0 Journal Article", {"title": "%T ", "pub": "%J ", "year": "%D ", "volume": "%V ", "doi": "%R ", "bibcode": "%F "}, "%A ", "chr(10)"),
+    "export_bibtex": f"WITH {RECORDS} SELECT bibcode, " + BIBTEX % (
+        "bibcode",
+        "array_to_string(author[1:2], ' and ') || CASE WHEN len(author) > 2 THEN ' and others' ELSE '' END",
+        "''",
+    ) + " AS record FROM records",
+    "export_bibtexabs": f"WITH {RECORDS} SELECT bibcode, " + BIBTEX % (
+        "p_brand || ':' || year",
+        "array_to_string(author, ' and ')",
+        "coalesce('    abstract = {' || abstract || '},' || chr(10), '')",
+    ) + " AS record FROM records",
+    "export_ris": tagged(
+        "TY  - JOUR",
+        {"title": "TI  - ", "pub": "JO  - ", "year": "PY  - ", "volume": "VL  - ", "doi": "DO  - ", "bibcode": "ID  - "},
+        "AU  - ",
+        "'ER  - ' || chr(10)",
+    ),
+    "export_endnote": tagged(
+        "%0 Journal Article",
+        {"title": "%T ", "pub": "%J ", "year": "%D ", "volume": "%V ", "doi": "%R ", "bibcode": "%F "},
+        "%A ",
+        "chr(10)",
+    ),
     "export_custom": f"WITH {RECORDS} SELECT bibcode, CASE WHEN len(author) > 3 THEN author[1] || ' et al.' ELSE array_to_string(author, ', ') END || ' (' || year || ') ' || title || ', ' || pub || ' ' || volume || ' [100%]' || chr(10) AS record FROM records",
     "render_detail": f"""WITH {RECORDS} SELECT bibcode, '# ' || title || chr(10) || chr(10) || '**Authors:** ' || CASE WHEN len(author) > 3 THEN array_to_string(author[1:3], ', ') || ' et al.' ELSE array_to_string(author, ', ') END || chr(10) || chr(10)
         || '**Bibcode:** `' || bibcode || '`' || chr(10) || chr(10) || '**Year:** ' || year || chr(10) || chr(10) || '**Publication:** ' || pub || chr(10) || chr(10)

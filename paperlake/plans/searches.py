@@ -31,7 +31,13 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaned(spark, sf_dir).select("id", "section", "subsection", F.col("char_count").cast("long").alias("char_count"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+    return cleaned(spark, sf_dir).select(
+        "id",
+        "section",
+        "subsection",
+        F.col("char_count").cast("long").alias("char_count"),
+        F.md5(F.col("content").cast("binary")).alias("content_md5"),
+    )
 
 
 def docs_title(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,13 +46,23 @@ def docs_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def docs_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.tokens("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_terms"), F.md5(F.array_join(t, " ").cast("binary")).alias("terms_md5"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.size(t).cast("long").alias("n_terms"), F.md5(F.array_join(t, " ").cast("binary")).alias("terms_md5")
+    )
 
 
 def top(params: DocSearchParams):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = search.search(cleaned(spark, sf_dir), params.query, params.limit)
-        return found.select("id", "title", "section", "subsection", "score", F.col("char_count").cast("long").alias("char_count"), "snippet")
+        return found.select(
+            "id",
+            "title",
+            "section",
+            "subsection",
+            "score",
+            F.col("char_count").cast("long").alias("char_count"),
+            "snippet",
+        )
 
     return run
 
@@ -66,7 +82,14 @@ def snippet_sql(terms: list[str]) -> str:
 def top_sql(params: DocSearchParams) -> str:
     count = lambda h, n: f"CAST((length({h}) - length(replace({h}, '{n}', ''))) / {len(n)} AS BIGINT)"
     phrase, terms = params.query.lower(), search.query_terms(params.query)
-    score = " + ".join([f"6 * {count('hay', phrase)}", *(f"4 * {count('lower(title)', t)} + 3 * {count('lower(section)', t)} + 2 * {count('lower(subsection)', t)} + {count('hay', t)}" for t in terms)])
+    score = " + ".join(
+        [
+            f"6 * {count('hay', phrase)}",
+            *(
+                f"4 * {count('lower(title)', t)} + 3 * {count('lower(section)', t)} + 2 * {count('lower(subsection)', t)} + {count('hay', t)}" for t in terms
+            ),
+        ]
+    )
     return f"""WITH {CLEAN},
 scored AS (SELECT *, CAST({score} AS BIGINT) AS score FROM (SELECT *, lower(concat_ws(' ', title, section, subsection, doc_type, coalesce(category, ''), content)) AS hay FROM cleaned)),
 best AS (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, char_count DESC, ordinal LIMIT {params.limit})

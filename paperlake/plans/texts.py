@@ -26,18 +26,28 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = T.html_text("html")
-    return table(spark, sf_dir, "pages").select("page_id", F.length(text).cast("long").alias("n_chars"), F.md5(text.cast("binary")).alias("text_md5"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.length(text).cast("long").alias("n_chars"), F.md5(text.cast("binary")).alias("text_md5")
+    )
 
 
 def fulltext_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = T.html_text("html")
-    return table(spark, sf_dir, "pages").select("page_id", T.paragraphs(text).cast("long").alias("paragraphs"), T.is_full_paper(text).alias("full"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", T.paragraphs(text).cast("long").alias("paragraphs"), T.is_full_paper(text).alias("full")
+    )
 
 
 def text_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = T.text_window("text", WINDOW.offset, WINDOW.max_chars)
     named = table(spark, sf_dir, "documents").select("doc_id", w.alias("w"))
-    return named.select("doc_id", "w.text", F.col("w.end").cast("long").alias("end_at"), F.col("w.total_chars").cast("long").alias("total_chars"), "w.has_more")
+    return named.select(
+        "doc_id",
+        "w.text",
+        F.col("w.end").cast("long").alias("end_at"),
+        F.col("w.total_chars").cast("long").alias("total_chars"),
+        "w.has_more",
+    )
 
 
 def read_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +55,14 @@ def read_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     papers = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("abstract"))
     html = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "html")
-    tex = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.concat(F.lit("tex of "), "doc_id").alias("text"), F.lit("main.tex").alias("source_name"))
-    pdf = docs.where("doc_id % 7 = 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, "pdf").otherwise("").alias("text"))
+    tex = docs.where("doc_id % 3 = 0").select(
+        F.col("doc_id").alias("id"),
+        F.concat(F.lit("tex of "), "doc_id").alias("text"),
+        F.lit("main.tex").alias("source_name"),
+    )
+    pdf = docs.where("doc_id % 7 = 0").select(
+        F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, "pdf").otherwise("").alias("text")
+    )
     found = read_papers(papers, html, tex, pdf)
     return found.select("id", "source", "source_name", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
@@ -100,9 +116,22 @@ def tex_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tex_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LaTeX made of every document: its words as sections, styles and comments."""
-    body = F.concat(F.lit("\\begin{document}\\section{ "), F.substring("source", 1, 8), F.lit(" }\n"), F.replace("text", F.lit("\n"), F.lit(" \\\\ ")), F.lit("\n% a comment\n\\emph{"), "lang", F.lit("}~end\\cite{k}\\end{document}"))
+    body = F.concat(
+        F.lit("\\begin{document}\\section{ "),
+        F.substring("source", 1, 8),
+        F.lit(" }\n"),
+        F.replace("text", F.lit("\n"), F.lit(" \\\\ ")),
+        F.lit("\n% a comment\n\\emph{"),
+        "lang",
+        F.lit("}~end\\cite{k}\\end{document}"),
+    )
     text = T.latex_text(body)
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(text).cast("long").alias("n_chars"), text.startswith("# src").alias("has_heading"), F.contains(text, F.lit("a comment")).alias("has_comment"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.length(text).cast("long").alias("n_chars"),
+        text.startswith("# src").alias("has_heading"),
+        F.contains(text, F.lit("a comment")).alias("has_comment"),
+    )
 
 
 def atom_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +162,9 @@ def chain(text: str, *rules: tuple[str, str]) -> str:
 
 NL = "chr(10)"
 STRIPPED = chain(
-    "html", (r"(?is)<script.*?</script>", "' '"), (r"(?is)<style.*?</style>", "' '"), (r"(?s)<!--.*?-->", "' '"), (r"(?i)<\s*br\s*/?\s*>", NL), (rf"(?i)</(?:{TAGS})\s*>", f"{NL} || {NL}"), (rf"(?i)<\s*(?:{TAGS})[^>]*>", "''"), (r"<[^>]+>", "' '")
+    "html", (r"(?is)<script.*?</script>", "' '"), (r"(?is)<style.*?</style>", "' '"), (r"(?s)<!--.*?-->", "' '"), (r"(?i)<\s*br\s*/?\s*>", NL), (
+        rf"(?i)</(?:{TAGS})\s*>", f"{NL} || {NL}"
+    ), (rf"(?i)<\s*(?:{TAGS})[^>]*>", "''"), (r"<[^>]+>", "' '")
 )
 DECODED = STRIPPED
 for _name, _value in T.NAMED_ENTITIES:

@@ -24,9 +24,14 @@ def preprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     link = lambda kind: F.concat(F.lit(f"https://arxiv.org/{kind}/o"), key)
     published = F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'Z'")
     return table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("o"), key).alias("id"), F.concat(F.lit("Order "), key).alias("title"), F.transform(F.sequence(F.lit(1), (key % 5 + 1).cast("int")), lambda i: F.concat(F.lit("C"), F.col("o_custkey"), F.lit("-"), i)).alias("authors"),
+        F.concat(F.lit("o"), key).alias("id"), F.concat(F.lit("Order "), key).alias("title"), F.transform(
+            F.sequence(F.lit(1), (key % 5 + 1).cast("int")),
+            lambda i: F.concat(F.lit("C"), F.col("o_custkey"), F.lit("-"), i),
+        ).alias("authors"),
         published.alias("published"), F.when(key % 2 == 0, published).otherwise("2002-01-01T00:00:00Z").alias("updated"), F.array("o_orderpriority", "o_orderstatus").alias("categories"),
-        F.when(key % 3 == 0, F.concat(F.lit("10.1/"), key)).alias("doi"), F.col("o_orderpriority").alias("abstract"), link("abs").alias("abs_url"), link("pdf").alias("pdf_url"), link("html").alias("html_url"), key.alias("key"),
+        F.when(
+            key % 3 == 0, F.concat(F.lit("10.1/"), key)
+        ).alias("doi"), F.col("o_orderpriority").alias("abstract"), link("abs").alias("abs_url"), link("pdf").alias("pdf_url"), link("html").alias("html_url"), key.alias("key"),
     )
 
 
@@ -43,14 +48,20 @@ def render_read_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as read papers: the source goes by the remainder of the number."""
     sources = F.array(*map(F.lit, ("tex", "html", "pdf", "abstract")))
     docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("key"), F.col("text").alias("content"))
-    papers = preprints(spark, sf_dir).join(docs, "key").withColumns({"source": F.get(sources, (F.col("key") % 4).cast("int")), "source_name": F.when(F.col("key") % 4 == 0, "main.tex")})
+    papers = preprints(spark, sf_dir).join(docs, "key").withColumns(
+        {"source": F.get(sources, (F.col("key") % 4).cast("int")), "source_name": F.when(F.col("key") % 4 == 0, "main.tex")}
+    )
     return papers.select("id", F.md5(render.read_view(WINDOW.offset, WINDOW.max_chars).cast("binary")).alias("text_md5"))
 
 
 def render_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth paper has no text."""
-    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("key"), F.when(F.col("doc_id") % 5 != 0, F.col("text")).alias("full_text"))
-    return preprints(spark, sf_dir).join(docs, "key").select("id", F.md5(render.full_text_view(WINDOW.offset, WINDOW.max_chars).cast("binary")).alias("text_md5"))
+    docs = table(spark, sf_dir, "documents").select(
+        (F.col("doc_id") + 1).alias("key"), F.when(F.col("doc_id") % 5 != 0, F.col("text")).alias("full_text")
+    )
+    return preprints(spark, sf_dir).join(docs, "key").select(
+        "id", F.md5(render.full_text_view(WINDOW.offset, WINDOW.max_chars).cast("binary")).alias("text_md5")
+    )
 
 
 def render_docs_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +73,13 @@ def libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Libraries of the event log under stand-in names; every second is public, every fifth described."""
     k = F.col("library_id")
     return C.libraries(collection_events(spark, sf_dir)).withColumns(
-        {"id": F.concat(F.lit("L"), k), "name": F.concat(F.lit("Library "), k), "description": F.when(k % 5 == 0, F.concat(F.lit("About "), k)), "public": k % 2 == 0, "owner": F.concat(F.lit("user"), k % 7)}
+        {
+            "id": F.concat(F.lit("L"), k),
+            "name": F.concat(F.lit("Library "), k),
+            "description": F.when(k % 5 == 0, F.concat(F.lit("About "), k)),
+            "public": k % 2 == 0,
+            "owner": F.concat(F.lit("user"), k % 7),
+        }
     )
 
 
@@ -73,8 +90,12 @@ def render_library_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def render_library_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each library with its papers in order (one library's members make one text)."""
-    papers = C.members(collection_events(spark, sf_dir)).groupBy("library_id").agg(F.sort_array(F.collect_list("doc_id")).cast("array<string>").alias("papers"))
-    return libraries(spark, sf_dir).join(papers, "library_id", "left").select("library_id", F.md5(render.library_detail("papers").cast("binary")).alias("text_md5"))
+    papers = C.members(collection_events(spark, sf_dir)).groupBy("library_id").agg(
+        F.sort_array(F.collect_list("doc_id")).cast("array<string>").alias("papers")
+    )
+    return libraries(spark, sf_dir).join(papers, "library_id", "left").select(
+        "library_id", F.md5(render.library_detail("papers").cast("binary")).alias("text_md5")
+    )
 
 
 def render_note(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,9 +105,23 @@ def render_note(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def render_graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = ego(spark, sf_dir).select("direction", F.col("id").cast("string").alias("id"), F.col("id").alias("key"), F.lit(None).cast("string").alias("title"), "author", "year", F.when(F.col("id") % 3 == 0, F.concat(F.lit("a"), "id")).alias("arxiv_id"))
+    near = ego(spark, sf_dir).select(
+        "direction",
+        F.col("id").cast("string").alias("id"),
+        F.col("id").alias("key"),
+        F.lit(None).cast("string").alias("title"),
+        "author",
+        "year",
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("a"), "id")).alias("arxiv_id"),
+    )
     paper = cited_papers(spark, sf_dir).where(F.col("id") == SEED_PART).select("title", F.lit(None).cast("int").alias("year"))
-    return render.graph_view(str(SEED_PART), paper, near.where("direction = 'citation'"), near.where("direction = 'reference'"), [F.asc("key")])
+    return render.graph_view(
+        str(SEED_PART),
+        paper,
+        near.where("direction = 'citation'"),
+        near.where("direction = 'reference'"),
+        [F.asc("key")],
+    )
 
 
 def entities_decode(spark: SparkSession, sf_dir: str) -> DataFrame:

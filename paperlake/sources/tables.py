@@ -28,7 +28,9 @@ def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("doc-"), "doc_id", F.lit("_page")).alias("source_file"), F.lit("").alias("source_url"), F.lit("doc").alias("doc_type"),
-        F.col("lang").alias("category"), F.regexp_extract("text", "^([^\n]*)", 1).alias("title"), F.when(F.col("source") != "src0", F.col("source")).alias("section"),
+        F.col("lang").alias("category"), F.regexp_extract("text", "^([^\n]*)", 1).alias("title"), F.when(
+            F.col("source") != "src0", F.col("source")
+        ).alias("section"),
         F.when(F.col("lang") != "en", F.col("lang")).alias("subsection"), F.col("text").alias("content"), F.col("doc_id").alias("ordinal"),
     )
 
@@ -39,7 +41,13 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cited_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"), F.col("p_type").alias("category"), F.col("p_size").alias("size"))
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"),
+        F.col("p_name").alias("title"),
+        F.col("p_brand").alias("author"),
+        F.col("p_type").alias("category"),
+        F.col("p_size").alias("size"),
+    )
 
 
 def citing_papers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,17 @@ def apply(spark, function, *values):
 
 
 def test_entities(spark):
-    given_ = ["&#65;&#x2014;&#x1F600;", "&#X41; &copy; &AMP;", "&amp;lt;", "&#38;lt;", "&#12AB;x", "&#xZZ; &#AB;", "&#1114112;&#xD800;&#99999999999;", "a&nbsp;b&quot;&apos;&lt;&gt;", "none"]
+    given_ = [
+        "&#65;&#x2014;&#x1F600;",
+        "&#X41; &copy; &AMP;",
+        "&amp;lt;",
+        "&#38;lt;",
+        "&#12AB;x",
+        "&#xZZ; &#AB;",
+        "&#1114112;&#xD800;&#99999999999;",
+        "a&nbsp;b&quot;&apos;&lt;&gt;",
+        "none",
+    ]
     want = ["A—😀", "&#X41; &copy; &AMP;", "&lt;", "<", "\x0cx", "&#xZZ; &#AB;", "&#1114112;&#xD800;&#99999999999;", "a b\"'<>", "none"]
     assert apply(spark, T.decode_entities, *given_) == want
 
@@ -36,7 +46,15 @@ def test_latex(spark):
     got = apply(
         spark, T.latex_text, r"\section{ Intro }text \subsection*{Sub}", r"\textbf{b} \foo{\alpha x} \foo{} \bar", r"a \cite{x}\includegraphics[w=1]{f} 50\% left % gone", r"$ a$ $x ^2 $ $$ y $$", "p1\n\n\np2~q\\\\r", r"\title{T}\begin{itemize}\item one\items", r"\begin{document}D\end{document}"
     )
-    assert got == ["# Intro\ntext\n## Sub", "b  \\alpha x", "a  50\\% left", "$ a$ $x ^2$\n$$y$$", "p1\np2 q\nr", "T\n itemize\n-  one", "D"]
+    assert got == [
+        "# Intro\ntext\n## Sub",
+        "b  \\alpha x",
+        "a  50\\% left",
+        "$ a$ $x ^2$\n$$y$$",
+        "p1\np2 q\nr",
+        "T\n itemize\n-  one",
+        "D",
+    ]
 
 
 def test_gate(spark):
@@ -50,7 +68,9 @@ def test_cleaning(spark):
     assert apply(spark, T.clean_content, " a [link](http://x)  \tb\n") == ["a link b"]
     assert apply(spark, T.first_heading, "x\n## A [b](c)  d\n# E", "none") == ["A b d", ""]
     assert apply(spark, T.slug_title, "get-started_with API.md", "") == ["Get Started With API.Md", ""]
-    assert apply(spark, T.is_nav, "What's new", "whats_new", "What’s-New", "somewhat newer", "what-s-new", None) == [True, True, True, True, False, False]
+    assert apply(
+        spark, T.is_nav, "What's new", "whats_new", "What’s-New", "somewhat newer", "what-s-new", None
+    ) == [True, True, True, True, False, False]
     assert apply(spark, T.strip_version, " 2103.01231v12\n", "cs.LG/0612056", "v") == ["2103.01231", "cs.LG/0612056", "v"]
 
 
@@ -96,7 +116,11 @@ def test_tar_files():
 
 
 def test_choice_of_the_main_file(spark):
-    rows = [(1, packed([("sub/main.tex", b"s"), ("ms.tex", b"m"), ("z.tex", b"z" * 29_000)])), (2, packed([("x.tex", b"first"), ("y.tex", b"later")])), (3, packed([("readme", b"r")]))]
+    rows = [
+        (1, packed([("sub/main.tex", b"s"), ("ms.tex", b"m"), ("z.tex", b"z" * 29_000)])),
+        (2, packed([("x.tex", b"first"), ("y.tex", b"later")])),
+        (3, packed([("readme", b"r")])),
+    ]
     df = spark.createDataFrame([(i, bytearray(d)) for i, d in rows], "id long, data binary")
     got = {r.id: (r.source_name, r.text) for r in archive.main_tex(archive.entries(df)).collect()}
     assert got[1][0] == "sub/main.tex" and got[2] == ("x.tex", "first") and 3 not in got
@@ -111,7 +135,9 @@ def test_atom(spark):
     rows = {r.id: r for r in got.collect()}
     assert set(rows) == {"2401.00001", "cs/01"}
     r = rows["2401.00001"]
-    assert (r.title, r.abstract, r.authors, r.categories, r.doi, r.abs_url) == ("A &amp; B", "S s", ["X Y", "Z"], ["cs.LG", "cs.CL"], "10.1/x", "https://arxiv.org/abs/2401.00001")
+    assert (r.title, r.abstract, r.authors, r.categories, r.doi, r.abs_url) == (
+        "A &amp; B", "S s", ["X Y", "Z"], ["cs.LG", "cs.CL"], "10.1/x", "https://arxiv.org/abs/2401.00001"
+    )
     assert rows["cs/01"].doi is None and rows["cs/01"].authors == []
     assert atom.lookup(got, "2401.00001v9").count() == 1 and atom.lookup(got, "9").count() == 0
 
