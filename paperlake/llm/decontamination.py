@@ -222,7 +222,9 @@ class Passages:
 ROOTS = np.sqrt(np.arange(1, 1 + max(n for n, _ in WINDOWS))) - np.sqrt(np.arange(max(n for n, _ in WINDOWS)))
 
 
-def passages(batches: Iterator[pa.RecordBatch], terms: Terms, limits: Limits, windows: tuple[tuple[int, int], ...] = WINDOWS) -> Iterator[tuple[Passages, pa.RecordBatch]]:
+def passages(
+    batches: Iterator[pa.RecordBatch], terms: Terms, limits: Limits, windows: tuple[tuple[int, int], ...] = WINDOWS
+) -> Iterator[tuple[Passages, pa.RecordBatch]]:
     """Passages of each slice of indexed documents."""
     square = terms.idf**2
     for part in slices(batches, column="terms"):
@@ -419,7 +421,10 @@ def matches(found: DataFrame, terms: Terms, basis: np.ndarray, limits: Limits) -
                         out.append((ids[d], item_id, int(start - p.first[d]), cosine, common, answered))
             if out:
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)],
+                    [c.split()[0] for c in FOUND.split(", ")],
+                )
 
     return found.mapInArrow(run, FOUND)
 
@@ -435,7 +440,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(
     is searched in all documents.
     """
     docs = keyed_text(docs)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    items = benchmark.select(
+        F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
+    ).where("text IS NOT NULL").distinct()
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = max(1, -(-size // block_bytes))
     total = docs.count()

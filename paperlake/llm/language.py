@@ -100,7 +100,9 @@ def bundle(groups: np.ndarray, count: int, alphabet: np.ndarray, grams: np.ndarr
     for k, first in enumerate(range(0, count, rows)):
         part = slice(edges[k], edges[k + 1])
         high = min(rows, count - first)
-        counts = np.bincount((groups[part] - first) * len(grams) + gram[part], minlength=high * len(grams)).reshape(high, -1).astype(np.float32)
+        counts = np.bincount(
+            (groups[part] - first) * len(grams) + gram[part], minlength=high * len(grams)
+        ).reshape(high, -1).astype(np.float32)
         for g in range(0, len(grams), step):
             i = grams[g : g + step]
             vectors = places[0][i[:, 0]] * places[1][i[:, 1]] * places[2][i[:, 2]]
@@ -180,7 +182,9 @@ def prototypes(training: DataFrame) -> tuple[list[str], np.ndarray]:
                 joined = [texts[i] for i in np.flatnonzero(names == name)]
                 sums[name] = sums.get(name, 0) + np.rint(total_vector(joined)).astype(np.int64)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array(list(sums.values()), pa.list_(pa.int64()))], ["lang", "vector"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums)), pa.array(list(sums.values()), pa.list_(pa.int64()))], ["lang", "vector"]
+            )
 
     partial = training.select("lang", "text").mapInArrow(run, "lang string, vector array<long>")
     rows = partial.select("lang", F.posexplode("vector").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))

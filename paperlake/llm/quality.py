@@ -239,7 +239,9 @@ def limits_by_language(feats: DataFrame, known: dict[str, tuple[list[str], np.nd
 
     rows = feats.mapInArrow(run, "kind string, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).collect()
     found = {}
-    for name, most, spreads in (("classes", limits.class_distance, limits.class_spreads), ("common", limits.word_distance, limits.word_spreads)):
+    for name, most, spreads in (
+        ("classes", limits.class_distance, limits.class_spreads), ("common", limits.word_distance, limits.word_spreads)
+    ):
         count = np.zeros(len(known[name][0]) * (STEPS + 1), np.int64)
         for r in rows:
             if r.kind == name:
@@ -280,7 +282,9 @@ def judged_by(shares: np.ndarray, reference: np.ndarray, most: np.ndarray, own:
         return np.zeros(len(shares)), np.zeros(len(shares), bool)
     found = distances(shares, reference)
     rows, at = np.arange(len(found)), np.maximum(own, 0)
-    return np.where(own >= 0, found[rows, at], found.min(axis=1)), np.where(own >= 0, found[rows, at] > most[at], (found > most).all(axis=1))
+    return np.where(own >= 0, found[rows, at], found.min(axis=1)), np.where(
+        own >= 0, found[rows, at] > most[at], (found > most).all(axis=1)
+    )
 
 
 def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -304,13 +308,23 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
             column = lambda c: part.column(c).to_numpy(zero_copy_only=False)
             words = column("n_words")
             failed = (words < 50) | (100 * column("n_repeat_words") > 50 * words)
-            (by_class, far_class), (by_word, far_word) = (judged_by(matrix_of(part, c), known[c][1], most[c], places(part, known[c][0])) for c in ("classes", "common"))
+            (by_class, far_class), (by_word, far_word) = (
+                judged_by(matrix_of(part, c), known[c][1], most[c], places(part, known[c][0])) for c in ("classes", "common")
+            )
             judged = column("word_chars") >= limits.min_chars, words >= limits.min_words
             far = judged[0] & far_class | judged[1] & far_word
-            arrays = [part.column(c) for c in ("doc_id", *COUNTS)] + [pa.array(failed), pa.array(~failed & ~far), pa.array(by_class, mask=~judged[0]), pa.array(by_word, mask=~judged[1])]
+            arrays = [part.column(c) for c in ("doc_id", *COUNTS)] + [
+                pa.array(failed),
+                pa.array(~failed & ~far),
+                pa.array(by_class, mask=~judged[0]),
+                pa.array(by_word, mask=~judged[1]),
+            ]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *COUNTS, "base_failed", "kept", "class_distance", "word_distance"])
 
-    return feats.mapInArrow(judge, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, class_distance double, word_distance double")
+    return feats.mapInArrow(
+        judge,
+        "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, class_distance double, word_distance double",
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

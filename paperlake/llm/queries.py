@@ -10,7 +10,9 @@ import paperlake.llm as here
 
 
 def _modules():
-    return [importlib.import_module(f"{here.__name__}.{m.name}") for m in pkgutil.iter_modules(here.__path__) if m.name not in ("common", "queries")]
+    return [
+        importlib.import_module(f"{here.__name__}.{m.name}") for m in pkgutil.iter_modules(here.__path__) if m.name not in ("common", "queries")
+    ]
 
 
 def queries() -> dict[str, Callable]:

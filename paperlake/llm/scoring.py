@@ -225,7 +225,15 @@ NO_ARC = 1.0
 class Automaton:
     """The states and arcs that one block can reach, with the counts of its n-grams over all training texts."""
 
-    def __init__(self, block: Block, counts: dict[int, np.ndarray], starts: int, tokens: int, distinct: int, priors: tuple[float, float]) -> None:
+    def __init__(
+        self,
+        block: Block,
+        counts: dict[int, np.ndarray],
+        starts: int,
+        tokens: int,
+        distinct: int,
+        priors: tuple[float, float],
+    ) -> None:
         one, two, three = (counts[k] for k in (1, 2, 3))
         self.block = block
         self.known = one > 0
@@ -255,7 +263,15 @@ class Automaton:
         done = int(block.later[:low].sum())
         triple[later] = self.triple[block.of[3][done : done + int(later.sum())]]
         order = np.where(self.is_pair_state[pair], 2, self.known[word].astype(np.int64))
-        found = (triple, self.pair[pair], self.root[word], self.pair_failure[pair], self.word_failure[word], order, block.token[low:high] == END)
+        found = (
+            triple,
+            self.pair[pair],
+            self.root[word],
+            self.pair_failure[pair],
+            self.word_failure[word],
+            order,
+            block.token[low:high] == END,
+        )
         return [x.tolist() for x in found]
 
     def traverse(self, at_once: int = 1 << 16) -> list[float]:
@@ -266,7 +282,9 @@ class Automaton:
         scores: list[float] = []
         total, order, from_pair, from_word = 0.0, 1, 0.0, self.start_failure
         for low in range(0, len(self.block.token), at_once):
-            for weight, pair, root, after_pair, after_word, longest, ends in zip(*self.weights(low, min(low + at_once, len(self.block.token)))):
+            for weight, pair, root, after_pair, after_word, longest, ends in zip(
+                *self.weights(low, min(low + at_once, len(self.block.token)))
+            ):
                 if order == 2 and weight > 0:
                     total += from_pair
                     order = 1
@@ -303,7 +321,13 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
-def score_documents(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, priors: tuple[float, float] = (PAIR_PRIOR, TRIPLE_PRIOR), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(
+    docs: DataFrame,
+    folds: int = FOLDS,
+    held_out: int = HELD_OUT,
+    priors: tuple[float, float] = (PAIR_PRIOR, TRIPLE_PRIOR),
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents whose crc32(doc_id) mod ``folds`` is not ``held_out`` (a null doc_id
@@ -336,7 +360,11 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OU
         batch = unpack(left.column("documents")[0].as_py())
         block = Block(batch.column("text"), bits)
         parts = sorted(zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "counts")), strict=True))
-        counts = {k: np.concatenate([np.zeros(0, np.uint64), *(unpacked(c) for kind, _, c in parts if kind == k)]).astype(np.int64) for k in (1, 2, 3)}
+        counts = {
+            k: np.concatenate(
+                [np.zeros(0, np.uint64), *(unpacked(c) for kind, _, c in parts if kind == k)]
+            ).astype(np.int64) for k in (1, 2, 3)
+        }
         machine = Automaton(block, counts, starts, tokens, distinct, priors)
         base, known = machine.sums()
         training = batch.column("training").to_numpy(zero_copy_only=False)

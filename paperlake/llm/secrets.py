@@ -46,7 +46,9 @@ def one_of(ranges: str) -> Expression:
 
 def seq(*parts: Expression | str) -> Expression:
     """Parts one after another; strings stand for themselves."""
-    return "seq", tuple(x if isinstance(p, tuple) else ("set", frozenset((x,))) for p in parts for x in ((p,) if isinstance(p, tuple) else p.encode()))
+    return "seq", tuple(
+        x if isinstance(p, tuple) else ("set", frozenset((x,))) for p in parts for x in ((p,) if isinstance(p, tuple) else p.encode())
+    )
 
 
 def either(*parts: Expression | str) -> Expression:
@@ -348,7 +350,10 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 
     done = docs.withColumn("text", masked(F.col("text").cast("string")))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        done = done.withColumn(
+            "n_chars",
+            F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)),
+        )
     return done
 
 

@@ -173,7 +173,9 @@ class Pieces:
             live = np.flatnonzero(best != NONE)
             if 2 * len(live) < n:
                 done[:, column] = symbols[:width]
-                column, symbols, right, left, agenda, base, best = (np.take(x, live, axis=-1) for x in (column, symbols, right, left, agenda, base, best))
+                column, symbols, right, left, agenda, base, best = (
+                    np.take(x, live, axis=-1) for x in (column, symbols, right, left, agenda, base, best)
+                )
                 n, live = len(live), np.arange(len(live))
                 if not n:
                     break
@@ -194,7 +196,9 @@ class Pieces:
             left_[after] = place
             agenda_[at] = self.packed(self.pairs.made_of(piece, symbol_[after]), place)
             before = left_[at]
-            agenda_[before.astype(np.int64) * n + live] = self.packed(self.pairs.made_of(symbol_[before.astype(np.int64) * n + live], piece), before)
+            agenda_[before.astype(np.int64) * n + live] = self.packed(
+                self.pairs.made_of(symbol_[before.astype(np.int64) * n + live], piece), before
+            )
         done[:, column] = symbols[:width]
         return done
 
@@ -266,7 +270,9 @@ def units_of(codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def encode_many(texts: list[str], keys: list[int], path: str, rate: float, numbers: list[int] | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+def encode_many(
+    texts: list[str], keys: list[int], path: str, rate: float, numbers: list[int] | None = None
+) -> tuple[list[np.ndarray], np.ndarray]:
     """Ids of each text, and how many units it has. ``numbers``: units that went before, where a text is continued."""
     machine, threshold = pieces(path), min(int(rate * 2**64), 2**64 - 1)
     #: At rate 1 nothing may merge, whatever the draw.

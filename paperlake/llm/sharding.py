@@ -85,7 +85,9 @@ def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
     #: Bounded by 2 ** ATOM_BITS entries, as is every table below it up to ``layout``.
     one = checkpointed(atoms.agg(listed.alias("atoms")).where("size(atoms) > 0").withColumn("sizes", F.col("atoms.bytes")))
     placed = with_cuts(one, shards).select(
-        F.explode(F.expr("transform(atoms, (x, i) -> named_struct('atom', x.atom, 'rows', x.rows, 'shard', size(filter(cuts, c -> c <= i))))")).alias("p")
+        F.explode(
+            F.expr("transform(atoms, (x, i) -> named_struct('atom', x.atom, 'rows', x.rows, 'shard', size(filter(cuts, c -> c <= i))))")
+        ).alias("p")
     ).select("p.*")
     earlier = F.sum("rows").over(Window.partitionBy("shard").orderBy("atom").rowsBetween(Window.unboundedPreceding, -1))
     runs = F.greatest(F.lit(1), F.ceil(F.col("rows") / RUN_ROWS)).cast("int")

@@ -34,7 +34,23 @@ from pyspark.sql import functions as F
 from .common import documents, keyed_text, listed, shared_folder, slices, stretches
 
 #: Fixed values of the format: (selector, values in a word, bits of each).
-SELECTORS = ((1, 120, 0), (2, 60, 1), (3, 30, 2), (4, 20, 3), (5, 15, 4), (6, 12, 5), (7, 10, 6), (8, 8, 7), (9, 7, 8), (10, 6, 10), (11, 5, 12), (12, 4, 15), (13, 3, 20), (14, 2, 30), (15, 1, 60))
+SELECTORS = (
+    (1, 120, 0),
+    (2, 60, 1),
+    (3, 30, 2),
+    (4, 20, 3),
+    (5, 15, 4),
+    (6, 12, 5),
+    (7, 10, 6),
+    (8, 8, 7),
+    (9, 7, 8),
+    (10, 6, 10),
+    (11, 5, 12),
+    (12, 4, 15),
+    (13, 3, 20),
+    (14, 2, 30),
+    (15, 1, 60),
+)
 COUNT = np.zeros(16, np.int64)
 BITS = np.zeros(16, np.int64)
 for _s, _n, _b in SELECTORS:
@@ -264,7 +280,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         for block, part in enumerate(slices(batches, BLOCK_BYTES)):
             ids, lengths = encode_texts(part.column("text"), tokenizer_path, end_id)
             words, offsets = encode_words(ids, lengths)
-            row = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), *(pa.array([x], pa.list_(pa.int64())) for x in (part.column("doc_id").to_pylist(), lengths, offsets)), pa.array([words.astype("<u8").tobytes()], pa.binary())]
+            row = [
+                pa.array([shard], pa.int32()),
+                pa.array([block], pa.int32()),
+                *(pa.array([x], pa.list_(pa.int64())) for x in (part.column("doc_id").to_pylist(), lengths, offsets)),
+                pa.array([words.astype("<u8").tobytes()], pa.binary()),
+            ]
             yield pa.RecordBatch.from_arrays(row, ["shard", "block", "doc_ids", "lengths", "offsets", "words"])
 
     ordered.mapInArrow(run, BLOCK_SCHEMA).write.parquet(folder)
@@ -301,12 +322,26 @@ def _read(spark: SparkSession, folder: str, column: str) -> DataFrame:
                 ids = decode_words(np.frombuffer(row["words"], "<u8"), lengths, np.array(row["offsets"], np.int64)).astype("<u4")
                 first = np.cumsum(lengths) - lengths
                 each = [ids[a : a + n] for a, n in zip(first.tolist(), lengths.tolist(), strict=True)]
-                values = pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64()) if digest else pa.array([x.astype(np.int32) for x in each], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(first), pa.array(lengths), values, pa.array([row["shard"]] * len(each), pa.int32()), pa.array([row["block"]] * len(each), pa.int32())], ["doc_id", "first", "n_tokens", name, "shard", "block"])
+                values = pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64()) if digest else pa.array(
+                    [x.astype(np.int32) for x in each], pa.list_(pa.int32())
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(row["doc_ids"], pa.int64()),
+                        pa.array(first),
+                        pa.array(lengths),
+                        values,
+                        pa.array([row["shard"]] * len(each), pa.int32()),
+                        pa.array([row["block"]] * len(each), pa.int32()),
+                    ],
+                    ["doc_id", "first", "n_tokens", name, "shard", "block"],
+                )
 
     #: The words are decoded where they are read; only what is decoded meets the starts.
     decoded = blocks.mapInArrow(run, f"doc_id long, first long, n_tokens long, {column}, shard int, block int")
-    return decoded.join(starts, ["shard", "block"]).select("doc_id", (F.col("first") + F.col("block_start")).alias("start"), "n_tokens", name)
+    return decoded.join(starts, ["shard", "block"]).select(
+        "doc_id", (F.col("first") + F.col("block_start")).alias("start"), "n_tokens", name
+    )
 
 
 def query(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:

@@ -50,7 +50,13 @@ def candidate_rules(host: str = "host", path: str = "path"):
     """Every rule that may match: host suffixes (``a.b.c``, ``b.c``, ``c``) and prefixes ``host/p/q``."""
     labels, parts = F.split(host, "\\."), F.filter(F.split(path, "/"), lambda x: x != "")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.lower(F.concat(F.col(host), F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))))
+    prefixes = F.when(
+        F.size(parts) > 0,
+        F.transform(
+            F.sequence(F.lit(1), F.size(parts)),
+            lambda i: F.lower(F.concat(F.col(host), F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))),
+        ),
+    )
     return F.array_distinct(F.concat(suffixes, F.coalesce(prefixes, F.array().cast("array<string>"))))
 
 
@@ -69,7 +75,9 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     key = ["host", "path", "fetched_at"]
     judgeable = F.col("host").isNotNull() & F.col("fetched_at").isNotNull()
     distinct = checkpointed(base.where(judgeable).groupBy(*key).agg(F.count("*").alias("captures")))
-    asked = distinct.select(*key).withColumn("rule", F.explode(candidate_rules())).withColumn("salt", F.pmod(F.xxhash64("path", "fetched_at"), F.lit(SALTS)))
+    asked = distinct.select(*key).withColumn("rule", F.explode(candidate_rules())).withColumn(
+        "salt", F.pmod(F.xxhash64("path", "fetched_at"), F.lit(SALTS))
+    )
     spans = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     active = (F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
     hits = asked.join(spans, ["rule", "salt"]).where(active)
@@ -86,7 +94,11 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
 def stand_in_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages with a fetch day that their number decides (the table has none)."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(360)).cast("int")).alias("fetched_at"))
+    return pages.select(
+        "page_id",
+        "url",
+        F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(360)).cast("int")).alias("fetched_at"),
+    )
 
 
 def stand_in_entries(captures: DataFrame) -> DataFrame:
@@ -100,7 +112,9 @@ def stand_in_entries(captures: DataFrame) -> DataFrame:
     c = F.conv(F.substring(F.md5(F.col("host").cast("binary")), 1, 6), 16, 10).cast("long")
     labels = F.split("host", "\\.")
     domain = F.when(F.size(labels) >= 4, F.array_join(F.slice(labels, F.lit(2), F.size(labels)), ".")).otherwise(F.col("host"))
-    rules = hosts.where(c % 3 <= 1).select(c.alias("c"), F.when(c % 3 == 0, domain).otherwise(F.concat("host", F.lit("/"), "part")).alias("rule")).distinct()
+    rules = hosts.where(c % 3 <= 1).select(
+        c.alias("c"), F.when(c % 3 == 0, domain).otherwise(F.concat("host", F.lit("/"), "part")).alias("rule")
+    ).distinct()
     day = lambda x: F.date_add(F.lit("2024-01-01").cast("date"), x.cast("int"))
     start = F.col("c") % 200
     event = lambda action, at: F.struct(F.lit(action).alias("action"), day(at).alias("at"))

@@ -86,7 +86,9 @@ def test_window_vectors_equal_plain_ones(docs):
         vectors = {}
         for found, term, weight in p.vectors(terms):
             for r, t, w in zip(found, term, weight):
-                vectors[ids[p.document[r]], int(p.start[r] - p.first[p.document[r]]), int(p.end[r] - p.start[r])] = np.bincount(t, w, len(terms.idf))[:-1]
+                vectors[
+                    ids[p.document[r]], int(p.start[r] - p.first[p.document[r]]), int(p.end[r] - p.start[r])
+                ] = np.bincount(t, w, len(terms.idf))[:-1]
         seen += len(vectors)
         for i in ids:
             for a, b in zip(*dc.windows_of(len(texts[i]))):
@@ -102,7 +104,15 @@ def test_empty_and_clashing(spark, docs):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
     assert dc.contaminated(docs([]), bench).count() == 0
     assert dc.contaminated(docs([(1, "x y")]), bench.limit(0)).count() == 0
-    df = spark.createDataFrame([(1, "so alpha beta gamma delta epsilon zeta eta theta iota kappa on", 1), (1, "so alpha beta gamma delta epsilon zeta eta theta iota kappa on", 1), (2, "fine", 2), (None, None, 3)], "doc_id long, text string, item_id int")
+    df = spark.createDataFrame(
+        [
+            (1, "so alpha beta gamma delta epsilon zeta eta theta iota kappa on", 1),
+            (1, "so alpha beta gamma delta epsilon zeta eta theta iota kappa on", 1),
+            (2, "fine", 2),
+            (None, None, 3),
+        ],
+        "doc_id long, text string, item_id int",
+    )
     assert [(r.doc_id, r.item_id) for r in dc.contaminated(df, bench).collect()] == [(1, 1)]
     kept = dc.drop_contaminated(df, bench)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "None"]

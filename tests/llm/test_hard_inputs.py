@@ -15,14 +15,28 @@ NAMES = [n for n in queries.queries() if not n.startswith("op5")]
 def rows():
     texts = [None, "", " \n\t", "x", "a b c", "a b c", "é 日本 🙂 ſ", LONG, "-" * 5000, "\x00 nul", "password=abcdefgh12"]
     found = [(i, t, "en" if i % 2 else None, "s", len(t or "")) for i, t in enumerate(texts)]
-    return [*found, found[4], found[4], (None, "a b c", None, None, None), (None, None, None, None, None), (None, None, None, None, None), (-(2**63), "least", "fr", "s", 5)]
+    return [
+        *found,
+        found[4],
+        found[4],
+        (None, "a b c", None, None, None),
+        (None, None, None, None, None),
+        (None, None, None, None, None),
+        (-(2**63), "least", "fr", "s", 5),
+    ]
 
 
 @pytest.fixture(scope="module")
 def folders(spark, tmp_path_factory):
     """Folders with hard tables, with clashing columns beside them, and with empty ones."""
     found = {}
-    bench = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, None), (None, "x y"), (3, "")]
+    bench = [
+        (1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"),
+        (1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"),
+        (2, None),
+        (None, "x y"),
+        (3, ""),
+    ]
     for name in ("hard", "clashing", "empty"):
         folder = str(tmp_path_factory.mktemp(name))
         docs = spark.createDataFrame(rows() if name != "empty" else [], DOCUMENT)
@@ -63,6 +77,14 @@ def test_whole_pipeline_on_an_empty_table(spark, folders):
 
 
 def test_urls(spark, tmp_path):
-    pages = [(1, None, None), (None, "http://a.b.c.d/x", ""), (2, "", "x"), (2, "", "x"), (3, "http://" + "a." * 300 + "com/" + "p/" * 300, ""), (4, "//", ""), (5, "http://a.b.c.d/x", "")]
+    pages = [
+        (1, None, None),
+        (None, "http://a.b.c.d/x", ""),
+        (2, "", "x"),
+        (2, "", "x"),
+        (3, "http://" + "a." * 300 + "com/" + "p/" * 300, ""),
+        (4, "//", ""),
+        (5, "http://a.b.c.d/x", ""),
+    ]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert queries.queries()["op5_url_filters"](spark, str(tmp_path)).count() == len(pages)

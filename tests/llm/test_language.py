@@ -37,7 +37,14 @@ def test_held_out_accuracy(docs):
     rng = random.Random(1)
     rows = [(i, text_of(rng, n), n) for i, n in enumerate(list(LETTERS) * 60)]
     truth = {i: n for i, _, n in rows}
-    rows += [(900, None, "aa"), (901, "123 !", "bb"), (902, "", "cc"), (903, text_of(rng, "aa"), None), (None, text_of(rng, "bb"), None), (5, rows[5][1], "cc")]
+    rows += [
+        (900, None, "aa"),
+        (901, "123 !", "bb"),
+        (902, "", "cc"),
+        (903, text_of(rng, "aa"), None),
+        (None, text_of(rng, "bb"), None),
+        (5, rows[5][1], "cc"),
+    ]
     got = lang.identify(docs(rows)).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -51,7 +58,10 @@ def test_held_out_accuracy(docs):
 def test_empty_unlabelled_and_clashing(spark, docs):
     assert lang.identify(docs([])).count() == 0
     assert [(r.lang_pred, r.score) for r in lang.identify(docs([(1, "abc")])).collect()] == [("und", 0.0)]
-    df = spark.createDataFrame([(1, "abc abc", "aa", 3), (2, "!!", "aa", 4), (3, "abc", "aa", 5), (4, "abca", "aa", 5)], "doc_id long, text string, lang string, score int")
+    df = spark.createDataFrame(
+        [(1, "abc abc", "aa", 3), (2, "!!", "aa", 4), (3, "abc", "aa", 5), (4, "abca", "aa", 5)],
+        "doc_id long, text string, lang string, score int",
+    )
     kept = lang.keep_known_language(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
 
@@ -60,7 +70,13 @@ def test_answers_equal_plain_prototypes_and_cosines(docs):
     """lang_pred and score of every document, from vectors summed n-gram by n-gram."""
     rng = random.Random(12)
     rows = [(i, text_of(rng, n, rng.randint(1, 9)), n) for i, n in enumerate(list(LETTERS) * 15)]
-    rows += [(900, None, "aa"), (901, "7 !", "bb"), (902, text_of(rng, "aa", 3) + " ?", None), (None, text_of(rng, "bb", 4), "bb"), (3, "ab AB", "cc")]
+    rows += [
+        (900, None, "aa"),
+        (901, "7 !", "bb"),
+        (902, text_of(rng, "aa", 3) + " ?", None),
+        (None, text_of(rng, "bb", 4), "bb"),
+        (3, "ab AB", "cc"),
+    ]
 
     def vector(text):
         stream = [0]

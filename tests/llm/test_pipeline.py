@@ -45,7 +45,10 @@ def test_run_equals_plain_stages(spark, docs, saved):
 
 
 def test_every_stage_but_the_last_keeps_the_columns(spark, docs, saved):
-    sf = saved(documents=docs([(1, "abc def", "aa"), (2, None, None), (6, "abc", "aa")]), benchmark=spark.createDataFrame([], "item_id long, text string"))
+    sf = saved(
+        documents=docs([(1, "abc def", "aa"), (2, None, None), (6, "abc", "aa")]),
+        benchmark=spark.createDataFrame([], "item_id long, text string"),
+    )
     table = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, table, sf).columns == table.columns
@@ -60,14 +63,29 @@ def test_rows_are_judged_by_their_text_whatever_their_doc_id(spark, docs):
     kept = language.keep_known_language(docs([*rows, (None, "999 111"), (1, text[0], "aa"), (1, "12345 678"), (None, text[1])]))
     assert {(r.doc_id, r.text) for r in kept.collect()} == {(i, t) for i, t, _ in rows} | {(1, text[0]), (None, text[1])}
 
-    same_id = [(1, text[0]), (1, text[1]), (1, text[1]), (2, text[1]), (None, text[2]), (None, text[2]), (None, text[3]), (3, text[3]), (None, None), (None, "")]
+    same_id = [
+        (1, text[0]),
+        (1, text[1]),
+        (1, text[1]),
+        (2, text[1]),
+        (None, text[2]),
+        (None, text[2]),
+        (None, text[3]),
+        (3, text[3]),
+        (None, None),
+        (None, ""),
+    ]
     left = simhash.drop_near_duplicates(docs(same_id)).collect()
-    assert sorted((str(r.doc_id), str(r.text)) for r in left) == sorted([("1", text[0]), ("1", text[1]), ("None", text[2]), ("3", text[3]), ("None", next(str(r.text) for r in left if not r.text))])
+    assert sorted((str(r.doc_id), str(r.text)) for r in left) == sorted(
+        [("1", text[0]), ("1", text[1]), ("None", text[2]), ("3", text[3]), ("None", next(str(r.text) for r in left if not r.text))]
+    )
 
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     leaks = [(None, f"{text[4]} {item} {text[5]}"), (7, item), (7, text[5]), (None, text[4]), (None, None)]
     clean = decontamination.drop_contaminated(docs(leaks), bench)
-    assert sorted(map(str, ((r.doc_id, r.text) for r in clean.collect()))) == sorted(map(str, [(7, text[5]), (None, text[4]), (None, None)]))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in clean.collect()))) == sorted(
+        map(str, [(7, text[5]), (None, text[4]), (None, None)])
+    )
 
 
 def test_long_texts_in_stretches_give_the_same(monkeypatch):

@@ -39,7 +39,15 @@ def test_verdicts(docs):
     clean = " ".join(f"the word{i} of a day{i % 7}{i} and so" for i in range(60))
     junk = "".join(f"@{i}~^~^~{i * 7}~~ " for i in range(300))
     rows = [(i, clean + str(i), "en") for i in range(20)]
-    rows += [(50, junk, None), (51, None, "en"), (52, "", "fr"), (53, "few words", "en"), (54, "same old song " * 60, "en"), (54, "same old song " * 60, "en"), (None, clean, "en")]
+    rows += [
+        (50, junk, None),
+        (51, None, "en"),
+        (52, "", "fr"),
+        (53, "few words", "en"),
+        (54, "same old song " * 60, "en"),
+        (54, "same old song " * 60, "en"),
+        (None, clean, "en"),
+    ]
     got = quality.quality_rules(docs(rows)).collect()
     assert len(got) == len(rows)
     verdict = {r.doc_id: (r.base_failed, r.kept) for r in got}
@@ -67,7 +75,9 @@ WORDS = {"en": "the of and to in a is that it on for was with be as by", "de": "
 
 
 def sample(rng, lang):
-    return " ".join(rng.choice(WORDS[lang].split()) if rng.random() < 0.5 else f"w{rng.randrange(5000)}" for _ in range(rng.randint(90, 160)))
+    return " ".join(
+        rng.choice(WORDS[lang].split()) if rng.random() < 0.5 else f"w{rng.randrange(5000)}" for _ in range(rng.randint(90, 160))
+    )
 
 
 def test_distance_is_to_the_own_language(docs):
@@ -88,7 +98,13 @@ def test_distances_and_verdicts_equal_plain_ones(docs, monkeypatch):
     """Common words, references, limits, distances and kept, worked out anew from the definitions."""
     rng = random.Random(11)
     rows = [(i, sample(rng, lang), lang) for i, lang in enumerate(["en", "de"] * 30)]
-    rows += [(100, " ".join(f"x{i} |" for i in range(120)), "en"), (101, sample(rng, "de").upper(), "de"), (102, "1 2 3 ; # $ " * 60, "en"), (103, sample(rng, "en"), None), (104, None, "en")]
+    rows += [
+        (100, " ".join(f"x{i} |" for i in range(120)), "en"),
+        (101, sample(rng, "de").upper(), "de"),
+        (102, "1 2 3 ; # $ " * 60, "en"),
+        (103, sample(rng, "en"), None),
+        (104, None, "en"),
+    ]
     rows += [(105, " ".join(f"z{i} of" for i in range(70)), "xx"), (106, "  der  die\n" * 30 + sample(rng, "de"), "de")]
     monkeypatch.setattr(quality, "COUNTED_BYTES", 2000)
     limits = quality.Limits()

@@ -58,7 +58,10 @@ def plain(rows, priors):
 
 
 def rows_of(df):
-    return sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in df.collect()), key=str)
+    return sorted(
+        ((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in df.collect()),
+        key=str,
+    )
 
 
 def test_matches_brute_force(docs):

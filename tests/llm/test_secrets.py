@@ -28,7 +28,31 @@ def plain(text, patterns=PATTERNS):
     return sorted(found)
 
 
-PIECES = ["password", "Token", "API_KEY", "apikey", "passwd", "SECRET", "=", ":", " ", '"', "'", "\n", "é", "abcdef0123456789" * 2, "abcdef01", "AKIA", "ABCDEFGH1234", "xyz.-", "0" * 7, "ſecret", "ghp_", "a" * 36, "🙂"]
+PIECES = [
+    "password",
+    "Token",
+    "API_KEY",
+    "apikey",
+    "passwd",
+    "SECRET",
+    "=",
+    ":",
+    " ",
+    '"',
+    "'",
+    "\n",
+    "é",
+    "abcdef0123456789" * 2,
+    "abcdef01",
+    "AKIA",
+    "ABCDEFGH1234",
+    "xyz.-",
+    "0" * 7,
+    "ſecret",
+    "ghp_",
+    "a" * 36,
+    "🙂",
+]
 
 
 @settings(max_examples=400, deadline=None)
@@ -80,7 +104,10 @@ def test_rows(docs):
 
 
 def test_redaction_keeps_the_rest(spark):
-    df = spark.createDataFrame([(1, "a password=abcdefgh1 b", 99, "x"), (2, None, 0, "y")], "doc_id long, text string, n_chars long, spans string")
+    df = spark.createDataFrame(
+        [(1, "a password=abcdefgh1 b", 99, "x"), (2, None, 0, "y")],
+        "doc_id long, text string, n_chars long, spans string",
+    )
     out = {r.doc_id: r for r in secrets.redact_secrets(df).collect()}
     assert out[1].text == "a [SECRET] b" and out[1].n_chars == 12 and out[2].text is None and out[1].spans == "x"
 

@@ -8,7 +8,25 @@ from paperlake.llm import sentencepiece_dropout as sd
 
 PATH = sd.model_path()
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
-PARTS = ["the ", "hello", " ", "  ", "\n", "é", "ciónes", "🙂", "日本", "\t", "tokenization", ".", "<s>", "<0x41>", "\x00", "A", "internationally" * 6]
+PARTS = [
+    "the ",
+    "hello",
+    " ",
+    "  ",
+    "\n",
+    "é",
+    "ciónes",
+    "🙂",
+    "日本",
+    "\t",
+    "tokenization",
+    ".",
+    "<s>",
+    "<0x41>",
+    "\x00",
+    "A",
+    "internationally" * 6,
+]
 TEXTS = st.lists(st.sampled_from(PARTS), max_size=30).map("".join)
 WORDS = "tokenization of international correspondence "
 
@@ -66,7 +84,11 @@ def test_without_dropout_equals_the_library(text):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(PARTS[:-1] + ["▁", "      ", WORDS]), max_size=12).map("".join), st.integers(0, 2**64 - 1), st.sampled_from([0.1, 0.5, 0.9]))
+@given(
+    st.lists(st.sampled_from(PARTS[:-1] + ["▁", "      ", WORDS]), max_size=12).map("".join),
+    st.integers(0, 2**64 - 1),
+    st.sampled_from([0.1, 0.5, 0.9]),
+)
 def test_dropout_equals_a_plain_merge(text, key, rate):
     assert ids(text, key, rate) == plain(text, key, rate)
 

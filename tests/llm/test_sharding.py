@@ -24,7 +24,9 @@ def least_capacity(sizes, shards):
 def test_capacity_is_the_smallest_and_cuts_keep_it(spark):
     rng = random.Random(2)
     for shards in (1, 2, 5, 9):
-        cases = [[rng.choice([1, 5, 9, 100, 16, 40]) for _ in range(rng.randint(1, 30))] for _ in range(15)] + [[7], [3, 1000, 2, 2], [1000, 1, 1, 1, 1, 1, 1, 1, 1]]
+        cases = [[rng.choice([1, 5, 9, 100, 16, 40]) for _ in range(rng.randint(1, 30))] for _ in range(15)] + [
+            [7], [3, 1000, 2, 2], [1000, 1, 1, 1, 1, 1, 1, 1, 1]
+        ]
         df = spark.createDataFrame([(c,) for c in cases], "sizes array<bigint>")
         for r in sharding.with_cuts(df, shards).collect():
             assert r.capacity == least_capacity(r.sizes, shards)
@@ -75,6 +77,8 @@ def test_no_python_in_the_plan(docs, capsys):
 
 
 def test_many_atoms_in_near_equal_shards(spark):
-    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.md5(F.col("id").cast("string").cast("binary")), 3).alias("text"))
+    df = spark.range(20_000).select(
+        F.col("id").alias("doc_id"), F.repeat(F.md5(F.col("id").cast("string").cast("binary")), 3).alias("text")
+    )
     sizes = [r.b for r in sharding.shard_documents(df, 40).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     assert len(sizes) == 40 and max(sizes) < 1.05 * sum(sizes) / 40

@@ -31,7 +31,27 @@ def test_zero_runs_pack():
 
 def test_files_match_the_library(spark, docs, saved):
     rng = random.Random(1)
-    pieces = ["Hello", "world's", "it's,", "É", "é", " ", " ", "<|endoftext|>", "日本語", "🙂", "x" * 50, "don't'll", "\x1c", "12ab3", "Σ", "ΑΣ ", "<|start", "oftext|>", "…"]
+    pieces = [
+        "Hello",
+        "world's",
+        "it's,",
+        "É",
+        "é",
+        " ",
+        " ",
+        "<|endoftext|>",
+        "日本語",
+        "🙂",
+        "x" * 50,
+        "don't'll",
+        "\x1c",
+        "12ab3",
+        "Σ",
+        "ΑΣ ",
+        "<|start",
+        "oftext|>",
+        "…",
+    ]
     rows = [(i, "".join(rng.choice(pieces) + rng.choice(["", " ", "\n", "\t "]) for _ in range(rng.randint(0, 60)))) for i in range(80)]
     rng.shuffle(rows)
     rows += [(500, None), (501, ""), (502, " \n"), (503, "word " * 30000), (7, rows[3][1]), (7, rows[3][1])]

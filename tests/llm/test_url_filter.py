@@ -36,21 +36,37 @@ def rules_of(url):
     host = rest[:cut].split("@")[-1].split(":")[0].rstrip(".").lower()
     path = rest[cut:].split("?")[0].split("#")[0]
     labels, parts = host.split("."), [p for p in path.split("/") if p]
-    return host, {".".join(labels[i:]) for i in range(len(labels))} | {(host + "/" + "/".join(parts[: i + 1])).lower() for i in range(len(parts))}
+    return host, {".".join(labels[i:]) for i in range(len(labels))} | {
+        (host + "/" + "/".join(parts[: i + 1])).lower() for i in range(len(parts))
+    }
 
 
 def test_matches_brute_force(spark):
     rng = random.Random(5)
     hosts = ["a.example.com", "b.example.com", "Example.COM", "x.y.z.org", "hot.net", "hot.net.", "u:p@hot.net:80"]
-    urls = [f"{rng.choice(['http://', 'https://', ''])}{rng.choice(hosts)}{rng.choice(['', '/', '/a', '/A/b?x=1', '/a/b/c#t', '?q=/a'])}" for _ in range(300)]
-    pages = [(i, u, on(rng.randint(0, 50))) for i, u in enumerate(urls)] + [(900, None, on(1)), (901, "", on(1)), (902, "http://hot.net/a", None), (3, urls[3], on(3)), (3, urls[3], on(3))]
+    urls = [
+        f"{rng.choice(['http://', 'https://', ''])}{rng.choice(hosts)}{rng.choice(['', '/', '/a', '/A/b?x=1', '/a/b/c#t', '?q=/a'])}" for _ in range(300)
+    ]
+    pages = [(i, u, on(rng.randint(0, 50))) for i, u in enumerate(urls)] + [
+        (900, None, on(1)), (901, "", on(1)), (902, "http://hot.net/a", None), (3, urls[3], on(3)), (3, urls[3], on(3))
+    ]
     rules = ["example.com", "a.example.com", "org", "z.org", "hot.net/a", "HOT.net", "x.y.z.org/A/b", "ample.com"]
-    entries = [(rng.choice(["ads", "spam", None]), rng.choice(rules), rng.choice(["add", "add", "remove", "note"]), on(rng.randint(0, 50))) for _ in range(60)]
+    entries = [
+        (
+            rng.choice(["ads", "spam", None]),
+            rng.choice(rules),
+            rng.choice(["add", "add", "remove", "note"]),
+            on(rng.randint(0, 50)),
+        ) for _ in range(60)
+    ]
     entries += [(None, None, "add", on(0)), ("ads", "org", None, on(0)), ("ads", "org", "add", None)]
     captures = spark.createDataFrame(pages, "page_id long, url string, fetched_at date")
     listed = spark.createDataFrame(entries, "list string, rule string, action string, at date")
     spans = plain_intervals(entries)
-    got = sorted(((r.page_id, r.fetched_at, r.n_active, r.blocked, r.first_rule, r.since) for r in uf.filter_captures(captures, listed).collect()), key=str)
+    got = sorted(
+        ((r.page_id, r.fetched_at, r.n_active, r.blocked, r.first_rule, r.since) for r in uf.filter_captures(captures, listed).collect()),
+        key=str,
+    )
     want = []
     for i, u, t in pages:
         hits = []
