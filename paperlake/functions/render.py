@@ -271,7 +271,7 @@ def metrics_view(count: Column, indices: bool = True, citations: bool = True, ba
     """Indices, citation statistics and paper statistics of one wide row; a section that was not computed is left out."""
     line = lambda label, value: F.concat(F.lit(f"- **{label}:** "), value, F.lit("\n"))
     whole = lambda c: or_else(c, "0")
-    some = lambda label, c, digits: F.when(F.col(c).isNotNull(), line(label, F.format_string(f"%.{digits}f", F.col(c).cast("double")))).otherwise("")
+    some = lambda label, c, digits: F.when(F.col(c).isNotNull(), line(label, fixed(F.col(c), digits))).otherwise("")
     parts = [F.lit("# Citation Metrics\n\n*Based on "), count, F.lit(" paper(s)*\n\n")]
     if indices:
         parts += [
@@ -306,6 +306,12 @@ def metrics_view(count: Column, indices: bool = True, citations: bool = True, ba
     return F.concat(*parts)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number with so many decimals, halves up on its binary value."""
+    scale = float(10**digits)
+    return F.format_string(f"%.{digits}f", F.floor(value.cast("double") * scale + 0.5) / scale)
+
+
 def plain_number(c: str) -> Column:
     """A number without a decimal part that is zero: 2.0 as 2, 2.5 as 2.5."""
     return F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")

@@ -83,12 +83,22 @@ def metrics_m_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.m_index(first_years(spark, sf_dir), AS_OF).withColumn("m", F.round("m", 6))
 
 
+def authorships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in authors of every paper, two each: the remainders of its number by 7 and by 11."""
+    ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).union(table(spark, sf_dir, "part").select("p_partkey"))
+    name = lambda letter, n: F.concat(F.lit(letter), F.col("id") % n)
+    return ids.distinct().select("id", F.array(name("a", 7), name("b", 11)).alias("authors"))
+
+
 def metrics_tori(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the group of the cited paper; a citation counts where the two papers share no author."""
     e = edges(spark, sf_dir)
     references = graph.citation_counts(e, "citing").select(F.col("id").alias("citing"), F.col("citation_count").alias("citing_references"))
-    of = cited_papers(spark, sf_dir).select(F.col("id").alias("cited"), "author")
-    cited = e.join(references, "citing").join(of, "cited").withColumns({"self_citation": F.lit(False), "cited_authors": F.lit(1)})
-    return metrics.tori(cited).withColumn("tori", F.round("tori", 6))
+    own = metrics.self_citations(e, authorships(spark, sf_dir)).withColumn("self_citation", F.lit(True))
+    of = cited_papers(spark, sf_dir).select(F.col("id").alias("cited"), "author", F.lit(2).alias("cited_authors"))
+    cited = e.join(references, "citing").join(of, "cited").join(own, ["citing", "cited"], "left")
+    judged = cited.withColumn("self_citation", F.coalesce("self_citation", F.lit(False)))
+    return metrics.tori(judged).withColumn("tori", F.round("tori", 6))
 
 
 def metrics_citation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,13 +124,8 @@ def metrics_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics_self_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-in authors: the remainders of a paper's number by 7 and by 11."""
-    e = edges(spark, sf_dir)
-    own = lambda c: F.array(F.concat(F.lit("a"), F.col(c) % 7), F.concat(F.lit("b"), F.col(c) % 11))
-    papers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).union(
-        table(spark, sf_dir, "part").select("p_partkey")
-    ).distinct().select("id", own("id").alias("authors"))
-    return metrics.self_citations(e, papers).groupBy("cited").agg(F.count("*").alias("self_citations"))
+    found = metrics.self_citations(edges(spark, sf_dir), authorships(spark, sf_dir))
+    return found.groupBy("cited").agg(F.count("*").alias("self_citations"))
 
 
 def similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,11 +144,14 @@ def render_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def render_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every section of the view for every group of papers."""
+    of = cited_papers(spark, sf_dir).select("id", "author")
+    own = metrics_self_citations(spark, sf_dir).join(of, F.col("cited") == F.col("id")).groupBy("author").agg(F.sum("self_citations").alias("self_citations"))
+    read = reads(spark, sf_dir).select(F.col("paper").alias("id")).join(of, "id").groupBy("author").agg(F.count("*").alias("reads"))
     wide = metrics.indices(counts(spark, sf_dir)).join(metrics_citation_stats(spark, sf_dir), "author")
-    null = F.lit(None).cast("double")
-    wide = wide.withColumns(
-        {"m": null, "tori": null, "self_citations": F.lit(None).cast("long"), "reads": F.lit(None).cast("long"), "mean_reads": null}
-    )
+    for more in (metrics_m_index(spark, sf_dir).select("author", "m"), metrics_tori(spark, sf_dir), own, read):
+        wide = wide.join(more, "author", "left")
+    wide = wide.withColumn("mean_reads", F.col("reads") / F.col("papers"))
     return wide.select("author", render.metrics_view(F.col("papers")).alias("text"))
 
 
@@ -161,6 +169,8 @@ STATS = f"""{EDGES}, n AS (SELECT p_partkey, p_brand AS author, count(citing) AS
 EGO = f"""{EDGES}, ego AS (
   SELECT 'citation' AS direction, citing AS id, CAST(o_custkey AS VARCHAR) AS author, year(o_orderdate) AS year FROM edges LEFT JOIN orders ON o_orderkey = citing WHERE cited = {SEED_PART}
   UNION ALL SELECT 'reference', cited, p_brand, NULL FROM edges LEFT JOIN part ON p_partkey = cited WHERE citing = {SEED_PART})"""
+#: The two papers share a stand-in author.
+OWN = "citing % 7 = cited % 7 OR citing % 11 = cited % 11"
 INDICES = f"""{RANKED}, indices AS (SELECT author, count(*) AS papers, count(*) FILTER (citations >= r) AS h, coalesce(max(r) FILTER (s >= r * r), 0) AS g, count(*) FILTER (citations >= 10) AS i10 FROM ranked GROUP BY author)"""
 SQL = {
     "graph_nodes": """SELECT CAST(o_orderkey AS VARCHAR) AS id, 'Order ' || o_orderkey AS title, year(o_orderdate) AS year, 'o' || CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey END AS arxiv_id,
@@ -174,7 +184,8 @@ SQL = {
     "metrics_h_g_i10": f"WITH {INDICES} SELECT * FROM indices",
     "metrics_m_index": f"""WITH {INDICES}, firsts AS (SELECT p_brand AS author, min(year(o_orderdate)) AS first_year FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)
         SELECT author, h, first_year, round(h / greatest(1, {AS_OF} - first_year), 6) AS m FROM indices JOIN firsts USING (author)""",
-    "metrics_tori": f"WITH {EDGES}, refs AS (SELECT citing, count(*) AS n FROM edges GROUP BY 1) SELECT p_brand AS author, round(sum(1 / n), 6) AS tori FROM edges JOIN refs USING (citing) JOIN part ON p_partkey = cited GROUP BY 1",
+    "metrics_tori": f"""WITH {EDGES}, refs AS (SELECT citing, count(*) AS n FROM edges GROUP BY 1)
+        SELECT p_brand AS author, round(sum(1 / (2 * n)), 6) AS tori FROM edges JOIN refs USING (citing) JOIN part ON p_partkey = cited WHERE NOT ({OWN}) GROUP BY 1""",
     "metrics_citation_stats": f"WITH {STATS} SELECT * FROM stats",
     "metrics_basic": "SELECT user_id AS author, count(DISTINCT json_extract_string(props, '$.k')) AS papers, count(*) AS reads, round(count(*) / count(DISTINCT json_extract_string(props, '$.k')), 6) AS mean_reads FROM events WHERE event_type = 'view' GROUP BY 1",
     "metrics_self_citations": f"""WITH {EDGES} SELECT cited, count(*) AS self_citations FROM edges WHERE (citing % 7 = cited % 7 OR citing % 11 = cited % 11) AND (citing IN (SELECT o_orderkey FROM orders) OR citing IN (SELECT p_partkey FROM part))
@@ -190,9 +201,17 @@ SQL = {
         || CASE WHEN count(*) > 25 THEN '_Showing 25 of ' || count(*) || ' returned papers._' || chr(10) || chr(10) ELSE '' END END AS text FROM near""",
     "render_metrics": f"""WITH {INDICES}, stats AS (
         SELECT p_brand AS author, count(citing) AS total, count(*) FILTER (o_orderstatus = 'F') AS refereed, count(citing) / count(DISTINCT p_partkey) AS mean FROM part LEFT JOIN edges ON cited = p_partkey LEFT JOIN orders ON o_orderkey = citing GROUP BY 1),
-        medians AS (SELECT author, median(citations) AS middle FROM counts GROUP BY 1)
-        SELECT author, '# Citation Metrics' || chr(10) || chr(10) || '*Based on ' || papers || ' paper(s)*' || chr(10) || chr(10) || '## Indices' || chr(10) || chr(10) || '- **h-index:** ' || h || chr(10) || '- **g-index:** ' || g || chr(10) || '- **i10-index:** ' || i10 || chr(10) || chr(10)
-        || '## Citation Statistics' || chr(10) || chr(10) || '- **Total citations:** ' || total || chr(10) || '- **Refereed citations:** ' || refereed || chr(10) || '- **Average:** ' || format('{{:.1f}}', round(round(mean, 6), 1)) || chr(10)
-        || '- **Median:** ' || replace(CAST(CAST(middle AS DOUBLE) AS VARCHAR) || '|', '.0|', '|')[:-2] || chr(10) || '- **Self-citations:** 0' || chr(10) || chr(10)
-        || '## Paper Statistics' || chr(10) || chr(10) || '- **Total papers:** ' || papers || chr(10) || '- **Total reads:** 0' || chr(10) || chr(10) AS text FROM indices JOIN stats USING (author) JOIN medians USING (author)""",
+        medians AS (SELECT author, median(citations) AS middle FROM counts GROUP BY 1),
+        firsts AS (SELECT p_brand AS author, min(year(o_orderdate)) AS first_year FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1),
+        refs AS (SELECT citing, count(*) AS n FROM edges GROUP BY 1),
+        toris AS (SELECT p_brand AS author, round(sum(1 / (2 * n)), 6) AS tori FROM edges JOIN refs USING (citing) JOIN part ON p_partkey = cited WHERE NOT ({OWN}) GROUP BY 1),
+        own AS (SELECT p_brand AS author, count(*) AS self_citations FROM edges JOIN part ON p_partkey = cited WHERE {OWN} GROUP BY 1),
+        read AS (SELECT p_brand AS author, count(*) AS reads FROM events JOIN part ON p_partkey = CAST(json_extract_string(props, '$.k') AS BIGINT) WHERE event_type = 'view' GROUP BY 1)
+        SELECT author, '# Citation Metrics' || chr(10) || chr(10) || '*Based on ' || papers || ' paper(s)*' || chr(10) || chr(10) || '## Indices' || chr(10) || chr(10) || '- **h-index:** ' || h || chr(10) || '- **g-index:** ' || g || chr(10) || '- **i10-index:** ' || i10 || chr(10)
+        || coalesce('- **m-index:** ' || format('{{:.2f}}', floor(round(h / greatest(1, {AS_OF} - first_year), 6) * 100 + 0.5) / 100) || chr(10), '') || coalesce('- **tori:** ' || format('{{:.2f}}', floor(tori * 100 + 0.5) / 100) || chr(10), '') || chr(10)
+        || '## Citation Statistics' || chr(10) || chr(10) || '- **Total citations:** ' || total || chr(10) || '- **Refereed citations:** ' || refereed || chr(10) || '- **Average:** ' || format('{{:.1f}}', floor(round(mean, 6) * 10 + 0.5) / 10) || chr(10)
+        || '- **Median:** ' || replace(CAST(CAST(middle AS DOUBLE) AS VARCHAR) || '|', '.0|', '|')[:-2] || chr(10) || '- **Self-citations:** ' || coalesce(self_citations, 0) || chr(10) || chr(10)
+        || '## Paper Statistics' || chr(10) || chr(10) || '- **Total papers:** ' || papers || chr(10) || '- **Total reads:** ' || coalesce(reads, 0) || chr(10)
+        || coalesce('- **Average reads:** ' || format('{{:.1f}}', floor(reads / papers * 10 + 0.5) / 10) || chr(10), '') || chr(10) AS text
+        FROM indices JOIN stats USING (author) JOIN medians USING (author) LEFT JOIN firsts USING (author) LEFT JOIN toris USING (author) LEFT JOIN own USING (author) LEFT JOIN read USING (author)""",
 }
