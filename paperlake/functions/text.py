@@ -129,6 +129,7 @@ def decode_entities(c: Column) -> Column:
 
 def strip_html(c: str | Column) -> Column:
     """Scripts, styles and comments go; breaks and block ends become line breaks; tags become blanks."""
+    # The patterns of the reference semantics, in their order.
     return replace_all(
         column(c), (r"(?i)<script[\s\S]*?</script>", " "), (r"(?i)<style[\s\S]*?</style>", " "), (r"<!--[\s\S]*?-->", " "),
         (r"(?i)<\s*br\s*/?\s*>", "\n"), (rf"(?i)</(?:{BLOCK_TAGS})\s*>", "\n\n"), (rf"(?i)<\s*(?:{BLOCK_TAGS})[^>]*>", ""), (r"<[^>]+>", " "),
@@ -141,6 +142,7 @@ def html_text(c: str | Column) -> Column:
 
 def latex_text(c: str | Column) -> Column:
     """Sixteen ordered rewrites from LaTeX to plain text with Markdown headings."""
+    # The patterns of the reference semantics, in their order.
     c = replace_all(column(c), (r"(?i)\\begin\{document\}", "\n\n"), (r"(?i)\\end\{document\}", "\n\n"))
     for name, mark in HEADINGS:
         c = F.regexp_replace(c, rf"(?i)\\{name}\*?\{{(?=[^{{}}])\s*([^{{}}]*?)\s*\}}", f"\n\n{mark} $1\n\n")

@@ -116,22 +116,11 @@ def tex_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tex_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LaTeX made of every document: its words as sections, styles and comments."""
-    body = F.concat(
-        F.lit("\\begin{document}\\section{ "),
-        F.substring("source", 1, 8),
-        F.lit(" }\n"),
-        F.replace("text", F.lit("\n"), F.lit(" \\\\ ")),
-        F.lit("\n% a comment\n\\emph{"),
-        "lang",
-        F.lit("}~end\\cite{k}\\end{document}"),
-    )
-    text = T.latex_text(body)
-    return table(spark, sf_dir, "documents").select(
-        "doc_id",
-        F.length(text).cast("long").alias("n_chars"),
-        text.startswith("# src").alias("has_heading"),
-        F.contains(text, F.lit("a comment")).alias("has_comment"),
-    )
+    head = F.concat(F.lit("\\begin{document}\\section{ "), F.substring("source", 1, 8), F.lit(" }\n"))
+    tail = F.concat(F.lit("\n% a comment\n\\emph{"), "lang", F.lit("}~end\\cite{k}\\end{document}"))
+    text = T.latex_text(F.concat(head, F.replace("text", F.lit("\n"), F.lit(" \\\\ ")), tail))
+    made = T.worked_out(table(spark, sf_dir, "documents").select("doc_id", text.alias("t")))
+    return made.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("text_md5"))
 
 
 def atom_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,6 +162,39 @@ TEXT = chain(DECODED, (r"\r\n?", NL), (r"[ \t]+\n", NL), (r"\n{3,}", f"{NL} || {
 GATE = rf"(length(t) >= 3000 OR len(list_filter(string_split_regex(t, '\n{{2,}}'), lambda p: p <> '')) >= 8 OR regexp_matches(lower(t), '(^|[^a-z0-9_])({'|'.join(T.PAPER_WORDS)})([^a-z0-9_]|$)'))"
 PAPER_ID = "'2001.' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(5, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0')"
 HEAD_SIZE = "length(source) + 15"
+LATEX = (
+    r"'\begin{document}\section{ ' || substr(source, 1, 8) || ' }' || chr(10) || replace(text, chr(10), ' \\ ') || chr(10)"
+    r" || '% a comment' || chr(10) || '\emph{' || lang || '}~end\cite{k}\end{document}'"
+)
+HEADED = [
+    (rf"(?i)\\{name}\*?\{{\s*([^{{}}\s](?:[^{{}}]*[^{{}}\s])?)\s*\}}", rf"{NL} || {NL} || '{mark} \1' || {NL} || {NL}") for name, mark in T.HEADINGS
+]
+#: The rewrites of ``latex_text`` without look-around, which DuckDB's expressions lack.
+PLAIN = chain(
+    LATEX,
+    (r"(?i)\\begin\{document\}", f"{NL} || {NL}"),
+    (r"(?i)\\end\{document\}", f"{NL} || {NL}"),
+    *HEADED,
+    (r"(?i)\\(?:textbf|textit|emph|underline)\{([^{}]+)\}", r"'\1'"),
+    (r"(?i)\\(?:title|author|date)\{([^{}]+)\}", rf"'\1' || {NL}"),
+    (r"(?i)\\(?:cite|citep|citet|autocite|parencite|textcite|ref|label)\{[^{}]*\}", "''"),
+    (r"(?i)\\includegraphics(?:\[[^\]]*\])?\{[^{}]*\}", "''"),
+    (r"(?i)\\item([^A-Za-z0-9_]|$)", rf"{NL} || '- \1'"),
+    (r"\\\\", NL),
+    (r"\\[a-zA-Z@]+(?:\[[^\]]*\])?(?:\{([^{}]*)\})?", r"chr(57344) || '\1' || chr(57345)"),
+    ("\ue000\ue001", "' '"),
+    ("[\ue000\ue001]", "' '"),
+    (r"(?m)(^|[^\\\n])%[^\n]*", r"'\1'"),
+    (r"\$\$\s*((?:[^$]|\$[^$])*?)\s*\$\$", rf"{NL} || {NL} || '$$\1$$' || {NL} || {NL}"),
+    (r"\$([^\s$][^$]*?)\s*\$", r"'$\1$'"),
+    ("~", "' '"),
+    (r"\s+\n", NL),
+    (r"\n{3,}", f"{NL} || {NL}"),
+    (r"\r\n?", NL),
+    (r"[ \t]+\n", NL),
+    (r"\n{3,}", f"{NL} || {NL}"),
+    (r"^\s+|\s+$", "''"),
+)
 FILES = f"""WITH files AS (
   SELECT doc_id AS id, source, f.ordinal, f.name, CASE f.name WHEN 'fig.png' THEN 1 WHEN 'readme' THEN 1 WHEN 'ms.tex' THEN {HEAD_SIZE} WHEN 'deep/paper.tex' THEN {HEAD_SIZE} ELSE strlen(text) END AS size, f.score
   FROM documents JOIN (VALUES (0, 0, 'sub/other.tex', 0), (0, 1, 'ms.tex', 80), (0, 2, 'fig.png', NULL), (1, 0, 'deep/paper.tex', 100), (1, 1, 'long.TEX', 20), (1, 2, 'readme', NULL)) AS f(kind, ordinal, name, score)
@@ -189,6 +211,7 @@ SQL = {
     "atom_roundtrip": rf"""SELECT {PAPER_ID} AS id, trim(regexp_replace(regexp_extract(text, '^([^\n]*)', 1), '\s+', ' ', 'g')) AS title,
         array_to_string(list_transform(range(1, CAST(doc_id % 3 + 2 AS BIGINT)), lambda i: source || ' ' || i), ';') AS authors, trim(regexp_replace(text, '\s+', ' ', 'g')) AS abstract,
         '2024-01-15T00:00:00Z' AS published, lang AS categories, CASE WHEN doc_id % 3 = 0 THEN '10.1/' || doc_id END AS doi, 'https://arxiv.org/pdf/' || {PAPER_ID} AS pdf_url FROM documents""",
+    "tex_strip": f"SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id, {PLAIN} AS t FROM documents)",
     "tar_entries": f"""{FILES} SELECT id, ordinal, name, size FROM files""",
     "tex_choice": f"""{FILES}, best AS (SELECT id, name, source, row_number() OVER (PARTITION BY id ORDER BY score + least(size / 1000, 30.0) DESC, ordinal) AS r FROM files WHERE score IS NOT NULL)
         SELECT id, name AS source_name, CASE WHEN name <> 'long.TEX' THEN '# ' || source || {NL} || 'Head' END AS text FROM best WHERE r = 1""",
