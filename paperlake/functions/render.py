@@ -17,6 +17,12 @@ DOI_SITE = "https://doi.org/"
 PREPRINT_SITE = "https://arxiv.org/abs/"
 RECORD_SITE = "https://scixplorer.org/abs/"
 SHOWN_NEIGHBOURS = 25
+# What a view says where nothing was found.
+NO_RECORD = "No paper found with identifier: {}"
+NO_SIMILAR = "No similar papers found for: {}"
+NO_PREPRINTS = "No results found for: {}"
+NO_PREPRINT = "No paper found with ID: {}"
+NO_DOCS = "No SciX docs found for: {}"
 
 
 def part(label: str, value: Column | str) -> Column:
@@ -181,6 +187,11 @@ def folded(
     return body.select(*by, F.when(F.col("n") == 0, F.lit(empty)).otherwise(F.concat(head, "body", more)).alias("text"))
 
 
+def or_message(view: DataFrame, message: str) -> DataFrame:
+    """A view of one row at most, or the message in its place."""
+    return view.limit(1).agg(F.coalesce(F.first("text"), F.lit(message)).alias("text"))
+
+
 def paper_list(page: DataFrame, order: list[Column], total: Column, heading: str = "Search Results") -> DataFrame:
     item = F.concat(
         "i", F.lit(". **"), or_else(first_of("title"), "Untitled"), F.lit("**\n   - "), or_else(first_of("author"), "Unknown"), F.lit(" ("), or_else("year", "N/A"), F.lit(")\n   - Bibcode: `"), or_else("bibcode", ""),
@@ -213,7 +224,7 @@ def docs_list(page: DataFrame, order: list[Column], query: str) -> DataFrame:
         F.lit(")\n   - Score: "), F.col("score").cast("string"), F.lit(".00\n   - Snippet: "), "snippet", F.lit("\n\n"),
     )
     head = F.concat(F.lit("# SciX Docs Search Results\n\nFound **"), "n", F.lit(f"** result(s) for **{query}**\n\n"))
-    return folded(page, order, head, item, f"No SciX docs found for: {query}")
+    return folded(page, order, head, item, NO_DOCS.format(query))
 
 
 def graph_list(neighbours: DataFrame, order: list[Column], heading: str) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlake.functions import render
 from paperlake.functions import text as T
 from paperlake.operators import collections as C
-from paperlake.operators import search
+from paperlake.operators import search, similar
+from paperlake.plans import papers
 from paperlake.plans.collections import MEMBERS
 from paperlake.plans.graphs import EGO, SEED_PART, ego
+from paperlake.plans.papers import records
 from paperlake.plans.params import WindowParams
 from paperlake.plans.searches import SEARCH, cleaned, top_sql
 from paperlake.sources.tables import cited_papers, collection_events, table
@@ -124,6 +128,27 @@ def render_graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def empty_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views of what is not there, and of one paper that is."""
+    detail = lambda key: records(spark, sf_dir).where(F.col("bibcode") == key).select(render.paper_detail().alias("text"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    near = similar.by_vector(vectors, -1).select(F.col("id").cast("string").alias("text"))
+    every = preprints(spark, sf_dir)
+    found = every.where(F.contains("title", F.lit("unheard of"))).select(F.col("title").alias("text"))
+    one = every.where("id = 'ox'").select(render.preprint_detail().alias("text"))
+    docs = search.search(cleaned(spark, sf_dir), "unheardof", 5)
+    listed = render.docs_list(docs, [F.desc("score"), F.desc("char_count"), F.asc("ordinal")], "unheardof")
+    views = {
+        "record": render.or_message(detail("PX"), render.NO_RECORD.format("PX")),
+        "known record": render.or_message(detail("P1"), render.NO_RECORD.format("P1")),
+        "similar": render.or_message(near, render.NO_SIMILAR.format("v")),
+        "preprints": render.or_message(found, render.NO_PREPRINTS.format("unheard of")),
+        "preprint": render.or_message(one, render.NO_PREPRINT.format("ox")),
+        "docs": listed,
+    }
+    return reduce(DataFrame.union, (v.select(F.lit(name).alias("view"), "text") for name, v in views.items()))
+
+
 def entities_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents behind a fixed head, line breaks as numeric references."""
     escaped = F.concat(F.lit("&#72;&#x69;&#8212;&#x1F600; &copy; &amp;lt; "), F.replace("text", F.lit("\n"), F.lit("&#10;")))
@@ -132,7 +157,7 @@ def entities_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "render_preprint": render_preprint, "render_preprint_list": render_preprint_list, "render_read_paper": render_read_paper, "render_full_text": render_full_text, "render_docs_list": render_docs_list,
-    "render_library_list": render_library_list, "render_library_detail": render_library_detail, "render_note": render_note, "render_graph_view": render_graph_view, "entities_decode": entities_decode,
+    "render_library_list": render_library_list, "render_library_detail": render_library_detail, "render_note": render_note, "render_graph_view": render_graph_view, "entities_decode": entities_decode, "empty_messages": empty_messages,
 }
 
 NL = "chr(10)"
@@ -173,6 +198,9 @@ def neighbours_sql(direction: str, heading: str) -> str:
 DOC_ITEM = f"""i || '. **' || title || '**' || {NL} || CASE WHEN concat(section, subsection) <> '' THEN '   - Section: ' || concat_ws(' / ', nullif(section, ''), nullif(subsection, '')) || {NL} ELSE '' END || '   - Type: doc' || {NL}
   || coalesce('   - Category: ' || lang || {NL}, '') || '   - Source: [doc-' || id || '_page]()' || {NL} || '   - Score: ' || score || '.00' || {NL} || '   - Snippet: ' || snippet || {PARA}"""
 SQL = {
+    "empty_messages": f"""SELECT 'record' AS "view", 'No paper found with identifier: PX' AS text UNION ALL SELECT 'known record', text FROM ({papers.SQL["render_detail"]}) WHERE bibcode = 'P1'
+        UNION ALL SELECT 'similar', 'No similar papers found for: v' UNION ALL SELECT 'preprints', 'No results found for: unheard of'
+        UNION ALL SELECT 'preprint', 'No paper found with ID: ox' UNION ALL SELECT 'docs', 'No SciX docs found for: unheardof'""",
     "render_preprint": f"""WITH {PREPRINTS} SELECT id, md5({HEAD} || '**Published:** ' || published || {PARA} || coalesce('**Updated:** ' || updated || {PARA}, '') || '**Categories:** ' || array_to_string(categories, ', ') || {PARA} || {DOI} || {LINKS} || {ABSTRACT}) AS text_md5 FROM preprints""",
     "render_preprint_list": f"""WITH {PREPRINTS}, best AS (SELECT *, row_number() OVER (ORDER BY published DESC, key) AS i FROM preprints ORDER BY i LIMIT 10)
         SELECT '# arXiv Search Results' || {PARA} || 'Found **' || count(*) || '** paper(s)' || {PARA} || string_agg(i || '. **' || title || '**' || {NL} || '   - ' || authors[1] || ' (' || published || ')' || {NL} || '   - ID: `' || id || '`' || {NL}
