@@ -117,11 +117,10 @@ def decode_entities(c: Column) -> Column:
     pattern = "&#(x?[0-9a-fA-F]+);"
     parts, codes = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
 
-    def after(part: Column, i: Column) -> Column:
-        code = F.get(codes, i)
+    def after(part: Column, code: Column) -> Column:
         return F.concat(part, F.coalesce(_character(code), F.concat(F.lit("&#"), code, F.lit(";")), F.lit("")))
 
-    c = F.when(F.size(codes) > 0, F.array_join(F.transform(parts, after), "")).otherwise(c)
+    c = F.when(F.size(codes) > 0, F.array_join(F.zip_with(parts, codes, after), "")).otherwise(c)
     for name, value in NAMED_ENTITIES:
         c = F.replace(c, F.lit(f"&{name};"), F.lit(value))
     return c
