@@ -51,19 +51,16 @@ def text_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Papers are documents; pages of the same number are their HTML, every third has LaTeX text, every seventh a PDF text."""
+    """Papers are documents; pages of the same number are their HTML, their archives' main files the LaTeX texts.
+
+    Every third has a PDF text, and of the rest every second an empty one.
+    """
     docs = table(spark, sf_dir, "documents")
     papers = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("abstract"))
     html = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "html")
-    tex = docs.where("doc_id % 3 = 0").select(
-        F.col("doc_id").alias("id"),
-        F.concat(F.lit("tex of "), "doc_id").alias("text"),
-        F.lit("main.tex").alias("source_name"),
-    )
-    pdf = docs.where("doc_id % 7 = 0").select(
-        F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, "pdf").otherwise("").alias("text")
-    )
-    found = read_papers(papers, html, tex, pdf)
+    tex = archive.main_tex(archive.entries(archives(spark, sf_dir), ".tex"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("PDF "), "text")).when(F.col("doc_id") % 3 == 1, "")
+    found = read_papers(papers, html, tex, docs.select(F.col("doc_id").alias("id"), text.alias("text")))
     return found.select("id", "source", "source_name", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
@@ -83,16 +80,16 @@ def packed_files(files: dict[str, bytes]) -> bytes:
 def pack_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents as source archives, which the test tables do not have.
 
-    By the remainder of the number by four: a gzipped one with a main file beside the whole text, a
-    plain one whose text lies deeper, bytes that are no archive, and none.
+    By the remainder of the number by four: a gzipped one whose main file is the whole text, beside a
+    head that lies deeper, a plain one with a main file of another name, bytes that are no archive, and none.
     """
     for batch in batches:
         rows = []
         for doc_id, text, source in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "source")), strict=True):
             head, whole = f"\\section{{{source}}}\nHead".encode(), (text or "").encode()
             kinds = (
-                lambda: gzip.compress(packed_files({"sub/other.tex": whole, "ms.tex": head, "fig.png": b"\x89"}), 1, mtime=0),
-                lambda: packed_files({"deep/paper.tex": head, "long.TEX": whole, "readme": b"-"}),
+                lambda: gzip.compress(packed_files({"sub/other.tex": head, "ms.tex": whole, "fig.png": b"\x89"}), 1, mtime=0),
+                lambda: packed_files({"deep/notes.tex": head, "long.TEX": whole, "readme": b"-"}),
                 lambda: b"not an archive",
                 lambda: None,
             )
@@ -105,18 +102,17 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tar_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.entries(archives(spark, sf_dir)).select("id", "ordinal", "name", F.length("data").cast("long").alias("size"))
+    return archive.entries(archives(spark, sf_dir)).select("id", "ordinal", "name", "size")
 
 
 def tex_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main file of each document's archive, by name, and the head of its text where it is the short one."""
-    chosen = archive.main_tex(archive.entries(archives(spark, sf_dir)))
-    return chosen.select("id", "source_name", F.when(F.col("source_name") != "long.TEX", F.col("text")).alias("text"))
+    """The main file of each document's archive: its name and whole text."""
+    return archive.main_tex(archive.entries(archives(spark, sf_dir), ".tex"))
 
 
 def tex_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LaTeX made of every document: its words as sections, styles and comments."""
-    head = F.concat(F.lit("\\begin{document}\\section{ "), F.substring("source", 1, 8), F.lit(" }\n"))
+    head = F.concat(F.lit("\\begin{document}\\section{ "), F.col("source"), F.lit(" }\n"))
     tail = F.concat(F.lit("\n% a comment\n\\emph{"), "lang", F.lit("}~end\\cite{k}\\end{document}"))
     text = T.latex_text(F.concat(head, F.replace("text", F.lit("\n"), F.lit(" \\\\ ")), tail))
     made = T.worked_out(table(spark, sf_dir, "documents").select("doc_id", text.alias("t")))
@@ -124,12 +120,20 @@ def tex_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def atom_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feeds of documents, one to three authors each and every third with a DOI link, written and parsed again."""
+    """Feeds of documents, one to three authors each and every third with a DOI link, written and parsed again.
+
+    Of eight documents one each has an empty summary element, none, one that is never closed, and one with an attribute.
+    """
     d = table(spark, sf_dir, "documents")
     authors = F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 3 + 1).cast("int")), lambda i: F.concat(F.col("source"), F.lit(" "), i))
     doi = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("10.1/"), "doc_id"))
+    forms = {2: ("<summary/>", None, ""), 3: ("", None, ""), 4: ("<summary>", "text", ""), 5: ('<summary type="text">', "text", "</summary>")}
+    element = lambda a, c, z: F.concat(F.lit(a), F.col(c) if c else F.lit(""), F.lit(z))
+    summary = element("<summary>", "text", "</summary>")
+    for k, form in forms.items():
+        summary = F.when(F.col("doc_id") % 8 == k, element(*form)).otherwise(summary)
     entry = atom.render_entry(
-        F.concat(F.lit("2001."), T.padded("doc_id", 5)), F.regexp_extract("text", "^([^\n]*)", 1), authors, F.col("text"), F.lit("2024-01-15T00:00:00Z"), F.col("lang"), doi
+        F.concat(F.lit("2001."), T.padded("doc_id", 5)), F.regexp_extract("text", "^([^\n]*)", 1), authors, summary, F.lit("2024-01-15T00:00:00Z"), F.col("lang"), doi
     )
     feeds = d.select(F.concat(F.lit("<feed><id>http://arxiv.org/api/x</id>"), entry, F.lit("</feed>")).alias("xml"))
     joined = {c: F.array_join(c, ";").alias(c) for c in ("authors", "categories")}
@@ -163,15 +167,15 @@ GATE = rf"(length(t) >= 3000 OR len(list_filter(string_split_regex(t, '\n{{2,}}'
 PAPER_ID = "'2001.' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(5, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0')"
 HEAD_SIZE = "length(source) + 15"
 LATEX = (
-    r"'\begin{document}\section{ ' || substr(source, 1, 8) || ' }' || chr(10) || replace(text, chr(10), ' \\ ') || chr(10)"
+    r"'\begin{document}\section{ ' || source || ' }' || chr(10) || replace(text, chr(10), ' \\ ') || chr(10)"
     r" || '% a comment' || chr(10) || '\emph{' || lang || '}~end\cite{k}\end{document}'"
 )
 HEADED = [
     (rf"(?i)\\{name}\*?\{{\s*([^{{}}\s](?:[^{{}}]*[^{{}}\s])?)\s*\}}", rf"{NL} || {NL} || '{mark} \1' || {NL} || {NL}") for name, mark in T.HEADINGS
 ]
 #: The rewrites of ``latex_text`` without look-around, which DuckDB's expressions lack.
-PLAIN = chain(
-    LATEX,
+PLAIN = lambda latex: chain(
+    latex,
     (r"(?i)\\begin\{document\}", f"{NL} || {NL}"),
     (r"(?i)\\end\{document\}", f"{NL} || {NL}"),
     *HEADED,
@@ -196,8 +200,8 @@ PLAIN = chain(
     (r"^\s+|\s+$", "''"),
 )
 FILES = f"""WITH files AS (
-  SELECT doc_id AS id, source, f.ordinal, f.name, CASE f.name WHEN 'fig.png' THEN 1 WHEN 'readme' THEN 1 WHEN 'ms.tex' THEN {HEAD_SIZE} WHEN 'deep/paper.tex' THEN {HEAD_SIZE} ELSE strlen(text) END AS size, f.score
-  FROM documents JOIN (VALUES (0, 0, 'sub/other.tex', 0), (0, 1, 'ms.tex', 80), (0, 2, 'fig.png', NULL), (1, 0, 'deep/paper.tex', 100), (1, 1, 'long.TEX', 20), (1, 2, 'readme', NULL)) AS f(kind, ordinal, name, score)
+  SELECT doc_id AS id, text, f.ordinal, f.name, CASE f.name WHEN 'fig.png' THEN 1 WHEN 'readme' THEN 1 WHEN 'sub/other.tex' THEN {HEAD_SIZE} WHEN 'deep/notes.tex' THEN {HEAD_SIZE} ELSE strlen(text) END AS size, f.score
+  FROM documents JOIN (VALUES (0, 0, 'sub/other.tex', 0), (0, 1, 'ms.tex', 80), (0, 2, 'fig.png', NULL), (1, 0, 'deep/notes.tex', 0), (1, 1, 'long.TEX', 20), (1, 2, 'readme', NULL)) AS f(kind, ordinal, name, score)
   ON doc_id % 4 = f.kind)"""
 SQL = {
     "html_strip": f"SELECT page_id, md5({STRIPPED}) AS text_md5 FROM pages",
@@ -205,14 +209,15 @@ SQL = {
     "fulltext_gate": rf"SELECT page_id, CAST(len(list_filter(string_split_regex(t, '\n{{2,}}'), lambda p: p <> '')) AS BIGINT) AS paragraphs, {GATE} AS full FROM (SELECT page_id, {TEXT} AS t FROM pages)".replace(" AS full ", ' AS "full" '),
     "text_window": "SELECT doc_id, substr(text, 501, 1000) AS text, least(length(text), 1500) AS end_at, length(text) AS total_chars, length(text) > 1500 AS has_more FROM documents",
     "read_cascade": f"""WITH whole AS (SELECT page_id, t FROM (SELECT page_id, {TEXT} AS t FROM pages)),
-        joined AS (SELECT doc_id AS id, text, CASE WHEN {GATE.replace("length(t) >= 3000", "length(t) >= greatest(6 * length(text), 3000)")} THEN t END AS html FROM documents LEFT JOIN whole ON page_id = doc_id)
-        SELECT id, CASE WHEN html IS NOT NULL THEN 'html' WHEN id % 3 = 0 THEN 'tex' WHEN id % 14 = 0 THEN 'pdf' ELSE 'abstract' END AS source, CASE WHEN html IS NULL AND id % 3 = 0 THEN 'main.tex' END AS source_name,
-        md5(CASE WHEN html IS NOT NULL THEN html WHEN id % 3 = 0 THEN 'tex of ' || id WHEN id % 14 = 0 THEN 'pdf' ELSE text END) AS content_md5 FROM joined""",
+        joined AS (SELECT doc_id AS id, text, CASE WHEN {GATE.replace("length(t) >= 3000", "length(t) >= greatest(6 * length(text), 3000)")} THEN t END AS html,
+            CASE WHEN doc_id % 4 < 2 THEN nullif({PLAIN("text")}, '') END AS tex, CASE WHEN doc_id % 3 = 0 THEN 'PDF ' || text END AS pdf FROM documents LEFT JOIN whole ON page_id = doc_id)
+        SELECT id, CASE WHEN html IS NOT NULL THEN 'html' WHEN tex IS NOT NULL THEN 'tex' WHEN pdf IS NOT NULL THEN 'pdf' ELSE 'abstract' END AS source,
+        CASE WHEN html IS NULL AND tex IS NOT NULL THEN CASE id % 4 WHEN 0 THEN 'ms.tex' ELSE 'long.TEX' END END AS source_name, md5(coalesce(html, tex, pdf, text)) AS content_md5 FROM joined""",
     "atom_roundtrip": rf"""SELECT {PAPER_ID} AS id, trim(regexp_replace(regexp_extract(text, '^([^\n]*)', 1), '\s+', ' ', 'g')) AS title,
-        array_to_string(list_transform(range(1, CAST(doc_id % 3 + 2 AS BIGINT)), lambda i: source || ' ' || i), ';') AS authors, trim(regexp_replace(text, '\s+', ' ', 'g')) AS abstract,
+        array_to_string(list_transform(range(1, CAST(doc_id % 3 + 2 AS BIGINT)), lambda i: source || ' ' || i), ';') AS authors, CASE WHEN doc_id % 8 BETWEEN 2 AND 4 THEN '' ELSE trim(regexp_replace(text, '\s+', ' ', 'g')) END AS abstract,
         '2024-01-15T00:00:00Z' AS published, lang AS categories, CASE WHEN doc_id % 3 = 0 THEN '10.1/' || doc_id END AS doi, 'https://arxiv.org/pdf/' || {PAPER_ID} AS pdf_url FROM documents""",
-    "tex_strip": f"SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id, {PLAIN} AS t FROM documents)",
+    "tex_strip": f"SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id, {PLAIN(LATEX)} AS t FROM documents)",
     "tar_entries": f"""{FILES} SELECT id, ordinal, name, size FROM files""",
-    "tex_choice": f"""{FILES}, best AS (SELECT id, name, source, row_number() OVER (PARTITION BY id ORDER BY score + least(size / 1000, 30.0) DESC, ordinal) AS r FROM files WHERE score IS NOT NULL)
-        SELECT id, name AS source_name, CASE WHEN name <> 'long.TEX' THEN '# ' || source || {NL} || 'Head' END AS text FROM best WHERE r = 1""",
+    "tex_choice": f"""{FILES}, best AS (SELECT id, name, text, row_number() OVER (PARTITION BY id ORDER BY score + least(size / 1000, 30.0) DESC, ordinal) AS r FROM files WHERE score IS NOT NULL)
+        SELECT id, name AS source_name, {PLAIN("text")} AS text FROM best WHERE r = 1""",
 }

@@ -1,80 +1,180 @@
-"""Source archives: gzip and tar bytes to entries, and the choice of the main LaTeX file."""
+"""Source archives: gzip and tar bytes to entries, and the choice of the main LaTeX file.
+
+Archives are read as streams, entry by entry: a task holds a block of the archive and one
+entry of bounded size, however large the archive is and whatever it inflates to.
+"""
 
 from __future__ import annotations
 
-import gzip
+import io
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from paperlake.functions.text import latex_text
 
 BLOCK = 512
+#: Bytes read and inflated at once.
+CHUNK = 1 << 20
+#: Contents over so many bytes are not read; such entries have their size and null data.
+LARGEST = 1 << 28
+#: Bytes that one archive may inflate to; it ends there as one cut short does.
+MOST_INFLATED = 1 << 37
 #: File names that most likely hold the paper, best first.
 PREFERRED = ("main.tex", "paper.tex", "manuscript.tex", "article.tex", "ms.tex")
-
-
-def unzip(data: bytes) -> bytes:
-    """Gunzipped bytes, or the bytes themselves where they are no gzip."""
+ENTRY = "ordinal int, name string, size long, data binary"
+
+
+def inflated(stream: io.BufferedIOBase, most: int = MOST_INFLATED) -> Iterator[bytes]:
+    """The bytes of a gzip of one or more members, in chunks of bounded size; raises zlib.error or EOFError if it is none."""
+    left, data, members = most, stream.read(CHUNK), 0
+    while data and (members == 0 or data[:1] != b"\0"):
+        inner = zlib.decompressobj(31)
+        while not inner.eof:
+            if not data and not (data := stream.read(CHUNK)):
+                raise EOFError("a gzip member has no end")
+            out = inner.decompress(data, CHUNK)
+            data = inner.unconsumed_tail
+            if out:
+                yield out[:left]
+                left -= len(out)
+                if left <= 0:
+                    return
+        data = inner.unused_data or stream.read(CHUNK)
+        members += 1
+
+
+class Chunks(io.RawIOBase):
+    """A readable stream of chunks."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.held = chunks, memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, target) -> int:
+        while not self.held:
+            try:
+                self.held = memoryview(next(self.chunks))
+            except StopIteration:
+                return 0
+        n = min(len(target), len(self.held))
+        target[:n], self.held = self.held[:n], self.held[n:]
+        return n
+
+
+def is_gzip(opened: Callable[[], io.BufferedIOBase], most: int) -> bool:
+    """Whether all of it inflates; its chunks are dropped as they come."""
     try:
-        return gzip.decompress(data)
-    except (OSError, EOFError, zlib.error):
-        return data
-
-
-def tar_files(data: bytes) -> Iterator[tuple[str, bytes]]:
-    """Names and contents of regular files; ends at a zero block or an entry cut short.
-
-    Checksums are not verified and extension headers not interpreted.
+        with opened() as stream:
+            if stream.read(2) != b"\x1f\x8b":
+                return False
+        with opened() as stream:
+            for _ in inflated(stream, most):
+                pass
+    except (zlib.error, EOFError):
+        return False
+    return True
+
+
+def skipped(stream: io.BufferedIOBase, n: int) -> bool:
+    """Whether ``n`` more bytes were there to be passed over."""
+    while n:
+        got = len(stream.read(min(n, CHUNK)))
+        if not got:
+            return False
+        n -= got
+    return True
+
+
+def octal(field: str) -> int:
+    """The octal number that a field begins with, or 0."""
+    found = re.match(r"[0-7]+", field)
+    return int(found[0], 8) if found else 0
+
+
+def tar_files(stream: io.BufferedIOBase, wanted: str = "", largest: int = LARGEST) -> Iterator[tuple[str, int, bytes | None]]:
+    """Name, size and content of regular files; ends at a zero block or an entry cut short.
+
+    Contents over ``largest`` bytes, or of names without the ending ``wanted`` (in either case), are passed
+    over as None. Checksums are not verified and extension headers not interpreted.
     """
 
     def text(field: bytes) -> str:
         return field.split(b"\0", 1)[0].decode("utf-8", "replace").strip()
 
-    at = 0
-    while len(head := data[at : at + BLOCK]) == BLOCK and head.strip(b"\0"):
-        try:
-            size = int(text(head[124:136]) or "0", 8)
-        except ValueError:
-            size = 0
-        at += BLOCK
-        if at + size > len(data):
+    while len(head := stream.read(BLOCK)) == BLOCK and head.strip(b"\0"):
+        size, prefix, content = octal(text(head[124:136])), text(head[345:500]), None
+        name = (f"{prefix}/" if prefix else "") + text(head[:100])
+        regular = head[156:157] in (b"\0", b"0")
+        if regular and size <= largest and name.lower().endswith(wanted):
+            content = stream.read(size)
+            if len(content) < size:
+                return
+        elif not skipped(stream, size):
             return
-        if head[156:157] in (b"\0", b"0"):
-            prefix = text(head[345:500])
-            yield (f"{prefix}/" if prefix else "") + text(head[:100]), data[at : at + size]
-        at += -(-size // BLOCK) * BLOCK
+        if regular:
+            yield name, size, content
+        skipped(stream, -size % BLOCK)
+
 
+def archive_files(opened: Callable[[], io.BufferedIOBase], wanted: str = "", largest: int = LARGEST, most: int = MOST_INFLATED) -> Iterator[tuple[str, int, bytes | None]]:
+    """Files of a tar, gzipped or not. ``opened`` gives its stream anew; a broken gzip counts as plain bytes."""
+    zipped = is_gzip(opened, most)
+    with opened() as stream:
+        yield from tar_files(io.BufferedReader(Chunks(inflated(stream, most)), CHUNK) if zipped else stream, wanted, largest)
 
-@udtf(returnType="ordinal int, name string, data binary")
-class ArchiveFiles:
-    """Files of one archive, in order."""
 
-    def eval(self, data: bytes):
-        for i, (name, content) in enumerate(tar_files(unzip(bytes(data))) if data is not None else ()):
-            yield i, name, content
+def stream_of(path: str) -> io.BufferedIOBase:
+    """A file of any store that Arrow knows, by its URI or local path."""
+    from pyarrow import fs
 
+    store, inner = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path)) if ":" in path else (fs.LocalFileSystem(), path)
+    return io.BufferedReader(store.open_input_stream(inner, compression=None), CHUNK)
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Archive files of a folder, whatever store it is in, as archives(id, data); the id is the file's path."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("id"), F.col("content").alias("data"))
 
+def _unpacked(archives: DataFrame, opener: Callable, wanted: str, limits: tuple[int, int]) -> DataFrame:
+    """archives(id, what is opened) to one row a file; a row leaves as soon as its entry is read."""
+    of = archives.schema["id"]
+    names = ["id", "ordinal", "name", "size", "data"]
 
-def entries(archives: DataFrame) -> DataFrame:
-    """archives(id, data) to one row per file: id, ordinal, name, data."""
-    spark = archives.sparkSession
-    spark.udtf.register("archive_files", ArchiveFiles)
-    return spark.sql("SELECT a.id, f.* FROM {archives} AS a, LATERAL archive_files(a.data) AS f", archives=archives)
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                if not batch.column(1)[k].is_valid:
+                    continue
+                for i, (name, size, data) in enumerate(archive_files(lambda k=k: opener(batch.column(1)[k]), wanted, *limits)):
+                    made = (pa.array([i], pa.int32()), pa.array([name]), pa.array([size]), pa.array([data], pa.binary()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *made], names)
+
+    return archives.mapInArrow(unpack, f"id {of.dataType.simpleString()}, {ENTRY}")
+
+
+def entries(archives: DataFrame, wanted: str = "", largest: int = LARGEST, most: int = MOST_INFLATED) -> DataFrame:
+    """archives(id, data) to one row per file: id, ordinal, name, size, data (only of names that end in ``wanted``)."""
+    return _unpacked(archives.select("id", "data"), lambda v: io.BufferedReader(io.BytesIO(v.as_buffer())), wanted, (largest, most))
+
+
+def read_archives(spark: SparkSession, path: str, wanted: str = "", largest: int = LARGEST, most: int = MOST_INFLATED) -> DataFrame:
+    """The files of all archives of a folder, as ``entries`` has them; the id is the archive's path.
+
+    Only paths are listed by the scan; tasks open them as streams, so an archive may be larger than a row or a worker can hold.
+    """
+    #: One path a task: archives are large.
+    paths = spark.read.format("binaryFile").load(path).select(F.col("path").alias("id"), F.col("path"))
+    return _unpacked(paths, lambda v: stream_of(v.as_py()), wanted, (largest, most))
 
 
 def tex_score() -> Column:
     """Preference of the name, 20 at the root, up to 30 for size (one point per 1,000 bytes)."""
     base = F.lower(F.element_at(F.split("name", "/"), -1))
     place = F.array_position(F.array(*map(F.lit, PREFERRED)), base)
-    return F.when(place > 0, 110 - 10 * place).otherwise(0) + F.when(F.contains("name", F.lit("/")), 0).otherwise(20) + F.least(F.length("data") / 1000, F.lit(30.0))
+    return F.when(place > 0, 110 - 10 * place).otherwise(0) + F.when(F.contains("name", F.lit("/")), 0).otherwise(20) + F.least(F.col("size") / 1000, F.lit(30.0))
 
 
 def main_tex(files: DataFrame) -> DataFrame:

@@ -16,34 +16,33 @@ def read_feeds(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "xml")
 
 
-# The elements that a paper is read from.
+# The elements that a paper is read from; names, dates and the like do not run over line breaks.
+LINE = r"[^\n\r\x{2028}\x{2029}]*?"
 ENTRY = r"<entry>([\s\S]*?)</entry>"
-SUMMARY = r"<summary[^>]*>|</summary>"
+SUMMARY = r"<summary[^>]*>([\s\S]*?)</summary>"
 IDENTIFIER = r"<id>https?://arxiv\.org/abs/([^<]+)</id>"
 TITLE = r"<title[^>]*>([\s\S]*?)</title>"
-NAME, CATEGORY = r"<name>(.*?)</name>", r'<category[^>]+term="([^"]+)"'
-PUBLISHED, UPDATED = r"<published>(.*?)</published>", r"<updated>(.*?)</updated>"
+NAME, CATEGORY = rf"<name>({LINE})</name>", r'<category[^>]+term="([^"]+)"'
+PUBLISHED, UPDATED = rf"<published>({LINE})</published>", rf"<updated>({LINE})</updated>"
 DOI_LINK = r'<link[^>]+title="doi"[^>]+href="https?://dx\.doi\.org/([^"]+)"'
 
 
 def parse_feeds(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     """One row per entry that has an identifier, in the columns of ``FIELDS``.
 
-    The summary, by far the longest element, is cut out once; all others are sought in the rest.
+    Every element is sought in the whole entry, so an empty, missing or unclosed one takes nothing
+    from the others: it is an empty text, no author or category, or a null DOI.
     """
     entries = feeds.select(F.explode(F.regexp_extract_all(xml, F.lit(ENTRY), F.lit(1))).alias("entry"))
-    cut = worked_out(entries.select(F.split("entry", SUMMARY, 3).alias("cut")))
-    rest = F.concat_ws("", F.get("cut", F.lit(0)), F.get("cut", F.lit(2)))
-    parts = worked_out(cut.select(rest.alias("rest"), F.coalesce(F.get("cut", F.lit(1)), F.lit("")).alias("summary")))
-    first = lambda pattern: F.regexp_extract("rest", pattern, 1)
-    every = lambda pattern: F.regexp_extract_all("rest", F.lit(pattern), F.lit(1))
+    first = lambda pattern: F.regexp_extract("entry", pattern, 1)
+    every = lambda pattern: F.regexp_extract_all("entry", F.lit(pattern), F.lit(1))
     doi = first(DOI_LINK)
-    rows = worked_out(parts.select(strip_version(first(IDENTIFIER)).alias("id"), "rest", "summary")).where("id <> ''")
+    rows = worked_out(entries.select(strip_version(first(IDENTIFIER)).alias("id"), "entry")).where("id <> ''")
     found = rows.select(
         "id",
         collapse(first(TITLE)).alias("title"),
         F.transform(every(NAME), trim_all).alias("authors"),
-        collapse("summary").alias("abstract"),
+        collapse(first(SUMMARY)).alias("abstract"),
         trim_all(first(PUBLISHED)).alias("published"),
         trim_all(first(UPDATED)).alias("updated"),
         every(CATEGORY).alias("categories"),
@@ -58,12 +57,15 @@ def lookup(papers: DataFrame, paper_id: str) -> DataFrame:
     return papers.where(F.col("id") == strip_version(F.lit(paper_id))).limit(1)
 
 
-def render_entry(paper_id: Column, title: Column, authors: Column, abstract: Column, date: Column, category: Column, doi: Column) -> Column:
-    """An Atom entry of a paper, version 1, with an array of authors and a DOI link where ``doi`` is not null (for fixtures and round trips)."""
+def render_entry(paper_id: Column, title: Column, authors: Column, summary: Column, date: Column, category: Column, doi: Column) -> Column:
+    """An Atom entry of a paper, version 1, with an array of authors and a DOI link where ``doi`` is not null (for fixtures and round trips).
+
+    ``summary`` is the whole element, whatever form it has; it comes first.
+    """
     names = F.array_join(F.transform(authors, lambda a: F.concat(F.lit("<author><name> "), a, F.lit(" </name></author>\n"))), "")
     link = F.concat(F.lit('<link title="doi" rel="related" href="http://dx.doi.org/'), doi, F.lit('"/>\n'))
     return F.concat(
-        F.lit("<entry>\n<id>http://arxiv.org/abs/"), paper_id, F.lit("v1</id>\n<title>"), title, F.lit("</title>\n<summary>"), abstract,
-        F.lit("</summary>\n<published>"), date, F.lit("</published><updated>"), date, F.lit("</updated>\n"), names, F.coalesce(link, F.lit("")),
+        F.lit("<entry>"), summary, F.lit("\n<id>http://arxiv.org/abs/"), paper_id, F.lit("v1</id>\n<title>"), title, F.lit("</title>\n<published>"),
+        date, F.lit("</published><updated>"), date, F.lit("</updated>\n"), names, F.coalesce(link, F.lit("")),
         F.lit('<category scheme="s" term="'), category, F.lit('"/></entry>'),
     )

@@ -1,6 +1,9 @@
 import gzip
 import io
+import os
 import struct
+import subprocess
+import sys
 import tarfile
 
 import pytest
@@ -109,9 +112,13 @@ def packed(files, **kw):
 def test_tar_files():
     long = "d" * 120 + "/f.tex"
     data = packed([("dir", None), ("a.tex", b"x" * 700), ("empty", b""), (long, b"y")])
-    assert list(archive.tar_files(data)) == [("a.tex", b"x" * 700), ("empty", b""), (long, b"y")]
-    assert list(archive.tar_files(data[:1200])) == []
-    assert list(archive.tar_files(b"junk" * 10)) == [] and archive.unzip(b"raw") == b"raw" and archive.unzip(gzip.compress(b"z")) == b"z"
+    whole = [("a.tex", 700, b"x" * 700), ("empty", 0, b""), (long, 1, b"y")]
+    read = lambda raw, *more: list(archive.archive_files(lambda: io.BytesIO(raw), *more))
+    zipped = gzip.compress(data)
+    assert read(data) == read(zipped) == read(gzip.compress(data[:3000]) + gzip.compress(data[3000:]) + b"\0" * 9) == whole
+    assert read(data[:1200]) == read(b"junk" * 10) == read(b"") == read(zipped[:-9]) == read(zipped[:60] + b"?" + zipped[61:]) == []
+    assert read(data, ".tex", 100) == [("a.tex", 700, None), ("empty", 0, None), (long, 1, b"y")]
+    assert read(zipped, "", 1 << 20, 1800) == whole[:1]
     assert struct.calcsize("512s") == archive.BLOCK
 
 
@@ -176,5 +183,59 @@ def test_feeds_and_archives_are_read_from_files(spark, tmp_path):
     row = atom.parse_feeds(atom.read_feeds(spark, f"{tmp_path}/feeds")).collect()
     assert [(r.id, r.title, r.authors, r.abstract, r.doi) for r in row] == [("2001.1", "A B", ["N", "M"], "s <x>", "10.1/z")]
     (tmp_path / "archives" / "p.tar").write_bytes(packed_files({"main.tex": b"\\section{X} y", "b.txt": b"1"}))
-    got = archive.main_tex(archive.entries(archive.read_archives(spark, f"{tmp_path}/archives"))).collect()
+    got = archive.main_tex(archive.read_archives(spark, f"{tmp_path}/archives", ".tex")).collect()
     assert [(r.id.rsplit("/", 1)[1], r.source_name, r.text.split()) for r in got] == [("p.tar", "main.tex", ["#", "X", "y"])]
+
+
+HEAVY = """
+import gzip, io, resource, sys, tarfile
+sys.path.insert(0, {root!r})
+from paperlake.sources import archive
+info, tex = tarfile.TarInfo("bomb.tex"), tarfile.TarInfo("ms.tex")
+info.size, tex.size = 3 << 30, 5
+zeros = bytes(1 << 24)
+with gzip.open({path!r}, "wb", 1) as out:
+    out.write(info.tobuf(tarfile.USTAR_FORMAT))
+    for _ in range(info.size >> 24):
+        out.write(zeros)
+    out.write(tex.tobuf(tarfile.USTAR_FORMAT) + b"hello".ljust(512, bytes(1)))
+with open({path!r} + ".tar", "wb") as out:
+    out.write(info.tobuf(tarfile.USTAR_FORMAT))
+    out.seek(info.size, 1)
+    out.write(tex.tobuf(tarfile.USTAR_FORMAT) + b"hello".ljust(512, bytes(1)))
+for path in ({path!r}, {path!r} + ".tar"):
+    got = list(archive.archive_files(lambda: archive.stream_of("file:" + path)))
+    assert got == [("bomb.tex", 3 << 30, None), ("ms.tex", 5, b"hello")], got
+assert not list(archive.archive_files(lambda: archive.stream_of({path!r}), most=1 << 30))
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+"""
+
+
+def test_archives_larger_than_memory(tmp_path):
+    """A gzip that inflates to 3 GB and a plain tar of 3 GB pass through a process of less than 1 GB."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    ran = subprocess.run([sys.executable, "-c", HEAVY.format(root=root, path=f"{tmp_path}/a.gz")], capture_output=True, text=True)
+    assert ran.returncode == 0, ran.stderr
+    assert int(ran.stdout) < 1000
+
+
+SUMMARIES = {
+    "<summary/>": "",
+    "": "",
+    "<summary>never closed": "",
+    '<summary type="text"> in\n full </summary>': "in full",
+    "<summary></summary>": "",
+    "<summary>a</summary><summary>b</summary>": "a",
+    "</summary><summary>x": "",
+}
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_a_summary_takes_nothing_from_other_elements(spark, first):
+    """Empty, missing, unclosed, doubled; before the identifier and after it."""
+    rest = "<id>http://arxiv.org/abs/7.{i}v1</id><title>T</title><published>2024</published><updated>2025</updated><author><name>N</name></author><category term=\"c\"/>"
+    entries = [s + rest.replace("{i}", str(i)) if first else rest.replace("{i}", str(i)) + s for i, s in enumerate(SUMMARIES)]
+    xml = "<feed>" + "".join(f"<entry>{e}</entry>" for e in entries) + "</feed>"
+    got = {r.id: r for r in atom.parse_feeds(spark.createDataFrame([(xml,)], "xml string")).collect()}
+    assert {i: r.abstract for i, r in got.items()} == {f"7.{i}": a for i, a in enumerate(SUMMARIES.values())}
+    assert all((r.title, r.published, r.updated, r.authors, r.categories) == ("T", "2024", "2025", ["N"], ["c"]) for r in got.values())
