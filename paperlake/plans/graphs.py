@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlake.functions import render
-from paperlake.operators import graph, metrics, similar
+from paperlake.operators import graph, metrics, neighbours, similar
 from paperlake.sources.tables import cited_papers, citing_papers, edges, reads, table
+from paperlake.storage import kept
 
 AS_OF = 2002
 SEED_PART, SEED_ORDER = 7, 7
@@ -133,6 +134,13 @@ def similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.by_vector(vectors, 0, 10)
 
 
+def similar_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 50, by the kept index of all of them."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    folder = kept(spark, "neighbours", [f"{sf_dir}/embeddings.parquet"], lambda f: neighbours.build(vectors, f))
+    return neighbours.search(spark, folder, 10)
+
+
 def similar_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return similar.by_terms(docs, 3, 10)
@@ -158,7 +166,7 @@ def render_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "citations_of": citations_of, "references_of": references_of, "citation_graph_ego": ego, "citation_graph_nested": citation_graph_nested, "graph_nodes": graph_nodes, "citation_counts": citation_counts, "metrics_h_g_i10": metrics_h_g_i10,
     "metrics_m_index": metrics_m_index, "metrics_tori": metrics_tori, "metrics_citation_stats": metrics_citation_stats, "metrics_basic": metrics_basic, "metrics_self_citations": metrics_self_citations,
-    "similar_vectors": similar_vectors, "similar_terms": similar_terms, "render_graph": render_graph, "render_metrics": render_metrics,
+    "similar_vectors": similar_vectors, "similar_many": similar_many, "similar_terms": similar_terms, "render_graph": render_graph, "render_metrics": render_metrics,
 }
 
 EDGES = "edges AS (SELECT DISTINCT l_orderkey AS citing, l_partkey AS cited FROM lineitem)"
