@@ -17,6 +17,7 @@ than 60 bits. The last word of a document may be filled only in part.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -57,6 +58,8 @@ for _s, _n, _b in SELECTORS:
     COUNT[_s], BITS[_s] = _n, _b
 COUNT[0] = 1
 BLOCK_BYTES = 4 << 20
+#: Bytes of text in a range of documents, about.
+RANGE_BYTES = 128 << 20
 #: Distinct words whose ids a Python worker remembers; beyond that it starts anew.
 CACHE_ENTRIES = 600_000
 END_ID = 2
@@ -177,6 +180,39 @@ def word_cache(path: str) -> dict[str, bytes]:
     return {}
 
 
+#: What a tokenizer file must say for words to be cut and numbered one by one, as below.
+PRESUMED = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+@lru_cache(maxsize=2)
+def word_by_word(path: str) -> bool:
+    """Whether the tokenizer drops white space, never joins across it, and treats plain words as ``encode_new`` does."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    added = [t["content"] for t in rules.get("added_tokens") or ()]
+    own = all(not SIMPLE.fullmatch(t) and not re.search(r"\s", t) for t in added)
+    return own and not rules["model"].get("dropout") and all(rules.get(k) == v for k, v in PRESUMED.items())
+
+
 #: Words that normalising only lower-cases and pre-tokenizing cuts into letters and one tail at most.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 
@@ -245,12 +281,21 @@ def encode_slice(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.diff(ends[words])
 
 
+def encode_whole(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """As ``encode_slice``, every text by the whole tokenizer: for files that say anything else than ``PRESUMED``."""
+    coded = tokenizer(path).encode_batch(texts.fill_null("").to_pylist(), add_special_tokens=False)
+    lengths = np.array([len(c.ids) for c in coded], np.int64)
+    return np.fromiter((i for c in coded for i in c.ids), np.uint32, int(lengths.sum())), lengths
+
+
 def encode_texts(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all whole texts with ``end_id`` after each, concatenated, and how many each has.
 
-    A text longer than a block is encoded in stretches that end at white space.
+    A text longer than a block is encoded in stretches that end at white space, where the tokenizer drops that.
     """
-    if len(texts) == 1 and texts[0].is_valid and texts[0].as_buffer().size > BLOCK_BYTES:
+    if not word_by_word(path):
+        ids, lengths = encode_whole(texts, path)
+    elif len(texts) == 1 and texts[0].is_valid and texts[0].as_buffer().size > BLOCK_BYTES:
         each = [encode_slice(pa.array([x], pa.string()), path)[0] for x in stretches(texts[0].as_buffer().to_pybytes(), BLOCK_BYTES)]
         ids, lengths = np.concatenate(each), np.array([sum(map(len, each))])
     else:
@@ -269,11 +314,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     """Encode whole texts and write the blocks to ``folder`` in ascending doc_id order.
 
     Null texts count as empty and hold the end id alone. Documents of equal doc_id stay
-    apart, ordered by a hash of their text; a null doc_id comes first.
+    apart, ordered by a hash of their text and then by where they were read, so that rows that repeat
+    need not lie in one range; a null doc_id comes first. There are as many ranges as the texts need
+    at ``RANGE_BYTES`` each.
     """
-    ranged = keyed_text(docs).withColumn("tie", F.xxhash64("text"))
-    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ranged.repartitionByRange(count, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    ranged = keyed_text(docs).withColumns({"tie": F.xxhash64("text"), "read_at": F.monotonically_increasing_id()})
+    by = ["doc_id", "tie", "read_at"]
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    count = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    ordered = ranged.repartitionByRange(count, *by).sortWithinPartitions(*by).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()

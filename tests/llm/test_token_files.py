@@ -74,3 +74,25 @@ def test_ids_come_back_and_empty_table(spark, docs, tmp_path):
     assert [list(r.ids) for r in rows] == [library.encode("a b").ids + [2], library.encode("b a").ids + [2]]
     tf.write_token_files(docs([]), f"{tmp_path}/e", PATH)
     assert tf.token_digests(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_another_tokenizer_is_used_whole(spark, docs, tmp_path):
+    """A file that keeps white space and case: no word is cut or numbered on its own."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert tf.word_by_word(PATH) and not tf.word_by_word(path)
+    rows = [(1, "Hello  World's\n\n a"), (2, None), (3, ""), (4, " É x" * 500), (5, "word " * 1_000_000)]
+    tf.write_token_files(docs(rows), f"{tmp_path}/t", path, 50256)
+    library = Tokenizer.from_file(path)
+    got = {r.doc_id: list(r.ids) for r in tf.read_token_files(spark, f"{tmp_path}/t").collect()}
+    assert got == {i: [*library.encode(t or "", add_special_tokens=False).ids, 50256] for i, t in rows}
+
+
+def test_ranges_follow_the_bytes_and_repeated_rows_are_dealt(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(tf, "RANGE_BYTES", 2000)
+    rows = [(None, "the same text") for _ in range(2000)] + [(i, f"own {i}") for i in range(300)]
+    tf.write_token_files(docs(rows).repartition(4), f"{tmp_path}/t", PATH)
+    blocks = spark.read.parquet(f"{tmp_path}/t").selectExpr("shard", "size(doc_ids) AS n").collect()
+    assert len({r.shard for r in blocks}) > 8 and max(r.n for r in blocks) < 600
+    got = tf.read_token_files(spark, f"{tmp_path}/t").orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 2000 + list(range(300))
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:i]) for i in range(len(got))]
