@@ -193,28 +193,34 @@ def features(docs: DataFrame, bins: dict[bytes, int]) -> DataFrame:
         for part in slices(batches):
             rows = [measure(raw or b"", bins) for raw in raw_texts(part)]
             base = [pa.array(x, pa.int64()) for x in zip(*(r[0] for r in rows), strict=True)]
-            shares = [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in (1, 2)]
-            names = ["doc_id", "lang", *COUNTS, "classes", "common"]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *base, *shares], names)
+            arrays = [part.column("doc_id"), part.column("lang"), *base]
+            for k in (1, 2):  # bins that are not empty, and what they hold
+                held = [np.flatnonzero(r[k]) for r in rows]
+                arrays += [pa.array(held, pa.list_(pa.int32())), pa.array([np.array(r[k])[at] for r, at in zip(rows, held)], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang", *COUNTS, "classes_at", "classes", "common_at", "common"])
 
     counts = ", ".join(f"{c} long" for c in COUNTS)
-    return docs.mapInArrow(run, f"doc_id long, lang string, {counts}, classes array<int>, common array<int>")
+    kinds = ", ".join(f"{c}_at array<int>, {c} array<int>" for c in ("classes", "common"))
+    return docs.mapInArrow(run, f"doc_id long, lang string, {counts}, {kinds}")
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def references(feats: DataFrame, limits: Limits) -> dict[str, tuple[list[str], np.ndarray]]:
-    """Languages and their mean histograms, (languages, bins), for each kind. One short row a language."""
+def references(feats: DataFrame, limits: Limits, words: int) -> dict[str, tuple[list[str], np.ndarray]]:
+    """Languages and their mean histograms, (languages, bins), for each kind. One number a language and bin at most."""
     found = {}
-    for name, judged in (("classes", F.col("word_chars") >= limits.min_chars), ("common", F.col("n_words") >= limits.min_words)):
-        bins = feats.where(judged & F.col("lang").isNotNull()).select("lang", F.posexplode(name).alias("bin", "share"))
-        rows = bins.groupBy("lang", "bin").agg(F.sum("share").alias("share")).orderBy("lang", "bin").collect()
-        by: dict[str, list[int]] = {}
+    for name, size, judged in (
+        ("classes", len(CLASSES), F.col("word_chars") >= limits.min_chars), ("common", words + 1, F.col("n_words") >= limits.min_words)
+    ):
+        held = F.inline(F.arrays_zip(F.col(f"{name}_at").alias("bin"), F.col(name).alias("share")))
+        bins = feats.where(judged & F.col("lang").isNotNull()).select("lang", held)
+        rows = bins.groupBy("lang", "bin").agg(F.sum("share").alias("share")).collect()
+        languages = sorted({r.lang for r in rows})
+        at, sums = {x: i for i, x in enumerate(languages)}, np.zeros((len(languages), size))
         for r in rows:
-            by.setdefault(r.lang, []).append(r.share)
-        sums = np.array(list(by.values()), float)
-        found[name] = list(by), sums / np.maximum(1, sums.sum(axis=1, keepdims=True)) if by else sums
+            sums[at[r.lang], r.bin] = r.share
+        found[name] = languages, sums / np.maximum(1, sums.sum(axis=1, keepdims=True))
     return found
 
 
@@ -226,15 +232,14 @@ def limits_by_language(feats: DataFrame, known: dict[str, tuple[list[str], np.nd
     """Longest distance kept in each language for each kind, from exact quartiles over the whole table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in pieces(batches, known):
             for name, (languages, reference) in known.items():
                 least, length = (limits.min_chars, "word_chars") if name == "classes" else (limits.min_words, "n_words")
-                shares = matrix_of(part, name)
                 own = places(part, languages)
                 rows = np.flatnonzero((own >= 0) & (part.column(length).to_numpy() >= least))
                 if len(rows):
-                    step = np.rint(distances(shares[rows], reference)[np.arange(len(rows)), own[rows]] * STEPS).astype(np.int64)
-                    cell, n = np.unique(own[rows] * (STEPS + 1) + step, return_counts=True)
+                    to_own = distances(matrix_of(part, name, reference)[rows], reference, own[rows])[np.arange(len(rows)), own[rows]]
+                    cell, n = np.unique(own[rows] * (STEPS + 1) + np.rint(to_own * STEPS).astype(np.int64), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(cell)), pa.array(cell), pa.array(n)], ["kind", "cell", "n"])
 
     rows = feats.mapInArrow(run, "kind string, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).collect()
@@ -252,8 +257,24 @@ def limits_by_language(feats: DataFrame, known: dict[str, tuple[list[str], np.nd
     return found
 
 
-def matrix_of(part: pa.RecordBatch, name: str) -> np.ndarray:
-    return part.column(name).flatten().to_numpy().reshape(part.num_rows, -1)
+#: Numbers of one matrix of rows by bins, or of rows by languages.
+CELLS = 1 << 21
+
+
+def pieces(batches: Iterator[pa.RecordBatch], known: dict[str, tuple[list[str], np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a row for each language or bin stays within ``CELLS`` numbers."""
+    rows = max(1, CELLS // max(1, *(n for _, reference in known.values() for n in reference.shape)))
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def matrix_of(part: pa.RecordBatch, name: str, reference: np.ndarray) -> np.ndarray:
+    """Histograms with their empty bins."""
+    at = part.column(f"{name}_at")
+    found = np.zeros((part.num_rows, reference.shape[1]), np.int64)
+    found[np.repeat(np.arange(part.num_rows), pc.list_value_length(at).to_numpy()), at.flatten().to_numpy()] = part.column(name).flatten().to_numpy()
+    return found
 
 
 def places(part: pa.RecordBatch, languages: list[str]) -> np.ndarray:
@@ -263,24 +284,31 @@ def places(part: pa.RecordBatch, languages: list[str]) -> np.ndarray:
 
 
 def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance (base 2, 0 to 1) of every row of p to every row of q."""
+    """Jensen-Shannon distance (base 2, 0 to 1) of every row of p to every row of q, one row of q at a time."""
 
     def entropy(x: np.ndarray) -> np.ndarray:
         return -np.sum(x * np.log2(np.where(x > 0, x, 1)), axis=-1)
 
-    middle = (p[:, None, :] + q[None, :, :]) / 2
-    return np.sqrt(np.maximum(0, entropy(middle) - (entropy(p)[:, None] + entropy(q)[None, :]) / 2))
+    of_p = entropy(p)
+    found = [np.sqrt(np.maximum(0, entropy((p + r) / 2) - (of_p + entropy(r)) / 2)) for r in q]
+    return np.array(found).reshape(len(q), len(p)).T
 
 
-def distances(shares: np.ndarray, reference: np.ndarray) -> np.ndarray:
-    return jensen_shannon(shares / np.maximum(1, shares.sum(axis=1, keepdims=True)), reference)
+def distances(shares: np.ndarray, reference: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Distance of each row to the reference of its language ``own``, to all of them where that is -1; else infinite."""
+    part = shares / np.maximum(1, shares.sum(axis=1, keepdims=True))
+    found = np.full((len(shares), len(reference)), np.inf)
+    for k in range(len(reference)):
+        rows = np.flatnonzero((own == k) | (own < 0))
+        found[rows, k] = jensen_shannon(part[rows], reference[k : k + 1])[:, 0]
+    return found
 
 
 def judged_by(shares: np.ndarray, reference: np.ndarray, most: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distance of each row to its own language, or without one to the nearest, and whether it is too far."""
     if not len(reference) or not len(shares):
         return np.zeros(len(shares)), np.zeros(len(shares), bool)
-    found = distances(shares, reference)
+    found = distances(shares, reference, own)
     rows, at = np.arange(len(found)), np.maximum(own, 0)
     return np.where(own >= 0, found[rows, at], found.min(axis=1)), np.where(
         own >= 0, found[rows, at] > most[at], (found > most).all(axis=1)
@@ -298,18 +326,16 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     narrow = narrowed(docs)
     learned = sorted({w for words in common_words(narrow).values() for w in words})
     feats = checkpointed(features(narrow, {w.encode(): i for i, w in enumerate(learned)}))
-    known = references(feats, limits)
+    known = references(feats, limits, len(learned))
     most = limits_by_language(feats, known, limits)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            if not part.num_rows:
-                continue
+        for part in pieces(batches, known):
             column = lambda c: part.column(c).to_numpy(zero_copy_only=False)
             words = column("n_words")
             failed = (words < 50) | (100 * column("n_repeat_words") > 50 * words)
             (by_class, far_class), (by_word, far_word) = (
-                judged_by(matrix_of(part, c), known[c][1], most[c], places(part, known[c][0])) for c in ("classes", "common")
+                judged_by(matrix_of(part, c, known[c][1]), known[c][1], most[c], places(part, known[c][0])) for c in ("classes", "common")
             )
             judged = column("word_chars") >= limits.min_chars, words >= limits.min_words
             far = judged[0] & far_class | judged[1] & far_word
