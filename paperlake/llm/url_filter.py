@@ -46,18 +46,26 @@ def host_and_path(url: str = "url"):
     return F.lower(host), path
 
 
-def candidate_rules(host: str = "host", path: str = "path"):
-    """Every rule that may match: host suffixes (``a.b.c``, ``b.c``, ``c``) and prefixes ``host/p/q``."""
+def rule_sizes(rules: DataFrame) -> tuple[list[int], list[int]]:
+    """The numbers of labels that listed domains have, and the numbers of path parts that listed prefixes have.
+
+    Short lists of distinct small numbers, whatever the length of the list of rules.
+    """
+    slashes = F.length("rule") - F.length(F.replace("rule", F.lit("/"), F.lit("")))
+    rows = rules.select(slashes.alias("parts"), F.when(slashes == 0, F.size(F.split("rule", "\\."))).alias("labels")).distinct().collect()
+    return sorted({r.labels for r in rows if r.labels}), sorted({r.parts for r in rows if r.parts})
+
+
+def candidate_rules(sizes: tuple[list[int], list[int]], host: str = "host", path: str = "path"):
+    """Every rule of these sizes that may match: host suffixes (``a.b.c``, ``b.c``, ``c``) and prefixes ``host/p/q``.
+
+    Only sizes that the list has are written out, so the work is linear in the length of a URL.
+    """
     labels, parts = F.split(host, "\\."), F.filter(F.split(path, "/"), lambda x: x != "")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.when(
-        F.size(parts) > 0,
-        F.transform(
-            F.sequence(F.lit(1), F.size(parts)),
-            lambda i: F.lower(F.concat(F.col(host), F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))),
-        ),
-    )
-    return F.array_distinct(F.concat(suffixes, F.coalesce(prefixes, F.array().cast("array<string>"))))
+    fit = lambda numbers, of: F.filter(F.array(*map(F.lit, numbers)).cast("array<int>"), lambda n: n <= F.size(of))
+    suffixes = F.transform(fit(sizes[0], labels), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
+    prefix = lambda n: F.lower(F.concat(F.col(host), F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    return F.array_distinct(F.concat(suffixes, F.transform(fit(sizes[1], parts), prefix)))
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -75,10 +83,11 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     key = ["host", "path", "fetched_at"]
     judgeable = F.col("host").isNotNull() & F.col("fetched_at").isNotNull()
     distinct = checkpointed(base.where(judgeable).groupBy(*key).agg(F.count("*").alias("captures")))
-    asked = distinct.select(*key).withColumn("rule", F.explode(candidate_rules())).withColumn(
+    valid = checkpointed(intervals(entries))
+    asked = distinct.select(*key).withColumn("rule", F.explode(candidate_rules(rule_sizes(valid)))).withColumn(
         "salt", F.pmod(F.xxhash64("path", "fetched_at"), F.lit(SALTS))
     )
-    spans = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    spans = valid.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     active = (F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
     hits = asked.join(spans, ["rule", "salt"]).where(active)
     first = F.min(F.struct("rule", "valid_from"))

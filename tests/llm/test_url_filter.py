@@ -90,3 +90,15 @@ def test_query_is_native(spark, capsys):
     assert df.where("blocked").count() > 0 and df.count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
     df.explain()
     assert "Python" not in capsys.readouterr().out
+
+
+def test_a_url_of_a_megabyte(spark):
+    """Hundreds of thousands of path parts and labels: only the sizes that the list has are written out."""
+    host = "a." * 100_000 + "example.com"
+    pages = [(1, "http://x.org/" + "p/" * 500_000, on(5)), (2, f"http://{host}/q/r", on(5)), (3, "http://x.org/" + "p" * 1_000_000, on(5))]
+    entries = [(None, "x.org/p/p/p", "add", on(1)), (None, "example.com", "add", on(2)), (None, "/".join(["x.org", *"p" * 1000]), "add", on(3))]
+    got = uf.filter_captures(
+        spark.createDataFrame(pages, "page_id long, url string, fetched_at date"),
+        spark.createDataFrame(entries, "list string, rule string, action string, at date"),
+    ).collect()
+    assert {r.page_id: (r.n_active, r.first_rule) for r in got} == {1: (2, "x.org/p/p/p"), 2: (1, "example.com"), 3: (0, None)}
