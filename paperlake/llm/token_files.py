@@ -58,8 +58,8 @@ for _s, _n, _b in SELECTORS:
     COUNT[_s], BITS[_s] = _n, _b
 COUNT[0] = 1
 BLOCK_BYTES = 4 << 20
-#: Bytes of text in a range of documents, about.
-RANGE_BYTES = 128 << 20
+#: Bytes of input for a range of documents, about; files hold texts in a few times less.
+RANGE_BYTES = 64 << 20
 #: Distinct words whose ids a Python worker remembers; beyond that it starts anew.
 CACHE_ENTRIES = 600_000
 END_ID = 2
@@ -310,18 +310,25 @@ def encode_texts(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, n
 BLOCK_SCHEMA = "shard int, block int, doc_ids array<long>, lengths array<long>, offsets array<long>, words binary"
 
 
+def bytes_of(docs: DataFrame) -> int:
+    """Bytes of the files that ``docs`` is read from, as the planner knows them; of its texts, counted, where it does not."""
+    known = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if known < 1 << 60:
+        return known
+    return docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> None:
     """Encode whole texts and write the blocks to ``folder`` in ascending doc_id order.
 
     Null texts count as empty and hold the end id alone. Documents of equal doc_id stay
     apart, ordered by a hash of their text and then by where they were read, so that rows that repeat
-    need not lie in one range; a null doc_id comes first. There are as many ranges as the texts need
+    need not lie in one range; a null doc_id comes first. There are as many ranges as the input needs
     at ``RANGE_BYTES`` each.
     """
     ranged = keyed_text(docs).withColumns({"tie": F.xxhash64("text"), "read_at": F.monotonically_increasing_id()})
     by = ["doc_id", "tie", "read_at"]
-    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    count = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    count = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-bytes_of(docs) // RANGE_BYTES))
     ordered = ranged.repartitionByRange(count, *by).sortWithinPartitions(*by).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
