@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperlake.operators.paging import numbered
+
 
 def neighbours(edges: DataFrame, papers: DataFrame, paper_id: int, relationship: str, order: list[Column], limit: int) -> DataFrame:
     """Papers that cite ``paper_id`` (citations) or that it cites (references), in order."""
@@ -22,30 +24,41 @@ def references(edges: DataFrame, papers: DataFrame, paper_id: int, limit: int) -
 
 
 def ego_graph(edges: DataFrame, citing: DataFrame, cited: DataFrame, paper_id: int) -> DataFrame:
-    """Both directions of one hop; neighbours without a record keep their id and null fields."""
-    into = edges.where(F.col("cited") == paper_id).select(
-        F.lit("citation").alias("direction"), F.col("citing").alias("id")
-    ).join(citing, "id", "left")
-    out = edges.where(F.col("citing") == paper_id).select(
-        F.lit("reference").alias("direction"), F.col("cited").alias("id")
-    ).join(cited, "id", "left")
+    """Both directions of one hop; neighbours without a record keep their id and null fields.
+
+    The edges are read once, for both directions.
+    """
+    end = lambda here, direction, there: F.when(F.col(here) == paper_id, F.struct(F.lit(direction).alias("direction"), F.col(there).alias("id")))
+    ends = F.array_compact(F.array(end("cited", "citation", "citing"), end("citing", "reference", "cited")))
+    near = edges.where((F.col("cited") == paper_id) | (F.col("citing") == paper_id)).select(F.inline(ends))
+    side = lambda direction, records: near.where(F.col("direction") == direction).join(records, "id", "left")
     fields = [c for c in citing.columns if c != "id"]
-    return into.unionByName(out).select("direction", "id", *fields)
+    return side("citation", citing).unionByName(side("reference", cited)).select("direction", "id", *fields)
+
+
+def numbered_ego(flat: DataFrame, paper_id: str) -> DataFrame:
+    """Every neighbour as a row: paper_id, direction, place (by id, from 1), the record, citation_count and reference_count.
+
+    ``flat`` is worked out once. No task or row holds the whole neighbourhood of a much cited paper; ``nested_ego``
+    makes arrays of it, for papers of few neighbours.
+    """
+    placed = numbered(flat, ["direction"], ["id"])
+    count = lambda d: F.coalesce(F.max(F.when(F.col("direction") == d, F.col("total"))), F.lit(0)).alias(f"{d}_count")
+    #: One row, proven by the global aggregate; all places have been worked out.
+    counts = F.broadcast(placed.agg(count("citation"), count("reference")))
+    return placed.drop("total").crossJoin(counts).withColumn("paper_id", F.lit(paper_id))
 
 
-def nested_ego(flat: DataFrame, paper_id: str, most: int = 1000) -> DataFrame:
-    """One row: paper_id, counts, and the first ``most`` neighbours of each direction by id as arrays of structs.
+def nested_ego(flat: DataFrame, paper_id: str, most: int | None = None) -> DataFrame:
+    """One row: paper_id, counts, and the neighbours of each direction by id as arrays of structs.
 
-    Counts are of all neighbours, which ``flat`` itself has as rows. Each direction is a top-k of its
-    own, so no task gets the whole neighbourhood of a much cited paper.
+    All of them are in the one row, from one pass, unless ``most`` asks for so many only; counts are of all.
     """
     row = F.struct(*(c for c in flat.columns if c != "direction"))
-    first = lambda d: flat.where(F.col("direction") == d).orderBy(*(c for c in flat.columns if c != "direction")).limit(most)
-    pick = lambda d: first(d).agg(F.sort_array(F.collect_list(row)).alias(f"{d}s"))
     count = lambda d: F.count_if(F.col("direction") == d).alias(f"{d}_count")
-    counts = flat.agg(F.lit(paper_id).alias("paper_id"), count("citation"), count("reference"))
-    #: One row each, proven by the global aggregates.
-    return counts.crossJoin(pick("citation")).crossJoin(pick("reference"))
+    whole = lambda d: F.sort_array(F.collect_list(F.when(F.col("direction") == d, row)))
+    shown = lambda d: (whole(d) if most is None else F.slice(whole(d), 1, most)).alias(f"{d}s")
+    return flat.agg(F.lit(paper_id).alias("paper_id"), count("citation"), count("reference"), shown("citation"), shown("reference"))
 
 
 def node_fields(nodes: DataFrame) -> DataFrame:
@@ -60,8 +73,8 @@ def citation_counts(edges: DataFrame, by: str = "cited") -> DataFrame:
 
 
 def author_names(authors: str) -> Column:
-    """Names of an array of author structs, missing and empty ones left out."""
+    """Names of an array of author structs, missing and empty ones left out; a scan reads no other field of them."""
     return F.coalesce(
-        F.filter(F.transform(authors, lambda a: a["name"]), lambda n: n.isNotNull() & (n != "")),
+        F.filter(F.col(authors)["name"], lambda n: n.isNotNull() & (n != "")),
         F.array().cast("array<string>"),
     )

@@ -55,6 +55,27 @@ def tori(citations: DataFrame) -> DataFrame:
     )
 
 
+def by_author(papers: DataFrame) -> DataFrame:
+    """papers(id, authors array, ...) to one row a paper and author: an author named twice counts once, null and empty names not."""
+    names = F.array_distinct(F.filter("authors", lambda a: a.isNotNull() & (a != "")))
+    return papers.withColumn("author", F.explode(names)).drop("authors")
+
+
+def author_citations(edges: DataFrame, papers: DataFrame) -> DataFrame:
+    """Citations of every author from edges(citing, cited) and papers(id, authors): author, citing, cited, cited_authors, citing_references, self_citation.
+
+    The number of authors is that of the cited paper's list. A citation is the author's own where the citing paper has
+    the same author; it is found by an equality on paper and author together, so an author of very many
+    papers is no key of its own.
+    """
+    size = papers.select(F.col("id").alias("cited"), F.size(F.array_distinct("authors")).alias("cited_authors"), "authors")
+    references = edges.groupBy("citing").agg(F.count("*").alias("citing_references"))
+    cited = by_author(edges.join(size, "cited").join(references, "citing"))
+    own = by_author(papers).select(F.col("id").alias("citing"), "author", F.lit(True).alias("self_citation"))
+    judged = cited.join(own, ["citing", "author"], "left")
+    return judged.withColumn("self_citation", F.coalesce("self_citation", F.lit(False)))
+
+
 def citation_stats(papers: DataFrame) -> DataFrame:
     """papers(author, citations, refereed) to totals, mean and exact median."""
     return papers.groupBy("author").agg(

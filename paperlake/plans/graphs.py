@@ -39,30 +39,32 @@ def ego(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ego_graph(edges(spark, sf_dir), citing, cited, SEED_PART)
 
 
-def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nested_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as nested graph nodes; every customer gives the order's number of lines as authors, some of them without a name."""
     key = F.col("id")
     name = lambda i: F.when(i % 3 == 0, F.lit(None).cast("string")).when(i % 3 == 1, F.concat(F.lit("C"), F.col("author"), F.lit("-"), i)).otherwise("")
-    authors = F.transform(F.sequence(F.lit(1), (key % 7 + 1).cast("int")), lambda i: F.struct(name(i).alias("name")))
-    ids = F.when(key % 4 == 0, F.create_map(F.lit("ArXiv"), F.concat(F.lit("o"), key))).otherwise(
-        F.create_map(F.lit("DOI"), F.lit("10.1/x"))
+    author = lambda i: F.struct(F.concat(F.lit("id"), i).alias("authorId"), name(i).alias("name"), F.lit("https://x").alias("url"))
+    authors = F.transform(F.sequence(F.lit(1), (key % 7 + 1).cast("int")), author)
+    some = lambda c, x: F.when(c, x)
+    ids = F.struct(
+        some(key % 4 == 0, F.concat(F.lit("o"), key)).alias("ArXiv"), some(key % 4 != 0, F.lit("10.1/x")).alias("DOI"), F.concat(F.lit("c"), key).alias("CorpusId")
     )
-    nodes = citing_papers(spark, sf_dir).select(
-        key.cast("string").alias("paperId"), F.concat(F.lit("Order "), key).alias("title"), F.col("year").cast("int").alias("year"), authors.alias("authors"), ids.alias("externalIds")
+    text = F.concat(F.lit("Order "), key)
+    return citing_papers(spark, sf_dir).select(
+        key.cast("string").alias("paperId"), text.alias("title"), F.col("year").cast("int").alias("year"), authors.alias("authors"), ids.alias("externalIds"),
+        F.struct(F.repeat(text, 20).alias("text"), F.lit("x").alias("model")).alias("tldr"),
     )
-    return graph.node_fields(nodes)
+
+
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of nested nodes, from a stored table of whole ones: only the leaves asked for are read."""
+    folder = kept(spark, "graph_nodes", [f"{sf_dir}/orders.parquet"], lambda f: nested_nodes(spark, sf_dir).write.parquet(f))
+    return graph.node_fields(spark.read.parquet(folder))
 
 
 def citation_graph_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = graph.nested_ego(ego(spark, sf_dir), str(SEED_PART))
-    ids = lambda c: F.array_join(F.transform(c, lambda x: x["id"].cast("string")), ",")
-    return row.select(
-        "paper_id",
-        "citation_count",
-        "reference_count",
-        ids("citations").alias("citing_ids"),
-        ids("references").alias("cited_ids"),
-    )
+    """All neighbours of both directions as numbered rows with both counts."""
+    return graph.numbered_ego(ego(spark, sf_dir), str(SEED_PART))
 
 
 def citation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,18 +87,33 @@ def metrics_m_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def authorships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-in authors of every paper, two each: the remainders of its number by 7 and by 11."""
+    """Stand-in authors of every paper, one to five by its number; one of them has a third of all papers."""
     ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).union(table(spark, sf_dir, "part").select("p_partkey"))
-    name = lambda letter, n: F.concat(F.lit(letter), F.col("id") % n)
-    return ids.distinct().select("id", F.array(name("a", 7), name("b", 11)).alias("authors"))
+    own = F.transform(F.sequence(F.lit(1), (F.col("id") % 4 + 1).cast("int")), lambda i: F.concat(F.lit("a"), (F.col("id") * i + i * i) % 89))
+    hot = F.when(F.col("id") % 3 == 0, F.array(F.lit("hot"))).otherwise(F.array().cast("array<string>"))
+    return ids.distinct().select("id", F.array_distinct(F.concat(hot, own)).alias("authors"))
 
 
 def metrics_tori(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By author: every citation of a paper counts for each of its authors, but for those who wrote the citing paper as well."""
+    judged = metrics.author_citations(edges(spark, sf_dir), authorships(spark, sf_dir))
+    return metrics.tori(judged).withColumn("tori", F.round("tori", 6))
+
+
+def metrics_by_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The indices of every author from lists of authors."""
+    n = graph.citation_counts(edges(spark, sf_dir)).withColumnRenamed("citation_count", "citations")
+    papers = authorships(spark, sf_dir).join(n, "id", "left").withColumn("citations", F.coalesce("citations", F.lit(0)).cast("long"))
+    return metrics.indices(metrics.by_author(papers))
+
+
+def group_tori(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By the group of the cited paper; a citation counts where the two papers share no author."""
-    e = edges(spark, sf_dir)
+    e, papers = edges(spark, sf_dir), authorships(spark, sf_dir)
     references = graph.citation_counts(e, "citing").select(F.col("id").alias("citing"), F.col("citation_count").alias("citing_references"))
-    own = metrics.self_citations(e, authorships(spark, sf_dir)).withColumn("self_citation", F.lit(True))
-    of = cited_papers(spark, sf_dir).select(F.col("id").alias("cited"), "author", F.lit(2).alias("cited_authors"))
+    own = metrics.self_citations(e, papers).withColumn("self_citation", F.lit(True))
+    sizes = papers.select("id", F.size("authors").alias("cited_authors"))
+    of = cited_papers(spark, sf_dir).join(sizes, "id").select(F.col("id").alias("cited"), "author", "cited_authors")
     cited = e.join(references, "citing").join(of, "cited").join(own, ["citing", "cited"], "left")
     judged = cited.withColumn("self_citation", F.coalesce("self_citation", F.lit(False)))
     return metrics.tori(judged).withColumn("tori", F.round("tori", 6))
@@ -157,7 +174,7 @@ def render_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = metrics_self_citations(spark, sf_dir).join(of, F.col("cited") == F.col("id")).groupBy("author").agg(F.sum("self_citations").alias("self_citations"))
     read = reads(spark, sf_dir).select(F.col("paper").alias("id")).join(of, "id").groupBy("author").agg(F.count("*").alias("reads"))
     wide = metrics.indices(counts(spark, sf_dir)).join(metrics_citation_stats(spark, sf_dir), "author")
-    for more in (metrics_m_index(spark, sf_dir).select("author", "m"), metrics_tori(spark, sf_dir), own, read):
+    for more in (metrics_m_index(spark, sf_dir).select("author", "m"), group_tori(spark, sf_dir), own, read):
         wide = wide.join(more, "author", "left")
     wide = wide.withColumn("mean_reads", F.col("reads") / F.col("papers"))
     return wide.select("author", render.metrics_view(F.col("papers")).alias("text"))
@@ -165,7 +182,7 @@ def render_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "citations_of": citations_of, "references_of": references_of, "citation_graph_ego": ego, "citation_graph_nested": citation_graph_nested, "graph_nodes": graph_nodes, "citation_counts": citation_counts, "metrics_h_g_i10": metrics_h_g_i10,
-    "metrics_m_index": metrics_m_index, "metrics_tori": metrics_tori, "metrics_citation_stats": metrics_citation_stats, "metrics_basic": metrics_basic, "metrics_self_citations": metrics_self_citations,
+    "metrics_m_index": metrics_m_index, "metrics_tori": metrics_tori, "metrics_by_author": metrics_by_author, "metrics_citation_stats": metrics_citation_stats, "metrics_basic": metrics_basic, "metrics_self_citations": metrics_self_citations,
     "similar_vectors": similar_vectors, "similar_many": similar_many, "similar_terms": similar_terms, "render_graph": render_graph, "render_metrics": render_metrics,
 }
 
@@ -177,8 +194,13 @@ STATS = f"""{EDGES}, n AS (SELECT p_partkey, p_brand AS author, count(citing) AS
 EGO = f"""{EDGES}, ego AS (
   SELECT 'citation' AS direction, citing AS id, CAST(o_custkey AS VARCHAR) AS author, year(o_orderdate) AS year FROM edges LEFT JOIN orders ON o_orderkey = citing WHERE cited = {SEED_PART}
   UNION ALL SELECT 'reference', cited, p_brand, NULL FROM edges LEFT JOIN part ON p_partkey = cited WHERE citing = {SEED_PART})"""
-#: The two papers share a stand-in author.
-OWN = "citing % 7 = cited % 7 OR citing % 11 = cited % 11"
+#: One row a paper, with its list of authors.
+AUTHORS = """papers AS (SELECT id, list_distinct(list_concat(CASE WHEN id % 3 = 0 THEN ['hot'] ELSE [] END,
+    list_transform(range(1, CAST(id % 4 + 2 AS BIGINT)), lambda i: 'a' || ((id * i + i * i) % 89)))) AS authors FROM (SELECT o_orderkey AS id FROM orders UNION SELECT p_partkey FROM part))"""
+OWN = f"""{EDGES}, {AUTHORS}, refs AS (SELECT citing, count(*) AS n FROM edges GROUP BY 1),
+    judged AS (SELECT e.citing, e.cited, c.authors, refs.n, coalesce(list_has_any(b.authors, c.authors), false) AS own, b.authors AS writers
+    FROM edges e JOIN papers c ON c.id = e.cited JOIN refs ON refs.citing = e.citing LEFT JOIN papers b ON b.id = e.citing)"""
+OWN_PARTS = OWN.removeprefix(f"{EDGES}, ")
 INDICES = f"""{RANKED}, indices AS (SELECT author, count(*) AS papers, count(*) FILTER (citations >= r) AS h, coalesce(max(r) FILTER (s >= r * r), 0) AS g, count(*) FILTER (citations >= 10) AS i10 FROM ranked GROUP BY author)"""
 SQL = {
     "graph_nodes": """SELECT CAST(o_orderkey AS VARCHAR) AS id, 'Order ' || o_orderkey AS title, year(o_orderdate) AS year, 'o' || CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey END AS arxiv_id,
@@ -186,18 +208,21 @@ SQL = {
     "citations_of": f"WITH {EDGES} SELECT o_orderkey AS id, o_custkey AS author, o_totalprice AS score FROM edges JOIN orders ON o_orderkey = citing WHERE cited = {SEED_PART} ORDER BY score DESC, id LIMIT 20",
     "references_of": f"WITH {COUNTS} SELECT id, author, citations FROM edges JOIN counts ON id = cited WHERE citing = {SEED_ORDER} ORDER BY citations DESC, id LIMIT 20",
     "citation_graph_ego": f"WITH {EGO} SELECT * FROM ego",
-    "citation_graph_nested": f"""WITH {EGO} SELECT '{SEED_PART}' AS paper_id, count(*) FILTER (direction = 'citation') AS citation_count, count(*) FILTER (direction = 'reference') AS reference_count,
-        coalesce(string_agg(id, ',' ORDER BY id) FILTER (direction = 'citation'), '') AS citing_ids, coalesce(string_agg(id, ',' ORDER BY id) FILTER (direction = 'reference'), '') AS cited_ids FROM ego""",
+    "citation_graph_nested": f"""WITH {EGO} SELECT '{SEED_PART}' AS paper_id, direction, row_number() OVER (PARTITION BY direction ORDER BY id) AS place, id, author, year,
+        count(*) FILTER (direction = 'citation') OVER () AS citation_count, count(*) FILTER (direction = 'reference') OVER () AS reference_count FROM ego""",
     "citation_counts": "SELECT l_partkey AS id, count(DISTINCT l_orderkey) AS citation_count FROM lineitem GROUP BY 1",
     "metrics_h_g_i10": f"WITH {INDICES} SELECT * FROM indices",
     "metrics_m_index": f"""WITH {INDICES}, firsts AS (SELECT p_brand AS author, min(year(o_orderdate)) AS first_year FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)
         SELECT author, h, first_year, round(h / greatest(1, {AS_OF} - first_year), 6) AS m FROM indices JOIN firsts USING (author)""",
-    "metrics_tori": f"""WITH {EDGES}, refs AS (SELECT citing, count(*) AS n FROM edges GROUP BY 1)
-        SELECT p_brand AS author, round(sum(1 / (2 * n)), 6) AS tori FROM edges JOIN refs USING (citing) JOIN part ON p_partkey = cited WHERE NOT ({OWN}) GROUP BY 1""",
+    "metrics_tori": f"""WITH {OWN} SELECT author, round(sum(1 / (k * n)), 6) AS tori
+        FROM (SELECT unnest(authors) AS author, len(authors) AS k, n, writers FROM judged) WHERE NOT coalesce(list_contains(writers, author), false) GROUP BY 1""",
+    "metrics_by_author": f"""WITH {EDGES}, {AUTHORS}, n AS (SELECT cited, count(*) AS n FROM edges GROUP BY 1),
+        of AS (SELECT id, unnest(authors) AS author, coalesce(n, 0) AS c FROM papers LEFT JOIN n ON cited = id),
+        ranked AS (SELECT *, row_number() OVER w AS r, sum(c) OVER (PARTITION BY author ORDER BY c DESC, id ROWS UNBOUNDED PRECEDING) AS s FROM of WINDOW w AS (PARTITION BY author ORDER BY c DESC, id))
+        SELECT author, count(*) AS papers, count(*) FILTER (c >= r) AS h, coalesce(max(r) FILTER (s >= r * r), 0) AS g, count(*) FILTER (c >= 10) AS i10 FROM ranked GROUP BY author""",
     "metrics_citation_stats": f"WITH {STATS} SELECT * FROM stats",
     "metrics_basic": "SELECT user_id AS author, count(DISTINCT json_extract_string(props, '$.k')) AS papers, count(*) AS reads, round(count(*) / count(DISTINCT json_extract_string(props, '$.k')), 6) AS mean_reads FROM events WHERE event_type = 'view' GROUP BY 1",
-    "metrics_self_citations": f"""WITH {EDGES} SELECT cited, count(*) AS self_citations FROM edges WHERE (citing % 7 = cited % 7 OR citing % 11 = cited % 11) AND (citing IN (SELECT o_orderkey FROM orders) OR citing IN (SELECT p_partkey FROM part))
-        AND (cited IN (SELECT o_orderkey FROM orders) OR cited IN (SELECT p_partkey FROM part)) GROUP BY 1""",
+    "metrics_self_citations": f"""WITH {OWN} SELECT cited, count(*) AS self_citations FROM judged WHERE own GROUP BY 1""",
     "similar_vectors": """SELECT e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) s
         WHERE e.vec_id <> 0 ORDER BY score DESC, id LIMIT 10""",
     "similar_terms": r"""WITH terms AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS t FROM documents) GROUP BY 1, 2),
@@ -211,9 +236,9 @@ SQL = {
         SELECT p_brand AS author, count(citing) AS total, count(*) FILTER (o_orderstatus = 'F') AS refereed, count(citing) / count(DISTINCT p_partkey) AS mean FROM part LEFT JOIN edges ON cited = p_partkey LEFT JOIN orders ON o_orderkey = citing GROUP BY 1),
         medians AS (SELECT author, median(citations) AS middle FROM counts GROUP BY 1),
         firsts AS (SELECT p_brand AS author, min(year(o_orderdate)) AS first_year FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1),
-        refs AS (SELECT citing, count(*) AS n FROM edges GROUP BY 1),
-        toris AS (SELECT p_brand AS author, round(sum(1 / (2 * n)), 6) AS tori FROM edges JOIN refs USING (citing) JOIN part ON p_partkey = cited WHERE NOT ({OWN}) GROUP BY 1),
-        own AS (SELECT p_brand AS author, count(*) AS self_citations FROM edges JOIN part ON p_partkey = cited WHERE {OWN} GROUP BY 1),
+        {OWN_PARTS},
+        toris AS (SELECT p_brand AS author, round(sum(1 / (len(authors) * n)), 6) AS tori FROM judged JOIN part ON p_partkey = cited WHERE NOT own GROUP BY 1),
+        own AS (SELECT p_brand AS author, count(*) AS self_citations FROM judged JOIN part ON p_partkey = cited WHERE own GROUP BY 1),
         read AS (SELECT p_brand AS author, count(*) AS reads FROM events JOIN part ON p_partkey = CAST(json_extract_string(props, '$.k') AS BIGINT) WHERE event_type = 'view' GROUP BY 1)
         SELECT author, '# Citation Metrics' || chr(10) || chr(10) || '*Based on ' || papers || ' paper(s)*' || chr(10) || chr(10) || '## Indices' || chr(10) || chr(10) || '- **h-index:** ' || h || chr(10) || '- **g-index:** ' || g || chr(10) || '- **i10-index:** ' || i10 || chr(10)
         || coalesce('- **m-index:** ' || format('{{:.2f}}', floor(round(h / greatest(1, {AS_OF} - first_year), 6) * 100 + 0.5) / 100) || chr(10), '') || coalesce('- **tori:** ' || format('{{:.2f}}', floor(tori * 100 + 0.5) / 100) || chr(10), '') || chr(10)
