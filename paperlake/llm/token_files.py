@@ -312,7 +312,7 @@ BLOCK_SCHEMA = "shard int, block int, doc_ids array<long>, lengths array<long>,
 
 def bytes_of(docs: DataFrame) -> int:
     """Bytes of the files that ``docs`` is read from, as the planner knows them; of its texts, counted, where it does not."""
-    known = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    known = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if known < 1 << 60:
         return known
     return docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
