@@ -34,6 +34,33 @@ UNSUPPORTED = (
 )
 
 
+#: How journals are written in each style: 1 AASTeX macros, 2 Icarus, 3 MNRAS, 4 Solar Physics.
+JOURNALS = {
+    "The Astronomical Journal": ("\\aj", "Astron. J.", "AJ", "Astron. J."),
+    "The Astrophysical Journal": ("\\apj", "Astrophys. J.", "ApJ", "Astrophys. J."),
+    "The Astrophysical Journal Supplement Series": ("\\apjs", "Astrophys. J. Suppl. Ser.", "ApJS", "Astrophys. J. Suppl."),
+    "Astronomy and Astrophysics": ("\\aap", "Astron. Astrophys.", "A&A", "Astron. Astrophys."),
+    "Monthly Notices of the Royal Astronomical Society": ("\\mnras", "Mon. Not. R. Astron. Soc.", "MNRAS", "Mon. Not. Roy. Astron. Soc."),
+    "Publications of the Astronomical Society of the Pacific": ("\\pasp", "Publ. Astron. Soc. Pac.", "PASP", "Pub. Astron. Soc. Pacific"),
+    "Publications of the Astronomical Society of Japan": ("\\pasj", "Publ. Astron. Soc. Japan", "PASJ", "Pub. Astron. Soc. Japan"),
+    "Annual Review of Astronomy and Astrophysics": ("\\araa", "Annu. Rev. Astron. Astrophys.", "ARA&A", "Ann. Rev. Astron. Astrophys."),
+    "Nature": ("\\nat", "Nature", "Nat", "Nature"),
+    "Icarus": ("\\icarus", "Icarus", "Icarus", "Icarus"),
+    "Solar Physics": ("\\solphys", "Sol. Phys.", "Sol. Phys.", "Solar Phys."),
+    "Physical Review Letters": ("\\prl", "Phys. Rev. Lett.", "Phys. Rev. Lett.", "Phys. Rev. Lett."),
+}
+
+
+def journal(name: Column, style: int | None = None, journals: dict[str, tuple[str, ...]] = JOURNALS) -> Column:
+    """A journal's name in one of the four styles; as it is without a style, and where ``journals`` does not have it."""
+    if style is None:
+        return name
+    if style not in (1, 2, 3, 4):
+        raise ValueError("journalformat is 1 (AASTeX), 2 (Icarus), 3 (MNRAS) or 4 (SOPH)")
+    known = F.create_map(*(F.lit(x) for n, forms in journals.items() for x in (n, forms[style - 1])))
+    return F.coalesce(F.try_element_at(known, name), name)
+
+
 def authors(max_author: int | None, cutoff: int | None, separator: str, others: str) -> Column:
     """Authors joined; where there are more than the cut-off, the first ``max_author`` and others."""
     a = F.col("author")
@@ -71,8 +98,9 @@ def record(
     max_author: int | None = None,
     cutoff: int | None = None,
     key_format: str | None = None,
+    cited_as: Column | None = None,
 ) -> Column:
-    """One record of columns bibcode, title, author, year, pub, volume, doi, abstract."""
+    """One record of columns bibcode, title, author, year, pub, volume, doi, abstract; cited by ``cited_as``, or else by ``key_format``."""
     if format == "custom":
         if not custom_format:
             raise ValueError("a custom export needs a template")
@@ -84,7 +112,7 @@ def record(
     if format.startswith("bibtex"):
         abstract = optional("    abstract = {", F.col("abstract"), "},\n") if format == "bibtexabs" else F.lit("")
         return F.concat(
-            F.lit("@ARTICLE{"), cite_key(key_format), F.lit(",\n"), optional(
+            F.lit("@ARTICLE{"), cite_key(key_format) if cited_as is None else cited_as, F.lit(",\n"), optional(
                 "    author = {", authors(max_author, cutoff, " and ", " and others"), "},\n"
             ), optional("    title = {", title, "},\n"), optional("    journal = {", F.col("pub"), "},\n"),
             optional("    year = {", F.col("year"), "},\n"), optional(

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlake.operators import collections as C
+from paperlake.operators import snapshots
 from paperlake.sources.tables import cited_papers, collection_events, table
+from paperlake.storage import kept
 
 
 def library_members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +57,37 @@ def library_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.join(kept, "pair", "left").select("pair", "n_union", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
 
 
+#: Times of the two snapshots, and one after them.
+SNAPSHOTS, AS_OF = ("2024-01-05 00:00:00", "2024-01-12 00:00:00"), "2024-01-20 12:00:00"
+
+
+def keep_log(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """The log in three batches, the second of them with every tenth event of the first one's time, and two snapshots."""
+    log = collection_events(spark, sf_dir)
+    late, early = F.col("event_id") % 10 == 0, F.col("ts") <= F.lit(SNAPSHOTS[0]).cast("timestamp_ntz")
+    middle = F.col("ts") <= F.lit(SNAPSHOTS[1]).cast("timestamp_ntz")
+    for batch, until in ((early & ~late, SNAPSHOTS[0]), (middle & (~early | late), SNAPSHOTS[1]), (~middle, None)):
+        snapshots.append(log.where(batch), root)
+        if until:
+            snapshots.compact(spark, root, until)
+
+
+def log_store(spark: SparkSession, sf_dir: str) -> str:
+    return kept(spark, "library_log", [f"{sf_dir}/events.parquet"], lambda f: keep_log(spark, sf_dir, f))
+
+
+def library_members_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members as they stood at a time, from the last snapshot before it and the events since."""
+    return snapshots.members(spark, log_store(spark, sf_dir), AS_OF)
+
+
+def library_notes_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.notes(spark, log_store(spark, sf_dir), AS_OF)
+
+
 QUERIES = {
+    "library_members_at": library_members_at,
+    "library_notes_at": library_notes_at,
     "library_members": library_members,
     "library_list": library_list,
     "library_notes": library_notes,
@@ -67,7 +99,11 @@ QUERIES = {
 
 EVENTS = """e AS (SELECT user_id AS library_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS doc_id, event_type, round(value, 6) AS content, ts, event_id, CASE WHEN user_id % 3 = 0 THEN 'owner' ELSE 'collaborator' END AS permission FROM events)"""
 MEMBERS = f"""{EVENTS}, members AS (SELECT library_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY library_id, doc_id ORDER BY ts DESC, event_id DESC) AS r FROM e WHERE event_type IN ('click', 'error') AND doc_id IS NOT NULL) WHERE r = 1 AND event_type = 'click')"""
+UNTIL = f"ts <= TIMESTAMP '{AS_OF}'"
 SQL = {
+    "library_members_at": f"""WITH {MEMBERS} SELECT * FROM members""".replace("AND doc_id IS NOT NULL)", f"AND doc_id IS NOT NULL AND {UNTIL})"),
+    "library_notes_at": f"""WITH {EVENTS} SELECT library_id, doc_id, content, ts AS date_last_modified FROM (SELECT *, row_number() OVER (PARTITION BY library_id, doc_id ORDER BY ts DESC, event_id DESC) AS r FROM e
+        WHERE ((event_type = 'purchase' AND content IS NOT NULL) OR event_type = 'signup') AND {UNTIL}) WHERE r = 1 AND event_type = 'purchase'""",
     "library_members": f"WITH {MEMBERS} SELECT * FROM members",
     "library_list": f"""WITH {MEMBERS}, n AS (SELECT library_id, count(*) AS n FROM members GROUP BY 1) SELECT library_id, min(ts) AS date_created, max(ts) AS date_last_modified, any_value(permission) AS permission, coalesce(any_value(n.n), 0) AS num_documents
         FROM e LEFT JOIN n USING (library_id) WHERE permission = 'owner' GROUP BY library_id""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,11 +11,14 @@ from pyspark.sql import functions as F
 
 from paperlake.functions import export, render
 from paperlake.functions.text import padded, strip_version
+from paperlake.operators import bibliography
+from paperlake.operators import identifiers as identifiers_of
 from paperlake.operators.boolean import Field, Fields, any_category, month_range
 from paperlake.operators.graph import citation_counts
-from paperlake.operators.paging import page
+from paperlake.operators.paging import Keys, page, page_after
 from paperlake.plans.params import PREPRINT_SORTS, SORTS, PreprintSearchParams, SearchParams
 from paperlake.sources.tables import cited_papers, citing_papers, edges, reads, table
+from paperlake.storage import kept, stamp
 
 FIELDS = Fields(
     {"title": Field("title"), "author": Field("author", "exact"), "keyword": Field("category"), "size": Field("size", "number")},
@@ -59,6 +63,49 @@ def paper_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page(found, SEARCH.order(), SEARCH.start, SEARCH.rows).select("id", "title", "author", "citation_count", "num_found", "has_more")
 
 
+BY_CITATIONS = Keys((("citation_count", True), ("id", False)))
+
+
+def paper_search_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page that follows the first twenty papers of the search, by the key of the last of them."""
+    found = counted(spark, sf_dir).where(asked_for()).select("id", "title", "author", "citation_count")
+    first = page_after(found, BY_CITATIONS, None, 20).collect()
+    return page_after(found, BY_CITATIONS, first[-1].asDict() if first else None, 15)
+
+
+def known_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of all parts' identifiers: a preprint number, a DOI and a bibcode each."""
+    name = "paper_ids_" + kept_name(spark, sf_dir)
+    identifiers = F.array(F.concat(F.lit("2001."), padded("id", 5)), F.concat(F.lit("10.1234/Part."), "id"), F.concat(F.lit("1999Pt..."), "id"))
+    records = cited_papers(spark, sf_dir).select("id", identifiers.alias("identifier"))
+    folder = kept(spark, "paper_ids", [f"{sf_dir}/part.parquet"], lambda f: identifiers_of.build(records, name, f"{f}/table"))
+    return identifiers_of.opened(spark, name, f"{folder}/table", "key string, id long")
+
+
+def kept_name(spark: SparkSession, sf_dir: str) -> str:
+    return hashlib.md5(stamp(spark, f"{sf_dir}/part.parquet").encode()).hexdigest()[:16]
+
+
+def paper_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four spellings of identifiers for every order: of the first kinds by its number, known or not, and every fifth the same one."""
+    k = F.col("o_orderkey")
+    forms = (
+        F.concat(F.lit(" arXiv:2001."), padded("o_orderkey", 5), F.lit("v"), k % 9), F.concat(F.lit("https://doi.org/10.1234/PART."), k), F.concat(F.lit("1999Pt..."), k, F.lit("\n")), F.lit("")
+    )
+    asked = F.when(k % 5 == 0, "doi:10.1234/part.17")
+    for i, form in enumerate(forms):
+        asked = asked.when(k % 4 == i, form)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", asked.alias("identifier"))
+    return identifiers_of.resolve(orders, known_identifiers(spark, sf_dir)).select("o_orderkey", "key", "id")
+
+
+def export_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records as one bibliography, latest first, keys by first author and year made unique, journals in the style of MNRAS."""
+    rows = records(spark, sf_dir).withColumn("pub", F.when(F.col("id") % 2 == 0, F.lit("The Astrophysical Journal")).otherwise(F.col("pub")))
+    found, _ = bibliography.bibliography(rows, "bibtex", sort="date desc", max_author=2, journal_format=3, key_format="%H:%Y")
+    return found.select("bibcode", "cite_key", "record")
+
+
 def prefixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as preprints: the type is the abstract, its words the categories."""
     return cited_papers(spark, sf_dir).withColumn("categories", F.split("category", " "))
@@ -203,7 +250,7 @@ QUERIES = {
         "id", "title",
     ),
     "paper_sort_names": paper_sort_names, "preprint_sort_names": preprint_sort_names,
-    "paper_search_page": paper_search_page, "paper_sort_date": paper_sort_date, "paper_sort_reads": paper_sort_reads, "paper_lookup": paper_lookup, "id_normalize": id_normalize,
+    "paper_search_page": paper_search_page, "paper_search_after": paper_search_after, "paper_resolve": paper_resolve, "export_whole": export_whole, "paper_sort_date": paper_sort_date, "paper_sort_reads": paper_sort_reads, "paper_lookup": paper_lookup, "id_normalize": id_normalize,
     "preprint_month_range": preprint_month_range, "preprint_open_range": preprint_open_range, "preprint_category_any": preprint_category_any, "preprint_combined": preprint_combined,
     "export_bibtex": exported(format="bibtex", max_author=2), "export_bibtexabs": exported(format="bibtexabs", key_format="%H:%Y"), "export_ris": exported(format="ris"), "export_endnote": exported(format="endnote"),
     "export_custom": exported(
@@ -244,6 +291,12 @@ SQL = {
     "paper_year_range": "SELECT o_orderkey AS id, year(o_orderdate) AS year FROM orders WHERE year(o_orderdate) BETWEEN 1997 AND 1999 AND (lower(o_orderpriority) = '5-low' OR lower(o_orderstatus) = '5-low')",
     "paper_search_page": f"""WITH {COUNTED}, found AS (SELECT * FROM counted WHERE {has('p_type', 'promo')} OR ({has('p_type', 'large')} AND p_size BETWEEN 1 AND 30))
         SELECT id, title, author, citation_count, (SELECT count(*) FROM found) AS num_found, (SELECT count(*) FROM found) > 20 AS has_more FROM found ORDER BY citation_count DESC, id LIMIT 15 OFFSET 5""",
+    "paper_search_after": f"""WITH {COUNTED} SELECT id, title, author, citation_count FROM counted WHERE {has('p_type', 'promo')} OR ({has('p_type', 'large')} AND p_size BETWEEN 1 AND 30)
+        ORDER BY citation_count DESC, id LIMIT 15 OFFSET 20""",
+    "paper_resolve": r"""WITH asked AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'doi:10.1234/part.17' WHEN o_orderkey % 4 = 0 THEN 'arxiv:2001.' || lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(5, length(CAST(o_orderkey AS VARCHAR))) AS INTEGER), '0')
+        WHEN o_orderkey % 4 = 1 THEN 'doi:10.1234/part.' || o_orderkey WHEN o_orderkey % 4 = 2 THEN '1999Pt...' || o_orderkey END AS key FROM orders),
+        known AS (SELECT unnest(['arxiv:2001.' || lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(5, length(CAST(p_partkey AS VARCHAR))) AS INTEGER), '0'), 'doi:10.1234/part.' || p_partkey, '1999Pt...' || p_partkey]) AS key, p_partkey AS id FROM part)
+        SELECT o_orderkey, asked.key, id FROM asked LEFT JOIN known ON known.key = asked.key""",
     "paper_sort_date": "SELECT o_orderkey AS id, o_orderdate AS date, (SELECT count(*) FROM orders) AS num_found FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50",
     "paper_sort_reads": "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS paper, count(*) AS read_count FROM events WHERE event_type = 'view' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30",
     "paper_lookup": "SELECT p_partkey AS id, p_name AS title, p_brand AS author FROM part WHERE p_partkey = 17",
@@ -267,6 +320,12 @@ SQL = {
         "array_to_string(author[1:2], ' and ') || CASE WHEN len(author) > 2 THEN ' and others' ELSE '' END",
         "''",
     ) + " AS record FROM records",
+    "export_whole": f"""WITH {RECORDS}, keyed AS (SELECT * REPLACE (CASE WHEN CAST(substr(bibcode, 2) AS BIGINT) % 2 = 0 THEN 'ApJ' ELSE pub END AS pub), p_brand || ':' || year AS k,
+        row_number() OVER (PARTITION BY p_brand, year ORDER BY bibcode) AS r, count(*) OVER (PARTITION BY p_brand, year) AS n FROM records),
+        named AS (SELECT *, k || CASE WHEN n = 1 THEN '' WHEN r <= 26 THEN chr(CAST(96 + r AS INTEGER)) ELSE chr(CAST(96 + (r - 1) // 26 AS INTEGER)) || chr(CAST(97 + (r - 1) % 26 AS INTEGER)) END AS cite_key FROM keyed)
+        SELECT bibcode, cite_key, """ + BIBTEX % (
+        "cite_key", "array_to_string(author[1:2], ' and ') || CASE WHEN len(author) > 2 THEN ' and others' ELSE '' END", "''"
+    ) + " AS record FROM named",
     "export_bibtexabs": f"WITH {RECORDS} SELECT bibcode, " + BIBTEX % (
         "p_brand || ':' || year",
         "array_to_string(author, ' and ')",

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from paperlake.functions import text as T
 from paperlake.operators.fulltext import read_papers
 from paperlake.plans.params import WindowParams
-from paperlake.sources import archive, atom
+from paperlake.sources import archive, atom, feed_pages
 from paperlake.sources.tables import table
+from paperlake.storage import kept
 
 WINDOW = WindowParams(500, 1000)
 
@@ -140,7 +141,33 @@ def atom_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return atom.parse_feeds(feeds).select("id", "title", joined["authors"], "abstract", "published", joined["categories"], "doi", "pdf_url")
 
 
+#: Entries of a page of the stored feed; the dates and languages that are asked of it.
+PAGE_SIZE, FROM, UNTIL, LANGUAGES = 50, "2024-03-01", "2024-04-15", ("en", "fr")
+
+
+def dated_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as feed entries, dated by their number."""
+    date = F.concat(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 360).cast("int")).cast("string"), F.lit("T00:00:00Z"))
+    entry = atom.render_entry(
+        F.concat(F.lit("2001."), T.padded("doc_id", 5)), F.regexp_extract("text", "^([^\n]*)", 1), F.array("source"),
+        F.concat(F.lit("<summary>"), "text", F.lit("</summary>")), date, F.col("lang"), F.lit(None).cast("string"),
+    )
+    return table(spark, sf_dir, "documents").select(entry.alias("xml"))
+
+
+def feed_folder(spark: SparkSession, sf_dir: str) -> str:
+    return kept(spark, "feed_pages", [f"{sf_dir}/documents.parquet"], lambda f: feed_pages.write_pages(dated_entries(spark, sf_dir), f, PAGE_SIZE))
+
+
+def feed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers of a stretch of time and two languages from a folder of feed pages, of which only those that may hold them are read."""
+    asked = (F.col("published") >= FROM) & (F.col("published") < UNTIL) & F.col("category").isin(*LANGUAGES)
+    found = feed_pages.read_pages(spark, feed_folder(spark, sf_dir), asked)
+    return found.select("id", "title", F.md5(F.col("abstract").cast("binary")).alias("abstract_md5"), "published", F.array_join("categories", ";").alias("categories"))
+
+
 QUERIES = {
+    "feed_scan": feed_scan,
     "html_strip": html_strip, "html_text": html_text, "fulltext_gate": fulltext_gate, "text_window": text_window, "read_cascade": read_cascade, "tar_entries": tar_entries, "tex_choice": tex_choice, "tex_strip": tex_strip, "atom_roundtrip": atom_roundtrip,
 }
 
@@ -216,6 +243,9 @@ SQL = {
     "atom_roundtrip": rf"""SELECT {PAPER_ID} AS id, trim(regexp_replace(regexp_extract(text, '^([^\n]*)', 1), '\s+', ' ', 'g')) AS title,
         array_to_string(list_transform(range(1, CAST(doc_id % 3 + 2 AS BIGINT)), lambda i: source || ' ' || i), ';') AS authors, CASE WHEN doc_id % 8 BETWEEN 2 AND 4 THEN '' ELSE trim(regexp_replace(text, '\s+', ' ', 'g')) END AS abstract,
         '2024-01-15T00:00:00Z' AS published, lang AS categories, CASE WHEN doc_id % 3 = 0 THEN '10.1/' || doc_id END AS doi, 'https://arxiv.org/pdf/' || {PAPER_ID} AS pdf_url FROM documents""",
+    "feed_scan": rf"""SELECT {PAPER_ID} AS id, trim(regexp_replace(regexp_extract(text, '^([^\n]*)', 1), '\s+', ' ', 'g')) AS title, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS abstract_md5,
+        strftime(DATE '2024-01-01' + CAST(doc_id % 360 AS INTEGER), '%Y-%m-%d') || 'T00:00:00Z' AS published, lang AS categories FROM documents
+        WHERE DATE '2024-01-01' + CAST(doc_id % 360 AS INTEGER) >= DATE '{FROM}' AND DATE '2024-01-01' + CAST(doc_id % 360 AS INTEGER) < DATE '{UNTIL}' AND lang IN {LANGUAGES}""",
     "tex_strip": f"SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id, {PLAIN(LATEX)} AS t FROM documents)",
     "tar_entries": f"""{FILES} SELECT id, ordinal, name, size FROM files""",
     "tex_choice": f"""{FILES}, best AS (SELECT id, name, text, row_number() OVER (PARTITION BY id ORDER BY score + least(size / 1000, 30.0) DESC, ordinal) AS r FROM files WHERE score IS NOT NULL)
