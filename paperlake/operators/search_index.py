@@ -1,10 +1,11 @@
 """A kept inverted index over documentation chunks, and ranked search that skips blocks of it.
 
-``build`` cleans and cuts every chunk once. Its tables: ``chunks`` (cleaned, numbered, in index order), ``postings``
-(word and block of chunks -> chunk numbers with weights and hits, and the block's maxima, sorted by word) and
-``words`` (the vocabulary). A query meets the words that contain its terms, bounds every block by its maxima,
-scores the best blocks first, and reads further ones only where they can still reach the worst score that
-made the list. Texts are read for the rows that are returned, and for those that may hold the whole phrase.
+``build`` cleans and cuts every chunk once. Its tables: ``chunks`` (cleaned, numbered, in index order), ``words`` (the
+vocabulary, numbered), ``maxima`` (the most that a word counts in any chunk of a block, sorted by word) and ``postings``
+(the chunks of a block that hold a word, with weights and hits, sorted by block). A query meets the words that contain
+its terms, bounds every block by their maxima, scores the best blocks first, and reads further ones only where they
+can still reach the worst score that made the list. Texts are read for the rows that are returned, and for those
+that may hold the whole phrase.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions import text as T
 from paperlake.operators import search
+from paperlake.storage import remove_folder
 
 #: Chunks in a block, and rows of a sorted range of chunks, about.
 BLOCK_BITS = 9
@@ -23,7 +25,7 @@ RANGE_ROWS = 100_000
 #: What a word counts in each field: the field's own weight and one for the text of all fields.
 WEIGHTS = {"title": 5, "section": 4, "subsection": 3, "doc_type": 1, "category": 1, "content": 1}
 #: Blocks that are scored first, and the most words, blocks and chunks that a filter lists; beyond it they are joined.
-FIRST_BLOCKS = 4
+FIRST_BLOCKS = 32
 LISTED_WORDS, LISTED = 200, 1000
 #: Values up to which a filter is a chain of equalities, each of which a sorted file's pages are compared with.
 CHAINED = 200
@@ -46,8 +48,16 @@ def build(cleaned: DataFrame, folder: str) -> None:
     in_blocks = posted.groupBy("word", "block").agg(
         F.max("weight").alias("top_weight"), F.max("hits").alias("top_hits"), F.sort_array(F.collect_list(F.struct("doc", "weight", "hits"))).alias("docs")
     )
-    in_blocks.repartitionByRange("word", "block").sortWithinPartitions("word", "block").write.parquet(f"{folder}/postings")
-    spark.read.parquet(f"{folder}/postings").groupBy("word").agg(F.count("*").alias("blocks")).orderBy("word").write.parquet(f"{folder}/words")
+    in_blocks.write.parquet(f"{folder}/made")
+    made = spark.read.parquet(f"{folder}/made")
+    words = made.groupBy("word").agg(F.count("*").alias("blocks")).orderBy("word")
+    words.withColumn("number", F.monotonically_increasing_id()).write.parquet(f"{folder}/words")
+    numbered = made.join(spark.read.parquet(f"{folder}/words").select("word", "number"), "word")
+    sizes = numbered.select("number", "block", "top_weight", "top_hits")
+    sizes.repartitionByRange("number", "block").sortWithinPartitions("number", "block").write.parquet(f"{folder}/maxima")
+    listed = numbered.select("block", "number", "docs")
+    listed.repartitionByRange("block", "number").sortWithinPartitions("block", "number").write.parquet(f"{folder}/postings")
+    remove_folder(spark, f"{folder}/made")
 
 
 def any_of(column: str, values: list) -> Column:
@@ -64,7 +74,10 @@ class Index:
     """An index in a folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.chunks, self.postings, self.words = (spark.read.parquet(f"{folder}/{t}") for t in ("chunks", "postings", "words"))
+        self.chunks, self.words, self.maxima, self.postings = (spark.read.parquet(f"{folder}/{t}") for t in ("chunks", "words", "maxima", "postings"))
+        #: All blocks of a small index, which needs no bounds; of a larger one more than are scored first.
+        self.first = FIRST_BLOCKS
+        self.blocks = [r.block for r in self.chunks.select("block").distinct().limit(self.first + 1).collect()]
 
     def search(self, query: str, limit: int = 5) -> DataFrame:
         """The rows of ``search.search`` over the same chunks."""
@@ -72,9 +85,9 @@ class Index:
         terms = Counter(search.query_terms(phrase))
         if not terms:  # punctuation alone is in no word
             return search.search(self.chunks.drop("doc", "block"), query, limit)
-        postings = self._postings_of(terms)
+        matched = self._matched(terms)
         whole = len(terms) == 1 and phrase in terms
-        found = self._candidates(postings, terms, limit, whole)
+        found = self._candidates(matched, terms, limit, whole)
         if isinstance(found, list):
             kept = self.chunks.where(any_of("block", sorted({r.block for r in found})) & F.col("doc").isin([r.doc for r in found]))
             scores = F.create_map(*(F.lit(x) for r in found for x in (r.doc, r.score))) if found else F.create_map().cast("map<bigint,bigint>")
@@ -88,18 +101,16 @@ class Index:
         top = kept.orderBy(F.desc("score"), F.desc("char_count"), F.asc("ordinal")).limit(limit)
         return top.drop("doc", "block").withColumn("snippet", T.snippet(F.col("content"), list(terms)))
 
-    def _postings_of(self, terms: Counter) -> DataFrame:
-        """Postings of the words that contain a term, with times (for the score) and in_0, in_1, ... (for each term)."""
+    def _matched(self, terms: Counter) -> DataFrame:
+        """The words that contain a term: number, times (for the score) and in_0, in_1, ... (for each term)."""
         holds = F.lit(False)
         for t in terms:
             holds = holds | F.contains("word", F.lit(t))
-        few = [r.word for r in self.words.where(holds).select("word").limit(LISTED_WORDS + 1).collect()]
-        rows = self.postings.where(any_of("word", few) if len(few) <= LISTED_WORDS else holds)
         within = [T.occurrences(F.col("word"), t) for t in terms]
         times = sum((n * repeats for n, repeats in zip(within, terms.values())), F.lit(0))
-        return rows.withColumns({"times": times, **{f"in_{i}": n for i, n in enumerate(within)}})
+        return self.words.where(holds).select("number", times.alias("times"), *(n.alias(f"in_{i}") for i, n in enumerate(within)))
 
-    def _candidates(self, postings: DataFrame, terms: Counter, limit: int, exact: bool) -> list[Row] | DataFrame:
+    def _candidates(self, matched: DataFrame, terms: Counter, limit: int, exact: bool) -> list[Row] | DataFrame:
         """doc, block, score (of the terms; with ``exact``, the phrase too) and bound (with the phrase at most) of all chunks that may be among the best.
 
         A list where they are at most ``LISTED``, else a table.
@@ -113,7 +124,7 @@ class Index:
             return added.select(*by, (bound if exact else F.col("terms")).alias("score"), bound.alias("bound"))
 
         def of_blocks(rows: DataFrame) -> DataFrame:
-            flat = rows.select("block", "times", *(f"in_{i}" for i in range(len(terms))), F.inline("docs"))
+            flat = rows.join(matched, "number").select("block", "times", *(f"in_{i}" for i in range(len(terms))), F.inline("docs"))
             return scored(flat, ["block", "doc"], "weight", "hits")
 
         def best(rows: DataFrame) -> list[Row]:
@@ -128,18 +139,26 @@ class Index:
             open_ = [r for r in listed if r.bound >= least]
             return open_ if len(listed) <= LISTED or len(open_) < len(listed) else None
 
-        bounds = scored(postings, ["block"], "top_weight", "top_hits").drop("score")
+        if len(self.blocks) <= min(self.first, FIRST_BLOCKS):
+            rows = of_blocks(self.postings)
+            listed = best(rows)
+            least = least_of(listed)
+            found = whole_list(listed, least)
+            return rows.where(F.col("bound") >= least) if found is None else found
+        few = [r.number for r in matched.select("number").limit(LISTED_WORDS + 1).collect()]
+        maxima = self.maxima.where(any_of("number", few)) if len(few) <= LISTED_WORDS else self.maxima
+        bounds = scored(maxima.join(matched, "number"), ["block"], "top_weight", "top_hits").drop("score")
         blocks = best(bounds)
         early = [r.block for r in blocks[:FIRST_BLOCKS]]
-        rows = of_blocks(postings.where(any_of("block", early)))
+        rows = of_blocks(self.postings.where(any_of("block", early)))
         listed = best(rows)
         least = least_of(listed)
         open_blocks = whole_list(blocks, least)
         if open_blocks is None:
-            rows = of_blocks(postings.join(bounds.where(F.col("bound") >= least).select("block"), "block"))
+            rows = of_blocks(self.postings.join(bounds.where(F.col("bound") >= least).select("block"), "block"))
             listed = best(rows)
         elif len(open_blocks) > len(early):
-            rows = of_blocks(postings.where(any_of("block", [r.block for r in open_blocks])))
+            rows = of_blocks(self.postings.where(any_of("block", [r.block for r in open_blocks])))
             listed = best(rows)
         least = max(least, least_of(listed))
         found = whole_list(listed, least)

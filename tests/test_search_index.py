@@ -54,25 +54,15 @@ def test_blocks_are_left_out(spark, tmp_path, monkeypatch):
     rows = [(str(i), "f", "", "", "", f"t{i}", "", "", "common " * (50 if 160 <= i < 176 else 1) + f"own{i}", i) for i in range(800)]
     build(search.clean_chunks(spark.createDataFrame(rows, CHUNK)).coalesce(1), str(tmp_path / "i"))
     index = Index(spark, str(tmp_path / "i"))
-    read = []
-    whole = Index._postings_of
-
-    def watched(self, terms):
-        found = whole(self, terms)
-        read.append(found)
-        return found
-
-    monkeypatch.setattr(Index, "_postings_of", watched)
     assert {int(r.id) for r in index.search("common", 5).collect()} <= set(range(160, 176))
-    listed = index._candidates(read[0], search_index.Counter(["common"]), 5, True)
-    assert len({r.block for r in listed}) < 4 < read[0].select("block").distinct().count()
+    listed = index._candidates(index._matched(search_index.Counter(["common"])), search_index.Counter(["common"]), 5, True)
+    assert len({r.block for r in listed}) < 4 < index.postings.select("block").distinct().count()
 
 
 def test_no_text_is_read_before_the_top(pair, capsys):
-    """Postings plans know no content, and the last plan reads the listed chunks only."""
+    """Words, maxima and postings have no content, and the last plan reads the listed chunks only."""
     _, index = pair
-    index._postings_of(search_index.Counter(["alpha"])).explain()
-    assert "content" not in capsys.readouterr().out
+    assert all("content" not in t.columns for t in (index.words, index.maxima, index.postings))
     index.search("alpha", 5).explain()
     out = capsys.readouterr().out
     assert "PushedFilters" in out and "doc" in out.split("PushedFilters")[1]
