@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, crc_mod, documents, keyed_text, listed, shared_folder, slices
+from .common import checkpointed, crc_mod, documents, keyed_text, listed, remove_folder, shared_folder, slices
 
 PAIR_PRIOR, TRIPLE_PRIOR = 1000.0, 100.0
 BLOCK_BYTES = 4 << 20
@@ -311,14 +311,20 @@ class Automaton:
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """Written once as a table whose files are bucketed by ``key``, so that grouping by it moves nothing.
+def bucketed(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, str]:
+    """Written once as a table whose files are bucketed by ``key``, so that grouping by it moves nothing; and its name.
 
-    The table lies in the shared folder; it is external and only lives as long as its catalog entry.
+    The table lies in the shared folder until ``dropped`` removes it.
     """
     spark, name = df.sparkSession, f"blocks_{uuid.uuid4().hex}"
     df.write.bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
+
+
+def dropped(spark: SparkSession, name: str) -> None:
+    """Remove a table of ``bucketed``, files and all."""
+    spark.sql(f"DROP TABLE {name}")
+    remove_folder(spark, f"{shared_folder(spark)}/{name}")
 
 
 def score_documents(
@@ -339,7 +345,7 @@ def score_documents(
     size = narrow.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(64, max(32, size.bit_length() + SPARE_BITS))
     files = min(MOST_BUCKETS, max(size // block_bytes, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    packs = bucketed(narrow.mapInArrow(lambda batches: pack(batches, block_bytes), PACKED), "block", files)
+    packs, name = bucketed(narrow.mapInArrow(lambda batches: pack(batches, block_bytes), PACKED), "block", files)
     buckets = max(1, packs.count())
 
     def answers(*kinds: int) -> DataFrame:
@@ -372,7 +378,10 @@ def score_documents(
         return pa.table([batch.column("doc_id"), *map(pa.array, (~training, block.lengths, known, every, base, machine.traverse()))], names)
 
     told = words.where("block >= 0").unionByName(answers(2, 3).where("block >= 0"))
-    return packs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, SCORED)
+    #: One short row a document; with them written, the blocks, which hold all texts, can go.
+    scored = checkpointed(packs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, SCORED))
+    dropped(docs.sparkSession, name)
+    return scored
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

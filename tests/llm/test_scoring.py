@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 import zlib
@@ -126,3 +127,11 @@ def test_empty_and_clashing(spark, docs):
     assert scoring.score_documents(docs([])).count() == 0
     df = spark.createDataFrame([(1, "a b", 3, 4), (6, None, 3, 4)], "doc_id long, text string, block int, training int")
     assert scoring.score_documents(df).count() == 2
+
+
+def test_the_blocks_are_removed(spark, docs, tmp_path):
+    before = {t.name for t in spark.catalog.listTables()}
+    rows = scoring.score_documents(docs([(i, f"a b c {i}") for i in range(30)]))
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    assert {t.name for t in spark.catalog.listTables()} <= before and not [f for f in os.listdir(folder) if f.startswith("blocks_")]
+    assert rows.count() == 30
