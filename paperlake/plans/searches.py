@@ -9,7 +9,7 @@ from paperlake.functions import text as T
 from paperlake.operators import search
 from paperlake.operators.search_index import Index, build
 from paperlake.plans.params import DocSearchParams
-from paperlake.sources.tables import doc_chunks, table
+from paperlake.sources.tables import doc_chunks, doc_index, table
 from paperlake.storage import kept
 
 SEARCH = DocSearchParams("the nation of", 20)
@@ -69,6 +69,37 @@ def top(params: DocSearchParams):
     return run
 
 
+def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Markdown: by the remainder by five a page of news by its file or its address, a heading that is no title,
+    one with a link in it, and none; and a link at the end of each."""
+    k = F.col("ordinal") % 5
+    head = F.when(k == 2, F.lit("## What\u2019s  New")).when(k == 3, F.concat(F.lit("# [Part "), "id", F.lit("](http://x/a)  of *all*"))).otherwise("####### seven")
+    content = F.concat(head, F.lit("\n"), "content", F.lit(" [see  this](http://y/z?q=1)"))
+    named = doc_chunks(spark, sf_dir).withColumn("source_file", F.when(k == 0, F.concat(F.lit("whats-new_"), "id")).otherwise(F.col("source_file")))
+    return named.withColumns({"source_url": F.when(k == 1, F.lit("https://x/What's_new/")).otherwise(""), "content": content})
+
+
+def docs_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and texts of Markdown pages, without those of news."""
+    found = search.clean_chunks(markdown_chunks(spark, sf_dir))
+    return found.select("id", "title", F.col("char_count").cast("long").alias("char_count"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+def json_index(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The chunks as files of JSON arrays, as a documentation index has them: fifty chunks each."""
+    rows = markdown_chunks(spark, sf_dir).withColumn("part", F.expr("ordinal div 50"))
+    text = F.to_json(F.struct(*(c for c in rows.columns if c not in ("part", "ordinal"))))
+    files = rows.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(text)), ",\n"), F.lit("]")).alias("value"))
+    files.repartition("part").write.partitionBy("part").text(folder)
+
+
+def docs_index_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages read back from files of JSON."""
+    folder = kept(spark, "json_index", [f"{sf_dir}/documents.parquet"], lambda f: json_index(spark, sf_dir, f"{f}/files"))
+    found = search.clean_chunks(doc_index(spark, f"{folder}/files"))
+    return found.select("id", "title", F.col("char_count").cast("long").alias("char_count"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
 #: Indexes of this session, so that their files' schemas are read once.
 OPENED: dict[tuple, Index] = {}
 
@@ -120,9 +151,21 @@ SELECT id, title, section, subsection, score, char_count, {snippet_sql(terms)} A
 
 
 QUERIES = {
-    "docs_search_topk": top(SEARCH), "docs_search_one_word": top(ONE_WORD), "docs_index_search": indexed(SEARCH), "docs_index_one_word": indexed(ONE_WORD), "docs_clean": docs_clean, "docs_title": docs_title, "docs_terms": docs_terms, "docs_snippet": docs_snippet,
+    "docs_search_topk": top(SEARCH), "docs_search_one_word": top(ONE_WORD), "docs_index_search": indexed(SEARCH), "docs_index_one_word": indexed(ONE_WORD), "docs_clean": docs_clean, "docs_title": docs_title, "docs_terms": docs_terms, "docs_snippet": docs_snippet, "docs_markdown": docs_markdown, "docs_index_json": docs_index_json,
 }
+MARKDOWN = r"""
+WITH pages AS (
+  SELECT doc_id, CASE doc_id % 5 WHEN 2 THEN '## What’s  New' WHEN 3 THEN '# [Part ' || doc_id || '](http://x/a)  of *all*' ELSE '####### seven' END || chr(10) || text || ' [see  this](http://y/z?q=1)' AS raw,
+         nullif(trim(CASE WHEN lang <> 'en' THEN lang END), '') AS subsection, nullif(trim(CASE WHEN source <> 'src0' THEN source END), '') AS section, nullif(trim(regexp_extract(text, '^([^\n]*)', 1)), '') AS title
+  FROM documents WHERE doc_id % 5 > 1 AND text IS NOT NULL),
+cleaned AS (
+  SELECT doc_id, regexp_extract(raw, '(?m)^#{1,6}\s+(.+)$', 1) AS heading, subsection, section, title,
+         trim(regexp_replace(regexp_replace(raw, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '\s+', ' ', 'g')) AS content FROM pages)
+SELECT CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 5 WHEN 3 THEN 'Part ' || doc_id || ' of *all*' ELSE coalesce(CASE WHEN doc_id % 5 <> 2 THEN nullif(trim(heading), '') END, subsection, section, title, 'Doc ' || doc_id || ' Page') END AS title,
+       length(content) AS char_count, md5(content) AS content_md5 FROM cleaned"""
 SQL = {
+    "docs_markdown": MARKDOWN,
+    "docs_index_json": MARKDOWN,
     "docs_search_topk": top_sql(SEARCH),
     "docs_search_one_word": top_sql(ONE_WORD),
     "docs_index_search": top_sql(SEARCH),

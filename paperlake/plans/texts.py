@@ -15,6 +15,7 @@ from paperlake.functions import text as T
 from paperlake.operators.fulltext import read_papers
 from paperlake.plans.params import WindowParams
 from paperlake.sources import archive, atom, feed_pages
+from paperlake.sources.archive import sink_of
 from paperlake.sources.tables import table
 from paperlake.storage import kept
 
@@ -166,7 +167,46 @@ def feed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "title", F.md5(F.col("abstract").cast("binary")).alias("abstract_md5"), "published", F.array_join("categories", ";").alias("categories"))
 
 
+def feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All papers of the stored feed, its files read as they are."""
+    found = atom.parse_feeds(atom.read_feeds(spark, f"{feed_folder(spark, sf_dir)}/pages"))
+    return found.select("id", "published", F.array_join("authors", ";").alias("authors"), "doi", "abs_url")
+
+
+def preprint_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One paper of the stored feed by its number and a version."""
+    found = atom.lookup(atom.parse_feeds(atom.read_feeds(spark, f"{feed_folder(spark, sf_dir)}/pages")), " 2001.00017v3")
+    return found.select("id", "published", "pdf_url", "html_url")
+
+
+#: Documents of one archive file.
+ARCHIVED = 50
+
+
+def write_archives(docs: DataFrame, folder: str) -> None:
+    """docs(doc_id, text) as gzipped archives of ``ARCHIVED`` files each, in order; every other one not gzipped. A task that runs again writes the same file."""
+
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
+        files = {f"d/{i}.tex": (t or "").encode() for i, t in sorted(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()))}
+        part, data = key[0].as_py(), packed_files(files)
+        with sink_of(f"{folder}/{part}.tar") as out:
+            out.write(gzip.compress(data, 1, mtime=0) if part % 2 == 0 else data)
+        return pa.table({"part": [part]})
+
+    grouped = docs.select("doc_id", "text", F.expr(f"doc_id div {ARCHIVED}").alias("part")).groupBy("part")
+    grouped.applyInArrow(write, "part long").write.format("noop").mode("overwrite").save()
+
+
+def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file of a folder of archives, read as streams."""
+    docs = table(spark, sf_dir, "documents")
+    folder = kept(spark, "archive_files", [f"{sf_dir}/documents.parquet"], lambda f: write_archives(docs, f"{f}/files"))
+    found = archive.read_archives(spark, f"{folder}/files", ".tex")
+    return found.select(F.regexp_extract("id", "([0-9]+)[.]tar$", 1).cast("long").alias("part"), "ordinal", "name", "size", F.md5("data").alias("data_md5"))
+
+
 QUERIES = {
+    "feed_files": feed_files, "preprint_lookup": preprint_lookup, "archive_files": archive_files,
     "feed_scan": feed_scan,
     "html_strip": html_strip, "html_text": html_text, "fulltext_gate": fulltext_gate, "text_window": text_window, "read_cascade": read_cascade, "tar_entries": tar_entries, "tex_choice": tex_choice, "tex_strip": tex_strip, "atom_roundtrip": atom_roundtrip,
 }
@@ -243,6 +283,12 @@ SQL = {
     "atom_roundtrip": rf"""SELECT {PAPER_ID} AS id, trim(regexp_replace(regexp_extract(text, '^([^\n]*)', 1), '\s+', ' ', 'g')) AS title,
         array_to_string(list_transform(range(1, CAST(doc_id % 3 + 2 AS BIGINT)), lambda i: source || ' ' || i), ';') AS authors, CASE WHEN doc_id % 8 BETWEEN 2 AND 4 THEN '' ELSE trim(regexp_replace(text, '\s+', ' ', 'g')) END AS abstract,
         '2024-01-15T00:00:00Z' AS published, lang AS categories, CASE WHEN doc_id % 3 = 0 THEN '10.1/' || doc_id END AS doi, 'https://arxiv.org/pdf/' || {PAPER_ID} AS pdf_url FROM documents""",
+    "feed_files": f"""SELECT {PAPER_ID} AS id, strftime(DATE '2024-01-01' + CAST(doc_id % 360 AS INTEGER), '%Y-%m-%d') || 'T00:00:00Z' AS published, source AS authors, CAST(NULL AS VARCHAR) AS doi,
+        'https://arxiv.org/abs/' || {PAPER_ID} AS abs_url FROM documents""",
+    "preprint_lookup": """SELECT '2001.00017' AS id, strftime(DATE '2024-01-01' + CAST(doc_id % 360 AS INTEGER), '%Y-%m-%d') || 'T00:00:00Z' AS published,
+        'https://arxiv.org/pdf/2001.00017' AS pdf_url, 'https://arxiv.org/html/2001.00017' AS html_url FROM documents WHERE doc_id = 17""",
+    "archive_files": f"""SELECT doc_id // {ARCHIVED} AS part, CAST(row_number() OVER (PARTITION BY doc_id // {ARCHIVED} ORDER BY doc_id) - 1 AS INTEGER) AS ordinal, 'd/' || doc_id || '.tex' AS name,
+        strlen(text) AS size, md5(text) AS data_md5 FROM documents""",
     "feed_scan": rf"""SELECT {PAPER_ID} AS id, trim(regexp_replace(regexp_extract(text, '^([^\n]*)', 1), '\s+', ' ', 'g')) AS title, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS abstract_md5,
         strftime(DATE '2024-01-01' + CAST(doc_id % 360 AS INTEGER), '%Y-%m-%d') || 'T00:00:00Z' AS published, lang AS categories FROM documents
         WHERE DATE '2024-01-01' + CAST(doc_id % 360 AS INTEGER) >= DATE '{FROM}' AND DATE '2024-01-01' + CAST(doc_id % 360 AS INTEGER) < DATE '{UNTIL}' AND lang IN {LANGUAGES}""",

@@ -130,14 +130,26 @@ def archive_files(opened: Callable[[], io.BufferedIOBase], wanted: str = "", lar
         yield from tar_files(io.BufferedReader(Chunks(inflated(stream, most)), CHUNK) if zipped else stream, wanted, largest)
 
 
-def stream_of(path: str) -> io.BufferedIOBase:
-    """A file of any store that Arrow knows, by its URI or local path."""
+def store_of(path: str) -> tuple:
+    """The store of a URI or local path, any that Arrow knows, and the path within it."""
     from pyarrow import fs
 
-    store, inner = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path)) if ":" in path else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path)) if ":" in path else (fs.LocalFileSystem(), path)
+
+
+def stream_of(path: str) -> io.BufferedIOBase:
+    """A file to read."""
+    store, inner = store_of(path)
     return io.BufferedReader(store.open_input_stream(inner, compression=None), CHUNK)
 
 
+def sink_of(path: str):
+    """A file to write, in a folder that is made where it is not there yet."""
+    store, inner = store_of(path)
+    store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    return store.open_output_stream(inner, compression=None)
+
+
 def _unpacked(archives: DataFrame, opener: Callable, wanted: str, limits: tuple[int, int]) -> DataFrame:
     """archives(id, what is opened) to one row a file; a row leaves as soon as its entry is read."""
     of = archives.schema["id"]

@@ -20,7 +20,7 @@ from pyspark.sql.datasource import (
 )
 
 from paperlake.operators.paging import numbered
-from paperlake.sources.archive import stream_of
+from paperlake.sources.archive import store_of, stream_of
 from paperlake.sources.atom import CATEGORY, ENTRY, PUBLISHED, parse_feeds
 
 SCHEMA = "published string, category string, xml string"
@@ -89,7 +89,7 @@ class FeedPagesReader(DataSourceReader):
         """The list of pages: a row a page, whatever the size of the pages."""
         from pyarrow import fs
 
-        store, inner = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", self.folder)) if ":" in self.folder else (fs.LocalFileSystem(), self.folder)
+        store, inner = store_of(self.folder)
         found = [f.path for f in store.get_file_info(fs.FileSelector(f"{inner}/list")) if f.base_name.startswith("part-") and f.size]
         return [json.loads(line) for path in found for line in store.open_input_stream(path).read().decode("utf-8").splitlines()]
 
