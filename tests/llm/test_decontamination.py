@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -218,3 +219,10 @@ def test_answers_equal_plain_cosine_and_subsequence(spark, docs):
     got = {(r.doc_id, r.item_id): (r.common_share, r.answer_share) for r in dc.contaminated(docs(rows), bench).collect()}
     assert len(expected) > 20 and set(got) == set(expected)
     assert all(np.allclose(got[k], expected[k]) for k in expected)
+
+
+@pytest.mark.parametrize("items,change", [(2000, 0.3), (10_000, 0.2)])
+def test_recall_of_edited_copies_beyond_the_rank(spark, docs, items, change):
+    rows, bench = planted(items, 200, change)
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated(docs(rows), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got <= {(i, i) for i in range(200)} and len(got) >= 0.9 * 200
