@@ -50,15 +50,13 @@ def opened(spark: SparkSession, name: str, folder: str, schema: str, buckets: in
 def resolve(asked: DataFrame, known: DataFrame, identifier: str = "identifier") -> DataFrame:
     """Every row of ``asked`` with key and id; unknown identifiers, and null ones, have a null id.
 
-    Each distinct key is looked up once: only keys move to the table's buckets, and a key that very many rows
-    ask for is broadcast with the others of its kind.
+    Rows move to the table's buckets by their key; the table stays where it is. A key that over one in a thousand
+    rows ask for, known or not, is looked up once and broadcast (fewer than a thousand of them), and null keys do not move.
     """
     keyed = asked.withColumn("key", canonical(identifier))
-    wanted = keyed.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("times"))
-    found = wanted.join(known, "key")
-    total = F.lit(keyed.count())
-    hot = F.col("times") * 1000 > total  # fewer than a thousand
-    few = found.where(hot).select("key", F.col("id").alias("hot_id"))
-    rest = found.where(~hot).select("key", F.col("id").alias("own_id"))
-    joined = keyed.join(F.broadcast(few), "key", "left")
-    return joined.join(rest, "key", "left").select(*asked.columns, "key", F.coalesce("hot_id", "own_id").alias("id"))
+    times = keyed.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("times"))
+    often = times.where(F.col("times") * 1000 > F.lit(keyed.count())).join(known, "key", "left")
+    marked = keyed.join(F.broadcast(often.select("key", F.col("id").alias("often_id"), F.lit(True).alias("often"))), "key", "left")
+    direct = marked.where("key IS NULL OR often").select(*asked.columns, "key", F.col("often_id").alias("id"))
+    rest = marked.where("key IS NOT NULL AND often IS NULL").join(known, "key", "left").select(*asked.columns, "key", "id")
+    return direct.unionByName(rest)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from paperlake.operators.collections import EVENT
 from paperlake.storage import _path, exists
 
+#: Buckets of a new log; a log keeps the number that its first snapshot had.
 BUCKETS = 64
 KEYS = ["library_id", "doc_id"]
 KINDS = {"members": ("add", "remove"), "notes": ("set", "delete")}
@@ -39,8 +40,8 @@ def append(events: DataFrame, root: str) -> int:
     return n
 
 
-def bucket() -> Column:
-    return F.pmod(F.xxhash64("library_id"), F.lit(BUCKETS)).cast("int")
+def bucket(of: int) -> Column:
+    return F.pmod(F.xxhash64("library_id"), F.lit(of)).cast("int")
 
 
 def last_events(rows: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def _log(spark: SparkSession, root: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, root: str, until: str | None = None) -> dict | None:
-    """The latest snapshot (up to the time ``until``): version, until, batch (the last one it knows), buckets (bucket -> version)."""
+    """The latest snapshot (up to the time ``until``): version, until, of (buckets in all), batch (the last one it knows), buckets (bucket -> version)."""
     for v in reversed(_children(spark, f"{root}/manifest", "version=")):
         if exists(spark, f"{root}/manifest/version={v}/_SUCCESS"):
             found = json.loads(spark.read.text(f"{root}/manifest/version={v}").first().value)
@@ -103,15 +104,16 @@ def compact(spark: SparkSession, root: str, until: str) -> dict:
     base = manifest(spark, root)
     if base and until < base["until"]:
         raise ValueError("a snapshot lies after the last one")
-    version = base["version"] + 1 if base else 0
+    version, of = (base["version"] + 1, base["of"]) if base else (0, BUCKETS)
     batch = (_children(spark, f"{root}/log", "batch=") or [-1])[-1]
     delta = _since(spark, root, base, until)
-    touched = sorted(r.b for r in delta.select(bucket().alias("b")).distinct().collect())  # BUCKETS numbers at most
+    touched = sorted(r.b for r in delta.select(bucket(of).alias("b")).distinct().collect())  # as many numbers as buckets at most
     merged = last_events(_kept(spark, root, base, touched).unionByName(delta))
     if touched:
-        out = merged.withColumns({"bucket": bucket(), "version": F.lit(version)}).repartition("bucket")
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(f"{root}/state")
-    found = {"version": version, "until": until, "batch": batch, "buckets": (base or {"buckets": {}})["buckets"] | {str(b): version for b in touched}}
+        out = merged.withColumns({"bucket": bucket(of), "version": F.lit(version)})
+        #: Files of a bucket lie together, and a large bucket is cut by its size, not left to one task.
+        out.hint("rebalance", F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(f"{root}/state")
+    found = {"version": version, "until": until, "of": of, "batch": batch, "buckets": (base or {"buckets": {}})["buckets"] | {str(b): version for b in touched}}
     text = spark.createDataFrame([(json.dumps(found),)], "value string").coalesce(1)
     text.write.mode("overwrite").text(f"{root}/manifest/version={version}")
     return found

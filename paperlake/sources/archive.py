@@ -151,18 +151,29 @@ def sink_of(path: str):
 
 
 def _unpacked(archives: DataFrame, opener: Callable, wanted: str, limits: tuple[int, int]) -> DataFrame:
-    """archives(id, what is opened) to one row a file; a row leaves as soon as its entry is read."""
+    """archives(id, what is opened) to one row a file; rows leave as soon as ``CHUNK`` bytes of them have been read."""
     of = archives.schema["id"]
     names = ["id", "ordinal", "name", "size", "data"]
 
+    def table_of(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        k, *columns = zip(*rows)
+        types = (pa.int32(), pa.string(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k)), *map(pa.array, columns, types)], names)
+
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, held = [], 0
             for k in range(len(batch)):
                 if not batch.column(1)[k].is_valid:
                     continue
                 for i, (name, size, data) in enumerate(archive_files(lambda k=k: opener(batch.column(1)[k]), wanted, *limits)):
-                    made = (pa.array([i], pa.int32()), pa.array([name]), pa.array([size]), pa.array([data], pa.binary()))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *made], names)
+                    rows.append((k, i, name, size, data))
+                    held += len(data or b"") + len(name) + 64
+                    if held >= CHUNK:
+                        yield table_of(batch, rows)
+                        rows, held = [], 0
+            if rows:
+                yield table_of(batch, rows)
 
     return archives.mapInArrow(unpack, f"id {of.dataType.simpleString()}, {ENTRY}")
 
