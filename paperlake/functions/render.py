@@ -2,7 +2,8 @@
 
 Detail views take columns of one row and give a string column; list views number the rows
 of a page with ``row_number`` and fold them with ``listagg``. A list is one page of a result
-(display size, not corpus size), so its window and fold hold a page at most.
+(display size, not corpus size), so its window and fold hold a page at most; whole lists, of any length, are
+rows of text by place.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlake.functions.text import text_window, trim_all
+from paperlake.operators.paging import numbered
 
 # Places that the views link to.
 DOI_SITE = "https://doi.org/"
@@ -187,6 +189,16 @@ def folded(
     return body.select(*by, F.when(F.col("n") == 0, F.lit(empty)).otherwise(F.concat(head, "body", more)).alias("text"))
 
 
+def listed(rows: DataFrame, order: list[str], head: Column, item: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """The view of ``folded`` as rows of text, by ``place``: the heading at 0, then every item, for each value of ``by``.
+
+    Places are worked out over ranges, so no task or row holds a whole list, however long it is. ``order`` names columns, ascending.
+    """
+    placed = numbered(rows, list(by), order, "i", "n")
+    heads = placed.where("i = 1").select(*by, F.lit(0).cast("long").alias("place"), head.alias("text"))
+    return heads.unionByName(placed.select(*by, F.col("i").alias("place"), item.alias("text")))
+
+
 def or_message(view: DataFrame, message: str) -> DataFrame:
     """A view of one row at most, or the message in its place."""
     return view.limit(1).agg(F.coalesce(F.first("text"), F.lit(message)).alias("text"))
@@ -349,10 +361,10 @@ def library_facts() -> list[Column]:
     ]
 
 
-def library_list(page: DataFrame, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
-    """Libraries (of each user, say) with their facts, owner and day of the last change."""
+def library_item() -> Column:
+    """A library in a list: its facts, owner and day of the last change."""
     changed = F.substring(F.col("date_last_modified").cast("string"), 1, 10)
-    item = F.concat(
+    return F.concat(
         F.lit("## "),
         "name",
         F.lit("\n"),
@@ -360,20 +372,53 @@ def library_list(page: DataFrame, order: list[Column], by: tuple[str, ...] = ())
         library_line(("Owner", F.col("owner")), ("Modified", changed)),
         F.lit("\n"),
     )
-    return folded(page, order, F.concat(F.lit("# Libraries ("), "n", F.lit(")\n\n")), item, "No libraries found.", by=by)
+
+
+LIBRARIES_HEAD = ("# Libraries (", ")\n\n")
+
+
+def library_list(page: DataFrame, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """A page of libraries (of each user, say) as one text."""
+    head = F.concat(F.lit(LIBRARIES_HEAD[0]), "n", F.lit(LIBRARIES_HEAD[1]))
+    return folded(page, order, head, library_item(), "No libraries found.", by=by)
+
+
+def library_lines(libraries: DataFrame, order: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """All libraries (of each user, say) as rows of text."""
+    return listed(libraries, order, F.concat(F.lit(LIBRARIES_HEAD[0]), "n", F.lit(LIBRARIES_HEAD[1])), library_item(), by)
+
+
+def library_head() -> Column:
+    return F.concat(F.lit("# "), "name", F.lit("\n\n"), *library_facts(), library_line(("Owner", F.col("owner"))), F.lit("\n"))
+
+
+def papers_head(size: Column) -> Column:
+    return F.when(size > 0, F.concat(F.lit("## Papers ("), size.cast("string"), F.lit(")\n\n"))).otherwise("")
+
+
+def paper_line(place: Column, paper: Column) -> Column:
+    return F.concat(place.cast("string"), F.lit(". `"), paper, F.lit("`\n"))
 
 
 def library_detail(papers: str | None = None) -> Column:
     """A library with its facts and, where ``papers`` names an array of ids, its numbered papers."""
-    head = F.concat(F.lit("# "), "name", F.lit("\n\n"), *library_facts(), library_line(("Owner", F.col("owner"))), F.lit("\n"))
     if papers is None:
-        return head
+        return library_head()
     size = F.coalesce(F.array_size(papers), F.lit(0))
-    lines = F.transform(papers, lambda p, i: F.concat((i + 1).cast("string"), F.lit(". `"), p, F.lit("`\n")))
-    return F.concat(
-        head,
-        F.when(size > 0, F.concat(F.lit("## Papers ("), size.cast("string"), F.lit(")\n\n"), F.array_join(lines, ""))).otherwise(""),
-    )
+    lines = F.transform(papers, lambda p, i: paper_line(i + 1, p))
+    return F.concat(library_head(), papers_head(size), F.when(size > 0, F.array_join(lines, "")).otherwise(""))
+
+
+def library_detail_lines(libraries: DataFrame, members: DataFrame) -> DataFrame:
+    """Every library's view as rows of text by ``place``: the head at 0, then its papers.
+
+    libraries(library_id, ...), members(library_id, doc_id). No task or row holds all papers of a library.
+    """
+    placed = numbered(members.select("library_id", "doc_id"), ["library_id"], ["doc_id"], "i", "n")
+    sizes = placed.where("i = 1").select("library_id", "n")
+    head = F.concat(library_head(), papers_head(F.coalesce("n", F.lit(0))))
+    heads = libraries.join(sizes, "library_id", "left").select("library_id", F.lit(0).cast("long").alias("place"), head.alias("text"))
+    return heads.unionByName(placed.select("library_id", F.col("i").alias("place"), paper_line(F.col("i"), F.col("doc_id").cast("string")).alias("text")))
 
 
 def note_view() -> Column:

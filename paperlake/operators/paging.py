@@ -71,18 +71,19 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], place: str = "
     """
     spark = rows.sparkSession
     shared_folder(spark)
-    given = rows.withColumn("read_at", F.monotonically_increasing_id()).checkpoint()
-    by = [*group, *order, "read_at"]
+    read_at, part, at, first, before, n = (f"_{c}_of_{place}" for c in ("read_at", "part", "at", "first", "before", "n"))
+    given = rows.withColumn(read_at, F.monotonically_increasing_id()).checkpoint()
+    by = [*group, *order, read_at]
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-given.count() // RANGE_ROWS))
-    ranged = given.repartitionByRange(ranges, *by).sortWithinPartitions(*by).drop("read_at")
-    fixed = ranged.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}).checkpoint()
+    ranged = given.repartitionByRange(ranges, *by).sortWithinPartitions(*by).drop(read_at)
+    fixed = ranged.withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()}).checkpoint()
     #: One row a group and range that holds it.
-    runs = fixed.groupBy(*group, "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    runs = fixed.groupBy(*group, part).agg(F.min(at).alias(first), F.count("*").alias(n))
     within = Window.partitionBy(*group)
-    before = F.coalesce(F.sum("n").over(within.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = runs.withColumns({"before": before, total: F.sum("n").over(within)}).drop("n")
+    earlier = F.coalesce(F.sum(n).over(within.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.withColumns({before: earlier, total: F.sum(n).over(within)}).drop(n)
     same = F.lit(True)
-    for c in (*group, "part"):
+    for c in (*group, part):
         same = same & F.col(f"rows.{c}").eqNullSafe(F.col(f"runs.{c}"))
-    joined = fixed.alias("rows").join(runs.alias("runs"), same).select("rows.*", "runs.first", "runs.before", f"runs.{total}")
-    return joined.withColumn(place, F.col("before") + F.col("at") - F.col("first") + 1).drop("part", "at", "first", "before")
+    joined = fixed.alias("rows").join(runs.alias("runs"), same).select("rows.*", f"runs.{first}", f"runs.{before}", f"runs.{total}")
+    return joined.withColumn(place, F.col(before) + F.col(at) - F.col(first) + 1).drop(part, at, first, before)

@@ -88,18 +88,13 @@ def libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def render_library_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One list for each user who owns libraries."""
-    return render.library_list(libraries(spark, sf_dir).where("permission = 'owner'"), [F.asc("library_id")], by=("owner",))
+    """The list of each user who owns libraries, as rows of text."""
+    return render.library_lines(libraries(spark, sf_dir).where("permission = 'owner'"), ["library_id"], by=("owner",))
 
 
 def render_library_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each library with its papers in order (one library's members make one text)."""
-    papers = C.members(collection_events(spark, sf_dir)).groupBy("library_id").agg(
-        F.sort_array(F.collect_list("doc_id")).cast("array<string>").alias("papers")
-    )
-    return libraries(spark, sf_dir).join(papers, "library_id", "left").select(
-        "library_id", F.md5(render.library_detail("papers").cast("binary")).alias("text_md5")
-    )
+    """Each library with its papers in order, as rows of text."""
+    return render.library_detail_lines(libraries(spark, sf_dir), C.members(collection_events(spark, sf_dir)))
 
 
 def render_note(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,9 +178,8 @@ def window_sql(content: str) -> str:
 
 FACTS = f"""'- **ID:** `L' || library_id || '`' || {NL} || CASE WHEN library_id % 5 = 0 THEN '- **Description:** About ' || library_id || {NL} ELSE '' END
   || '- **Papers:** ' || num_documents || '  |  **Permission:** ' || permission || '  |  **Public:** ' || CASE WHEN library_id % 2 = 0 THEN 'Yes' ELSE 'No' END || {NL} || '- **Owner:** user' || library_id % 7"""
-LIBRARIES = f"""{MEMBERS}, n AS (SELECT library_id, count(*) AS n, '## Papers (' || count(*) || ')' || {PARA} || string_agg(i || '. `' || doc_id || '`' || {NL}, '' ORDER BY i) AS papers
-    FROM (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY doc_id) AS i FROM members) GROUP BY 1),
-  libraries AS (SELECT library_id, max(ts) AS date_last_modified, any_value(permission) AS permission, coalesce(any_value(n.n), 0) AS num_documents, coalesce(any_value(papers), '') AS papers FROM e LEFT JOIN n USING (library_id) GROUP BY library_id)"""
+LIBRARIES = f"""{MEMBERS}, n AS (SELECT library_id, count(*) AS n FROM members GROUP BY 1),
+  libraries AS (SELECT library_id, max(ts) AS date_last_modified, any_value(permission) AS permission, coalesce(any_value(n.n), 0) AS num_documents FROM e LEFT JOIN n USING (library_id) GROUP BY library_id)"""
 
 
 def neighbours_sql(direction: str, heading: str) -> str:
@@ -212,9 +206,12 @@ SQL = {
         SELECT id, md5({HEAD} || '**Published:** ' || published || {PARA} || {LINKS} || {ABSTRACT} || '## Full text' || {PARA} || CASE WHEN t <> '' THEN {window_sql('t')} ELSE '_No text could be extracted from the PDF._' END || {PARA}) AS text_md5 FROM preprints JOIN d USING (key)""",
     "render_docs_list": f"""WITH best AS ({top_sql(SEARCH)}), numbered AS (SELECT best.*, lang, row_number() OVER (ORDER BY score DESC, char_count DESC, doc_id) AS i FROM best JOIN documents ON doc_id = CAST(id AS BIGINT))
         SELECT '# SciX Docs Search Results' || {PARA} || 'Found **' || count(*) || '** result(s) for **{SEARCH.query}**' || {PARA} || string_agg({DOC_ITEM}, '' ORDER BY i) AS text FROM numbered""",
-    "render_library_list": f"""WITH {LIBRARIES}, page AS (SELECT * FROM libraries WHERE permission = 'owner')
-        SELECT 'user' || library_id % 7 AS owner, '# Libraries (' || count(*) || ')' || {PARA} || string_agg('## Library ' || library_id || {NL} || {FACTS} || '  |  **Modified:** ' || strftime(date_last_modified, '%Y-%m-%d') || {PARA}, '' ORDER BY library_id) AS text FROM page GROUP BY 1""",
-    "render_library_detail": f"WITH {LIBRARIES} SELECT library_id, md5('# Library ' || library_id || {PARA} || {FACTS} || {PARA} || papers) AS text_md5 FROM libraries",
+    "render_library_list": f"""WITH {LIBRARIES}, page AS (SELECT *, 'user' || library_id % 7 AS owner FROM libraries WHERE permission = 'owner')
+        SELECT owner, 0 AS place, '# Libraries (' || count(*) || ')' || {PARA} AS text FROM page GROUP BY 1 UNION ALL
+        SELECT owner, row_number() OVER (PARTITION BY owner ORDER BY library_id), '## Library ' || library_id || {NL} || {FACTS} || '  |  **Modified:** ' || strftime(date_last_modified, '%Y-%m-%d') || {PARA} FROM page""",
+    "render_library_detail": f"""WITH {LIBRARIES} SELECT library_id, 0 AS place, '# Library ' || library_id || {PARA} || {FACTS} || {PARA}
+        || CASE WHEN num_documents > 0 THEN '## Papers (' || num_documents || ')' || {PARA} ELSE '' END AS text FROM libraries UNION ALL
+        SELECT library_id, i, i || '. `' || doc_id || '`' || {NL} FROM (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY doc_id) AS i FROM members)""",
     "render_note": f"""WITH notes AS (SELECT library_id, doc_id, content, ts FROM (SELECT *, row_number() OVER (PARTITION BY library_id, doc_id ORDER BY ts DESC, event_id DESC) AS r
         FROM (SELECT user_id AS library_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS doc_id, event_type, round(value, 6) AS content, ts, event_id FROM events) WHERE (event_type = 'purchase' AND content IS NOT NULL) OR event_type = 'signup') WHERE r = 1 AND event_type = 'purchase')
         SELECT library_id, doc_id, '# Note for `' || doc_id || '`' || {PARA} || 'note ' || CAST(trunc(content * 1000) AS BIGINT) || {PARA} || '*Last updated: ' || strftime(ts, '%Y-%m-%d') || '*' || {NL} AS text FROM notes""",

@@ -80,6 +80,12 @@ def test_places_over_many_ranges(spark, monkeypatch):
         assert values == sorted(values)
 
 
+def test_places_beside_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4, 5, 6)] * 3, "part long, at long, first long, before long, n long, read_at long")
+    got = numbered(df, ["part"], ["at"], "i", "all").collect()
+    assert sorted(r.i for r in got) == [1, 2, 3] and {(r.part, r.at, r.first, r.before, r.n, r.read_at, r.all) for r in got} == {(1, 2, 3, 4, 5, 6, 3)}
+
+
 @pytest.fixture(scope="module")
 def star(spark):
     """Paper 0 has 3,000 citations and cites two papers."""

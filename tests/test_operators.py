@@ -400,3 +400,27 @@ def test_shown_lists_count_all(spark):
     many = spark.range(60).selectExpr("cast(id as string) AS id", "id AS key", "'t' AS title", "'a' AS author", "2000 AS year")
     text = render.graph_list(many, [F.asc("key")], "Citing papers").first().text
     assert text.startswith("## Citing papers (60)") and "_Showing 25 of 60 returned papers._" in text and "25. **t**" in text and "26. " not in text
+
+
+def test_library_lines_are_the_views(spark, monkeypatch):
+    """Rows of text, put together by place, are the text of the view; a library without papers, one of very many."""
+    from paperlake.operators import paging
+
+    monkeypatch.setattr(paging, "RANGE_ROWS", 20)
+    columns = "library_id long, id string, name string, description string, num_documents long, permission string, public boolean, owner string, date_last_modified string"
+    rows = [(i, f"L{i}", f"N{i}", None, 0, "owner", True, f"u{i % 2}", "2024-05-06T07") for i in range(7)]
+    libraries = spark.createDataFrame(rows, columns)
+    members = spark.createDataFrame([(0, k) for k in range(300)] + [(1, 5), (1, 3)], "library_id long, doc_id long")
+    whole = lambda df, key: {k: "".join(r.text for r in sorted(v, key=lambda r: r.place)) for k, v in grouped(df, key).items()}
+
+    def grouped(df, key):
+        found = {}
+        for r in df.collect():
+            found.setdefault(r[key], []).append(r)
+        return found
+
+    lists = render.library_list(libraries, [F.asc("library_id")], by=("owner",)).collect()
+    assert whole(render.library_lines(libraries, ["library_id"], ("owner",)), "owner") == {r.owner: r.text for r in lists}
+    papers = members.groupBy("library_id").agg(F.sort_array(F.collect_list("doc_id")).cast("array<string>").alias("papers"))
+    want = libraries.join(papers, "library_id", "left").select("library_id", render.library_detail("papers").alias("text")).collect()
+    assert whole(render.library_detail_lines(libraries, members), "library_id") == {r.library_id: r.text for r in want}
