@@ -89,14 +89,25 @@ def segments_of(item_id: int, raw: bytes | None) -> list[Segment]:
     return found
 
 
-class Terms:
+class Vocabulary:
+    """Words by number; number ``outside`` stands for any other word."""
+
+    def __init__(self, words: set[bytes]) -> None:
+        self.number = {w: i for i, w in enumerate(sorted(words))}
+        self.outside = len(self.number)
+        self.kind = np.dtype("<u2" if self.outside < 1 << 16 else "<u4")
+
+    def indices(self, words: list[bytes]) -> np.ndarray:
+        get, out = self.number.get, self.outside
+        return np.array([get(w, out) for w in words], self.kind)
+
+
+class Terms(Vocabulary):
     """Benchmark terms by number with their weights; number ``outside`` stands for any other word."""
 
     def __init__(self, segments: list[Segment]) -> None:
+        super().__init__({w for s in segments for w in s.words})
         self.segments = segments
-        self.number = {w: i for i, w in enumerate(sorted({w for s in segments for w in s.words}))}
-        self.outside = len(self.number)
-        self.kind = np.dtype("<u2" if self.outside < 1 << 16 else "<u4")
         self.idf = np.ones(self.outside + 1)
 
     def weigh(self, frequency: np.ndarray, total: int) -> None:
@@ -107,10 +118,6 @@ class Terms:
         """
         self.idf = np.minimum(np.log((total + 1) / (np.append(frequency, 0) + 1)), np.log(RAREST)) + 1
 
-    def indices(self, words: list[bytes]) -> np.ndarray:
-        get, out = self.number.get, self.outside
-        return np.array([get(w, out) for w in words], self.kind)
-
     def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """Terms and weights of each segment, of unit length."""
         found = []
@@ -159,7 +166,7 @@ def windows_of(n: int, windows: tuple[tuple[int, int], ...] = WINDOWS) -> tuple[
 INDEXED = "doc_id long, terms binary"
 
 
-def indexed(docs: DataFrame, terms: Terms) -> DataFrame:
+def indexed(docs: DataFrame, terms: Vocabulary) -> DataFrame:
     """Whole texts as term numbers; documents without a benchmark term have nothing to find."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +179,33 @@ def indexed(docs: DataFrame, terms: Terms) -> DataFrame:
     return docs.mapInArrow(run, INDEXED)
 
 
+def benchmark_words(items: DataFrame) -> Vocabulary:
+    """All words of the benchmark: what reaches the driver, and each task, grows with its vocabulary and not with its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            found = {w for raw in raw_texts(part) for w in words_of(raw)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.binary())], ["word"])
+
+    rows = items.select("text").mapInArrow(run, "word binary").distinct().toLocalIterator()
+    return Vocabulary({bytes(r.word) for r in rows})
+
+
+def renumbered(whole: DataFrame, every: Vocabulary, terms: Terms) -> DataFrame:
+    """Documents numbered by the words of the whole benchmark as ``indexed`` numbers them for one block of it."""
+    place = np.full(every.outside + 1, terms.outside, terms.kind)
+    place[[every.number[w] for w in terms.number]] = np.arange(terms.outside, dtype=terms.kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, column="terms"):
+            found = [place[np.frombuffer(raw, every.kind)] for raw in part.column("terms").to_pylist()]
+            some = np.array([int(x.min()) < terms.outside for x in found], bool)
+            data = pa.array([x.tobytes() if k else None for x, k in zip(found, some, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), data], ["doc_id", "terms"]).filter(pa.array(some, pa.bool_()))
+
+    return whole.mapInArrow(run, INDEXED)
+
+
 def term_frequencies(found: DataFrame, terms: Terms) -> np.ndarray:
     """Documents that hold each benchmark term: one sum a term reaches the driver."""
 
@@ -435,9 +469,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(
     Columns: doc_id, item_id, start_word (of the best window), cosine (in the latent space, or
     plain where the passage was found by its words), common_share and
     answer_share (largest over windows). Null and empty texts hold nothing, on either side;
-    an empty benchmark or table gives no rows. Repeated rows give one row. The benchmark is
-    read in blocks of at most ``block_bytes`` of text (an item is never cut), each of which
-    is searched in all documents.
+    an empty benchmark or table gives no rows. Repeated rows give one row. A large benchmark is
+    searched in blocks of at most ``block_bytes`` of its text (an item is never cut): the documents'
+    texts are read once and become numbers of its words, from which each block picks its own.
     """
     docs = keyed_text(docs)
     items = benchmark.select(
@@ -447,12 +481,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(
     blocks = max(1, -(-size // block_bytes))
     total = docs.count()
     out = docs.sparkSession.createDataFrame([], FOUND)
+    if blocks > 1:
+        every = benchmark_words(items)
+        whole = checkpointed(indexed(docs, every))
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         terms = Terms([s for r in part for s in segments_of(r.item_id, r.text.encode())])
         if not terms.segments:
             continue
-        found = checkpointed(indexed(docs, terms))
+        found = renumbered(whole, every, terms) if blocks > 1 else checkpointed(indexed(docs, terms))
         terms.weigh(term_frequencies(found, terms), total)
         out = out.union(matches(found, terms, latent_basis(found, terms, limits), limits))
     best = F.max_by("start", F.struct("common_share", "cosine", -F.col("start"))).alias("start_word")

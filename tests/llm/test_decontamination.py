@@ -226,3 +226,19 @@ def test_recall_of_edited_copies_beyond_the_rank(spark, docs, items, change):
     rows, bench = planted(items, 200, change)
     got = {(r.doc_id, r.item_id) for r in dc.contaminated(docs(rows), spark.createDataFrame(bench, "item_id long, text string")).collect()}
     assert got <= {(i, i) for i in range(200)} and len(got) >= 0.9 * 200
+
+
+def test_blocks_of_a_benchmark_read_the_texts_once(spark, docs, monkeypatch):
+    """One pass over the texts for many blocks, numbers as each block's own index has them."""
+    rows, items, _ = corpus(8)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    calls = []
+    index = dc.indexed
+    monkeypatch.setattr(dc, "indexed", lambda d, t: calls.append(t) or index(d, t))
+    dc.contaminated(docs(rows), bench, block_bytes=2000).collect()
+    assert len(calls) == 1 and type(calls[0]) is dc.Vocabulary
+    every = dc.benchmark_words(bench)
+    for part in (items[:5], items[9:10], items):
+        terms = dc.Terms([s for i, t in part for s in dc.segments_of(i, t.encode())])
+        want = {r.doc_id: r.terms for r in index(docs(rows), terms).collect()}
+        assert {r.doc_id: r.terms for r in dc.renumbered(index(docs(rows), every), every, terms).collect()} == want
