@@ -3,8 +3,8 @@
 The lines of every text are normalised and exploded, hashed to 128 bits, and counted by the
 documents that hold them: once for each, so the count is of distinct documents and sums up
 before it is shuffled. Lines whose hash reaches the threshold are marked by document and
-position, and what is left of each text is put together from the runs between its marks.
-Only hashes and positions are grouped; texts meet their marks in one join.
+position, and texts that lose lines are put together again by position. Only hashes and
+positions are grouped; texts meet their marks in one join.
 """
 
 from __future__ import annotations
@@ -30,6 +30,18 @@ def line_keys(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(lines.offsets, pc.ascii_lower(pc.ascii_trim_whitespace(lines.values)))
 
 
+@arrow_udf(StringType())
+def without_lines(texts: pa.Array, marks: pa.Array) -> pa.Array:
+    """Texts without the lines at these positions, linear in their lines; null for null."""
+    kept: list[str | None] = []
+    for text, gone in zip(texts, marks):
+        lines = text.as_py().split("\n") if text.is_valid else None
+        for at in gone.as_py() if lines else ():
+            lines[at] = None
+        kept.append(None if lines is None else "\n".join(x for x in lines if x is not None))
+    return pa.array(kept, pa.string())
+
+
 def hashes(key: str) -> dict[str, Column]:
     """128 bits of a key."""
     return {name: F.xxhash64(F.lit(salt), key) for salt, name in enumerate(KEY)}
@@ -43,8 +55,9 @@ def frequent_lines(docs: DataFrame, least: int, shortest: int) -> DataFrame:
 
 def marked_rows(docs: DataFrame, frequent: DataFrame, shortest: int) -> DataFrame:
     """row_1, row_2, marks: positions of a row's lines that go, ascending; rows that keep all their lines are left out."""
-    keys = dict(zip(ROW, row_key(docs)))
-    lines = docs.select(*(c.alias(n) for n, c in keys.items()), F.posexplode(line_keys("text")).alias("at", "line"))
+    #: Row keys are worked out before the lines are exploded: texts are not carried along with each line.
+    keyed = docs.select(*(c.alias(n) for n, c in zip(ROW, row_key(docs))), line_keys("text").alias("lines"))
+    lines = keyed.select(*ROW, F.posexplode("lines").alias("at", "line"))
     lines = lines.where(F.length("line") >= shortest).withColumns(hashes("line")).drop("line")
     found = joined_by_hot_key(lines, frequent, KEY, "n")
     #: Bounded by the lines of one text; rows that agree in doc_id and text agree in their marks.
@@ -64,15 +77,15 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS, shortest: int = 1
     rows = keyed_text(docs)
     marks = marked_rows(rows, checkpointed(frequent_lines(rows, least, shortest)), shortest)
     keyed = rows.withColumns(dict(zip(ROW, row_key(rows)))).withColumn("text", F.coalesce("text", F.lit("")))
-    joined = keyed.join(marks, ROW, "left").withColumn("lines", F.split("text", "\n", -1))
-    #: Marks and both ends; between two of them in turn lies a run that stays. Linear in the lines.
-    edges = "concat(array(-1), marks, array(size(lines)))"
-    runs = f"flatten(transform(sequence(1, size(marks) + 1), i -> slice(lines, {edges}[i - 1] + 2, {edges}[i] - {edges}[i - 1] - 1)))"
+    joined = keyed.join(marks, ROW, "left")
+    marked = F.col("marks").isNotNull()
+    #: Only texts that lose a line are put together anew.
+    kept = F.when(marked, without_lines(F.when(marked, F.col("text")), "marks")).otherwise(F.col("text"))
     return joined.select(
         "doc_id",
-        F.size("lines").cast("long").alias("n_lines"),
+        F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"),
         F.coalesce(F.size("marks"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.expr(f"if(marks is null, text, array_join({runs}, '\n'))").alias("kept"),
+        kept.alias("kept"),
     )
 
 

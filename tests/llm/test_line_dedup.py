@@ -50,10 +50,10 @@ def test_lines_of_very_many_and_of_few_documents_go_alike(docs):
 
 
 def test_one_long_text_with_many_marks(docs):
-    """Fifty thousand lines of which every other goes: linear, no list of lines is searched for each."""
-    text = "\n".join("gone" if k % 2 else f"line {k}" for k in range(50_000))
+    """Two hundred thousand lines of which every other goes: linear, no list of lines is copied or searched for each."""
+    text = "\n".join("gone" if k % 2 else f"line {k}" for k in range(200_000))
     got = {r.doc_id: r for r in line_dedup.dedup_lines(docs([(1, text), *((k, "GONE") for k in range(2, 12))])).collect()}
-    assert got[1].n_dropped == 25_000 and got[1].kept == "\n".join(f"line {k}" for k in range(0, 50_000, 2))
+    assert got[1].n_dropped == 100_000 and got[1].kept == "\n".join(f"line {k}" for k in range(0, 200_000, 2))
     assert got[2].kept == "" and got[2].n_dropped == 1
 
 
