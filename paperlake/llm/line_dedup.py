@@ -30,18 +30,6 @@ def line_keys(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(lines.offsets, pc.ascii_lower(pc.ascii_trim_whitespace(lines.values)))
 
 
-@arrow_udf(StringType())
-def without_lines(texts: pa.Array, marks: pa.Array) -> pa.Array:
-    """Texts without the lines at these positions, linear in their lines; null for null."""
-    kept: list[str | None] = []
-    for text, gone in zip(texts, marks):
-        lines = text.as_py().split("\n") if text.is_valid else None
-        for at in gone.as_py() if lines else ():
-            lines[at] = None
-        kept.append(None if lines is None else "\n".join(x for x in lines if x is not None))
-    return pa.array(kept, pa.string())
-
-
 def hashes(key: str) -> dict[str, Column]:
     """128 bits of a key."""
     return {name: F.xxhash64(F.lit(salt), key) for salt, name in enumerate(KEY)}
@@ -78,14 +66,16 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS, shortest: int = 1
     marks = marked_rows(rows, checkpointed(frequent_lines(rows, least, shortest)), shortest)
     keyed = rows.withColumns(dict(zip(ROW, row_key(rows)))).withColumn("text", F.coalesce("text", F.lit("")))
     joined = keyed.join(marks, ROW, "left")
-    marked = F.col("marks").isNotNull()
-    #: Only texts that lose a line are put together anew.
-    kept = F.when(marked, without_lines(F.when(marked, F.col("text")), "marks")).otherwise(F.col("text"))
-    return joined.select(
+    #: Whether each line goes, from the stretches before, between and after the marks; every step is linear in the lines.
+    start, end = "if(i = 0, 0, marks[i - 1] + 1)", "if(i = size(marks), size(lines), marks[i])"
+    stretch = f"concat(array_repeat(false, {end} - ({start})), if(i = size(marks), cast(array() as array<boolean>), array(true)))"
+    gone = f"flatten(transform(sequence(0, size(marks)), i -> {stretch}))"
+    kept = f"array_join(zip_with(lines, {gone}, (line, g) -> if(g, cast(null as string), line)), '\n')"
+    return joined.withColumn("lines", F.split("text", "\n", -1)).select(
         "doc_id",
-        F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"),
+        F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("marks"), F.lit(0)).cast("long").alias("n_dropped"),
-        kept.alias("kept"),
+        F.expr(f"if(marks is null, text, {kept})").alias("kept"),
     )
 
 
