@@ -30,6 +30,10 @@ def line_keys(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(lines.offsets, pc.ascii_lower(pc.ascii_trim_whitespace(lines.values)))
 
 
+#: Taken as not deterministic, the keys are worked out once: filters that the optimizer infers of them do not repeat the function.
+line_keys = line_keys.asNondeterministic()
+
+
 def hashes(key: str) -> dict[str, Column]:
     """128 bits of a key."""
     return {name: F.xxhash64(F.lit(salt), key) for salt, name in enumerate(KEY)}
@@ -37,7 +41,8 @@ def hashes(key: str) -> dict[str, Column]:
 
 def frequent_lines(docs: DataFrame, least: int, shortest: int) -> DataFrame:
     """key_1, key_2, n: hashes of the keys of at least ``shortest`` code points that ``n >= least`` documents hold."""
-    each = docs.select(F.explode(F.array_distinct(line_keys("text"))).alias("line")).where(F.length("line") >= shortest)
+    keyed = docs.select(line_keys("text").alias("lines"))
+    each = keyed.select(F.explode(F.array_distinct("lines")).alias("line")).where(F.length("line") >= shortest)
     return each.withColumns(hashes("line")).groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
