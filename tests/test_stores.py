@@ -187,6 +187,20 @@ def test_keys_are_unique_over_the_whole_export(spark, monkeypatch):
     assert all(r.record.startswith(f"@ARTICLE{{{r.cite_key},") for r in rows.collect())
 
 
+def test_more_keys_alike_than_two_letters_tell_apart(spark, saved):
+    """Places after 702, those of the SQL's two signs, and beyond one byte (6,000 of one brand and size)."""
+    import duckdb
+
+    from paperlake.plans import papers as plans
+
+    rows = spark.range(6000).selectExpr("id AS p_partkey", "'n' AS p_name", "'Brand#1' AS p_brand", "'t' AS p_type", "5 AS p_size")
+    folder = saved(part=rows)
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW part AS SELECT * FROM read_parquet('{folder}/part.parquet/*.parquet')")
+    got = sorted(map(tuple, plans.export_whole(spark, folder).collect()))
+    assert got == sorted(db.sql(plans.SQL["export_whole"]).fetchall()) and len({k for _, k, _ in got}) == 6000
+
+
 def test_suffixed_keys_that_meet_other_keys(spark):
     df = spark.createDataFrame([(k, i) for i, k in enumerate(["X", "X", "Xa", "Xaa", "Xab", "X", "", "Y"])], "k string, i long")
     got = bibliography.unique_keys(df, "k", ["i"]).collect()
