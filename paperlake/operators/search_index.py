@@ -1,17 +1,22 @@
 """A kept inverted index over documentation chunks, and ranked search that skips blocks of it.
 
 ``build`` cleans and cuts every chunk once. Its tables: ``chunks`` (cleaned, numbered, in index order), ``words`` (the
-vocabulary, numbered), ``maxima`` (the most that a word counts in any chunk of a block, sorted by word) and ``postings``
-(the chunks of a block that hold a word, with weights and hits, sorted by block). A query meets the words that contain
-its terms, bounds every block by their maxima, scores the best blocks first, and reads further ones only where they
-can still reach the worst score that made the list. Texts are read for the rows that are returned, and for those
-that may hold the whole phrase.
+vocabulary), ``maxima`` (the most that a word counts in any chunk of a block, sorted by word) and ``postings``
+(the chunks of a block that hold a word, with weights and hits, by block). A block lies in one task, which gathers its
+postings, so of all that is built only texts (once, into their order), distinct words and maxima move. A query meets the
+words that contain its terms, bounds every block by their maxima, scores the best blocks first, and reads further ones
+only where they can still reach the worst score that made the list. Texts are read for the rows that are returned, and for
+those that may hold the whole phrase.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +26,11 @@ from paperlake.storage import remove_folder
 
 #: Chunks in a block, and rows of a sorted range of chunks, about.
 BLOCK_BITS = 9
-RANGE_ROWS = 100_000
+RANGE_ROWS = 50_000
 #: What a word counts in each field: the field's own weight and one for the text of all fields.
 WEIGHTS = {"title": 5, "section": 4, "subsection": 3, "doc_type": 1, "category": 1, "content": 1}
+#: Words with repeats that a task holds before it writes the postings of what it has of a block.
+HELD_WORDS = 4_000_000
 #: Blocks that are scored first, and the most words, blocks and chunks that a filter lists; beyond it they are joined.
 FIRST_BLOCKS = 32
 LISTED_WORDS, LISTED = 200, 1000
@@ -41,23 +48,62 @@ def build(cleaned: DataFrame, folder: str) -> None:
     ordered.withColumn("doc", doc).withColumn("block", F.shiftright("doc", BLOCK_BITS)).write.parquet(f"{folder}/chunks")
 
     chunks = spark.read.parquet(f"{folder}/chunks")
-    entry = lambda c, w: F.transform(T.tokens(F.coalesce(F.col(c), F.lit(""))), lambda t: F.struct(t.alias("word"), F.lit(w).alias("weight")))
-    each = chunks.select("doc", "block", F.inline(F.concat(*(entry(c, w) for c, w in WEIGHTS.items()))))
-    #: A chunk lies in one task, so its words are added up before they move.
-    posted = each.groupBy("word", "block", "doc").agg(F.sum("weight").alias("weight"), F.count("*").alias("hits"))
-    in_blocks = posted.groupBy("word", "block").agg(
-        F.max("weight").alias("top_weight"), F.max("hits").alias("top_hits"), F.sort_array(F.collect_list(F.struct("doc", "weight", "hits"))).alias("docs")
-    )
-    in_blocks.write.parquet(f"{folder}/made")
-    made = spark.read.parquet(f"{folder}/made")
-    words = made.groupBy("word").agg(F.count("*").alias("blocks")).orderBy("word")
-    words.withColumn("number", F.monotonically_increasing_id()).write.parquet(f"{folder}/words")
-    numbered = made.join(spark.read.parquet(f"{folder}/words").select("word", "number"), "word")
-    sizes = numbered.select("number", "block", "top_weight", "top_hits")
-    sizes.repartitionByRange("number", "block").sortWithinPartitions("number", "block").write.parquet(f"{folder}/maxima")
-    listed = numbered.select("block", "number", "docs")
-    listed.repartitionByRange("block", "number").sortWithinPartitions("block", "number").write.parquet(f"{folder}/postings")
-    remove_folder(spark, f"{folder}/made")
+    words = [T.tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in WEIGHTS]
+    chunks.select("doc", "block", *words).mapInArrow(gather_postings, POSTINGS).write.parquet(f"{folder}/postings")
+    postings = spark.read.parquet(f"{folder}/postings")
+    postings.groupBy("word").agg(F.count("*").alias("blocks")).write.parquet(f"{folder}/words")
+    sizes = postings.select("word", "block", "top_weight", "top_hits")
+    sizes.repartitionByRange("word", "block").sortWithinPartitions("word", "block").write.parquet(f"{folder}/maxima")
+
+
+POSTINGS = "block long, word string, top_weight long, top_hits long, docs array<struct<doc:long,weight:long,hits:long>>"
+
+
+def postings_of(block: int, docs: np.ndarray, words: pa.Array, weights: np.ndarray) -> pa.RecordBatch:
+    """The postings of a block from its words as they come: a row a word, with its chunks in order."""
+    coded = words.dictionary_encode()
+    vocabulary, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    known, place = np.unique(docs, return_inverse=True)
+    pair, of, hits = np.unique(code * len(known) + place, return_inverse=True, return_counts=True)
+    weight = np.bincount(of, weights, len(pair)).astype(np.int64)
+    word, doc = pair // max(1, len(known)), known[pair % max(1, len(known))]
+    starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    listed = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in (doc, weight, hits)], ["doc", "weight", "hits"])
+    columns = [
+        pa.array(np.full(len(starts), block), pa.int64()), vocabulary.take(pa.array(word[starts])), pa.array(np.maximum.reduceat(weight, starts)),
+        pa.array(np.maximum.reduceat(hits, starts).astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.r_[starts, len(pair)].astype(np.int32)), listed),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["block", "word", "top_weight", "top_hits", "docs"])
+
+
+def gather_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks (doc, block, words of each field), in order, to the postings of their blocks.
+
+    A block of very long texts, and one that two tasks read, has its words in more than one row: their lists add up,
+    and so do their maxima, to a bound that is higher than it need be.
+    """
+    block, held, n = None, [], 0
+
+    def gathered() -> pa.RecordBatch:
+        docs, words, weights = zip(*held)
+        return postings_of(block, np.concatenate(docs), pa.concat_arrays(words), np.concatenate(weights))
+
+    for batch in batches:
+        doc, of_block = (batch.column(c).to_numpy() for c in ("doc", "block"))
+        cuts = np.flatnonzero(np.r_[True, of_block[1:] != of_block[:-1]]) if len(of_block) else []
+        for start, end in zip(cuts, [*cuts[1:], len(of_block)]):
+            if held and (of_block[start] != block or n >= HELD_WORDS):
+                yield gathered()
+                held, n = [], 0
+            block = int(of_block[start])
+            for name, weight in WEIGHTS.items():
+                lists = batch.column(name).slice(start, end - start)
+                words = lists.flatten().cast(pa.string())
+                if len(words):
+                    held.append((np.repeat(doc[start:end], pc.list_value_length(lists).to_numpy()), words, np.full(len(words), weight)))
+                    n += len(words)
+    if held:
+        yield gathered()
 
 
 def any_of(column: str, values: list) -> Column:
@@ -102,13 +148,17 @@ class Index:
         return top.drop("doc", "block").withColumn("snippet", T.snippet(F.col("content"), list(terms)))
 
     def _matched(self, terms: Counter) -> DataFrame:
-        """The words that contain a term: number, times (for the score) and in_0, in_1, ... (for each term)."""
+        """The words that contain a term: word, times (for the score) and in_0, in_1, ... (for each term)."""
+        return self._meeting(self.words, terms).drop("blocks")
+
+    def _meeting(self, rows: DataFrame, terms: Counter) -> DataFrame:
+        """The rows whose word contains a term, with times and in_0, in_1, ...: told from the word itself, so nothing is joined."""
         holds = F.lit(False)
         for t in terms:
             holds = holds | F.contains("word", F.lit(t))
-        within = [T.occurrences(F.col("word"), t) for t in terms]
-        times = sum((n * repeats for n, repeats in zip(within, terms.values())), F.lit(0))
-        return self.words.where(holds).select("number", times.alias("times"), *(n.alias(f"in_{i}") for i, n in enumerate(within)))
+        within = {f"in_{i}": T.occurrences(F.col("word"), t) for i, t in enumerate(terms)}
+        times = sum((n * repeats for n, repeats in zip(within.values(), terms.values())), F.lit(0))
+        return rows.where(holds).withColumns({"times": times, **within})
 
     def _candidates(self, matched: DataFrame, terms: Counter, limit: int, exact: bool) -> list[Row] | DataFrame:
         """doc, block, score (of the terms; with ``exact``, the phrase too) and bound (with the phrase at most) of all chunks that may be among the best.
@@ -124,7 +174,7 @@ class Index:
             return added.select(*by, (bound if exact else F.col("terms")).alias("score"), bound.alias("bound"))
 
         def of_blocks(rows: DataFrame) -> DataFrame:
-            flat = rows.join(matched, "number").select("block", "times", *(f"in_{i}" for i in range(len(terms))), F.inline("docs"))
+            flat = self._meeting(rows, terms).select("block", "times", *(f"in_{i}" for i in range(len(terms))), F.inline("docs"))
             return scored(flat, ["block", "doc"], "weight", "hits")
 
         def best(rows: DataFrame) -> list[Row]:
@@ -145,9 +195,9 @@ class Index:
             least = least_of(listed)
             found = whole_list(listed, least)
             return rows.where(F.col("bound") >= least) if found is None else found
-        few = [r.number for r in matched.select("number").limit(LISTED_WORDS + 1).collect()]
-        maxima = self.maxima.where(any_of("number", few)) if len(few) <= LISTED_WORDS else self.maxima
-        bounds = scored(maxima.join(matched, "number"), ["block"], "top_weight", "top_hits").drop("score")
+        few = [r.word for r in matched.select("word").limit(LISTED_WORDS + 1).collect()]
+        maxima = self.maxima.where(any_of("word", few)) if len(few) <= LISTED_WORDS else self.maxima
+        bounds = scored(self._meeting(maxima, terms), ["block"], "top_weight", "top_hits").drop("score")
         blocks = best(bounds)
         early = [r.block for r in blocks[:FIRST_BLOCKS]]
         rows = of_blocks(self.postings.where(any_of("block", early)))

@@ -68,6 +68,25 @@ def test_no_text_is_read_before_the_top(pair, capsys):
     assert "PushedFilters" in out and "doc" in out.split("PushedFilters")[1]
 
 
+def shuffled_records(spark):
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_postings_do_not_move(spark, tmp_path, monkeypatch):
+    """60,000 words in chunks: texts, distinct words and maxima are shuffled, no word of a chunk is; postings that leave in parts add up."""
+    monkeypatch.setattr(search_index, "HELD_WORDS", 500)
+    words = " ".join(f"w{i}" for i in range(200))
+    rows = [(str(i), "f", "", "", "", f"t{i}", "", "", words, i) for i in range(300)]
+    cleaned = search.clean_chunks(spark.createDataFrame(rows, CHUNK))
+    before = shuffled_records(spark)
+    build(cleaned, str(tmp_path / "i"))
+    assert shuffled_records(spark) - before < 10_000
+    got = Index(spark, str(tmp_path / "i")).search("w19 w7", 5).select("id", "score").collect()
+    assert got == search.search(cleaned, "w19 w7", 5).select("id", "score").collect()
+
+
 def test_kept_folders_follow_their_inputs(spark, tmp_path):
     from paperlake.storage import kept
 
