@@ -20,7 +20,7 @@ from pyspark.sql.datasource import (
 )
 
 from paperlake.operators.paging import numbered
-from paperlake.sources.archive import store_of, stream_of
+from paperlake.sources.archive import sink_of, store_of, stream_of
 from paperlake.sources.atom import CATEGORY, ENTRY, PUBLISHED, parse_feeds
 
 SCHEMA = "published string, category string, xml string"
@@ -31,21 +31,28 @@ def write_pages(entries: DataFrame, folder: str, size: int = 100) -> None:
 
     An entry without a date comes first; the first category of an entry is its primary one.
     """
-    spark = entries.sparkSession
     dated = entries.select("xml", F.regexp_extract("xml", PUBLISHED, 1).alias("published"), F.regexp_extract("xml", CATEGORY, 1).alias("category"))
-    placed = numbered(dated, [], ["published", "xml"]).withColumn("page", F.expr(f"(place - 1) div {int(size)}"))
+    #: Entries of one date go by their texts' hashes: what a sort samples and compares stays small.
+    placed = numbered(dated.withColumn("mark", F.xxhash64("xml")), [], ["published", "mark"]).withColumn("page", F.expr(f"(place - 1) div {int(size)}"))
     #: A page has at most ``size`` entries.
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "xml"))), lambda e: e["xml"]), "\n")
     pages = placed.groupBy("page").agg(
-        F.concat(F.lit("<feed>\n"), whole, F.lit("\n</feed>")).alias("xml"), F.min("published").alias("first"), F.max("published").alias("last"),
+        F.concat(F.lit("<feed>\n"), whole, F.lit("\n</feed>\n")).alias("xml"), F.min("published").alias("first"), F.max("published").alias("last"),
         F.sort_array(F.collect_set("category")).alias("categories"), F.count("*").alias("entries"),
     )
-    pages.write.parquet(f"{folder}/made")
-    made = spark.read.parquet(f"{folder}/made")
-    made.repartition("page").select("page", "xml").write.partitionBy("page").option("lineSep", "\n").text(f"{folder}/pages")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(f"{folder}/pages")
-    files = files.select(F.regexp_extract("path", r"/page=(\d+)/", 1).cast("long").alias("page"), F.regexp_extract("path", r"/(pages/page=\d+/[^/]+)$", 1).alias("file"))
-    made.join(files, "page").select("page", "file", "first", "last", "categories", "entries").coalesce(1).write.json(f"{folder}/list")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The files, whose names follow from the pages, so none is sought afterwards; a task that runs again writes the same ones."""
+        for batch in batches:
+            files = [f"pages/page-{page:09d}.txt" for page in batch.column("page").to_pylist()]
+            for file, xml in zip(files, batch.column("xml")):
+                with sink_of(f"{folder}/{file}") as out:
+                    out.write(xml.as_buffer())
+            kept = [batch.column(c) for c in ("page", "first", "last", "categories", "entries")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(files, pa.string())], ["page", "first", "last", "categories", "entries", "file"])
+
+    listed = pages.mapInArrow(write, "page long, first string, last string, categories array<string>, entries long, file string")
+    listed.repartition(1).write.json(f"{folder}/list")
 
 
 @dataclass

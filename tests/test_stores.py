@@ -69,6 +69,23 @@ def test_fewer_pages_are_read(spark, feed, capsys):
     assert "feed_pages" in capsys.readouterr().out
 
 
+def test_texts_of_entries_stay_on_the_executors(spark, tmp_path):
+    """Forty long entries: neither the order of the pages nor the list of their files brings texts to the driver, and every page is a plain file of one folder."""
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def most() -> int:
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return sum(stages.apply(i).resultSize() for i in range(stages.size()))
+
+    long = spark.range(40).select(F.concat(F.lit("<entry><published>2024</published>"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.xxhash64("id", i).cast("string")), ""), F.lit("</entry>")).alias("xml"))
+    before = most()
+    feed_pages.write_pages(long, str(tmp_path / "f"), 7)
+    assert most() - before < 2_000_000
+    assert sorted(f.name for f in (tmp_path / "f" / "pages").iterdir() if f.suffix == ".txt") == [f"page-{k:09d}.txt" for k in range(6)]
+    spark.dataSource.register(feed_pages.FeedPages)
+    assert spark.read.format("feed_pages").load(str(tmp_path / "f")).distinct().count() == 40
+
+
 def random_events(rng, n, start=0):
     """Events over ten days; some keys and values are missing."""
     actions = ["add", "add", "remove", "set", "delete", "create", "other"]
