@@ -6,6 +6,8 @@ count characters as Spark does (code points).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +39,27 @@ def worked_out(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
+#: The characters of ``SPACE``.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+#: A run of ``SPACE`` without blanks; what ASCII prints is passed over by one comparison, and single blanks are left alone.
+OTHER_SPACE = r"(?=[^ -~])[\t-\r\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+
+
+def once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of a value that is worked out once, however often ``made`` uses it."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def trim_all(c: str | Column) -> Column:
-    """Trim every kind of white space, not only blanks."""
-    return replace_all(column(c), (f"^{SPACE}+|{SPACE}+$(?!\n)", ""))
+    """Trim every kind of white space, not only blanks: the ends are looked at, not the whole text."""
+    return F.btrim(column(c).cast("string"), F.lit(SPACES))
 
 
 def collapse(c: str | Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
-    return F.trim(replace_all(column(c), (f"{SPACE}+", " ")))
+    return F.trim(replace_all(column(c), (OTHER_SPACE, " "), (" {2,}", " ")))
 
 
 def strip_links(c: str | Column) -> Column:
@@ -130,7 +145,7 @@ def strip_html(c: str | Column) -> Column:
     """Scripts, styles and comments go; breaks and block ends become line breaks; tags become blanks."""
     # The patterns of the reference semantics, in their order.
     return replace_all(
-        column(c), (r"(?i)<script[\s\S]*?</script>", " "), (r"(?i)<style[\s\S]*?</style>", " "), (r"<!--[\s\S]*?-->", " "),
+        column(c), (r"(?is)<script.*?</script>", " "), (r"(?is)<style.*?</style>", " "), (r"(?s)<!--.*?-->", " "),
         (r"(?i)<\s*br\s*/?\s*>", "\n"), (rf"(?i)</(?:{BLOCK_TAGS})\s*>", "\n\n"), (rf"(?i)<\s*(?:{BLOCK_TAGS})[^>]*>", ""), (r"<[^>]+>", " "),
     )
 
@@ -154,7 +169,7 @@ def latex_text(c: str | Column) -> Column:
             (r"(?i)\\item(?![A-Za-z0-9_])", "\n- "), (r"\\\\", "\n"),
             # a command keeps one argument; both marks are private characters that become blanks
             (r"\\[a-zA-Z@]+(?:\[[^\]]*\])?(?:\{([^{}]*)\})?", "\ue000$1\ue001"), ("\ue000\ue001", " "), ("[\ue000\ue001]", " "),
-            (r"(?m)(?<!\\)%.*$", ""), (r"\$\$\s*([\s\S]*?)\s*\$\$", "\n\n\\$\\$$1\\$\\$\n\n"), (r"\$(?!\s)([^$]+?)\s*\$", "\\$$1\\$"),
+            (r"(?m)(?<!\\)%.*$", ""), (r"\$\$\s*((?s:.*?))\s*\$\$", "\n\n\\$\\$$1\\$\\$\n\n"), (r"\$(?!\s)([^$]+?)\s*\$", "\\$$1\\$"),
             ("~", " "), (r"\s+\n", "\n"), (r"\n{3,}", "\n\n"),
         )
     )
