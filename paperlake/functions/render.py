@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlake.functions.text import text_window, trim_all
+from paperlake.functions.text import once, text_window, trim_all
 from paperlake.operators.paging import numbered
 
 # Places that the views link to.
@@ -120,9 +120,14 @@ def window_note(window: Column) -> Column:
     return F.concat(place, F.when(window["has_more"], more).otherwise(""))
 
 
-def text_page(content: str, offset: int, max_chars: int) -> Column:
-    window = text_window(trim_all(content), offset, max_chars)
-    return F.concat(trim_all(window["text"]), window_note(window))
+def text_page(content: str, offset: int, max_chars: int, empty: str | None = None) -> Column:
+    """One window of a text, which is trimmed and measured once; ``empty`` stands for a text without any, and for null."""
+
+    def page(text: Column) -> Column:
+        shown_page = once(text_window(text, offset, max_chars), lambda window: F.concat(trim_all(window["text"]), window_note(window)))
+        return shown_page if empty is None else F.when(text != "", shown_page).otherwise(empty)
+
+    return once(trim_all(content), page)
 
 
 def read_view(offset: int = 0, max_chars: int = 12_000) -> Column:
@@ -146,9 +151,7 @@ def read_view(offset: int = 0, max_chars: int = 12_000) -> Column:
 
 def full_text_view(offset: int = 0, max_chars: int = 12_000) -> Column:
     """A preprint with its abstract and one window of ``full_text``, or a notice that there is none."""
-    text = F.when(trim_all("full_text") != "", text_page("full_text", offset, max_chars)).otherwise(
-        "_No text could be extracted from the PDF._"
-    )
+    text = text_page("full_text", offset, max_chars, "_No text could be extracted from the PDF._")
     return F.concat(
         preprint_head(),
         part("Published", F.substring("published", 1, 10)),

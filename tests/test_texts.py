@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from paperlake.functions import render
 from paperlake.functions import text as T
 from paperlake.operators.fulltext import read_papers
 from paperlake.plans.texts import packed_files
@@ -260,3 +261,15 @@ def test_elements_of_long_entries_take_no_union_of_classes(spark):
     feeds = spark.createDataFrame([(f"<entry><id>http://arxiv.org/abs/1.2v1</id><summary>{text}</summary></entry>",)], "xml string")
     assert atom.parse_feeds(feeds).first().abstract == re.sub(f"[{T.SPACES}]+", " ", text).strip()
     assert not any(r"[\s\S]" in p for p in (atom.ENTRY, atom.SUMMARY, atom.TITLE))
+
+
+def test_a_full_text_is_trimmed_and_measured_once(spark):
+    """One trim of the whole text in the plan, whatever the view says about it; none and blank ones get the notice."""
+    rows = [(1, "  " + "abc " * 50 + "\n"), (2, " \n\ufeff"), (3, None)]
+    columns = {c: F.lit("v") for c in ("id", "title", "published", "updated", "abstract", "abs_url", "pdf_url", "html_url", "doi")}
+    df = spark.createDataFrame(rows, "k long, full_text string").withColumns({**columns, "authors": F.array(F.lit("a")), "categories": F.array(F.lit("c"))})
+    view = df.select("k", render.full_text_view(10, 50).alias("t"))
+    assert view._jdf.queryExecution().optimizedPlan().toString().count("full_text") <= 3  # read, trimmed, and in its table
+    got = {r.k: r.t.split("## Full text\n\n")[1] for r in view.collect()}
+    assert got[1].endswith("_Showing characters 10-60 of 199._\n_More text is available. Call this tool again with `offset=60` to continue._\n\n")
+    assert got[2] == got[3] == "_No text could be extracted from the PDF._\n\n"
