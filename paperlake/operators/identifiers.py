@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.functions.text import column, strip_version, trim_all
+from paperlake.functions.text import column, once, strip_version, trim_all
+from paperlake.storage import shared_folder
 
 BUCKETS = 64
 
@@ -18,12 +19,14 @@ def canonical(identifier: str | Column) -> Column:
     Preprint ids lose the site's address, ``arXiv:`` and their version, and the archive's name is in lower case; DOIs lose the
     resolver's address and ``doi:`` and are in lower case, as they do not differ by case; all else only loses white space around it.
     """
-    raw = trim_all(column(identifier))
-    doi = F.regexp_extract(raw, r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)?(10\.\d{4,9}/\S+|10\.\d+/\S+)$", 1)
-    preprint = r"(?i)^(?:https?://arxiv\.org/(?:abs|pdf)/|arxiv:\s*)?(\d{4}\.\d{4,}(?:v\d+)?|[a-z-]+(?:\.[a-z]{2})?/\d{7}(?:v\d+)?)(?:\.pdf)?$"
-    number = strip_version(F.regexp_extract(raw, preprint, 1))
-    found = F.when(doi != "", F.concat(F.lit("doi:"), F.lower(doi))).when(number != "", F.concat(F.lit("arxiv:"), F.lower(number)))
-    return F.when(raw != "", F.coalesce(found, raw))
+    def form(raw: Column) -> Column:
+        doi = F.regexp_extract(raw, r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)?(10\.\d{4,9}/\S+|10\.\d+/\S+)$", 1)
+        preprint = r"(?i)^(?:https?://arxiv\.org/(?:abs|pdf)/|arxiv:\s*)?(\d{4}\.\d{4,}(?:v\d+)?|[a-z-]+(?:\.[a-z]{2})?/\d{7}(?:v\d+)?)(?:\.pdf)?$"
+        number = once(strip_version(F.regexp_extract(raw, preprint, 1)), lambda n: F.when(n != "", F.concat(F.lit("arxiv:"), F.lower(n))))
+        found = once(doi, lambda d: F.when(d != "", F.concat(F.lit("doi:"), F.lower(d))).otherwise(number))
+        return F.when(raw != "", F.coalesce(found, raw))
+
+    return once(trim_all(column(identifier)), form)
 
 
 def build(records: DataFrame, name: str, folder: str, buckets: int = BUCKETS) -> None:
@@ -52,8 +55,10 @@ def resolve(asked: DataFrame, known: DataFrame, identifier: str = "identifier")
 
     Rows move to the table's buckets by their key; the table stays where it is. A key that over one in a thousand
     rows ask for, known or not, is looked up once and broadcast (fewer than a thousand of them), and null keys do not move.
+    Canonical forms are worked out once, and written, as the rows are read to count keys and for both kinds of lookup.
     """
-    keyed = asked.withColumn("key", canonical(identifier))
+    shared_folder(asked.sparkSession)
+    keyed = asked.withColumn("key", canonical(identifier)).checkpoint()
     times = keyed.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("times"))
     often = times.where(F.col("times") * 1000 > F.lit(keyed.count())).join(known, "key", "left")
     marked = keyed.join(F.broadcast(often.select("key", F.col("id").alias("often_id"), F.lit(True).alias("often"))), "key", "left")

@@ -191,6 +191,14 @@ def test_resolving_moves_no_table(spark, tmp_path, capsys):
     spark.sql("DROP TABLE ids_test_open")
 
 
+def test_forms_are_worked_out_once(spark):
+    """Neither kind of lookup, nor the count of keys, repeats the patterns."""
+    known = spark.createDataFrame([("arxiv:2001.00001", 1)], "key string, id long")
+    got = identifiers.resolve(spark.createDataFrame([(1, "2001.00001v2"), (2, None)], "n long, identifier string"), known)
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, "2001.00001v2", "arxiv:2001.00001", 1), (2, None, None, None)]
+
+
 def papers(spark, n, same=3):
     rows = [(f"B{i:05d}", [f"T{i}"], [f"Last{i % same}, A", "B, C"], "2020", None, None, i % 5, 0, [f"10.1/{i}"], None, "The Astrophysical Journal" if i % 2 else "Other", "3", None, None, None) for i in range(n)]
     return spark.createDataFrame(rows, PAPER)
