@@ -84,10 +84,12 @@ def pack_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     By the remainder of the number by four: a gzipped one whose main file is the whole text, beside a
     head that lies deeper, a plain one with a main file of another name, bytes that are no archive, and none.
+    They leave as soon as a chunk of them is packed, so a worker holds no batch of archives.
     """
     for batch in batches:
-        rows = []
-        for doc_id, text, source in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "source")), strict=True):
+        ids, rows, held = [], [], 0
+        for k in range(len(batch)):
+            doc_id, text, source = (batch.column(c)[k].as_py() for c in ("doc_id", "text", "source"))
             head, whole = f"\\section{{{source}}}\nHead".encode(), (text or "").encode()
             kinds = (
                 lambda: gzip.compress(packed_files({"sub/other.tex": head, "ms.tex": whole, "fig.png": b"\x89"}), 1, mtime=0),
@@ -95,8 +97,14 @@ def pack_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 lambda: b"not an archive",
                 lambda: None,
             )
+            ids.append(doc_id)
             rows.append(kinds[doc_id % 4]())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], ["id", "data"])
+            held += len(rows[-1] or b"") + 64
+            if held >= archive.CHUNK:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], ["id", "data"])
+                ids, rows, held = [], [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], ["id", "data"])
 
 
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:

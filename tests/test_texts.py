@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from paperlake.functions import render
 from paperlake.functions import text as T
 from paperlake.operators.fulltext import read_papers
-from paperlake.plans.texts import packed_files
+from paperlake.plans.texts import pack_archives, packed_files
 from paperlake.sources import archive, atom
 
 
@@ -273,3 +273,14 @@ def test_a_full_text_is_trimmed_and_measured_once(spark):
     got = {r.k: r.t.split("## Full text\n\n")[1] for r in view.collect()}
     assert got[1].endswith("_Showing characters 10-60 of 199._\n_More text is available. Call this tool again with `offset=60` to continue._\n\n")
     assert got[2] == got[3] == "_No text could be extracted from the PDF._\n\n"
+
+
+def test_packed_archives_leave_in_chunks():
+    """A batch of 400 texts of 40 KB leaves as many small ones, with all rows in order."""
+    import pyarrow as pa
+
+    texts = [bytes([97 + i % 26] * 40_000).decode() for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1, 401), pa.int64()), pa.array(texts), pa.array(["s"] * 400)], ["doc_id", "text", "source"])
+    got = list(pack_archives(iter([batch])))
+    assert len(got) > 3 and all(b.nbytes < 2 * archive.CHUNK for b in got)
+    assert [i for b in got for i in b.column("id").to_pylist()] == list(range(1, 401))
