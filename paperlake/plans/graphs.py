@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions import render
 from paperlake.operators import graph, metrics, neighbours, similar
-from paperlake.sources.tables import cited_papers, citing_papers, edges, reads, table
+from paperlake.sources.tables import cited_papers, citing_papers, edges, pairs, reads, table
 from paperlake.storage import kept
 
 AS_OF = 2002
@@ -107,18 +107,6 @@ def metrics_by_author(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.indices(metrics.by_author(papers))
 
 
-def group_tori(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the group of the cited paper; a citation counts where the two papers share no author."""
-    e, papers = edges(spark, sf_dir), authorships(spark, sf_dir)
-    references = graph.citation_counts(e, "citing").select(F.col("id").alias("citing"), F.col("citation_count").alias("citing_references"))
-    own = metrics.self_citations(e, papers).withColumn("self_citation", F.lit(True))
-    sizes = papers.select("id", F.size("authors").alias("cited_authors"))
-    of = cited_papers(spark, sf_dir).join(sizes, "id").select(F.col("id").alias("cited"), "author", "cited_authors")
-    cited = e.join(references, "citing").join(of, "cited").join(own, ["citing", "cited"], "left")
-    judged = cited.withColumn("self_citation", F.coalesce("self_citation", F.lit(False)))
-    return metrics.tori(judged).withColumn("tori", F.round("tori", 6))
-
-
 def metrics_citation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = citing_papers(spark, sf_dir).select(F.col("id").alias("citing"), F.col("refereed").cast("long").alias("refereed"))
     n = edges(spark, sf_dir).join(by, "citing", "left").groupBy(F.col("cited").alias("id")).agg(
@@ -169,14 +157,14 @@ def render_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def render_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every section of the view for every group of papers."""
-    of = cited_papers(spark, sf_dir).select("id", "author")
-    own = metrics_self_citations(spark, sf_dir).join(of, F.col("cited") == F.col("id")).groupBy("author").agg(F.sum("self_citations").alias("self_citations"))
-    read = reads(spark, sf_dir).select(F.col("paper").alias("id")).join(of, "id").groupBy("author").agg(F.count("*").alias("reads"))
-    wide = metrics.indices(counts(spark, sf_dir)).join(metrics_citation_stats(spark, sf_dir), "author")
-    for more in (metrics_m_index(spark, sf_dir).select("author", "m"), group_tori(spark, sf_dir), own, read):
-        wide = wide.join(more, "author", "left")
-    wide = wide.withColumn("mean_reads", F.col("reads") / F.col("papers"))
+    """Every section of the view for every group of papers; a paper's citations and reads are counted once for all of them."""
+    parts = cited_papers(spark, sf_dir).select("id", "author")
+    cited = metrics.paper_citations(pairs(spark, sf_dir), citing_papers(spark, sf_dir), authorships(spark, sf_dir), parts)
+    read = reads(spark, sf_dir).groupBy(F.col("paper").alias("id")).agg(F.count("*").alias("reads"))
+    counted = parts.where("author IS NOT NULL").join(cited.withColumnRenamed("cited", "id"), "id", "left").join(read, "id", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("citations", "total_citations", "refereed_citations")}
+    wide = metrics.profile(counted.withColumns(zero), AS_OF)
+    wide = wide.withColumns({c: F.round(c, 6) for c in ("m", "tori", "mean_citations")})
     return wide.select("author", render.metrics_view(F.col("papers")).alias("text"))
 
 

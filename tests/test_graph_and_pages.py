@@ -149,3 +149,53 @@ def test_no_join_on_the_author_alone(spark, capsys):
     table = spark.createDataFrame([(1, ["a"])], "id long, authors array<string>")
     out = plan(metrics.author_citations(spark.createDataFrame([(1, 1)], "citing long, cited long"), table).where(F.lit(True)), capsys)
     assert not re.search(r"hashpartitioning\(author#\d+, \d+\)", out)
+
+
+def test_citations_are_counted_in_one_pass(spark):
+    """Repeated pairs and records, ends that are null or unknown, a paper of most citations; against plain code."""
+    rng = random.Random(11)
+    papers = {i: rng.sample("abcdefgh", rng.randint(1, 3)) for i in range(200) if i % 13}
+    edges = {(rng.randrange(220), rng.choice([3, 3, 3, *range(40)])) for _ in range(900)}
+    pairs = [*edges, *list(edges)[:200], (None, 3), (5, None), (5, None), (None, None)]
+    records = [(i, rng.choice([2000, 2001, None]), rng.choice([True, False, None])) for i in range(180)]
+    records += records[:9]
+    references = {c: sum(a == c for a, _ in edges) + (c == 5) for c, _ in edges}
+    want = {}
+    for cited in {b for _, b in edges} & set(range(30)):
+        by = [a for a, b in edges if b == cited]
+        of = [r for a in by for r in records if r[0] == a]
+        own = [a for a in by if set(papers.get(a, [])) & set(papers.get(cited, []))]
+        tori = [1 / (len(papers[cited]) * references[a]) for a in by if a not in own and cited in papers]
+        total = sum(max(1, sum(r[0] == a for r in records)) for a in by)
+        years = [r[1] for r in of if r[1]]
+        want[cited] = (len(by), total, sum(bool(r[2]) for r in of), min(years, default=None), round(sum(tori), 9) if tori else None, len(own))
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    out = metrics.paper_citations(
+        frame(pairs, "citing long, cited long"), frame(records, "id long, year long, refereed boolean"), frame(list(papers.items()), "id long, authors array<string>"),
+        frame([(i,) for i in [*range(30), 7]], "id long"),
+    )
+    assert {r[0]: (*r[1:5], r[5] if r[5] is None else round(r[5], 9), r[6]) for r in out.collect()} == want
+
+
+def test_metrics_view_reads_citations_once(spark, capsys):
+    from paperlake.plans.catalog import queries
+
+    out = plan(queries()["render_metrics"](spark, "/root/testdata/sf0.001"), capsys)
+    assert len(re.findall(r"^Location: .*lineitem\.parquet", out, re.M)) == 1
+    assert len(re.findall(r"^Location: .*events\.parquet", out, re.M)) == 1
+
+
+def test_profile_equals_the_single_figures(spark):
+    """One wide row an author as from the operators of each section; an author without citations or reads."""
+    rng = random.Random(5)
+    rows = [(f"a{i % 7}", n := rng.choice([0, 1, 2, 2, 9, 40]), n, n // 2, rng.choice([1998, 2000, None]), rng.choice([0.5, None]), n // 3, rng.choice([1, None])) for i in range(120)]
+    rows.append(("none", 0, 0, 0, None, None, None, None))
+    df = spark.createDataFrame(rows, "author string, citations long, total_citations long, refereed_citations long, year long, tori double, self_citations long, reads long")
+    got = {r.author: r for r in metrics.profile(df, 2002).collect()}
+    stats = metrics.citation_stats(df.withColumn("refereed", F.col("refereed_citations")))
+    for r in metrics.indices(df).join(stats, "author").join(metrics.m_index(df, 2002).drop("h"), "author").collect():
+        assert {c: got[r.author][c] for c in r.asDict()} == r.asDict()
+    for a, row in got.items():
+        mine = [r for r in rows if r[0] == a]
+        sums = [sum(v) if (v := [r[i] for r in mine if r[i] is not None]) else None for i in (5, 6, 7)]
+        assert [row.tori, row.self_citations, row.reads] == sums and row.mean_reads == (None if sums[2] is None else sums[2] / len(mine))
